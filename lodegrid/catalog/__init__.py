@@ -1,7 +1,7 @@
 """Registered queries over the given tables, each beside the SQL that must agree with it."""
 import importlib
 
-MODULES = ("scoring",)
+MODULES = ("scoring", "geometry", "evidence", "nearby")
 
 
 def load_all() -> None:
