@@ -45,7 +45,7 @@ def inverse(x: str, y: str, lon: str, lat: str) -> str:
     """Select-list items giving degrees of a grid-metre point; helper columns carry the output's name."""
     k = lat
     n2 = g.CONE_N * g.CONE_N / (A * A)
-    s = g.SERIES
+    s = (E2 / 3 + 31 * E2**2 / 180 + 517 * E2**3 / 5040, 23 * E2**2 / 360 + 251 * E2**3 / 3780, 761 * E2**3 / 45360)
     return (
         f"({g.CONE_RHO0!r} - ({y})) AS {k}_dy, "
         f"({g.CONE_C!r} - (({x}) * ({x}) + {k}_dy * {k}_dy) * {n2!r}) / {g.CONE_N!r} AS {k}_q, "

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegrid import fixed
@@ -29,12 +29,31 @@ CONE_N = (_parallel(_PHI1) ** 2 - _parallel(_PHI2) ** 2) / (_authalic(_PHI2) - _
 CONE_C = _parallel(_PHI1) ** 2 + CONE_N * _authalic(_PHI1)
 CONE_RHO0 = _A * math.sqrt(CONE_C - CONE_N * _authalic(_PHI0)) / CONE_N
 AUTHALIC_POLE = _authalic(math.pi / 2)
-# Authalic-to-geodetic latitude series on this ellipsoid.
-SERIES = (
-    _E2 / 3 + 31 * _E2**2 / 180 + 517 * _E2**3 / 5040,
-    23 * _E2**2 / 360 + 251 * _E2**3 / 3780,
-    761 * _E2**3 / 45360,
-)
+
+
+def _geodetic(beta: float) -> float:
+    phi = beta
+    for _ in range(20):
+        s = math.sin(phi)
+        root = 1 - _E2 * s * s
+        phi += (AUTHALIC_POLE * math.sin(beta) - _authalic(phi)) * root * root / (2 * (1 - _E2) * math.cos(phi))
+    return phi
+
+
+def _latitude_series(terms: int = 5, samples: int = 128) -> tuple[float, ...]:
+    """Sine coefficients of geodetic minus authalic latitude, by quadrature over half a turn."""
+    total = [0.0] * terms
+    for j in range(1, samples):
+        beta = math.pi * j / samples
+        if 2 * j == samples:
+            continue
+        gap = _geodetic(beta) - beta if beta < math.pi / 2 else -(_geodetic(math.pi - beta) - (math.pi - beta))
+        for k in range(terms):
+            total[k] += gap * math.sin(2 * (k + 1) * beta)
+    return tuple(2 * t / samples for t in total)
+
+
+SERIES = _latitude_series()
 
 
 def _authalic_col(phi: Column) -> Column:
@@ -49,18 +68,26 @@ def to_grid_metres(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), F.lit(CONE_RHO0) - rho * F.cos(theta)
 
 
-def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
-    """Equal-area metres to degrees: authalic series, then one Newton step."""
+def _authalic_latitude(x: Column, y: Column) -> Column:
     dy = F.lit(CONE_RHO0) - y
-    rho2 = x * x + dy * dy
-    q = (CONE_C - rho2 * (CONE_N * CONE_N / (_A * _A))) / CONE_N
-    beta = F.asin(q / AUTHALIC_POLE)
-    phi = beta + SERIES[0] * F.sin(2 * beta) + SERIES[1] * F.sin(4 * beta) + SERIES[2] * F.sin(6 * beta)
-    s = F.sin(phi)
-    root = 1 - _E2 * s * s
-    refined = phi + (q - _authalic_col(phi)) * root * root / (2 * (1 - _E2) * F.cos(phi))
-    lon = F.degrees(F.lit(_LON0) + F.atan2(x, dy) / CONE_N)
-    return lon, F.degrees(refined)
+    q = (CONE_C - (x * x + dy * dy) * (CONE_N * CONE_N / (_A * _A))) / CONE_N
+    return F.asin(q / AUTHALIC_POLE)
+
+
+def _longitude(x: Column, y: Column) -> Column:
+    return F.degrees(F.lit(_LON0) + F.atan2(x, F.lit(CONE_RHO0) - y) / CONE_N)
+
+
+def _latitude(beta: Column) -> Column:
+    phi = beta
+    for k, c in enumerate(SERIES, start=1):
+        phi = phi + c * F.sin(2 * k * beta)
+    return F.degrees(phi)
+
+
+def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """Equal-area metres to degrees."""
+    return _longitude(x, y), _latitude(_authalic_latitude(x, y))
 
 
 # --- resolution ladder --------------------------------------------------------------------------
@@ -123,12 +150,6 @@ def centre_y(row: Column, res: Column) -> Column:
     return fixed.GRID_ORIGIN_Y + (row + 0.5) * res
 
 
-def corner(col: Column, row: Column, res: Column, dx: int, dy: int) -> tuple[Column, Column]:
-    x = (F.lit(fixed.GRID_ORIGIN_X) + (col + dx) * res).cast("double")
-    y = (F.lit(fixed.GRID_ORIGIN_Y) + (row + dy) * res).cast("double")
-    return to_degrees(x, y)
-
-
 def parent_index(index: Column, res: Column, parent_res: Column) -> Column:
     """Exact quadtree containment; a finer or off-ladder parent is an error."""
     return F.when(
@@ -136,17 +157,22 @@ def parent_index(index: Column, res: Column, parent_res: Column) -> Column:
     ).otherwise(F.raise_error(F.lit("parent resolution must be a coarser rung of the same ladder")).cast("int"))
 
 
-def with_corners(df, prefix: str = "") -> "object":
-    """Add the four corners (lon0, lat0 .. lon3, lat3), counter-clockwise from the south-west."""
+def with_corners(df: DataFrame) -> DataFrame:
+    """Add the four corners (lon0, lat0 .. lon3, lat3), counter-clockwise from the south-west.
+
+    Authalic latitudes become columns first, so generated code computes each once.
+    """
     res, col, row = F.col("res"), F.col("col"), F.col("row")
-    new = {}
+    lons, betas = {}, {}
     for i, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))):
-        lon, lat = corner(col, row, res, dx, dy)
-        new[f"{prefix}lon{i}"], new[f"{prefix}lat{i}"] = lon, lat
-    return df.withColumns(new)
+        x = (F.lit(fixed.GRID_ORIGIN_X) + (col + dx) * res).cast("double")
+        y = (F.lit(fixed.GRID_ORIGIN_Y) + (row + dy) * res).cast("double")
+        lons[f"lon{i}"], betas[f"_beta{i}"] = _longitude(x, y), _authalic_latitude(x, y)
+    lats = {f"lat{i}": _latitude(F.col(f"_beta{i}")) for i in range(4)}
+    return df.withColumns({**lons, **betas}).withColumns(lats).drop(*betas)
 
 
-def with_bbox(df) -> "object":
+def with_bbox(df: DataFrame) -> DataFrame:
     """Degree bounds of the square from its id alone. Needs the corners."""
     lons = [F.col(f"lon{i}") for i in range(4)]
     lats = [F.col(f"lat{i}") for i in range(4)]

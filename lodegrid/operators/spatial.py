@@ -75,7 +75,32 @@ def framed_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     for i in range(4):
         x, y = geo.local_xy(F.col(f"lon{i}"), F.col(f"lat{i}"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
         new[f"px{i}"], new[f"py{i}"] = x, y
-    return out.withColumns(new).drop(*[f"{a}{i}" for a in ("lon", "lat") for i in range(4)])
+    out = out.withColumns(new).drop(*[f"{a}{i}" for a in ("lon", "lat") for i in range(4)])
+    sides = {}
+    for i in range(4):
+        sides[f"sx{i}"] = F.col(f"px{(i + 1) % 4}") - F.col(f"px{i}")
+        sides[f"sy{i}"] = F.col(f"py{(i + 1) % 4}") - F.col(f"py{i}")
+    return out.withColumns(sides)
+
+
+_FRAME = ["lon0f", "lat0f", "mx"] + [f"{a}{i}" for a in ("px", "py", "sx", "sy") for i in range(4)]
+
+
+def _square_distance(px: str, py: str) -> tuple[dict[str, Column], Column]:
+    """Foot of the perpendicular on each side (as columns), and the distance to the square, 0 inside.
+
+    Kept in two steps so that no expression is written out twice in the generated code.
+    """
+    feet, inside, spans = {}, None, []
+    for i in range(4):
+        dx, dy = F.col(px) - F.col(f"px{i}"), F.col(py) - F.col(f"py{i}")
+        sx, sy = F.col(f"sx{i}"), F.col(f"sy{i}")
+        feet[f"_t{i}"] = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (dx * sx + dy * sy) / (sx * sx + sy * sy)))
+        left = sx * dy - sy * dx >= 0
+        inside = left if inside is None else inside & left
+        t = F.col(f"_t{i}")
+        spans.append(F.hypot(dx - t * sx, dy - t * sy))
+    return feet, F.when(inside, F.lit(0.0)).otherwise(F.least(*spans))
 
 
 def cells_near_points(framed: DataFrame, points: DataFrame, radius_m: float, max_res: int) -> DataFrame:
@@ -88,12 +113,12 @@ def cells_near_points(framed: DataFrame, points: DataFrame, radius_m: float, max
     pairs = bucket_pairs(targets, located, reach)
     near = (F.abs(F.col("_px") - F.col("_tx")) <= reach) & (F.abs(F.col("_py") - F.col("_ty")) <= reach)
     lx, ly = geo.local_xy(F.col("lon"), F.col("lat"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
-    corners = [(F.col(f"px{i}"), F.col(f"py{i}")) for i in range(4)]
-    out = pairs.where(near).withColumns({"_lx": lx, "_ly": ly})
-    out = out.withColumn("distance_m", geo.quad_distance_m(F.col("_lx"), F.col("_ly"), corners))
-    drop = ["_tx", "_ty", "_px", "_py", "_lx", "_ly", "lon0f", "lat0f", "mx"]
-    drop += [f"{a}{i}" for a in ("px", "py") for i in range(4)]
-    return out.where(F.col("distance_m") <= radius_m).drop(*drop)
+    feet, distance = _square_distance("_lx", "_ly")
+    out = pairs.where(near).drop("_tx", "_ty", "_px", "_py").withColumns({"_lx": lx, "_ly": ly}).withColumns(feet)
+    # A one-element explode keeps the distance from being copied into every later filter.
+    kept = [c for c in out.columns if c not in _FRAME and not c.startswith("_")]
+    out = out.select(*kept, F.explode(F.array(distance)).alias("distance_m"))
+    return out.where(F.col("distance_m") <= radius_m)
 
 
 # --- occurrence facts ---------------------------------------------------------------------------
