@@ -206,7 +206,8 @@ def overlay_sql(res):
         FROM pc JOIN pedge e USING (feature_id) WHERE xa <> xb),
       frac AS (SELECT feature_id, unit, CAST(col AS INT) AS col, CAST(row AS INT) AS row,
         sum(CASE WHEN x1 > x0 THEN o * (x1 - x0) * CASE WHEN y1 = y0 THEN least(greatest(y0 - sy, 0), {res})
-          ELSE ({h('y1')} - ({h('y0')})) / (y1 - y0) END ELSE 0 END) / {res * res} AS f FROM cut GROUP BY 1, 2, 3, 4)"""
+          ELSE ({h('y1')} - ({h('y0')})) / (y1 - y0) END ELSE 0 END) / {res * res} AS f,
+        bool_or(x1 >= x0 AND least(y0, y1) <= sy + {res} AND greatest(y0, y1) >= sy) AS tch FROM cut GROUP BY 1, 2, 3, 4)"""
 
 
 @register("polygon_cell_overlay", f"""{with_views('place_name')}, {overlay_sql(1000)}

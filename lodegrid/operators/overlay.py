@@ -26,7 +26,7 @@ def ring_edges(polygons: DataFrame, keys: list[str], rings: str = "rings", degre
     parts = polygons.select(*keys, F.posexplode(rings).alias("ring", "_pts"))
     steps = F.sequence(F.lit(1), F.size("_pts") - 1)
     edges = parts.where(F.size("_pts") > 3).select(
-        *keys, "ring", F.posexplode(F.transform(steps, lambda i: F.struct(
+        *keys, "ring", F.posexplode_outer(F.transform(steps, lambda i: F.struct(
             F.element_at("_pts", i).alias("a"), F.element_at("_pts", i + 1).alias("b")))).alias("edge", "_e"),
     )
     ends = [F.col(f"_e.{p}.{c}") for p in ("a", "b") for c in ("x", "y")]
@@ -77,7 +77,7 @@ def polygon_cells(edges: DataFrame, keys: list[str], res: int) -> DataFrame:
     left, right = F.least(xa, xb), F.greatest(xa, xb)
     ox, oy = float(fixed.GRID_ORIGIN_X), float(fixed.GRID_ORIGIN_Y)
     strips = edges.withColumn(
-        "col", F.explode(F.sequence(F.floor((left - ox) / r).cast("int"), F.floor((right - ox) / r).cast("int")))
+        "col", F.explode_outer(F.sequence(F.floor((left - ox) / r).cast("int"), F.floor((right - ox) / r).cast("int")))
     )
     x_from = F.greatest(left, ox + F.col("col") * r)
     x_to = F.least(right, ox + (F.col("col") + 1) * r)
@@ -91,7 +91,7 @@ def polygon_cells(edges: DataFrame, keys: list[str], res: int) -> DataFrame:
     low, high = F.least("_y0", "_y1"), F.greatest("_y0", "_y1")
     # One row below the edge starts the wholly covered part of the column.
     rows = strips.withColumn("_low", F.floor((low - oy) / r).cast("int")).withColumn(
-        "row", F.explode(F.sequence(F.col("_low") - 1, F.floor((high - oy) / r).cast("int")))
+        "row", F.explode_outer(F.sequence(F.col("_low") - 1, F.floor((high - oy) / r).cast("int")))
     )
     base = oy + F.col("row") * r
     mean = F.when(
@@ -119,7 +119,7 @@ def polygon_cells(edges: DataFrame, keys: list[str], res: int) -> DataFrame:
         F.transform(F.sequence(F.col("_next") + 1, F.col("row") - 1), lambda i: F.struct(
             i.alias("row"), F.lit(False).alias("touched"), carried.alias("area"))),
     ).otherwise(F.array().cast("array<struct<row:int,touched:boolean,area:double>>"))
-    cells = parts.select(*keys, "col", F.explode(F.concat(F.array(here), gap)).alias("c")).select(
+    cells = parts.select(*keys, "col", F.explode_outer(F.concat(F.array(here), gap)).alias("c")).select(
         *keys, F.lit(res).alias("res"), "col", "c.row", "c.touched",
         F.greatest(F.lit(0.0), F.col("c.area") / (r * r)).alias("fraction"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodegrid import fixed
 from lodegrid.functions import geo
 from lodegrid.functions import grid as g
-from lodegrid.functions.scalars import exact_sum, novelty, round_dp
+from lodegrid.functions.scalars import exact_sum, holds, novelty, round_dp
 from lodegrid.operators.ranking import best_per_key
 from lodegrid.session import is_at_most, materialise, spread_join
 
@@ -40,17 +40,16 @@ def _bucket(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("int")
 
 
-def _neighbourhood(x: Column, y: Column, size: float) -> Column:
-    around = [F.struct((_bucket(x, size) + i).alias("_bx"), (_bucket(y, size) + j).alias("_by"))
-              for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    return F.explode(F.array(*around))
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
 def bucket_pairs(targets: DataFrame, points: DataFrame, size: float) -> DataFrame:
     """Pairs of targets (_tx, _ty) and points (_px, _py) whose buckets touch; ``size`` bounds the match."""
     t = targets.withColumns({"_bx": _bucket(F.col("_tx"), size), "_by": _bucket(F.col("_ty"), size)})
-    p = points.withColumn("_b", _neighbourhood(F.col("_px"), F.col("_py"), size)).select(
-        *points.columns, "_b._bx", "_b._by")
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND])
+    p = points.withColumn("_o", F.explode(offsets)).select(
+        *points.columns, (_bucket(F.col("_px"), size) + F.col("_o.i")).alias("_bx"),
+        (_bucket(F.col("_py"), size) + F.col("_o.j")).alias("_by"))
     return split_join(p, t, ["_bx", "_by"]).drop("_bx", "_by")
 
 
@@ -114,7 +113,7 @@ def cells_near_points(framed: DataFrame, points: DataFrame, radius_m: float, max
     near = (F.abs(F.col("_px") - F.col("_tx")) <= reach) & (F.abs(F.col("_py") - F.col("_ty")) <= reach)
     lx, ly = geo.local_xy(F.col("lon"), F.col("lat"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
     feet, distance = _square_distance("_lx", "_ly")
-    out = pairs.where(near).drop("_tx", "_ty", "_px", "_py").withColumns({"_lx": lx, "_ly": ly}).withColumns(feet)
+    out = pairs.where(holds(near)).drop("_tx", "_ty", "_px", "_py").withColumns({"_lx": lx, "_ly": ly}).withColumns(feet)
     # A one-element explode keeps the distance from being copied into every later filter.
     kept = [c for c in out.columns if c not in _FRAME and not c.startswith("_")]
     out = out.select(*kept, F.explode(F.array(distance)).alias("distance_m"))
@@ -236,7 +235,7 @@ def nearest_within(sites: DataFrame, centres: DataFrame, centre_key: str, distan
     span = lambda c, r: F.sequence(F.floor((F.col(c) - r) / size).cast("int"), F.floor((F.col(c) + r) / size).cast("int"))
     spread = centres.withColumn("_bx", F.explode(span("cx", reach_x))).withColumn("_by", F.explode(span("cy", reach_y)))
     placed = sites.withColumns({"_bx": _bucket(F.col("sx"), size), "_by": _bucket(F.col("sy"), size)})
-    pairs = split_join(placed, spread, ["_bx", "_by"]).withColumn("_d", distance).where(accept)
+    pairs = split_join(placed, spread, ["_bx", "_by"]).withColumn("_d", distance).where(holds(accept))
     best = F.min(F.struct(F.col("_d").alias("distance"), F.col(centre_key))).alias("_b")
     return pairs.groupBy("site_key").agg(best).select("site_key", "_b.distance", f"_b.{centre_key}")
 
