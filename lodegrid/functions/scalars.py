@@ -77,7 +77,7 @@ def odd_flag(x: Column) -> Column:
 
 def comma_list(x: Column) -> Column:
     """Trimmed non-blank parts; null when nothing is left."""
-    parts = F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) > 0, parts)
 
 

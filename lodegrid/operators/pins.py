@@ -57,7 +57,8 @@ def annotate(pins: DataFrame, annotations: DataFrame, defaults: dict[str, str],
         if f in enums:
             new[f] = strict_enum(value, enums[f], f) if strict else coerce_enum(value, enums[f], weakest[f])
         elif f == "visited":
-            new[f] = F.coalesce(parse_flag(value), F.lower(F.trim(pick("provenance"))) == "field_visit")
+            visit = F.lower(F.trim(pick("provenance"))) == "field_visit"
+            new[f] = F.when(value.isNull(), visit).otherwise(F.coalesce(parse_flag(value), visit))
         elif f == "date":
             new[f] = iso_date(value)
         else:

@@ -100,13 +100,15 @@ def parse_responses(responses: DataFrame, text: str, keys: list[str]) -> DataFra
     as_list = lambda c: F.from_json(c, f"array<{_ITEM}>")
     rows = responses.select(*keys, body.alias("_b")).where("_b is not null")
     trimmed = F.regexp_extract(F.col("_b"), r"(?s)^(.*\])", 1)
-    # from_json gives null items for a cut array, so a body counts as whole only when it ends in its bracket.
-    whole = F.when(F.rtrim("_b").endswith("]") | F.rtrim("_b").endswith("}"), as_list(F.col("_b")))
-    cut = F.when(trimmed != "", as_list(trimmed))
-    flat = F.transform(F.regexp_extract_all("_b", F.lit(r"\{[^{}]*\}"), 0), lambda o: F.from_json(o, _ITEM))
-    usable = lambda a: F.when(F.size(F.filter(a, lambda i: i["cell_id"].isNotNull())) > 0, a)
-    items = F.coalesce(usable(whole), usable(cut), flat)
-    return rows.select(*keys, F.posexplode(items).alias("position", "_i")).where("_i.cell_id is not null").select(
+    # A cut array parses to null items, so a body counts as whole only when it ends in its bracket.
+    rows = rows.withColumns({
+        "_whole": F.when(F.rtrim("_b").endswith("]") | F.rtrim("_b").endswith("}"), as_list(F.col("_b"))),
+        "_cut": F.when(trimmed != "", as_list(trimmed)),
+        "_flat": F.transform(F.regexp_extract_all("_b", F.lit(r"\{[^{}]*\}"), 0), lambda o: F.from_json(o, _ITEM)),
+    })
+    usable = lambda c: F.when(F.exists(c, lambda i: i["cell_id"].isNotNull()), F.col(c))
+    items = F.coalesce(usable("_whole"), usable("_cut"), F.col("_flat"))
+    return rows.select(*keys, F.posexplode_outer(items).alias("position", "_i")).where("_i.cell_id is not null").select(
         *keys, "position", "_i.*")
 
 
