@@ -59,30 +59,20 @@ def in_envelope(lon: Column, lat: Column) -> Column:
     return in_bbox(lon, lat, *fixed.ENVELOPE)
 
 
-def segment_distance2(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Squared distance from a point to a segment."""
+def foot(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Place of the nearest point of segment ab to p, 0 at a and 1 at b (0 for an empty segment)."""
     dx, dy = bx - ax, by - ay
-    length2 = dx * dx + dy * dy
-    t = F.when(
-        length2 > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * dx + (py - ay) * dy) / length2))
-    ).otherwise(F.lit(0.0))
-    ex, ey = px - ax - t * dx, py - ay - t * dy
-    return ex * ex + ey * ey
+    along = F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy)
+    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), along)), F.lit(0.0))
 
 
-def cross(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+def offset(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column, t: Column) -> Column:
+    """Distance from p to the point of ab at place ``t``."""
+    return F.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
 
 
-def quad_distance_m(px: Column, py: Column, corners: list[tuple[Column, Column]]) -> Column:
-    """Metres from a point to a counter-clockwise quadrilateral, 0 inside."""
-    sides = [(corners[i], corners[(i + 1) % 4]) for i in range(4)]
-    inside = None
-    for (ax, ay), (bx, by) in sides:
-        left = cross(ax, ay, bx, by, px, py) >= 0
-        inside = left if inside is None else inside & left
-    nearest = F.least(*[segment_distance2(px, py, a[0], a[1], b[0], b[1]) for a, b in sides])
-    return F.when(inside, F.lit(0.0)).otherwise(F.sqrt(nearest))
+def cross(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
 def segments_touch(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:

@@ -48,6 +48,16 @@ def clamp_unit(x: Column, default: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
+def never_null(x: Column) -> Column:
+    """NaN for null, so that geometry expressions carry no null checks in generated code."""
+    return F.coalesce(x, F.lit(float("nan")))
+
+
+def once(x: Column) -> Column:
+    """Generator of the one value ``x``: it is computed once and not copied into later filters."""
+    return F.explode(F.array(x))
+
+
 def holds(condition: Column) -> Column:
     """The condition with null read as false.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lodegrid import fixed
 from lodegrid.functions import geo
 from lodegrid.functions import grid as g
-from lodegrid.functions.scalars import favourable_trend, holds, round_dp, to_fixed
+from lodegrid.functions.scalars import favourable_trend, holds, never_null, round_dp, to_fixed
 from lodegrid.operators import spatial
 from lodegrid.operators.ranking import best_per_key
+from lodegrid.session import materialise
 
 
 def line_segments(lines: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
@@ -21,8 +22,7 @@ def line_segments(lines: DataFrame, keys: list[str], parts: str = "parts") -> Da
     seg = F.transform(steps, lambda i: F.struct(at(i).alias("a"), at(i + 1).alias("b")))
     out = part.select(*keys, "part", F.posexplode_outer(seg).alias("seq", "_s"))
     return out.select(
-        *keys, "part", "seq", F.col("_s.a.x").alias("ax"), F.col("_s.a.y").alias("ay"),
-        F.col("_s.b.x").alias("bx"), F.col("_s.b.y").alias("by"))
+        *keys, "part", "seq", *[never_null(F.col(f"_s.{e}.{c}")).alias(f"{e}{c}") for e in ("a", "b") for c in ("x", "y")])
 
 
 def with_metres(segments: DataFrame) -> DataFrame:
@@ -84,11 +84,18 @@ def cells_near_segments(framed: DataFrame, segments: DataFrame, radius_m: float,
         F.col(f"px{(i + 1) % 4}").alias("x1"), F.col(f"py{(i + 1) % 4}").alias("y1")) for i in range(4)])).alias("_s")
     sides = pairs.select(*cell_keys, *line_keys, "lax", "lay", "lbx", "lby", inside.alias("_in"), side)
     c, e = (F.col("_s.x0"), F.col("_s.y0")), (F.col("_s.x1"), F.col("_s.y1"))
-    apart = F.least(
-        geo.segment_distance2(*a, *c, *e), geo.segment_distance2(*b, *c, *e),
-        geo.segment_distance2(*c, *a, *b), geo.segment_distance2(*e, *a, *b))
-    d2 = F.when(F.col("_in") | geo.segments_touch(a, b, c, e), F.lit(0.0)).otherwise(apart)
-    found = sides.groupBy(*cell_keys, *line_keys).agg(F.sqrt(F.min(d2)).alias("distance_m"))
+    # Turns and feet of perpendiculars become columns, so that the distance is written out once.
+    steps = {"_o1": geo.cross(*a, *b, *c), "_o2": geo.cross(*a, *b, *e), "_o3": geo.cross(*c, *e, *a), "_o4": geo.cross(*c, *e, *b)}
+    feet = {"_f1": (a, c, e), "_f2": (b, c, e), "_f3": (c, a, b), "_f4": (e, a, b)}
+    steps.update({k: geo.foot(*p, *q, *r) for k, (p, q, r) in feet.items()})
+    placed_sides = sides.withColumns(steps)
+    apart = F.least(*[geo.offset(*p, *q, *r, F.col(k)) for k, (p, q, r) in feet.items()])
+    crossing = (F.col("_o1") * F.col("_o2") < 0) & (F.col("_o3") * F.col("_o4") < 0)
+    d = F.when(F.col("_in") | crossing, F.lit(0.0)).otherwise(apart)
+    found = placed_sides.groupBy(*cell_keys, *line_keys).agg(F.min(d).alias("_d"))
+    # A shared end point may miss zero by rounding.
+    distance = F.when(F.col("_d") < 1e-6, F.lit(0.0)).otherwise(F.col("_d"))
+    found = found.select(*cell_keys, *line_keys, distance.alias("distance_m"))
     return found.where(F.col("distance_m") <= radius_m)
 
 
@@ -98,24 +105,30 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
 
     With nothing in the buffer the count is 0 and the nearest line of any kind in the searched range is named.
     """
-    close = near.where(F.col("distance_m") <= buffer_m)
-    kinds = close.groupBy(*keys, "kind").agg(F.count("*").alias("n"), F.min("distance_m").alias("d"))
-    # One entry per kind: four at most.
-    by_kind = kinds.groupBy(*keys).agg(
-        F.sum("n").alias("count"),
-        F.array_sort(F.collect_list(F.struct("kind", "n", round_dp(F.col("d") / 1000.0, 2).alias("km")))).alias("kinds"))
-    az = F.pmod(F.col("azimuth_deg"), F.lit(180.0))
-    # Tenths of a degree: 1800 values at most.
-    tenth = round_dp(az, 1)
-    trends = close.where("azimuth_deg is not null").groupBy(*keys).agg(
-        F.slice(F.sort_array(F.collect_set(tenth)), 1, 8).alias("azimuths"),
-        F.slice(F.sort_array(F.collect_set(F.when(favourable_trend(tenth), tenth))), 1, 6).alias("favourable_azimuths"))
-    named = close.where("name is not null").groupBy(*keys, "name").agg(F.min("line_id").alias("_id"))
+    near = materialise(near, "near")
+    in_buffer = F.col("distance_m") <= buffer_m
+    tenth = round_dp(F.pmod(F.col("azimuth_deg"), F.lit(180.0)), 1)
+    per_kind = []
+    for kind in fixed.STRUCTURE_KINDS:
+        mine = in_buffer & (F.col("kind") == kind)
+        per_kind += [F.count_if(mine).alias(f"_n_{kind}"), F.min(F.when(mine, F.col("distance_m"))).alias(f"_d_{kind}")]
+    # Azimuths are kept to tenths of a degree: 1800 values at most.
+    main = near.groupBy(*keys).agg(
+        *per_kind, F.count_if(in_buffer).alias("count"),
+        F.slice(F.sort_array(F.collect_set(F.when(in_buffer, tenth))), 1, 8).alias("azimuths"),
+        F.slice(F.sort_array(F.collect_set(F.when(in_buffer & favourable_trend(tenth), tenth))), 1, 6).alias("favourable_azimuths"),
+        F.count_if(in_buffer & F.col("azimuth_deg").isNotNull()).alias("_az"),
+        F.min_by(F.struct("kind", "distance_m"), F.struct("distance_m", "line_id")).alias("_n"))
+    kinds = F.array_compact(F.array(*[F.when(F.col(f"_n_{k}") > 0, F.struct(
+        F.lit(k).alias("kind"), F.col(f"_n_{k}").alias("n"), round_dp(F.col(f"_d_{k}") / 1000.0, 2).alias("km")))
+        for k in sorted(fixed.STRUCTURE_KINDS)]))
+    main = main.withColumns({
+        "kinds": F.when(F.col("count") > 0, kinds), "azimuths": F.when(F.col("_az") > 0, F.col("azimuths")),
+        "favourable_azimuths": F.when(F.col("_az") > 0, F.col("favourable_azimuths"))})
+    named = near.where(in_buffer & F.col("name").isNotNull()).groupBy(*keys, "name").agg(F.min("line_id").alias("_id"))
     named = best_per_key(named, keys, [F.asc("_id"), F.asc("name")], 4).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("place", "name"))).alias("_names"))
-    nearest = near.groupBy(*keys).agg(
-        F.min_by(F.struct("kind", "distance_m"), F.struct("distance_m", "line_id")).alias("_n"))
-    out = cells.select(*keys).join(by_kind, keys, "left").join(trends, keys, "left").join(named, keys, "left").join(nearest, keys, "left")
+    out = cells.select(*keys).join(main, keys, "left").join(named, keys, "left")
     if crossings is not None:
         out = out.join(crossings, keys, "left")
     n = F.coalesce(F.col("count"), F.lit(0))
@@ -130,6 +143,7 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
 def fault_crossings(near: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of faults inside a cell that cross or touch; only cells with 2 to 12 faults are looked at."""
     inside = near.where((F.col("kind") == "fault") & (F.col("distance_m") == 0)).select(*keys, "line_id").distinct()
+    inside = materialise(inside, "faults")
     counts = inside.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, fixed.MAX_CROSSING_FAULTS))
     inside = inside.join(counts.select(*keys), keys, "left_semi")
     other = inside.withColumnRenamed("line_id", "other_id")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegrid import fixed
-from lodegrid.functions.scalars import clamp_unit, exact_sum, round_dp, to_fixed, token_cost
+from lodegrid.functions.scalars import clamp_unit, exact_sum, once, round_dp, to_fixed, token_cost
 from lodegrid.operators.records import latest_version, upsert
 
 
@@ -94,11 +94,10 @@ def parse_responses(responses: DataFrame, text: str, keys: list[str]) -> DataFra
     Whole bodies are read as they are or cut after the last bracket; a truncated body is salvaged object by
     object, which keeps every complete flat object.
     """
-    body = _fenced(F.col(text))
-    start = F.when(F.locate("[", body) > 0, F.locate("[", body)).otherwise(F.locate("{", body))
-    body = F.when(start > 0, F.substring(body, start, F.length(body)))
+    opened = responses.select(*keys, once(_fenced(F.col(text))).alias("_o"))
+    first = F.coalesce(F.nullif(F.locate("[", F.col("_o")), F.lit(0)), F.nullif(F.locate("{", F.col("_o")), F.lit(0)))
     as_list = lambda c: F.from_json(c, f"array<{_ITEM}>")
-    rows = responses.select(*keys, body.alias("_b")).where("_b is not null")
+    rows = opened.select(*keys, once(F.substring("_o", first, F.length("_o"))).alias("_b")).where("_b is not null")
     trimmed = F.regexp_extract(F.col("_b"), r"(?s)^(.*\])", 1)
     # A cut array parses to null items, so a body counts as whole only when it ends in its bracket.
     rows = rows.withColumns({

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodegrid import fixed
 from lodegrid.functions import geo
 from lodegrid.functions import grid as g
-from lodegrid.functions.scalars import exact_sum, holds, novelty, round_dp
+from lodegrid.functions.scalars import exact_sum, holds, never_null, novelty, once, round_dp
 from lodegrid.operators.ranking import best_per_key
 from lodegrid.session import is_at_most, materialise, spread_join
 
@@ -73,16 +73,19 @@ def framed_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     new = {}
     for i in range(4):
         x, y = geo.local_xy(F.col(f"lon{i}"), F.col(f"lat{i}"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
-        new[f"px{i}"], new[f"py{i}"] = x, y
+        new[f"px{i}"], new[f"py{i}"] = never_null(x), never_null(y)
+    new.update({c: never_null(F.col(c)) for c in ("lon0f", "lat0f", "mx")})
     out = out.withColumns(new).drop(*[f"{a}{i}" for a in ("lon", "lat") for i in range(4)])
     sides = {}
     for i in range(4):
         sides[f"sx{i}"] = F.col(f"px{(i + 1) % 4}") - F.col(f"px{i}")
         sides[f"sy{i}"] = F.col(f"py{(i + 1) % 4}") - F.col(f"py{i}")
-    return out.withColumns(sides)
+    out = out.withColumns(sides)
+    return out.withColumns({f"sw{i}": never_null(
+        1.0 / (F.col(f"sx{i}") * F.col(f"sx{i}") + F.col(f"sy{i}") * F.col(f"sy{i}"))) for i in range(4)})
 
 
-_FRAME = ["lon0f", "lat0f", "mx"] + [f"{a}{i}" for a in ("px", "py", "sx", "sy") for i in range(4)]
+_FRAME = ["lon0f", "lat0f", "mx"] + [f"{a}{i}" for a in ("px", "py", "sx", "sy", "sw") for i in range(4)]
 
 
 def _square_distance(px: str, py: str) -> tuple[dict[str, Column], Column]:
@@ -94,7 +97,7 @@ def _square_distance(px: str, py: str) -> tuple[dict[str, Column], Column]:
     for i in range(4):
         dx, dy = F.col(px) - F.col(f"px{i}"), F.col(py) - F.col(f"py{i}")
         sx, sy = F.col(f"sx{i}"), F.col(f"sy{i}")
-        feet[f"_t{i}"] = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (dx * sx + dy * sy) / (sx * sx + sy * sy)))
+        feet[f"_t{i}"] = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (dx * sx + dy * sy) * F.col(f"sw{i}")))
         left = sx * dy - sy * dx >= 0
         inside = left if inside is None else inside & left
         t = F.col(f"_t{i}")
@@ -113,10 +116,10 @@ def cells_near_points(framed: DataFrame, points: DataFrame, radius_m: float, max
     near = (F.abs(F.col("_px") - F.col("_tx")) <= reach) & (F.abs(F.col("_py") - F.col("_ty")) <= reach)
     lx, ly = geo.local_xy(F.col("lon"), F.col("lat"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
     feet, distance = _square_distance("_lx", "_ly")
-    out = pairs.where(holds(near)).drop("_tx", "_ty", "_px", "_py").withColumns({"_lx": lx, "_ly": ly}).withColumns(feet)
-    # A one-element explode keeps the distance from being copied into every later filter.
+    out = pairs.where(holds(near)).drop("_tx", "_ty", "_px", "_py").withColumns({"_lx": never_null(lx), "_ly": never_null(ly)})
+    out = out.withColumns(feet)
     kept = [c for c in out.columns if c not in _FRAME and not c.startswith("_")]
-    out = out.select(*kept, F.explode(F.array(distance)).alias("distance_m"))
+    out = out.select(*kept, once(distance).alias("distance_m"))
     return out.where(F.col("distance_m") <= radius_m)
 
 
@@ -141,6 +144,7 @@ def occurrence_facts(cells: DataFrame, near: DataFrame, keys: list[str], any_poi
     A layer without any record leaves every fact null (unknown); a populated layer with nothing in reach
     gives zeros and no nearest record.
     """
+    near = materialise(near, "near")
     km = F.col("distance_m") / 1000.0
     counted = near.groupBy(*keys).agg(
         F.count_if(km <= 0).alias("n_in_cell"), F.count_if(km <= 1).alias("n_1km"),

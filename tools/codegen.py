@@ -12,4 +12,4 @@ seq = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__
 for i in range(seq.size()):
     t = seq.apply(i); st = t._3()
     if st.maxMethodCodeSize() < 0 or st.maxMethodCodeSize() > 8000:
-        print("=====", i, st.maxMethodCodeSize(), "code chars", len(t._2())); print("\n".join(l[:260] for l in t._1().split("\n")))
+        print("=====", i, st.maxMethodCodeSize(), "code chars", len(t._2())); print("\n".join(l[:150] for l in t._1().split("\n")[:int((sys.argv + ["", "", ""])[3] or 6)]))
