@@ -232,3 +232,21 @@ def _(spark, d):
     parts = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id", "unit"], 1000)
     cells = parts.select("res", "col", "row").distinct()
     return overlay.unit_shares(cells, parts, ["col", "row"], "unit").select("col", "row", "unit", "frac")
+
+
+@register("polygons_simplified", None)
+def _(spark, d):
+    """Area before and after dropping vertices that matter less than the tolerance."""
+    before = overlay.polygon_area_km2(polygon_edges(spark, d), ["feature_id"]).withColumnRenamed("area_km2", "before")
+    slim = overlay.simplify_rings(polygons(spark, d), "rings", 0.003)
+    after = overlay.polygon_area_km2(overlay.ring_edges(slim, ["feature_id"]), ["feature_id"])
+    return before.join(after.withColumnRenamed("area_km2", "after"), "feature_id")
+
+
+@register("areas_inside_envelope", f"""{_AOI} SELECT aoi_id, {q.rd('w', 6)} AS min_lon FROM box WHERE w >= -125.5 AND e <= -116 AND s >= 45 AND n <= 49.5""")
+def _(spark, d):
+    box = geo.square_around(F.col("lon"), F.col("lat"), F.col("radius_km"))
+    areas = view(spark, d, "aoi").select("aoi_id", box.alias("b")).select("aoi_id", "b.*")
+    w, s, e, n = fixed.ENVELOPE
+    inside = areas.where((F.col("min_lon") >= w) & (F.col("max_lon") <= e) & (F.col("min_lat") >= s) & (F.col("max_lat") <= n))
+    return overlay.in_range(inside).select("aoi_id", round_dp(F.col("min_lon"), 6).alias("min_lon"))

@@ -255,3 +255,15 @@ def _(spark, d):
     units = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id"], 4000)
     mapped = cells.join(units.select("res", "col", "row"), ["res", "col", "row"], "left_semi")
     return ln.trend_by_cell(mapped, facts, KEYS)
+
+
+@register("longest_structures", f"""{with_views('occurrence')}, {_SEG}, {_TRD} SELECT line_id, {q.rd('coalesce(length_m, 0) / 1000', 2)} AS length_km FROM tr2 ORDER BY length_km DESC, line_id LIMIT 60""")
+def _(spark, d):
+    rows = lines(spark, d).select("line_id", "kind", "name").join(ln.trend_and_length(segments(spark, d), ["line_id"]), "line_id")
+    return ln.longest_structures(rows).select("line_id", "length_km")
+
+
+@register("line_bounds", f"""{with_views('occurrence')}, {_SEG} SELECT line_id, min(least(ax, bx)) AS min_lon, max(greatest(ay, seg.by)) AS max_lat, CAST(floor(min(least(ax, bx))) AS INT) AS tile_lon FROM seg GROUP BY 1""")
+def _(spark, d):
+    from lodegrid.sinks.tables import with_bounds
+    return with_bounds(segments(spark, d), ["line_id"]).select("line_id", "min_lon", "max_lat", "tile_lon")

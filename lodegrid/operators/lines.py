@@ -182,3 +182,12 @@ def azimuth_histogram(lines: DataFrame) -> DataFrame:
     return lines.where("azimuth_deg is not null").groupBy(
         (F.floor(F.col("azimuth_deg") / 15.0) * 15).cast("int").alias("bin")).agg(
         F.count("*").alias("lines"), F.count_if(favourable_trend(F.col("azimuth_deg"))).alias("favourable"))
+
+
+def longest_structures(lines: DataFrame, limit: int = 60) -> DataFrame:
+    """Longest lines of an area: a bounding fault matters more than a splay, and the list is capped."""
+    return lines.select(
+        "line_id", "kind", "name", round_dp(F.col("azimuth_deg"), 1).alias("azimuth_deg"),
+        round_dp(F.coalesce("length_m", F.lit(0.0)) / 1000.0, 2).alias("length_km"),
+        favourable_trend(F.col("azimuth_deg")).alias("favourable_trend"),
+    ).orderBy(F.desc("length_km"), "line_id").limit(limit)

@@ -6,6 +6,8 @@ clamped height; what lies wholly below an edge is carried down its column with a
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,60 @@ def ring_edges(polygons: DataFrame, keys: list[str], rings: str = "rings", degre
     else:
         xa, ya, xb, yb = ends
     flat = edges.select(*keys, "ring", "edge", xa.alias("xa"), ya.alias("ya"), xb.alias("xb"), yb.alias("yb"))
-    turn = F.sum(to_fixed(F.col("xa") * F.col("yb") - F.col("xb") * F.col("ya"), 0 if degrees else 9))
-    signs = flat.groupBy(*keys, "ring").agg(F.signum(turn.cast("double")).alias("_s"))
+    turn = F.sum((F.col("xa") - F.col("xb")) * (F.col("ya") + F.col("yb")))
+    signs = flat.groupBy(*keys, "ring").agg(F.signum(turn).alias("_s"))
     orient = F.when(F.col("ring") == 0, -F.col("_s")).otherwise(F.col("_s"))
     return flat.join(signs, [*keys, "ring"]).withColumn("orient", orient).drop("_s")
 
 
+def in_range(areas: DataFrame) -> DataFrame:
+    """Areas with degree bounds, unchanged; one outside the envelope stops the job instead of giving meaningless cells."""
+    w, s, e, n = fixed.ENVELOPE
+    ok = (F.col("min_lon") >= w) & (F.col("max_lon") <= e) & (F.col("min_lat") >= s) & (F.col("max_lat") <= n)
+    text = F.concat_ws(", ", *[F.format_string("%.4f", F.col(c)) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+    stop = F.raise_error(F.concat(F.lit("area bounds outside the grid envelope: "), text)).cast("double")
+    return areas.withColumn("min_lon", F.when(ok, F.col("min_lon")).otherwise(stop))
+
+
+def simplify_ring(points: list, tolerance: float) -> list:
+    """Vertices of a ring kept by the farthest-point rule; ``points`` are (x, y), first equals last."""
+    p = np.asarray(points, dtype=float)
+    keep = np.zeros(len(p), bool)
+    keep[[0, -1]] = True
+    stack = [(0, len(p) - 1)]
+    while stack:
+        i, j = stack.pop()
+        if j - i < 2:
+            continue
+        a, d = p[i], p[j] - p[i]
+        span = float(d @ d)
+        q = p[i + 1:j] - a
+        t = np.clip(q @ d / span, 0, 1) if span else np.zeros(len(q))
+        away = np.hypot(*(q - t[:, None] * d).T)
+        k = int(away.argmax())
+        if away[k] > tolerance:
+            keep[i + 1 + k] = True
+            stack += [(i, i + 1 + k), (i + 1 + k, j)]
+    return p[keep].tolist()
+
+
+def simplify_rings(polygons: DataFrame, rings: str, tolerance: float) -> DataFrame:
+    """Simplified rings, the original ring wherever simplification leaves no area. Arrow batches, no shuffle."""
+    kind = polygons.schema[rings].dataType.simpleString()
+
+    def one(ring) -> list:
+        pts = [(v["x"], v["y"]) for v in ring]
+        slim = simplify_ring(pts, tolerance) if len(pts) > 4 else pts
+        twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(slim, slim[1:]))
+        return [{"x": x, "y": y} for x, y in (slim if len(slim) >= 4 and twice != 0 else pts)]
+
+    @F.pandas_udf(kind)
+    def simplify(column: pd.Series) -> pd.Series:
+        return column.map(lambda polygon: [one(r) for r in polygon])
+
+    return polygons.withColumn(rings, simplify(F.col(rings)))
+
+
 def polygon_area_km2(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Shoelace area in equal-area metres, holes taken out by orientation."""
     part = F.col("orient") * (F.col("xb") - F.col("xa")) * (F.col("ya") + F.col("yb")) / 2.0

@@ -1,8 +1,9 @@
 """Ranks within a group that may hold a third of all rows.
 
-Nothing here sorts a group's rows in one task. Rows are first counted per distinct value (partial
-aggregation collapses ties before the shuffle), distinct values are ranked inside value bins, and
-bins are offset by a running total over at most ``BINS`` rows per group.
+Groups are counted first. While the largest is small enough for one task, one window does the work. Beyond
+that no task sorts a whole group: rows are counted per distinct value (partial aggregation collapses ties
+before the shuffle), distinct values are ranked inside value bins, and bins are offset by a running total
+over at most ``BINS`` rows per group.
 """
 from __future__ import annotations
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.functions.scalars import round_dp, tier
-from lodegrid.session import spread_join
+from lodegrid.session import materialise, spread_join
 
 BINS = 4096
+#: Largest group, counted beforehand, that a single window task may sort.
+WINDOW_ROWS = 1_000_000
 
 
 def value_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -40,8 +43,18 @@ def value_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def with_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    positions = value_positions(rows, keys, value)
-    return spread_join(rows, positions, [*keys, value])
+    """Rows with below, tied, n, lowest and highest of their group. The input is stored once, as it is read more than once."""
+    rows = materialise(rows, "ranked")
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest > WINDOW_ROWS:
+        return spread_join(rows, value_positions(rows, keys, value), [*keys, value])
+    group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, value)
+    # All three windows share one partitioning and one sort.
+    return rows.withColumns({
+        "below": F.rank().over(group.orderBy(value)) - 1, "tied": F.count("*").over(ties.orderBy(value).rangeBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)),
+    }).withColumns({
+        "n": F.count("*").over(group), "lowest": F.min(value).over(group), "highest": F.max(value).over(group)})
 
 
 def rank_relative(cells: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

@@ -61,6 +61,12 @@ def is_at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def spread_small(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-spread an input that comes in fewer parts than there are cores; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_at_most(df, rows) else df
 

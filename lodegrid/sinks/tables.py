@@ -66,16 +66,25 @@ def with_bounds(segments: DataFrame, keys: list[str], tile_degrees: float = 1.0)
         "tile_lon": F.floor(F.col("min_lon") / tile_degrees).cast("int"), "tile_lat": F.floor(F.col("min_lat") / tile_degrees).cast("int")})
 
 
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], order: list[str]) -> None:
-    """Merge into a parquet table. The merged rows are written aside before the table is replaced."""
+def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], order: list[str],
+                 partition: str | None = None) -> None:
+    """Merge into a parquet table; with ``partition`` (one of the keys) only partitions that get rows are rewritten.
+
+    The merged rows are written aside before anything is replaced, so a lost job leaves the table whole.
+    """
     try:
         current = spark.read.schema(incoming.schema).parquet(path)
-        merged = upsert(current, incoming, keys, order)
     except Exception as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        merged = upsert(incoming.limit(0), incoming, keys, order)
-    materialise(merged, "upsert").write.mode("overwrite").parquet(path)
+        current = incoming.limit(0)
+    if partition:
+        current = current.join(F.broadcast(incoming.select(partition).distinct()), partition, "left_semi")
+    merged = materialise(upsert(current, incoming, keys, order).select(*incoming.columns), "upsert")
+    writer = merged.write.mode("overwrite")
+    if partition:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
+    writer.parquet(path)
 
 
 # --- run records --------------------------------------------------------------------------------

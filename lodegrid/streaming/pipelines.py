@@ -32,13 +32,11 @@ def sync_channel(spark: SparkSession, landed: str, channel: str, schema: str, ta
 
     Within a batch the file landed last wins. A batch replayed after a failure merges to the same table.
     """
-    raw = spark.readStream.schema(schema).json(landed).withColumn("_at", F.col("_metadata.file_modification_time"))
+    raw = spark.readStream.schema(schema).json(landed).withColumn("ingested_at", F.col("_metadata.file_modification_time"))
 
     def merge(batch: DataFrame, _: int) -> None:
-        features = NORMALIZERS[channel](batch, channel)
-        # normalisers keep fixed columns, so the landing time is joined on by running them on a tagged batch
-        tagged = features.withColumn("ingested_at", F.lit(batch.agg(F.max("_at")).first()[0]).cast("timestamp"))
-        upsert_table(batch.sparkSession, table, tagged.where("source_record_id <> ''"), ["source_channel", "source_record_id"], ["ingested_at"])
+        features = NORMALIZERS[channel](batch, channel).where("source_record_id <> ''")
+        upsert_table(batch.sparkSession, table, features, ["source_channel", "source_record_id"], ["ingested_at"], "source_channel")
 
     return raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
