@@ -9,7 +9,11 @@ from lodegrid.catalog import load_all
 from lodegrid.catalog.registry import QUERIES
 from lodegrid.session import build_session
 
-HEADLINE = ["scores_last_write_wins", "scores_fused", "cells_ranked", "rank_correlation"]
+HEADLINE = [
+    "scores_last_write_wins", "scores_fused", "cells_ranked", "rank_correlation", "raster_modal_label", "wofe_native_scores",
+    "wofe_rollup", "aoi_cover", "polygon_cell_overlay", "cell_occurrence_facts", "interpolated_fine_grid", "pin_nearest_occurrence",
+    "cell_toponyms", "cache_composite", "working_percentiles", "feature_upsert", "document_triage", "usage_by_agent",
+]
 
 
 def main() -> None:

@@ -186,8 +186,8 @@ def near_lines_sql(radius, seg="seg", keep="line_id, kind, name"):
 _NL = f"""{with_views('aoi', 'occurrence')}, {q.square_aoi()}, {q.cover_ctes(4000)}, {q.framed_ctes(4000)}, {_SEG}, {_TRD}, {near_lines_sql(6000)}"""
 
 
-def near_lines(spark, d):
-    near = ln.cells_near_segments(framed(spark, d), segments(spark, d), 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
+def near_lines(spark, d, cells=None):
+    near = ln.cells_near_segments(cells if cells is not None else framed(spark, d), segments(spark, d), 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
     return near.join(ln.trend_and_length(segments(spark, d), ["line_id"]), "line_id")
 
 
@@ -201,7 +201,8 @@ def near_lines(spark, d):
   SELECT c.*, coalesce(cnt, 0) AS count, kinds, azimuths, fav AS favourable_azimuths, CASE WHEN cnt > 0 THEN coalesce(fav <> '', false) END AS favourable_trend, named, nearest_km, nearest_kind
   FROM cells c LEFT JOIN k2 USING (aoi_id, col, row) LEFT JOIN t USING (aoi_id, col, row) LEFT JOIN nm USING (aoi_id, col, row) LEFT JOIN ne USING (aoi_id, col, row)""")
 def structure_rows(spark, d):
-    out = ln.structure_facts(aoi_cells(spark, d), near_lines(spark, d), KEYS)
+    cells = framed(spark, d)
+    out = ln.structure_facts(cells.select(*KEYS), near_lines(spark, d, cells), KEYS)
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
     kinds = F.array_join(F.transform("kinds", lambda k: F.concat_ws(" ", k["kind"], k["n"].cast("string"), k["km"].cast("string"))), "|")
     return out.select(*KEYS, "count", kinds.alias("kinds"), text("azimuths"), text("favourable_azimuths"), "favourable_trend", text("named"),

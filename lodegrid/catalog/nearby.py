@@ -29,7 +29,9 @@ def near(spark, d, res=4000):
 
 
 def facts(spark, d, res=4000):
-    return spatial.occurrence_facts(aoi_cells(spark, d, res), near(spark, d, res), KEYS)
+    cells = framed(spark, d, res)
+    pairs = spatial.cells_near_points(cells, view(spark, d, "occurrence"), 5000.0, res)
+    return spatial.occurrence_facts(cells.select(*KEYS), pairs, KEYS)
 
 
 _RANK = "CASE accuracy_class WHEN 'survey' THEN 0 WHEN 'topo' THEN 1 WHEN 'derived' THEN 2 WHEN 'variable' THEN 3 WHEN 'district_centroid' THEN 4 ELSE 5 END"

@@ -49,7 +49,8 @@ def _to_buckets(segments: DataFrame, reach: float, size: float) -> DataFrame:
     """List each segment in every bucket its bounds touch when widened by ``reach``."""
     span = lambda a, b: F.sequence(
         F.floor((F.least(a, b) - reach) / size).cast("int"), F.floor((F.greatest(a, b) + reach) / size).cast("int"))
-    m = with_metres(segments)
+    m = with_metres(segments).withColumns({
+        "_x0": F.least("xa", "xb"), "_x1": F.greatest("xa", "xb"), "_y0": F.least("ya", "yb"), "_y1": F.greatest("ya", "yb")})
     out = m.withColumn("_bx", F.explode_outer(span(F.col("xa"), F.col("xb"))))
     return out.withColumn("_by", F.explode_outer(span(F.col("ya"), F.col("yb")))).drop("xa", "ya", "xb", "yb")
 
@@ -57,18 +58,22 @@ def _to_buckets(segments: DataFrame, reach: float, size: float) -> DataFrame:
 def cells_near_segments(framed: DataFrame, segments: DataFrame, radius_m: float, max_res: int,
                         cell_keys: list[str], line_keys: list[str]) -> DataFrame:
     """Least distance between a cell's square and each line within ``radius_m``; 0 when they meet."""
-    reach = (radius_m + max_res) * spatial.SLACK
-    size = 2.0 * reach
+    reach = (radius_m + spatial.HALF_DIAGONAL * max_res) * spatial.SLACK
+    size = 0.75 * reach
     placed = framed.withColumns({
+        "_tx": g.centre_x(F.col("col"), F.col("res")), "_ty": g.centre_y(F.col("row"), F.col("res")),
         "_bx": F.floor(g.centre_x(F.col("col"), F.col("res")) / size).cast("int"),
         "_by": F.floor(g.centre_y(F.col("row"), F.col("res")) / size).cast("int")})
     pairs = spatial.split_join(_to_buckets(segments, reach, size), placed, ["_bx", "_by"])
+    # Centre against bounds in the plane first: most listed pairs end here.
+    ahead = (F.col("_tx") >= F.col("_x0") - reach) & (F.col("_tx") <= F.col("_x1") + reach)
+    ahead = ahead & (F.col("_ty") >= F.col("_y0") - reach) & (F.col("_ty") <= F.col("_y1") + reach)
+    pairs = pairs.where(holds(ahead)).drop("_tx", "_ty", "_x0", "_x1", "_y0", "_y1")
     local = {}
     for end in ("a", "b"):
         x, y = geo.local_xy(F.col(f"{end}x"), F.col(f"{end}y"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
         local[f"l{end}x"], local[f"l{end}y"] = x, y
     pairs = pairs.drop("_bx", "_by").withColumns(local)
-    # Bounds first: most listed pairs end here.
     close = F.lit(True)
     for axis, corner in (("x", "px"), ("y", "py")):
         corners = [F.col(f"{corner}{i}") for i in range(4)]

@@ -17,6 +17,8 @@ from lodegrid.session import is_at_most, materialise, spread_join
 
 #: Local frames and the equal-area plane differ by under five percent inside the envelope.
 SLACK = 1.05
+#: Centre to corner of a square of side 1, rounded up.
+HALF_DIAGONAL = 0.7072
 #: A bucket with more rows than this is split over several tasks.
 HOT_BUCKET = 50_000
 
@@ -62,8 +64,11 @@ def area_bbox(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def framed_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cell corners in metres of a frame centred on the area (px0, py0 .. px3, py3), and the frame itself."""
-    full = g.with_bbox(g.with_corners(cells.select(*keys, "res", "col", "row")))
+    """Cell corners in metres of a frame centred on the area (px0, py0 .. px3, py3), and the frame itself.
+
+    Corners feed the frame and the cells, and framed cells feed several joins, so both are stored once.
+    """
+    full = materialise(g.with_bbox(g.with_corners(cells.select(*keys, "res", "col", "row"))), "corners")
     box = area_bbox(full, keys)
     frame = box.select(
         *keys, ((F.col("min_lon") + F.col("max_lon")) / 2.0).alias("lon0f"),
@@ -81,8 +86,9 @@ def framed_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
         sides[f"sx{i}"] = F.col(f"px{(i + 1) % 4}") - F.col(f"px{i}")
         sides[f"sy{i}"] = F.col(f"py{(i + 1) % 4}") - F.col(f"py{i}")
     out = out.withColumns(sides)
-    return out.withColumns({f"sw{i}": never_null(
+    out = out.withColumns({f"sw{i}": never_null(
         1.0 / (F.col(f"sx{i}") * F.col(f"sx{i}") + F.col(f"sy{i}") * F.col(f"sy{i}"))) for i in range(4)})
+    return materialise(out, "framed")
 
 
 _FRAME = ["lon0f", "lat0f", "mx"] + [f"{a}{i}" for a in ("px", "py", "sx", "sy", "sw") for i in range(4)]
@@ -107,7 +113,7 @@ def _square_distance(px: str, py: str) -> tuple[dict[str, Column], Column]:
 
 def cells_near_points(framed: DataFrame, points: DataFrame, radius_m: float, max_res: int) -> DataFrame:
     """(cell, point) pairs within ``radius_m`` of the cell's square, with ``distance_m`` (0 inside)."""
-    reach = (radius_m + max_res) * SLACK
+    reach = (radius_m + HALF_DIAGONAL * max_res) * SLACK
     targets = framed.withColumns({
         "_tx": g.centre_x(F.col("col"), F.col("res")), "_ty": g.centre_y(F.col("row"), F.col("res"))})
     px, py = g.to_grid_metres(F.col("lon"), F.col("lat"))

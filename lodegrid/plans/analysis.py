@@ -37,8 +37,8 @@ def analyse(rings: DataFrame, occurrences: DataFrame, scores: DataFrame, job: An
     last = fusion.latest_per_scorer(scores, [*keys, "agent_id"], ["written"])
     fused = fusion.fill_grid(cells, fusion.fuse(last, keys, weights), keys)
 
-    near = spatial.cells_near_points(
-        spatial.framed_cells(cells, ["aoi_id"]), occurrences, fixed.SEARCH_RADIUS_KM * 1000.0, job.analysis_res)
+    framed = spatial.framed_cells(cells, ["aoi_id"])
+    near = spatial.cells_near_points(framed, occurrences, fixed.SEARCH_RADIUS_KM * 1000.0, job.analysis_res)
     facts = spatial.occurrence_facts(cells, near, keys)
     novelty = spatial.novelty_facts(facts, keys)
 
