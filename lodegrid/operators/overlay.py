@@ -6,6 +6,8 @@ clamped height; what lies wholly below an edge is carried down its column with a
 """
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,17 +81,18 @@ def simplify_rings(polygons: DataFrame, rings: str, tolerance: float) -> DataFra
     """Simplified rings, the original ring wherever simplification leaves no area. Arrow batches, no shuffle."""
     kind = polygons.schema[rings].dataType.simpleString()
 
-    def one(ring) -> list:
+    def one(ring: list[dict]) -> list[dict]:
         pts = [(v["x"], v["y"]) for v in ring]
         slim = simplify_ring(pts, tolerance) if len(pts) > 4 else pts
         twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(slim, slim[1:]))
         return [{"x": x, "y": y} for x, y in (slim if len(slim) >= 4 and twice != 0 else pts)]
 
-    @F.pandas_udf(kind)
+    # Nested ragged arrays travel as JSON text, which Arrow carries as one plain column.
+    @F.pandas_udf("string")
     def simplify(column: pd.Series) -> pd.Series:
-        return column.map(lambda polygon: [one(r) for r in polygon])
+        return column.map(lambda text: json.dumps([one(r) for r in json.loads(text)]))
 
-    return polygons.withColumn(rings, simplify(F.col(rings)))
+    return polygons.withColumn(rings, F.from_json(simplify(F.to_json(rings)), kind))
 
 
 def polygon_area_km2(edges: DataFrame, keys: list[str]) -> DataFrame:
