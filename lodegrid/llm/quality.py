@@ -181,6 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     found = rows.mapInArrow(extract, "_doc bigint, label int, found array<int>").repartition(1)
     row = found.mapInArrow(train, "ratios binary, product binary, slope double, offset double").first()
+    if row is None:  # nothing runs over an empty table
+        return Model(np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0)
     model = Model(np.frombuffer(bytes(row["ratios"])), np.zeros(WIDTH), row["slope"], row["offset"])
     model.product = np.frombuffer(bytes(row["product"]))
     return model

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import bpe, chat, decontaminate, fingerprint, hosts, language, neardup, quality, token_counts
+from lodegrid.llm import attention, bpe, chat, decontaminate, fingerprint, hosts, language, neardup, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,6 +208,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+@_query
+def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.coalesce(fold(10) != 0, F.lit(False))
+    scores = attention.log_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), learn)
+    held_out = F.coalesce(fold(10) == 0, F.lit(False)).alias("held_out")
+    return scores.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op10_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
