@@ -4,7 +4,7 @@ Outcomes of labelled pages (bad or not) are counted per host. The rate of a suff
 all pages, that of a registered domain towards its suffix, and that of a host towards its domain, each by a
 beta-binomial prior whose strength is estimated from the spread of the level's rates (analysis of variance, by the
 method of moments). A url without a rule is blocked where the lower posterior bound of its host's bad rate reaches
-``LIMIT``; the bound is taken on the logit scale, where a beta posterior is close to normal.
+``LIMIT``: ``DEVIATIONS`` standard deviations of the beta posterior below its mean.
 
 Rules come first: a rule is a host and a path beginning, fits the host and all its subdomains, and the longest that
 fits decides. Rules are a list of configuration, compiled into one expression.
@@ -99,9 +99,9 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     by_domain = spread_join(domains, by_suffix, ["suffix"]).select("suffix", "domain", shrunk(k_domain, F.col("prior")).alias("prior"))
     joined = spread_join(hosts, by_domain, ["suffix", "domain"])
     a, b = F.lit(k_host) * F.col("prior") + F.col("bad"), F.lit(k_host) * (1 - F.col("prior")) + F.col("n") - F.col("bad")
-    logit = F.log(a / b) - F.lit(DEVIATIONS) * F.sqrt(1 / a + 1 / b)
-    lower = F.when(a <= 0, 0.0).when(b <= 0, 1.0).otherwise(1 / (1 + F.exp(-logit)))
-    return joined.select("host", "n", "bad", (a / (a + b)).alias("mean"), lower.alias("lower"))
+    mean = a / (a + b)
+    lower = F.greatest(F.lit(0.0), mean - F.lit(DEVIATIONS) * F.sqrt(mean * (1 - mean) / (a + b + 1)))
+    return joined.select("host", "n", "bad", mean.alias("mean"), lower.alias("lower"))
 
 
 def matched_rule(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:

@@ -168,7 +168,7 @@ ps AS (SELECT suffix, (ks.k * base + bad) / (ks.k + n) AS prior FROM s, t, ks),
 pd AS (SELECT suffix, domain, (kd.k * prior + bad) / (kd.k + n) AS prior FROM d JOIN ps USING (suffix), kd),
 ab AS (SELECT host, kh.k * prior + bad AS a, kh.k * (1 - prior) + n - bad AS b FROM h JOIN pd USING (suffix, domain), kh),
 bound AS (
-  SELECT host, CASE WHEN a <= 0 THEN 0e0 WHEN b <= 0 THEN 1e0 ELSE 1 / (1 + exp(-(ln(a / b) - {hosts.DEVIATIONS} * sqrt(1 / a + 1 / b)))) END AS lower_ FROM ab
+  SELECT host, greatest(0e0, a / (a + b) - {hosts.DEVIATIONS} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower_ FROM ab
 )
 SELECT page_id, host, path, {_sql_rules(0)} AS rule,
   coalesce({_sql_rules(1)}, CASE WHEN lower_ >= {hosts.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
