@@ -13,7 +13,7 @@ from lodegrid.llm.queries import RANKS, fold, quality_labels, table
 from lodegrid.session import scratch_path
 
 #: A text is rejected where no language is found or the nearest is not the likelier one.
-LEAST_LANGUAGE = 0.5
+LEAST_LANGUAGE = 0.3
 #: A text is rejected below this probability of good quality.
 LEAST_QUALITY = 0.5
 
