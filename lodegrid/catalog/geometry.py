@@ -10,6 +10,7 @@ from lodegrid.catalog.views import cte, view, with_views
 from lodegrid.functions import geo, grid as g
 from lodegrid.functions.scalars import round_dp
 from lodegrid.operators import overlay
+from lodegrid.sources import geojson
 
 
 def aoi_edges(spark, d):
@@ -153,7 +154,21 @@ def _(spark, d):
     return overlay.coarsest_within(aoi_edges(spark, d), ["aoi_id"], 1000, fixed.MAX_ANALYSIS_CELLS)
 
 
-@register("point_utm", None)
+def _utm_sql():
+    """The series of the library in SQL, from the same coefficients."""
+    radius, series = geo.krueger(geo._UF)
+    e = geo._UE2**0.5
+    xi = "xi0 + " + " + ".join(f"{c!r} * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, c in enumerate(series, 1))
+    eta = "eta0 + " + " + ".join(f"{c!r} * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, c in enumerate(series, 1))
+    scale = geo._K0 * geo._UA * radius
+    return f"""z AS (SELECT *, CAST(ceil((lon + 180) / 6 + 1e-12) AS INT) AS zone FROM occurrence),
+      t AS (SELECT *, radians(lon - (zone * 6 - 183)) AS away, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) AS tau FROM z),
+      s AS (SELECT *, atan2(tau, cos(away)) AS xi0, asinh(sin(away) / sqrt(tau * tau + cos(away) * cos(away))) AS eta0 FROM t)
+      SELECT site_id, zone, substr('{fixed.UTM_BANDS}', CAST(floor(lat / 8) AS INT) + 11, 1) AS band,
+        CAST(floor({scale!r} * ({eta}) + 5e5 + 0.5) AS BIGINT) AS easting, CAST(floor({scale!r} * ({xi}) + 0.5) AS BIGINT) AS northing FROM s"""
+
+
+@register("point_utm", f"{with_views('occurrence')}, {_utm_sql()}")
 def _(spark, d):
     u = geo.to_utm(F.col("lon"), F.col("lat"))
     return view(spark, d, "occurrence").withColumn("u", u).select("site_id", "u.*")
@@ -193,11 +208,37 @@ def _poly_sql():
     return "pedge AS (" + " UNION ALL ".join(sel) + ")"
 
 
-def overlay_sql(res):
+def multi_sql():
+    """Edges of polygons in two parts: the outline with its hole, and the same again to the east."""
+    sel = []
+    for lon in ("lon", f"(lon + 3e0 * {POLY_SIZE})"):
+        for ps, sign in zip(_outline(lon, "lat", POLY_SIZE), (1, -1), strict=True):
+            for (x, y), (x2, y2) in zip(ps, ps[1:] + ps[:1], strict=True):
+                sel.append(f"SELECT feature_id, feature_class AS unit, {-sign} AS o, {q.albers_x(x, y)} AS xa, {q.albers_y(x, y)} AS ya, "
+                           f"{q.albers_x(x2, y2)} AS xb, {q.albers_y(x2, y2)} AS yb FROM place_name")
+    return "pedge AS (" + " UNION ALL ".join(sel) + ")"
+
+
+def drawn_polygons(spark, d):
+    """The same polygons as GeoJSON text, every second outer ring wound the other way and left open, read back as parts."""
+    ring = lambda ps: "array(" + ", ".join(f"array({x}, {y})" for x, y in ps) + ")"
+    turned = lambda ps: f"CASE WHEN feature_id % 2 = 0 THEN {ring(ps)} ELSE reverse({ring(ps + ps[:1])}) END"
+    parts = []
+    for lon in ("lon", f"(lon + 3e0 * {POLY_SIZE})"):
+        outer, hole = _outline(lon, "lat", POLY_SIZE)
+        parts.append(f"array({turned(outer)}, {ring(hole + hole[:1])})")
+    text = (f"to_json(named_struct('type', 'FeatureCollection', 'features', array(named_struct('type', 'Feature', 'geometry', "
+            f"named_struct('type', 'MultiPolygon', 'coordinates', array({', '.join(parts)})), 'properties', named_struct('unit', feature_class)))))")
+    docs = view(spark, d, "place_name").selectExpr("feature_id AS id", f"{text} AS body")
+    features = geojson.features_from_text(docs, "body", "struct<unit:string>", ["id"])
+    return geojson.polygon_rows(features, ["id"]).withColumnRenamed("id", "feature_id")
+
+
+def overlay_sql(res, edges=None):
     """Brute force: every edge against every cell of its polygon's bounds, area as an integral of clamped height."""
     h = lambda y: (f"CASE WHEN {y} - sy <= 0 THEN 0 WHEN {y} - sy <= {res} THEN pow({y} - sy, 2) / 2 "
                    f"ELSE {res * res / 2} + ({y} - sy - {res}) * {res} END")
-    return f"""{_poly_sql()}, pb AS (SELECT feature_id, unit, {_idx('min(xa)', q.OX, res)} AS c0, {_idx('max(xa)', q.OX, res)} AS c1,
+    return f"""{edges or _poly_sql()}, pb AS (SELECT feature_id, unit, {_idx('min(xa)', q.OX, res)} AS c0, {_idx('max(xa)', q.OX, res)} AS c1,
       {_idx('min(ya)', q.OY, res)} AS r0, {_idx('max(ya)', q.OY, res)} AS r1 FROM pedge GROUP BY 1, 2),
       pc AS (SELECT feature_id, unit, col, unnest(range(r0, r1 + 1)) AS row FROM (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM pb)),
       cut AS (SELECT pc.*, {q.OY} + row * {res} AS sy, o * sign(xb - xa) AS o,
@@ -234,6 +275,20 @@ def _(spark, d):
     return overlay.unit_shares(cells, parts, ["col", "row"], "unit").select("col", "row", "unit", "frac")
 
 
+@register("multipart_area", f"""{with_views('place_name')}, {multi_sql()} SELECT feature_id,
+  {q.rd('abs(sum(o * (xb - xa) * (ya + yb) / 2)) / 1e6', 2)} AS area_km2 FROM pedge GROUP BY 1""")
+def _(spark, d):
+    return overlay.polygon_area_km2(overlay.ring_edges(drawn_polygons(spark, d), ["feature_id"], "parts"), ["feature_id"])
+
+
+@register("polygon_file_overlay", f"""{with_views('place_name')}, {overlay_sql(1000, multi_sql())}
+  SELECT feature_id, col, row, {q.rd('f', 4)} AS frac FROM frac WHERE {q.rd('f', 4)} > 0""")
+def _(spark, d):
+    edges = overlay.ring_edges(drawn_polygons(spark, d), ["feature_id", "unit"], "parts")
+    cells = overlay.polygon_cells(edges, ["feature_id", "unit"], 1000)
+    return cells.select("feature_id", "col", "row", round_dp(F.col("fraction"), 4).alias("frac")).where("frac > 0")
+
+
 @register("polygons_simplified", None)
 def _(spark, d):
     """Area before and after dropping vertices that matter less than the tolerance."""

@@ -10,7 +10,7 @@ from lodegrid.catalog.registry import register
 from lodegrid.catalog.views import view, with_views
 from lodegrid.functions import geo, grid as g
 from lodegrid.functions.scalars import novelty, round_dp, evidence_weight, lookup
-from lodegrid.operators import overlay, spatial
+from lodegrid.operators import overlay, pins, spatial
 
 KEYS = ["aoi_id", "col", "row"]
 _CELLS = f"{with_views('aoi', 'occurrence')}, {q.square_aoi()}, {q.cover_ctes(4000)}, {q.framed_ctes(4000)}"
@@ -112,6 +112,18 @@ def _(spark, d):
                       (F.col("nearest_km") > fixed.NEW_SITE_KM).alias("potentially_new"))
 
 
+_SEEN = "CASE WHEN feature_id % 3 = 0 THEN 'field_visit' ELSE 'unknown' END"
+
+
+@register("pins_potentially_new", f"""{with_views('place_name', 'occurrence')}, k AS (SELECT p.feature_id, {q.km('p.lon', 'p.lat', 'o.lon', 'o.lat')} AS km, o.name
+  FROM place_name p, occurrence o), n AS (SELECT feature_id, min(km) AS km, min(struct_pack(km := km, name := name)).name AS name FROM k GROUP BY 1)
+  SELECT feature_id, {q.rd('km', 3)} AS nearest_db_km, name AS nearest_db_name, km > 0.2 AND {_SEEN} = 'field_visit' AS potentially_new FROM n""")
+def _(spark, d):
+    sites = view(spark, d, "place_name").withColumn("provenance", F.expr(_SEEN))
+    near = spatial.nearest_point(sites, view(spark, d, "occurrence"), "feature_id", "name")
+    return pins.flag_new_sites(sites, near, "feature_id").select("feature_id", "nearest_db_km", "nearest_db_name", "potentially_new")
+
+
 # --- interpolation: coarse scores of the evidence view stand on the area's own coarse cells -------
 def _coarse(spark, d):
     s = (F.col("col") * 7919 + F.col("row") * 104729) % 1001

@@ -214,3 +214,6 @@ LAYER_NAMES = {0: "Gold_Silver_Locations", 1: "Metallic_Mineral_Locations", 2: "
                3: "IAML_Features", 4: "Mining_Distircts_WA"}
 LAYER_PREFIXES = {"Gold_Silver_Locations": "gs", "Metallic_Mineral_Locations": "mm",
                   "IAML_Sites": "iaml", "IAML_Features": "iamlf", "Mining_Distircts_WA": "dist"}
+
+# Letters of the latitude bands of the UTM grid, south to north (fixed values).
+UTM_BANDS = "CDEFGHJKLMNPQRSTUVWX"

@@ -1,6 +1,9 @@
 """Number, text, date and coordinate helpers as native Column expressions."""
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,21 +102,47 @@ def name_key(x: Column) -> Column:
     return F.lower(collapse_space(F.coalesce(x, F.lit(""))))
 
 
-# Latin letters with marks and their base letters (fixed values).
-_MARKED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ"
-_PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy"
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """ASCII parts of compatibility decompositions: letters with one, what they become, and the longer ones.
+
+    The table comes from the Unicode database of the interpreter, over the planes that hold letters.
+    """
+    one, plain, more = [], [], {}
+    for point in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)):
+        ascii_part = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if ord(c) < 128)
+        if len(ascii_part) == 1:
+            one.append(chr(point))
+            plain.append(ascii_part)
+        elif ascii_part:
+            more[chr(point)] = ascii_part
+    return "".join(one), "".join(plain), more
+
+
+def fold_ascii(x: Column) -> Column:
+    """Letters without their marks, ligatures and styled letters as plain ones; what has no ASCII part goes."""
+    one, plain, more = _folds()
+    single = F.translate(x, one, plain)
+    pairs = F.create_map(*[F.lit(v) for kv in more.items() for v in kv])
+    spelled = F.array_join(F.transform(F.split(single, ""), lambda c: F.when(c > "\x7f", F.coalesce(pairs[c], F.lit(""))).otherwise(c)), "")
+    return F.when(single.rlike(r"[^\x00-\x7F]"), spelled).otherwise(single)
 
 
 def slug(x: Column, max_length: int = 48) -> Column:
-    plain = F.regexp_replace(F.translate(F.coalesce(x, F.lit("")), _MARKED, _PLAIN), r"[^\x00-\x7F]", "")
-    dashed = F.lower(F.regexp_replace(F.regexp_replace(plain, "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
-    return F.regexp_replace(F.substring(dashed, 1, max_length), "^-+|-+$", "")
+    """Runs of letters and digits, lower-cased and joined by dashes, cut to a length that does not end in a dash."""
+    runs = F.regexp_extract_all(F.lower(fold_ascii(F.coalesce(x, F.lit("")))), F.lit("[a-z0-9]+"), 0)
+    return F.rtrim(F.substring(F.array_join(runs, "-"), 1, max_length), F.lit("-"))
 
 
-def document_slug(x: Column) -> Column:
-    stem = F.regexp_replace(x, r"(?i)\.pdf$", "")
-    kept = F.lower(F.trim(F.regexp_replace(stem, r"[^\w\s-]", "")))
-    short = F.substring(F.regexp_replace(kept, r"[\s_-]+", "-"), 1, 80)
+def document_slug(x: Column, max_length: int = 80) -> Column:
+    """Slug of a file's name without its ending: words keep all their letters, marks inside them vanish.
+
+    White space, dashes and underscores part words; those at either end count only where they are not white space.
+    """
+    stem = F.when(F.lower(F.substring(x, -4, 4)) == ".pdf", F.substring(x, F.lit(1), F.length(x) - 4)).otherwise(x)
+    kept = F.array_join(F.regexp_extract_all(F.lower(stem), F.lit(r"[\w\s-]+"), 0), "")
+    words = F.split(F.trim(kept), r"[\s_-]+")
+    short = F.substring(F.array_join(words, "-"), 1, max_length)
     return F.coalesce(F.nullif(short, F.lit("")), F.lit("untitled"))
 
 
@@ -190,45 +219,39 @@ def token_cost(input_tokens: Column, output_tokens: Column, cache_read: Column |
 
 
 # --- pasted coordinates -------------------------------------------------------------------------
-_PAIR = r"^(-?\d+(?:\.\d+)?)\s*[, ]\s*(-?\d+(?:\.\d+)?)$"
-_PART = r"(\d+(?:\.\d+)?)\s*[°d:\s]\s*(?:(\d+(?:\.\d+)?)\s*['m:\s]\s*)?(?:(\d+(?:\.\d+)?)\s*[\"s]?\s*)?([%s])"
+def _numbers(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[-+]?\d+(?:\.\d+)?"), 0), lambda n: n.try_cast("double"))
+
+
+def _angle(words: Column, letters: tuple[str, str]) -> Column:
+    """Degrees of the first word that ends in one of ``letters``: one to three numbers, each a sixtieth of the one before."""
+    word = F.try_element_at(F.filter(words, lambda w: F.right(w, F.lit(1)).isin(*letters)), F.lit(1))
+    parts = _numbers(F.translate(word, "+-", "  "))
+    value = F.aggregate(F.reverse(parts), F.lit(0.0), lambda total, n: total / 60.0 + n)
+    return F.when(F.size(parts).between(1, 3), F.when(F.right(word, F.lit(1)) == letters[1], -value).otherwise(value))
 
 
 def parse_coordinate(x: Column) -> Column:
-    """Decimal pairs in either order, degrees-minutes or degrees-minutes-seconds, as struct(lon, lat)."""
-    text = F.trim(x)
-    first = F.regexp_extract(text, _PAIR, 1).try_cast("double")
-    second = F.regexp_extract(text, _PAIR, 2).try_cast("double")
-    swap = F.abs(first) > 90.0
-
-    def angle(hemispheres: str) -> Column:
-        pattern = "(?i)" + _PART % hemispheres
-        part = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3, 4)]
-        value = (
-            part[0].try_cast("double")
-            + F.coalesce(part[1].try_cast("double"), F.lit(0.0)) / 60.0
-            + F.coalesce(part[2].try_cast("double"), F.lit(0.0)) / 3600.0
-        )
-        return F.when(F.upper(part[3]).isin("S", "W"), -value).otherwise(value)
-
-    lat, lon = angle("NS"), angle("EW")
-    return F.when(
-        first.isNotNull(),
-        F.struct(
-            F.when(swap, first).otherwise(second).alias("lon"),
-            F.when(swap, second).otherwise(first).alias("lat"),
-        ),
-    ).when(lat.isNotNull() & lon.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat")))
+    """Pasted position as struct(lon, lat): two decimal numbers in either order, or two angles with hemisphere letters.
+
+    A number that no latitude can have is the longitude. A small ``s`` right after a digit marks seconds.
+    """
+    text = F.upper(F.regexp_replace(F.trim(x), r"(?<=\d)s", '"'))
+    words = F.regexp_extract_all(text, F.lit("[^NSEW]*[NSEW]"), 0)
+    lat, lon = _angle(words, ("N", "S")), _angle(words, ("E", "W"))
+    pair = _numbers(text)
+    plain = (F.size(pair) == 2) & F.regexp_replace(text, r"[-+]?\d+(?:\.\d+)?", "").rlike(r"^[\s,]+$")
+    a, b = F.try_element_at(pair, F.lit(1)), F.try_element_at(pair, F.lit(2))
+    first_is_lon = F.abs(a) > 90.0
+    return F.when(plain, F.struct(
+        F.when(first_is_lon, a).otherwise(b).alias("lon"), F.when(first_is_lon, b).otherwise(a).alias("lat"),
+    )).when(lat.isNotNull() & lon.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat")))
 
 
 def format_dms(value: Column, positive: str, negative: str) -> Column:
-    size = F.abs(value)
-    degrees = F.floor(size)
-    minutes_full = (size - degrees) * 60.0
-    minutes = F.floor(minutes_full)
-    seconds = (minutes_full - minutes) * 60.0
+    """Degrees, minutes and seconds to a tenth; rounding carries over, so no part reaches sixty."""
+    tenths = F.floor(F.abs(value) * 36000.0 + 0.5)
+    part = lambda size, of, width: F.lpad(F.pmod(F.floor(tenths / size), F.lit(of)).cast("bigint").cast("string"), width, "0")
     return F.concat(
-        degrees.cast("string"), F.lit("°"), F.lpad(minutes.cast("string"), 2, "0"), F.lit("'"),
-        F.lpad(F.format_string("%.1f", seconds), 4, "0"), F.lit('"'),
-        F.when(value >= 0, positive).otherwise(negative),
-    )
+        F.floor(tenths / 36000).cast("string"), F.lit("°"), part(600, 60, 2), F.lit("'"), part(10, 60, 2), F.lit("."), part(1, 10, 1),
+        F.lit('"'), F.when(value >= 0, positive).otherwise(negative))

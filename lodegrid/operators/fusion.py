@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.functions.scalars import exact_sum, round_dp
-from lodegrid.session import spread_small
 
 
 def weights_table(spark, weights: dict[str, float]) -> DataFrame:
@@ -16,12 +15,7 @@ def weights_table(spark, weights: dict[str, float]) -> DataFrame:
 
 
 def latest_per_scorer(scores: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Last write per (cell, scorer); repeats collapse in each task before the shuffle.
-
-    The scorer is the last key. An input of fewer parts than cores is spread by cell first, which serves this
-    and the fusion after it with one shuffle.
-    """
-    scores = spread_small(scores, keys[:-1])
+    """Last write per (cell, scorer); repeats collapse in each task before the shuffle. The scorer is the last key."""
     values = [c for c in scores.columns if c not in keys]
     last = F.max_by(F.struct(*values), F.struct(*order))
     return scores.groupBy(*keys).agg(last.alias("v")).select(*keys, "v.*")

@@ -17,20 +17,25 @@ from lodegrid import fixed
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import round_dp, to_fixed
 from lodegrid.operators.ranking import best_per_key
+from lodegrid.session import spread_join
 
 _AREA_DIGITS = 6  # square metres
 _WIDTH_DIGITS = 9  # metres
 
 
 def ring_edges(polygons: DataFrame, keys: list[str], rings: str = "rings", degrees: bool = True) -> DataFrame:
-    """Edges of ``rings`` (array of closed rings of struct(x, y); first ring outer, others holes).
+    """Edges of polygons, each oriented so that outer rings add area and holes take it away.
 
-    Orientation is set from each ring's own signed area, so winding in the source does not matter.
+    ``rings`` is an array of closed rings of struct(x, y), the first one outer and the others its holes, or an array of
+    such arrays, one per part of a multipart polygon. Orientation is set from each ring's own signed area, so winding
+    in the source does not matter; the edges of a large ring are spread over tasks.
     """
-    parts = polygons.select(*keys, F.posexplode(rings).alias("ring", "_pts"))
+    depth = polygons.schema[rings].dataType.simpleString().count("array<")
+    listed = polygons if depth == 3 else polygons.withColumn(rings, F.array(rings))
+    parts = listed.select(*keys, F.posexplode(rings).alias("part", "_rings")).select(*keys, "part", F.posexplode("_rings").alias("ring", "_pts"))
     steps = F.sequence(F.lit(1), F.size("_pts") - 1)
     edges = parts.where(F.size("_pts") > 3).select(
-        *keys, "ring", F.posexplode_outer(F.transform(steps, lambda i: F.struct(
+        *keys, "part", "ring", F.posexplode_outer(F.transform(steps, lambda i: F.struct(
             F.element_at("_pts", i).alias("a"), F.element_at("_pts", i + 1).alias("b")))).alias("edge", "_e"),
     )
     ends = [F.col(f"_e.{p}.{c}") for p in ("a", "b") for c in ("x", "y")]
@@ -39,11 +44,12 @@ def ring_edges(polygons: DataFrame, keys: list[str], rings: str = "rings", degre
         xb, yb = g.to_grid_metres(ends[2], ends[3])
     else:
         xa, ya, xb, yb = ends
-    flat = edges.select(*keys, "ring", "edge", xa.alias("xa"), ya.alias("ya"), xb.alias("xb"), yb.alias("yb"))
+    of = [*keys, "part", "ring"]
+    flat = edges.select(*of, "edge", xa.alias("xa"), ya.alias("ya"), xb.alias("xb"), yb.alias("yb"))
     turn = F.sum((F.col("xa") - F.col("xb")) * (F.col("ya") + F.col("yb")))
-    signs = flat.groupBy(*keys, "ring").agg(F.signum(turn).alias("_s"))
+    signs = flat.groupBy(*of).agg(F.signum(turn).alias("_s"))
     orient = F.when(F.col("ring") == 0, -F.col("_s")).otherwise(F.col("_s"))
-    return flat.join(signs, [*keys, "ring"]).withColumn("orient", orient).drop("_s")
+    return spread_join(flat, signs, of).withColumn("orient", orient).drop("_s")
 
 
 def in_range(areas: DataFrame) -> DataFrame:
@@ -55,6 +61,17 @@ def in_range(areas: DataFrame) -> DataFrame:
     return areas.withColumn("min_lon", F.when(ok, F.col("min_lon")).otherwise(stop))
 
 
+def rings_in_range(polygons: DataFrame, rings: str = "rings") -> DataFrame:
+    """Polygons in degrees, unchanged; a vertex outside the envelope stops the job, as ``in_range`` does for bounds."""
+    points = F.flatten(rings)
+    if polygons.schema[rings].dataType.simpleString().count("array<") == 3:
+        points = F.flatten(points)
+    w, s, e, n = fixed.ENVELOPE
+    out = F.exists(points, lambda v: ~(v["x"].between(w, e) & v["y"].between(s, n)))
+    stop = F.raise_error(F.lit("area vertex outside the grid envelope")).cast(polygons.schema[rings].dataType)
+    return polygons.withColumn(rings, F.when(F.coalesce(out, F.lit(False)), stop).otherwise(F.col(rings)))
+
+
 def simplify_ring(points: list, tolerance: float) -> list:
     """Vertices of a ring kept by the farthest-point rule; ``points`` are (x, y), first equals last."""
     p = np.asarray(points, dtype=float)
@@ -103,13 +120,17 @@ def polygon_area_km2(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def polygon_centroid(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Area centroid of an edge table given in any planar units (offset by its first vertex for precision)."""
+    """Area centroid of an edge table given in any planar units (offset by its first vertex for precision).
+
+    Sums are taken over decimals, so they do not depend on the order of the edges.
+    """
+    exact = lambda x: F.sum(x.cast("decimal(38,18)")).cast("double")
     origin = edges.groupBy(*keys).agg(F.min("xa").alias("_ox"), F.min("ya").alias("_oy"))
-    e = edges.join(origin, keys)
+    e = spread_join(edges, origin, keys)
     xa, ya, xb, yb = (F.col(c) - F.col(o) for c, o in (("xa", "_ox"), ("ya", "_oy"), ("xb", "_ox"), ("yb", "_oy")))
     k = (xa * yb - xb * ya) * F.col("orient") * -1.0
     out = e.groupBy(*keys, "_ox", "_oy").agg(
-        F.sum(k).alias("_a"), F.sum((xa + xb) * k).alias("_x"), F.sum((ya + yb) * k).alias("_y")
+        exact(k).alias("_a"), exact((xa + xb) * k).alias("_x"), exact((ya + yb) * k).alias("_y")
     )
     return out.select(
         *keys, (F.col("_ox") + F.try_divide(F.col("_x"), 3 * F.col("_a"))).alias("x"),

@@ -3,45 +3,66 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodegrid import fixed
-from lodegrid.functions.scalars import coerce_enum, iso_date, name_key, parse_flag, slug, strict_enum
+from lodegrid.functions.scalars import coerce_enum, iso_date, name_key, parse_flag, round_dp, slug, strict_enum
 
 
 def assign_ids(pins: DataFrame, order: str, file: str = "source_file") -> DataFrame:
-    """Slug of the name, numbered from the second pin of the same slug on, in document order per file.
+    """Slug of the name, numbered where an earlier pin of the file has it already: the first free of a, a-2, a-3 and so on.
 
-    A numbered id that meets another pin's own slug is numbered on in a second pass.
+    Ids can only meet within names that are equal up to trailing numbers, so each such family is numbered by itself,
+    in document order, streamed through its task; what is kept in memory is the ids of one family.
     """
     at = Window.partitionBy(file).orderBy(order)
     carried = F.nullif(F.trim("pin_id"), F.lit("")) if "pin_id" in pins.columns else F.lit(None).cast("string")
     base = F.coalesce(carried, F.nullif(slug(F.col("name")), F.lit("")),
                       F.concat(F.lit("pin-"), F.row_number().over(at).cast("string")))
-    out = pins.withColumn("_base", base)
-    same = Window.partitionBy(file, "_base").orderBy(order)
-    out = out.withColumn("_n", F.row_number().over(same))
-    out = out.withColumn("_id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string"))))
-    again = Window.partitionBy(file, "_id").orderBy(order)
-    out = out.withColumn("_m", F.row_number().over(again))
-    final = F.when(F.col("_m") == 1, F.col("_id")).otherwise(
-        F.concat_ws("-", "_base", (F.col("_n") + F.col("_m")).cast("string")))
-    return out.withColumn("pin_id", final).drop("_base", "_n", "_id", "_m")
-
-
-def annotate(pins: DataFrame, annotations: DataFrame, defaults: dict[str, str], strict: bool = True) -> DataFrame:
+    family = F.struct(F.col(file).alias("file"), F.regexp_replace("_base", r"(-\d+)+$", "").alias("name"))
+    dealt = pins.withColumn("_base", base).withColumn("_group", F.to_json(family))
+    ordered = dealt.repartition("_group").sortWithinPartitions("_group", order)
+    keep = [c for c in pins.columns if c != "pin_id"]
+
+    def number(batches):
+        group, used, following = None, set(), {}
+        for batch in batches:
+            ids = []
+            for g, b in zip(batch["_group"], batch["_base"], strict=True):
+                if g != group:
+                    group, used, following = g, set(), {}
+                name, n = b, following.get(b, 2)
+                while name in used:
+                    name, n = f"{b}-{n}", n + 1
+                if name != b:
+                    following[b] = n
+                used.add(name)
+                ids.append(name)
+            out = batch[keep].copy()
+            out["pin_id"] = ids
+            yield out
+
+    schema = T.StructType([pins.schema[c] for c in keep]).add("pin_id", "string")
+    return ordered.select(*keep, "_base", "_group").mapInPandas(number, schema)
+
+
+def annotate(pins: DataFrame, annotations: DataFrame, defaults: dict[str, str], strict: bool = True,
+             order: str | None = None) -> DataFrame:
     """Annotation over carried value over default; a blank cell keeps what is there.
 
-    Rows match by id, else by normalised name. With ``strict`` an unknown role, provenance or confidence
+    Rows match by id, else by normalised name; of several rows for one pin the last holds, by ``order`` (the order of
+    the rows as read where none is given). With ``strict`` an unknown role, provenance or confidence
     stops the job.
     """
     fields = list(fixed.ANNOTATION_FIELDS)
-    clean = annotations.select("pin_id", "name", *[F.nullif(F.trim(f), F.lit("")).alias(f"_a_{f}") for f in fields])
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    clean = annotations.select("pin_id", "name", place.alias("_at"), *[F.nullif(F.trim(f), F.lit("")).alias(f"_a_{f}") for f in fields])
     clean = clean.withColumn("_has", F.lit(True))
     cols = [f"_a_{f}" for f in fields] + ["_has"]
     by_id = clean.where(F.coalesce(F.trim("pin_id"), F.lit("")) != "").groupBy(F.trim("pin_id").alias("pin_id")).agg(
-        F.first(F.struct(*cols)).alias("_id_row"))
+        F.max_by(F.struct(*cols), F.struct("_at", *cols)).alias("_id_row"))
     by_name = clean.withColumn("_key", name_key(F.col("name"))).where("_key <> ''").groupBy("_key").agg(
-        F.first(F.struct(*cols)).alias("_name_row"))
+        F.max_by(F.struct(*cols), F.struct("_at", *cols)).alias("_name_row"))
     out = pins.withColumn("_key", name_key(F.col("name"))).join(by_id, "pin_id", "left").join(by_name, "_key", "left")
     out = out.withColumn("_row", F.coalesce("_id_row", "_name_row"))
 
@@ -66,6 +87,19 @@ def annotate(pins: DataFrame, annotations: DataFrame, defaults: dict[str, str],
     return out.withColumns(new).drop("_key", "_id_row", "_name_row", "_row")
 
 
+def flag_new_sites(pins: DataFrame, nearest: DataFrame, key: str = "pin_id") -> DataFrame:
+    """nearest_db_km, nearest_db_name and potentially_new of every pin.
+
+    ``nearest`` has (key, nearest_km unrounded, nearest_name), as ``spatial.nearest_point`` gives it. Only a site that was
+    visited in the field can be new. Without reference records distance and name stay null and nothing is claimed.
+    """
+    found = nearest.select(key, F.col("nearest_km").alias("_km"), F.col("nearest_name").alias("_name"))
+    new = (F.col("_km") > fixed.NEW_SITE_KM) & (F.col("provenance") == "field_visit")
+    return pins.join(found, key, "left").withColumns({
+        "nearest_db_km": round_dp(F.col("_km"), 3), "nearest_db_name": F.col("_name"),
+        "potentially_new": F.coalesce(new, F.lit(False))}).drop("_km", "_name")
+
+
 def unused_annotations(pins: DataFrame, annotations: DataFrame) -> DataFrame:
     """Annotation rows that match no pin by id or by name."""
     keyed = annotations.withColumns({"_id": F.trim("pin_id"), "_key": name_key(F.col("name"))})

@@ -1,9 +1,8 @@
 """Ranks within a group that may hold a third of all rows.
 
-Groups are counted first. While the largest is small enough for one task, one window does the work. Beyond
-that no task sorts a whole group: rows are counted per distinct value (partial aggregation collapses ties
-before the shuffle), distinct values are ranked inside value bins, and bins are offset by a running total
-over at most ``BINS`` rows per group.
+No task sorts a whole group: rows are counted per distinct value (partial aggregation collapses ties before the
+shuffle), distinct values are ranked inside bins that are cut at quantiles of the group's distinct values, and
+bins are offset by a running total over at most ``BINS`` rows per group. Every group goes this way, of any size.
 """
 from __future__ import annotations
 
@@ -14,47 +13,38 @@ from lodegrid import fixed
 from lodegrid.functions.scalars import round_dp, tier
 from lodegrid.session import materialise, spread_join
 
-BINS = 4096
-#: Largest group, counted beforehand, that a single window task may sort.
-WINDOW_ROWS = 1_000_000
+#: Bins per group; a bin holds about this share of the group's distinct values, however they are spread.
+BINS = 64
 
 
 def value_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group and distinct value: rows below it, rows tied with it, and the group's size and range."""
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("tied"))
-    # Bin on the value's place in the group's range, so any scale spreads over the bins.
+    shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
     spans = counts.groupBy(*keys).agg(
-        F.min(value).alias("lowest"), F.max(value).alias("highest"), F.sum("tied").alias("n")
-    )
-    counts = spread_join(counts, spans, keys)
-    width = F.col("highest") - F.col("lowest")
-    place = F.when(width > 0, (F.col(value) - F.col("lowest")) / width * (BINS - 1)).otherwise(0.0)
-    counts = counts.withColumn("_bin", F.floor(place).cast("int"))
+        F.min(value).alias("lowest"), F.max(value).alias("highest"), F.sum("tied").alias("n"),
+        F.percentile_approx(value, shares, F.lit(20 * BINS)).alias("_cuts"))
+    # Cut points leave before anything is sorted; only the bin goes on.
+    placed = spread_join(counts, spans, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     inside = Window.partitionBy(*keys, "_bin").orderBy(value)
-    counts = counts.withColumn("_below", F.sum("tied").over(inside) - F.col("tied"))
+    placed = placed.withColumn("_below", F.sum("tied").over(inside) - F.col("tied"))
     across = Window.partitionBy(*keys).orderBy("_bin")
-    bins = counts.groupBy(*keys, "_bin").agg(F.sum("tied").alias("_in_bin"))
+    bins = placed.groupBy(*keys, "_bin").agg(F.sum("tied").alias("_in_bin"))
     bins = bins.withColumn("_before", F.sum("_in_bin").over(across) - F.col("_in_bin")).drop("_in_bin")
     return (
-        counts.join(bins, [*keys, "_bin"])
+        spread_join(placed, bins, [*keys, "_bin"])
         .withColumn("below", F.col("_below") + F.col("_before"))
         .drop("_bin", "_below", "_before")
     )
 
 
 def with_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows with below, tied, n, lowest and highest of their group. The input is stored once, as it is read more than once."""
+    """Rows with below, tied, n, lowest and highest of their group; null values have no position.
+
+    The input is stored once, as it is read more than once.
+    """
     rows = materialise(rows, "ranked")
-    largest = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest > WINDOW_ROWS:
-        return spread_join(rows, value_positions(rows, keys, value), [*keys, value])
-    group, ties = Window.partitionBy(*keys), Window.partitionBy(*keys, value)
-    # All three windows share one partitioning and one sort.
-    return rows.withColumns({
-        "below": F.rank().over(group.orderBy(value)) - 1, "tied": F.count("*").over(ties.orderBy(value).rangeBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)),
-    }).withColumns({
-        "n": F.count("*").over(group), "lowest": F.min(value).over(group), "highest": F.max(value).over(group)})
+    return spread_join(rows, value_positions(rows.where(F.col(value).isNotNull()), keys, value), [*keys, value], "left")
 
 
 def rank_relative(cells: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

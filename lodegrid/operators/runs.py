@@ -83,32 +83,24 @@ def batches(cells: DataFrame, group: list[str], order: list[str], size: int = fi
 _ITEM = "struct<cell_id:string,score:string,confidence:string,evidence:string,data_sources_used:string>"
 
 
-def _fenced(x: Column) -> Column:
-    body = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)(?:```|\z)", 1)
-    return F.when(x.contains("```"), body).otherwise(x)
+#: A flat JSON object, and one that may hold flat ones; braces inside strings do not count.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_FLAT = r"\{(?:[^{}\"]++|" + _STRING + r")*+\}"
+_OBJECT = r"\{(?:[^{}\"]++|" + _STRING + "|" + _FLAT + r")*+\}"
 
 
 def parse_responses(responses: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Items of the first JSON array (or object) in each response.
+    """Items of each response, in the order in which they stand.
 
-    Whole bodies are read as they are or cut after the last bracket; a truncated body is salvaged object by
-    object, which keeps every complete flat object.
+    One scan finds every complete object, whatever stands around it: prose, fences, a wrapping array or object, or
+    a cut-off end. An object that names no cell is looked into for objects that do.
     """
-    opened = responses.select(*keys, once(_fenced(F.col(text))).alias("_o"))
-    first = F.coalesce(F.nullif(F.locate("[", F.col("_o")), F.lit(0)), F.nullif(F.locate("{", F.col("_o")), F.lit(0)))
-    as_list = lambda c: F.from_json(c, f"array<{_ITEM}>")
-    rows = opened.select(*keys, once(F.substring("_o", first, F.length("_o"))).alias("_b")).where("_b is not null")
-    trimmed = F.regexp_extract(F.col("_b"), r"(?s)^(.*\])", 1)
-    # A cut array parses to null items, so a body counts as whole only when it ends in its bracket.
-    rows = rows.withColumns({
-        "_whole": F.when(F.rtrim("_b").endswith("]") | F.rtrim("_b").endswith("}"), as_list(F.col("_b"))),
-        "_cut": F.when(trimmed != "", as_list(trimmed)),
-        "_flat": F.transform(F.regexp_extract_all("_b", F.lit(r"\{[^{}]*\}"), 0), lambda o: F.from_json(o, _ITEM)),
-    })
-    usable = lambda c: F.when(F.exists(c, lambda i: i["cell_id"].isNotNull()), F.col(c))
-    items = F.coalesce(usable("_whole"), usable("_cut"), F.col("_flat"))
-    return rows.select(*keys, F.posexplode_outer(items).alias("position", "_i")).where("_i.cell_id is not null").select(
-        *keys, "position", "_i.*")
+    item = lambda c: F.from_json(c, _ITEM)
+    found = responses.select(*keys, once(F.regexp_extract_all(F.col(text), F.lit("(?s)" + _OBJECT), 0)).alias("_f"))
+    inner = F.flatten(F.transform("_f", lambda o: F.when(item(o)["cell_id"].isNotNull(), F.array(o)).otherwise(
+        F.regexp_extract_all(F.substring(o, F.lit(2), F.length(o)), F.lit("(?s)" + _FLAT), 0))))
+    rows = found.select(*keys, F.posexplode(F.transform(inner, item)).alias("position", "_i"))
+    return rows.where("_i.cell_id is not null").select(*keys, "position", "_i.*")
 
 
 def scored_from_items(items: DataFrame, batch_cells: DataFrame, keys: list[str]) -> DataFrame:

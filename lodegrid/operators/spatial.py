@@ -1,7 +1,7 @@
 """Distance joins without cross joins: both sides meet in square buckets of the equal-area plane.
 
-The bucket side exceeds the search radius, so a match lies in the same or a neighbouring bucket. Hot
-buckets are found by counting first and are split by salt; each distance is then checked exactly.
+The bucket side exceeds the search radius, so a match lies in the same or a neighbouring bucket. Every bucket
+is spread over a few tasks by salt; each distance is then checked exactly.
 """
 from __future__ import annotations
 
@@ -13,29 +13,23 @@ from lodegrid.functions import geo
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import exact_sum, holds, never_null, novelty, once, round_dp
 from lodegrid.operators.ranking import best_per_key
-from lodegrid.session import is_at_most, materialise, spread_join
+from lodegrid.session import materialise, spread_join
 
 #: Local frames and the equal-area plane differ by under five percent inside the envelope.
 SLACK = 1.05
 #: Centre to corner of a square of side 1, rounded up.
 HALF_DIAGONAL = 0.7072
-#: A bucket with more rows than this is split over several tasks.
-HOT_BUCKET = 50_000
+#: Tasks over which each bucket is spread.
+PARTS = 4
 
 
-def split_join(many: DataFrame, few: DataFrame, keys: list[str], hot: int = HOT_BUCKET) -> DataFrame:
-    """Inner equi-join that splits keys holding more than ``hot`` rows of ``many``.
+def split_join(many: DataFrame, few: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
+    """Inner equi-join whose keys are spread over ``parts`` tasks on both sides.
 
-    At most rows/hot keys can be hot, which bounds the broadcast list of them.
+    Each row of ``many`` draws a salt; rows of ``few`` go to every salt. What is still large after that is
+    split by the engine, as both sides come straight from their shuffles.
     """
-    heavy = many.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
-    heavy = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / hot).cast("int").alias("_parts")))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    left = many.join(heavy, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("_parts")
-    right = few.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return spread_join(many, few, keys, salts=parts)
 
 
 def _bucket(value: Column, size: float) -> Column:

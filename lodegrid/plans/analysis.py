@@ -31,7 +31,7 @@ def analyse(rings: DataFrame, occurrences: DataFrame, scores: DataFrame, job: An
     analysis grid.
     """
     keys = ["aoi_id", "col", "row"]
-    edges = overlay.ring_edges(rings, ["aoi_id"])
+    edges = overlay.ring_edges(overlay.rings_in_range(rings), ["aoi_id"])
     cells = materialise(overlay.cover(edges, ["aoi_id"], job.analysis_res), "cells")
     weights = job.weights if job.weights is not None else fixed.SCORER_WEIGHTS.get(job.mineral, {})
     last = fusion.latest_per_scorer(scores, [*keys, "agent_id"], ["written"])
@@ -39,7 +39,8 @@ def analyse(rings: DataFrame, occurrences: DataFrame, scores: DataFrame, job: An
 
     framed = spatial.framed_cells(cells, ["aoi_id"])
     near = spatial.cells_near_points(framed, occurrences, fixed.SEARCH_RADIUS_KM * 1000.0, job.analysis_res)
-    facts = spatial.occurrence_facts(cells, near, keys)
+    # An empty layer leaves facts unknown; it is not the same as ground without records.
+    facts = spatial.occurrence_facts(cells, near, keys, occurrences.agg(F.count("*") > 0).scalar())
     novelty = spatial.novelty_facts(facts, keys)
 
     if job.display_res == job.analysis_res:
@@ -58,7 +59,7 @@ def analyse(rings: DataFrame, occurrences: DataFrame, scores: DataFrame, job: An
 def baseline(rings: DataFrame, wofe_cells: DataFrame, res: int = fixed.WOFE_RESOLUTION, mineral: str = "gold",
              trend: DataFrame | None = None) -> DataFrame:
     """Deterministic scores of every area, no scorer rows needed; refused cells carry their reason."""
-    cells = overlay.cover(overlay.ring_edges(rings, ["aoi_id"]), ["aoi_id"], res)
+    cells = overlay.cover(overlay.ring_edges(overlay.rings_in_range(rings), ["aoi_id"]), ["aoi_id"], res)
     size = wofe_cells.agg(F.count("*")).scalar()
     request = cells.withColumns({"_c": F.col("col"), "_r": F.col("row")})
     return wofe.roll_up(request, wofe.native_terms(wofe_cells), ["aoi_id", "_c", "_r"], wofe.prior_logit(size), trend, mineral).drop("_c", "_r")

@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when a bounded count proves it has at most this many rows.
-BROADCAST_ROWS = 200_000
-
-
 def build_session(cores: int | str = "*", app: str = "lodegrid", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -56,21 +52,6 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Bounded size check: reads no more than ``rows + 1`` rows to the count."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def spread_small(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-spread an input that comes in fewer parts than there are cores; a larger one is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_at_most(df, rows) else df
-
-
 def spread_join(
     large: DataFrame,
     small: DataFrame,

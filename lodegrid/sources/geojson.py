@@ -1,4 +1,4 @@
-"""GeoJSON and Esri JSON to flat point rows, from files or from a text column."""
+"""GeoJSON and Esri JSON to flat point rows, polygons and lines, from files or from a text column."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +49,38 @@ def point_rows(features: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return features.select(*(keep or []), lon.alias("lon"), lat.alias("lat"), "properties.*").where("lon is not null and lat is not null")
 
 
+def _nested(depth: int) -> str:
+    return "array<" * depth + "double" + ">" * depth
+
+
+def _vertices(ring: Column) -> Column:
+    return F.transform(F.filter(ring, lambda v: F.size(v) >= 2), lambda v: F.struct(F.element_at(v, 1).alias("x"), F.element_at(v, 2).alias("y")))
+
+
+def _closed(ring: Column) -> Column:
+    """The ring with its first vertex again at the end, where it is not there already."""
+    vertices = _vertices(ring)
+    return F.when(F.try_element_at(vertices, F.lit(1)) == F.try_element_at(vertices, F.lit(-1)), vertices).otherwise(
+        F.concat(vertices, F.slice(vertices, 1, 1)))
+
+
+def polygon_rows(features: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Polygon and MultiPolygon features as ``parts`` (per part its outer ring and holes), with their properties as columns."""
+    g = F.col("geometry")
+    single = F.array(F.from_json(g["coordinates"], _nested(3)))
+    parts = F.when(g["type"] == "Polygon", single).when(g["type"] == "MultiPolygon", F.from_json(g["coordinates"], _nested(4)))
+    closed = F.transform(parts, lambda rings: F.transform(rings, _closed))
+    return features.select(*(keep or []), closed.alias("parts"), "properties.*").where("parts is not null")
+
+
+def line_rows(features: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """LineString and MultiLineString features as ``parts`` (per part its vertices), with their properties as columns."""
+    g = F.col("geometry")
+    single = F.array(F.from_json(g["coordinates"], _nested(2)))
+    parts = F.when(g["type"] == "LineString", single).when(g["type"] == "MultiLineString", F.from_json(g["coordinates"], _nested(3)))
+    return features.select(*(keep or []), F.transform(parts, _vertices).alias("parts"), "properties.*").where("parts is not null")
+
+
 def skipped_kinds(features: DataFrame) -> DataFrame:
     """Counts of features that are no usable point, so nothing is dropped silently."""
     lon, _ = _point(F.col("geometry"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodegrid.functions import geo, grid as g
 from lodegrid.operators import lines as ln, overlay
+from lodegrid.sources import geojson
 
 POINTS = [(-121.44, 48.03), (-118.74, 48.65), (-124.7, 48.38), (-117.05, 46.0), (-122.33, 47.61), (-120.5, 45.6), (-119.0, 49.0), (-123.0, 46.1), (-118.0, 47.5)]
 
@@ -124,3 +125,38 @@ def test_simplify_keeps_shape(spark):
     pts = [(math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)] + [(1.0, 0.0)]
     slim = overlay.simplify_ring(pts, 0.01)
     assert 10 < len(slim) < 60 and slim[0] == slim[-1]
+
+
+def square(x, y, side):
+    return [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+
+
+def test_parts_of_a_polygon_add_up_and_only_holes_are_taken_out(spark):
+    parts = [[square(0.0, 0.0, 1000.0)], [square(5000.0, 0.0, 1000.0)[::-1], square(5250.0, 250.0, 500.0)]]
+    df = spark.createDataFrame([("p", parts)], "id string, parts array<array<array<struct<x:double,y:double>>>>")
+    edges = overlay.ring_edges(df, ["id"], "parts", degrees=False)
+    assert overlay.polygon_area_km2(edges, ["id"]).first().area_km2 == 1.75
+    cells = overlay.polygon_cells(edges, ["id"], 1000)
+    assert abs(cells.agg(F.sum("fraction")).first()[0] - 1.75) < 1e-9
+    x = overlay.polygon_centroid(edges, ["id"]).first().x
+    assert abs(x - (500.0 + 0.75 * 5500.0) / 1.75) < 1e-6
+
+
+def test_areas_drawn_as_geojson_become_parts(spark):
+    body = '{"type":"FeatureCollection","features":[' + ",".join([
+        '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2],[0,2]],[[0.5,0.5],[1,0.5],[1,1],[0.5,1],[0.5,0.5]]]},"properties":{"n":1}}',
+        '{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[3,3],[4,3],[4,4],[3,3]]]]},"properties":{"n":2}}',
+        '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0],[1,1,9]]},"properties":{"n":3}}',
+        '{"type":"Feature","geometry":{"type":"MultiLineString","coordinates":[[[0,0],[1,1]],[[2,2],[3,3]]]},"properties":{"n":4}}',
+        '{"type":"Feature","geometry":{"type":"Point","coordinates":[1,1]},"properties":{"n":5}}']) + "]}"
+    features = geojson.features_from_text(spark.createDataFrame([(body,)], "body string"), "body", "struct<n:int>")
+    polygons = {r.n: r.parts for r in geojson.polygon_rows(features).collect()}
+    assert {n: [[len(ring) for ring in part] for part in parts] for n, parts in polygons.items()} == {1: [[5, 5]], 2: [[4], [4]]}
+    lines = {r.n: r.parts for r in geojson.line_rows(features).collect()}
+    assert {n: [len(p) for p in parts] for n, parts in lines.items()} == {3: [2], 4: [2, 2]}
+
+
+def test_a_vertex_outside_the_envelope_stops_the_job(spark):
+    df = spark.createDataFrame([("p", [square(-200.0, 48.0, 1.0)])], "id string, rings array<array<struct<x:double,y:double>>>")
+    with pytest.raises(Exception, match="envelope"):
+        overlay.rings_in_range(df).collect()

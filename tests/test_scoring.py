@@ -44,9 +44,9 @@ def test_ten_cells_have_one_high(spark):
     assert tiers[-1] == "high" and tiers.count("high") == 1
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_hot_group_matches_plain_window(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "WINDOW_ROWS", limit)
+@pytest.mark.parametrize("bins", [2, ranking.BINS])
+def test_hot_group_matches_plain_window(spark, monkeypatch, bins):
+    monkeypatch.setattr(ranking, "BINS", bins)
     from pyspark.sql import Window
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("aoi"), "id",

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lodegrid.functions import scalars as sc
 from lodegrid.operators import pins, records, runs
 from lodegrid.plans import raster_build
 from lodegrid.session import scratch_path
@@ -125,3 +126,50 @@ def test_unchanged_features_are_not_rewritten(spark, tmp_path):
     path = str(tmp_path / "out")
     assert sink.write_features(df, "f", ["k"], path) and not sink.write_features(df.repartition(3), "f", ["k"], path)
     assert sink.write_features(df.where("k = 1"), "f", ["k"], path)
+
+
+def test_ids_that_meet_at_second_and_third_order(spark):
+    names = ["a", "a", "a-2", "a-2-3", "a-2-3"]
+    df = spark.createDataFrame([("f", i, n, 1.5) for i, n in enumerate(names)] + [("g", 0, "a", 2.5)], "source_file string, ord int, name string, lon double")
+    got = pins.assign_ids(df, "ord").orderBy("source_file", "ord").collect()
+    assert [r.pin_id for r in got] == ["a", "a-2", "a-2-2", "a-2-3", "a-2-3-2", "a"]
+    assert got[0].lon == 1.5 and got[5].lon == 2.5
+
+
+def test_slugs_keep_the_letters_under_marks(spark):
+    words = ["\u0160koda \u0141\u00f3d\u017a \u0150 \u00f1", "\ufb01ne \u2460 \uff21\uff22", "--x--", "\u4e2d", None]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    assert [r[0] for r in df.orderBy("i").select(sc.slug(F.col("w"))).collect()] == ["skoda-odz-o-n", "fine-1-ab", "x", "", ""]
+    names = ["Report  (A)_1.PDF", "a.b c.pdf", "_x-", "...", ".pdf"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(names)], "i int, w string")
+    assert [r[0] for r in df.orderBy("i").select(sc.document_slug(F.col("w"))).collect()] == ["report-a-1", "ab-c", "-x-", "untitled", "untitled"]
+
+
+def test_the_last_annotation_of_a_pin_holds(spark):
+    p = spark.createDataFrame([("p1", "One")], "pin_id string, name string")
+    fields = ["role", "provenance", "visited", "observed", "position_confidence", "date", "source_note"]
+    rows = [(i, "p1", "", "", "", "", text, "", "", "") for i, text in enumerate(["first", "second", "last"])]
+    notes = spark.createDataFrame(rows, "at int, pin_id string, name string, " + ", ".join(f"{f} string" for f in fields))
+    defaults = {"role": "display", "provenance": "unknown", "position_confidence": "rough"}
+    assert pins.annotate(p, notes, defaults).first().observed == "last"
+    assert pins.annotate(p, notes.withColumn("at", -F.col("at")), defaults, order="at").first().observed == "first"
+
+
+def test_new_sites_need_a_visit_and_a_look(spark):
+    p = spark.createDataFrame([("a", "field_visit"), ("b", "unknown"), ("c", "field_visit")], "pin_id string, provenance string")
+    near = spark.createDataFrame([("a", 0.20004, "x"), ("b", 5.0, "y"), ("c", None, None)], "pin_id string, nearest_km double, nearest_name string")
+    got = {r.pin_id: (r.nearest_db_km, r.nearest_db_name, r.potentially_new) for r in pins.flag_new_sites(p, near).collect()}
+    assert got == {"a": (0.2, "x", True), "b": (5.0, "y", False), "c": (None, None, False)}
+
+
+def test_pasted_positions(spark):
+    texts = ["48.5, -121.25", "-121.25 48.5", "48\u00b0 30' N 121\u00b0 15' W", "48 30 0 N, 121:15:0W", "48d 30m 0s N 121d 15m 0s W", "48.5 N", "somewhere", "1 2 3", "33\u00b030'0\"S 70\u00b015'E"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.c and (r.c.lon, r.c.lat) for r in df.orderBy("i").select(sc.parse_coordinate(F.col("t")).alias("c")).collect()]
+    assert got == [(-121.25, 48.5)] * 5 + [None] * 3 + [(70.25, -33.5)]
+
+
+def test_objects_are_found_whatever_stands_around_them(spark):
+    text = 'x {"cells": [{"cell_id": "c1", "score": 0.5, "evidence": ["a } b"]}, {"cell_id": "c2", "meta": {"k": 1}}]} then {"cell_id": "c3"'
+    df = spark.createDataFrame([(1, text)], "batch int, body string")
+    assert [r.cell_id for r in runs.parse_responses(df, "body", ["batch"]).orderBy("position").collect()] == ["c1", "c2"]
