@@ -186,8 +186,11 @@ def near_lines_sql(radius, seg="seg", keep="line_id, kind, name"):
 _NL = f"""{with_views('aoi', 'occurrence')}, {q.square_aoi()}, {q.cover_ctes(4000)}, {q.framed_ctes(4000)}, {_SEG}, {_TRD}, {near_lines_sql(6000)}"""
 
 
-def near_lines(spark, d, cells=None):
-    near = ln.cells_near_segments(cells if cells is not None else framed(spark, d), segments(spark, d), 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
+def near_lines(spark, d, cells=None, beyond=False):
+    cells = cells if cells is not None else framed(spark, d)
+    near = ln.cells_near_segments(cells, segments(spark, d), 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
+    if beyond:
+        near = ln.with_nearest_beyond(cells, segments(spark, d), near, 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
     return near.join(ln.trend_and_length(segments(spark, d), ["line_id"]), "line_id")
 
 
@@ -197,12 +200,16 @@ def near_lines(spark, d, cells=None):
   t AS (SELECT aoi_id, col, row, array_to_string(list_sort(list(DISTINCT az))[1:8], '|') AS azimuths,
     coalesce(array_to_string(list_sort(list(DISTINCT az) FILTER (az <= 30 OR az >= 165))[1:6], '|'), '') AS fav FROM cl WHERE az IS NOT NULL GROUP BY 1, 2, 3),
   nm AS (SELECT aoi_id, col, row, array_to_string(list(name ORDER BY line_id)[1:4], '|') AS named FROM cl WHERE name IS NOT NULL GROUP BY 1, 2, 3),
-  ne AS (SELECT aoi_id, col, row, kind AS nearest_kind, {q.rd('dm / 1000', 2)} AS nearest_km FROM nz QUALIFY row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY dm, line_id) = 1)
+  fx AS (SELECT f.* FROM framed f ANTI JOIN nl USING (aoi_id, col, row)),
+  fl AS (SELECT aoi_id, col, row, line_id, kind, min(dm) AS dm FROM (SELECT *, {_seg_quad()} AS dm FROM (
+    SELECT f.*, s.*, (s.ax - lon00) * mx AS la_x, (s.ay - lat00) * 110574e0 AS la_y, (s.bx - lon00) * mx AS lb_x, (s.by - lat00) * 110574e0 AS lb_y FROM fx f, seg s)) GROUP BY ALL),
+  ne AS (SELECT aoi_id, col, row, kind AS nearest_kind, {q.rd('dm / 1000', 2)} AS nearest_km FROM (
+    SELECT aoi_id, col, row, line_id, kind, dm FROM nz UNION ALL SELECT aoi_id, col, row, line_id, kind, dm FROM fl) QUALIFY row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY dm, line_id) = 1)
   SELECT c.*, coalesce(cnt, 0) AS count, kinds, azimuths, fav AS favourable_azimuths, CASE WHEN cnt > 0 THEN coalesce(fav <> '', false) END AS favourable_trend, named, nearest_km, nearest_kind
   FROM cells c LEFT JOIN k2 USING (aoi_id, col, row) LEFT JOIN t USING (aoi_id, col, row) LEFT JOIN nm USING (aoi_id, col, row) LEFT JOIN ne USING (aoi_id, col, row)""")
 def structure_rows(spark, d):
     cells = framed(spark, d)
-    out = ln.structure_facts(cells.select(*KEYS), near_lines(spark, d, cells), KEYS)
+    out = ln.structure_facts(cells.select(*KEYS), near_lines(spark, d, cells, beyond=True), KEYS)
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
     kinds = F.array_join(F.transform("kinds", lambda k: F.concat_ws(" ", k["kind"], k["n"].cast("string"), k["km"].cast("string"))), "|")
     return out.select(*KEYS, "count", kinds.alias("kinds"), text("azimuths"), text("favourable_azimuths"), "favourable_trend", text("named"),

@@ -104,6 +104,25 @@ def cells_near_segments(framed: DataFrame, segments: DataFrame, radius_m: float,
     return found.where(F.col("distance_m") <= radius_m)
 
 
+def with_nearest_beyond(framed: DataFrame, segments: DataFrame, near: DataFrame, radius_m: float, max_res: int,
+                        cell_keys: list[str], line_keys: list[str], widest_m: float = 2_000_000.0) -> DataFrame:
+    """``near`` (all lines within ``radius_m``) and, for cells with none, their nearest line at any distance.
+
+    The search widens fourfold for cells that are still without one; whatever is found first is nearest, as each
+    round sees every line within its radius. ``widest_m`` exceeds the extent of the grid's envelope.
+    """
+    found = near
+    todo = materialise(framed.join(near.select(*cell_keys).distinct(), cell_keys, "left_anti"), "without-line")
+    while radius_m < widest_m and not todo.isEmpty():
+        radius_m *= 4
+        reached = cells_near_segments(todo, segments, radius_m, max_res, cell_keys, line_keys)
+        best = reached.groupBy(*cell_keys).agg(F.min_by(F.struct(*line_keys, "distance_m"), F.struct("distance_m", line_keys[0])).alias("_b"))
+        best = materialise(best.select(*cell_keys, "_b.*"), "nearest-line")
+        found = found.unionByName(best.select(*found.columns))
+        todo = todo.join(best.select(*cell_keys), cell_keys, "left_anti")
+    return found
+
+
 def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossings: DataFrame | None = None,
                     buffer_m: float = fixed.STRUCTURE_BUFFER_M) -> DataFrame:
     """Counts, distances and trends of lines (line_id, kind, name, azimuth_deg) within the buffer of each cell.

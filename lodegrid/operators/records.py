@@ -169,9 +169,9 @@ def latest_version(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Incoming rows replace current ones of the same key; the newest incoming row wins."""
-    newest = latest_version(incoming, keys, order)
-    return current.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
+    """The newest row of each key among current and incoming ones; of equally new rows the incoming one."""
+    both = current.withColumn("_in", F.lit(0)).unionByName(incoming.withColumn("_in", F.lit(1)))
+    return latest_version(both, keys, [*order, "_in"]).drop("_in")
 
 
 # --- geology tables -----------------------------------------------------------------------------

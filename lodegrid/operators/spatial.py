@@ -251,47 +251,49 @@ def interpolate(fine: DataFrame, coarse: DataFrame, keys: list[str], fine_res: i
 
     A ring of r coarse cells around the parent holds every centre closer than (r + 1/2) coarse cells plus
     half a fine cell, so a fine cell is settled when its k-th neighbour lies inside that; only unsettled
-    cells go on to a ring twice as wide. Ties go to the lower column, then the lower row.
+    cells go on to a ring twice as wide. An area with no more than k coarse cells meets all of them at once. Ties go
+    to the lower column, then the lower row.
     """
     ratio = coarse_res // fine_res
     cells = fine.select(*keys, "col", "row").withColumns({
         "_pc": F.floor(F.col("col") / ratio).cast("int"), "_pr": F.floor(F.col("row") / ratio).cast("int")})
     known = materialise(coarse.select(*keys, F.col("col").alias("_cc"), F.col("row").alias("_cr"), *values), "coarse")
-    extent = known.agg(
-        F.max("_cc") - F.min("_cc"), F.max("_cr") - F.min("_cr")).first()
-    widest = max((extent[0] or 0), (extent[1] or 0)) + 1
+    # Coarse and fine cells of an area span at most this many coarse cells; rings need not be wider.
+    sides = known.select(*keys, "_cc", "_cr").unionByName(cells.select(*keys, F.col("_pc").alias("_cc"), F.col("_pr").alias("_cr")))
+    spans = sides.groupBy(*keys).agg(F.greatest(F.max("_cc") - F.min("_cc"), F.max("_cr") - F.min("_cr")).alias("_span"))
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_size"))
+    areas = materialise(spans.join(sizes, keys), "areas")
+    widest = (areas.agg(F.max("_span")).first()[0] or 0) + 1
+    cells = spread_join(cells, areas, keys)
     todo, out, ring = cells, None, 1
     while True:
-        ring_range = F.sequence(F.lit(-ring), F.lit(ring))
-        # Parents are few; fine cells meet them only after neighbours are listed per parent.
-        parents = todo.select(*keys, "_pc", "_pr").distinct()
-        around = parents.withColumn("_i", F.explode(ring_range)).withColumn("_j", F.explode(ring_range))
+        # Parents are few; fine cells meet them only after neighbours are listed per parent. Small areas list all they have.
+        parents = todo.select(*keys, "_pc", "_pr", "_span", "_size").distinct()
+        few = F.col("_size") <= k
+        reach_of = F.least(F.lit(ring), F.col("_span"))
+        span = F.sequence(-reach_of, reach_of)
+        around = parents.where(~few).withColumn("_i", F.explode(span)).withColumn("_j", F.explode(span))
         around = around.withColumns({"_cc": F.col("_pc") + F.col("_i"), "_cr": F.col("_pr") + F.col("_j")})
-        near = around.join(known, [*keys, "_cc", "_cr"]).drop("_i", "_j")
-        pairs = todo.join(near, [*keys, "_pc", "_pr"])
+        near = around.join(known, [*keys, "_cc", "_cr"]).select(*keys, "_pc", "_pr", "_cc", "_cr", *values)
+        whole = parents.where(few).join(known, keys).select(*near.columns)
+        pairs = todo.join(near.unionByName(whole), [*keys, "_pc", "_pr"])
         # exact integer distance in half fine cells
         dx = (F.col("_cc") * 2 + 1) * ratio - (F.col("col") * 2 + 1)
         dy = (F.col("_cr") * 2 + 1) * ratio - (F.col("row") * 2 + 1)
         pairs = pairs.withColumn("_d2", (dx.cast("bigint") * dx + dy.cast("bigint") * dy))
-        last = ring >= widest
         top = best_per_key(pairs, [*keys, "col", "row"], [F.asc("_d2"), F.asc("_cc"), F.asc("_cr")], k, "_place")
         weight = F.when(F.col("_d2") > 0, 1.0 / F.col("_d2"))
         aggs = [F.count("*").alias("_n"), F.max("_d2").alias("_far"), exact_sum(weight, 12).alias("_w"),
                 F.min_by(F.struct("_cc", "_cr", "_d2", *values), "_place").alias("_first")]
         aggs += [exact_sum(weight * F.col(v), 12).alias(f"_s_{v}") for v in values]
-        got = top.groupBy(*keys, "col", "row", "_pc", "_pr").agg(*aggs)
+        got = top.groupBy(*keys, "col", "row", "_pc", "_pr", "_span", "_size").agg(*aggs)
         reach = (2 * ring + 1) * ratio + 1
-        settled = F.lit(True) if last else (F.col("_n") >= k) & (F.col("_far") <= reach * reach)
-        if last:
-            step = got
-        else:
-            step = materialise(todo.join(got, [*keys, "col", "row", "_pc", "_pr"], "left"), "interpolated")
-        done = step.where(F.coalesce(settled, F.lit(False)))
+        settled = (F.col("_size") <= k) | (F.col("_span") <= ring) | ((F.col("_n") >= k) & (F.col("_far") <= reach * reach))
+        step = materialise(todo.join(got, [*keys, "col", "row", "_pc", "_pr", "_span", "_size"], "left"), "interpolated")
+        done = step.where(F.coalesce(settled, F.lit(False)) & F.col("_n").isNotNull())
         out = done if out is None else out.unionByName(done)
-        if last:
-            break
-        todo = step.where(~F.coalesce(settled, F.lit(False))).select(*keys, "col", "row", "_pc", "_pr")
-        if todo.isEmpty():
+        todo = step.where(~F.coalesce(settled, F.lit(False))).select(*todo.columns)
+        if ring >= widest or todo.isEmpty():
             break
         ring *= 2
     at_centre = F.col("_first._d2") == 0
