@@ -217,3 +217,34 @@ LAYER_PREFIXES = {"Gold_Silver_Locations": "gs", "Metallic_Mineral_Locations": "
 
 # Letters of the latitude bands of the UTM grid, south to north (fixed values).
 UTM_BANDS = "CDEFGHJKLMNPQRSTUVWX"
+
+# Sentences of evidence (fixed values: they are compared word for word). Each {} is filled in, in order.
+SENTENCES = {
+    "unit_in_buffer_only": "within the {} lithologic buffer (adjacent 250 m cell); no favourable unit in the {} itself",
+    "unit_in_cell": "mapped in the {} ({}% of it)",
+    "unit_beside": "in the {} buffer; the {} itself holds {}",
+    "unit_with_sites": "OF-00-495 unit {} ({}) {}; OF01-501 contrast {} from {} of {} training sites",
+    "unit_without_sites": "OF-00-495 unit {} — zero training sites in OF01-501, ranked 'Outside'",
+    "unit_unknown": "No OF-00-495 lithology label in this cell (nodata)",
+    "fault_none": "No OF-00-495 mapped fault within {} (published optimum buffer {})",
+    "fault_inside": "Nearest OF-00-495 mapped fault {} m — inside the published {} optimum buffer (its contrast is ASSUMED {}, not published)",
+    "fault_outside": "Nearest OF-00-495 mapped fault {} m — outside the published {} optimum buffer",
+    "trend_unknown": "Fault azimuth unknown: the OF-00-495 raster carries no orientation and the 1:24k geology does not map "
+                     "this cell, so the published 345°-030° trend filter could not be applied",
+    "trend_yes": "A 1:24k mapped fault within 1.7 km trends in the OF01-501 favourable 345°-030° band",
+    "trend_no": "No 1:24k mapped fault within 1.7 km trends in the favourable 345°-030° band",
+    "tract": "Tract: {} (published score guidance {}); posterior {} — reported for transparency only, the published posteriors "
+             "are not reproducible from this raster",
+    "scaled": "Scored natively on {} × 250 m cell(s) and {} this {} m cell — the WofE predictors are presence tests and saturate "
+              "if applied at coarse resolution",
+    "partial": "Only {}% of the cell is inside the study area",
+    "refused": "No WofE baseline: {}",
+    "no_workings": "no known_workings — assign workings first; if there are still none, this AOI has no survey- or topo-grade gold "
+                   "occurrence within its radius",
+    "not_verified": "{} working(s) present but workings_verified is false — for a null/control AOI that means the workings contradict "
+                    "the label and a human has to resolve it before the numbers mean anything",
+    "toponym": 'Toponym: "{}" (GNIS {}, Tier {} {}; matched "{}") {} km from cell centre.',
+    "corroborated": "Recorded occurrence '{}' {} km away — corroborated.",
+    "uncorroborated": "No recorded occurrence within 5 km — uncorroborated.",
+    "not_looked": "Occurrence data unavailable — corroboration unknown.",
+}

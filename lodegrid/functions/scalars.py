@@ -94,6 +94,17 @@ def comma_list(x: Column) -> Column:
     return F.when(F.size(parts) > 0, parts)
 
 
+def sentence(name: str, *values: Column | str) -> Column:
+    """A fixed sentence with its gaps filled; null where a value is null."""
+    texts = fixed.SENTENCES[name].split("{}")
+    if len(texts) != len(values) + 1:
+        raise ValueError(f"{name} has {len(texts) - 1} gaps")
+    parts = [F.lit(texts[0])]
+    for value, text in zip(values, texts[1:], strict=True):
+        parts += [F.lit(value) if isinstance(value, str) else value.cast("string"), F.lit(text)]
+    return F.concat(*parts)
+
+
 def collapse_space(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 

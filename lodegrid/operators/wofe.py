@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.functions import grid as g
-from lodegrid.functions.scalars import exact_sum, lookup, round_dp
+from lodegrid.functions.scalars import exact_sum, lookup, round_dp, sentence
 from lodegrid.operators.ranking import best_per_key
 
 MAX_CONTRAST = max(v[0] for v in fixed.CONTRASTS.values())
@@ -235,47 +235,39 @@ def _whole(x: Column) -> Column:
 
 
 def evidence_lines(n: Column, expected: Column) -> Column:
-    """Which published terms fired, in words. Reads the rolled-up columns and the best child."""
-    res, b = F.col("res"), lambda c: F.col(f"_best.{c}")
-    scale = F.when(res == fixed.WOFE_RESOLUTION, "cell").otherwise("best 250 m sub-cell")
-    buf, fault, placer = (f"{int(v)} m" for v in (fixed.LITHOLOGY_BUFFER_M, fixed.FAULT_BUFFER_M, fixed.PLACER_BUFFER_M))
-    meta = lambda i, cast=True: lookup({k: v[i] for k, v in fixed.CONTRASTS.items()}, b("wofe_unit")).cast("string")
-    where = F.when(
-        b("litho_buffer_only"),
-        F.concat(F.lit(f"within the {buf} lithologic buffer (adjacent 250 m cell); no favourable unit in the "), scale, F.lit(" itself")),
-    ).when(
-        b("wofe_unit") == b("in_cell_unit"),
-        F.concat(F.lit("mapped in the "), scale, F.lit(" ("), _whole(F.coalesce(b("geol_unit_frac"), F.lit(1.0)) * 100), F.lit("% of it)")),
-    ).otherwise(F.concat(F.lit(f"in the {buf} buffer; the "), scale, F.lit(" itself holds "), b("in_cell_unit")))
-    unit = F.when(b("wofe_unit").isNotNull(), F.concat(
-        F.lit("OF-00-495 unit "), b("wofe_unit"), F.lit(" ("), meta(3), F.lit(") "), where, F.lit("; OF01-501 contrast "),
-        meta(0), F.lit(" from "), meta(1), F.lit(f" of {fixed.TRAINING_SITES} training sites"),
-    )).when(b("geol_unit").isNotNull(), F.concat(
-        F.lit("OF-00-495 unit "), b("geol_unit"), F.lit(" — zero training sites in OF01-501, ranked 'Outside'"),
-    )).otherwise("No OF-00-495 lithology label in this cell (nodata)")
-    d = b("fault_distance_m")
-    near = F.when(d.isNull(), f"No OF-00-495 mapped fault within {placer} (published optimum buffer {fault})").otherwise(F.concat(
-        F.lit("Nearest OF-00-495 mapped fault "), _whole(d),
-        F.when(b("fault_within_buffer"), f" m — inside the published {fault} optimum buffer (its contrast is ASSUMED "
-               f"{fixed.FAULT_CONTRAST}, not published)").otherwise(f" m — outside the published {fault} optimum buffer")))
-    t = b("favourable_trend")
-    trend = F.when(
-        t.isNull(), "Fault azimuth unknown: the OF-00-495 raster carries no orientation and the 1:24k geology does not map "
-        "this cell, so the published 345°-030° trend filter could not be applied",
-    ).when(t, "A 1:24k mapped fault within 1.7 km trends in the OF01-501 favourable 345°-030° band").otherwise(
-        "No 1:24k mapped fault within 1.7 km trends in the favourable 345°-030° band")
-    bands = lookup({k: f"{v[0]:.2f}-{v[1]:.2f}" for k, v in fixed.TRACT_BANDS.items()}, F.col("tract"))
-    tract = F.concat(
-        F.lit("Tract: "), F.col("tract"), F.lit(" (published score guidance "), bands, F.lit("); posterior "),
-        F.format_string("%.2e", b("posterior")),
-        F.lit(" — reported for transparency only, the published posteriors are not reproducible from this raster"))
-    scaled = F.when(res != fixed.WOFE_RESOLUTION, F.concat(
-        F.lit("Scored natively on "), n.cast("string"), F.lit(" × 250 m cell(s) and "),
-        F.when(res < fixed.WOFE_RESOLUTION, "inherited by").otherwise("averaged to"), F.lit(" this "), res.cast("string"),
-        F.lit(" m cell — the WofE predictors are presence tests and saturate if applied at coarse resolution")))
-    partial = F.when(n < expected, F.concat(F.lit("Only "), _whole(n / expected * 100), F.lit("% of the cell is inside the study area")))
-    return F.when(F.col("refused").isNotNull(), F.array(F.concat(F.lit("No WofE baseline: "), F.col("refused")))).otherwise(
-        F.array_compact(F.array(unit, near, trend, tract, scaled, partial)))
+    """The terms of the model that fired, as sentences. Reads the rolled-up columns and the best child."""
+    res, best = F.col("res"), lambda c: F.col(f"_best.{c}")
+    near, reach, far = (f"{int(v)} m" for v in (fixed.LITHOLOGY_BUFFER_M, fixed.FAULT_BUFFER_M, fixed.PLACER_BUFFER_M))
+    native = res == fixed.WOFE_RESOLUTION
+    place = F.when(native, "cell").otherwise("best 250 m sub-cell")
+    of_unit = lambda i: lookup({k: v[i] for k, v in fixed.CONTRASTS.items()}, best("wofe_unit"))
+    where = (
+        F.when(best("litho_buffer_only"), sentence("unit_in_buffer_only", near, place))
+        .when(best("wofe_unit") == best("in_cell_unit"),
+              sentence("unit_in_cell", place, _whole(F.coalesce(best("geol_unit_frac"), F.lit(1.0)) * 100)))
+        .otherwise(sentence("unit_beside", near, place, best("in_cell_unit")))
+    )
+    unit = (
+        F.when(best("wofe_unit").isNotNull(), sentence(
+            "unit_with_sites", best("wofe_unit"), of_unit(3), where, of_unit(0), of_unit(1), str(fixed.TRAINING_SITES)))
+        .when(best("geol_unit").isNotNull(), sentence("unit_without_sites", best("geol_unit")))
+        .otherwise(sentence("unit_unknown"))
+    )
+    metres = best("fault_distance_m")
+    fault = (
+        F.when(metres.isNull(), sentence("fault_none", far, reach))
+        .when(best("fault_within_buffer"), sentence("fault_inside", _whole(metres), reach, str(fixed.FAULT_CONTRAST)))
+        .otherwise(sentence("fault_outside", _whole(metres), reach))
+    )
+    turn = best("favourable_trend")
+    trend = F.when(turn.isNull(), sentence("trend_unknown")).when(turn, sentence("trend_yes")).otherwise(sentence("trend_no"))
+    guidance = lookup({k: f"{v[0]:.2f}-{v[1]:.2f}" for k, v in fixed.TRACT_BANDS.items()}, F.col("tract"))
+    tract = sentence("tract", F.col("tract"), guidance, F.format_string("%.2e", best("posterior")))
+    passed = F.when(res < fixed.WOFE_RESOLUTION, "inherited by").otherwise("averaged to")
+    scaled = F.when(~native, sentence("scaled", n, passed, res))
+    partial = F.when(n < expected, sentence("partial", _whole(n / expected * 100)))
+    told = F.array_compact(F.array(unit, fault, trend, tract, scaled, partial))
+    return F.when(F.col("refused").isNotNull(), F.array(sentence("refused", F.col("refused")))).otherwise(told)
 
 
 def score_requests(ids: DataFrame, cells: DataFrame, mineral: str = fixed.MODEL_MINERAL,
