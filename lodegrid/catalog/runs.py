@@ -10,6 +10,7 @@ from lodegrid.catalog.scoring import WEIGHTS, _FUSED, _LAST, _RANKED, cells_rank
 from lodegrid.catalog.views import table, view, with_views
 from lodegrid.functions import geo, scalars as sc
 from lodegrid.operators import describe, evaluation as ev, records, runs, ranking
+from lodegrid.session import scratch_path
 
 _O = with_views("occurrence")
 
@@ -89,12 +90,19 @@ def _(spark, d):
     return view(spark, d, "run").where((F.col("status") == "completed") & ~F.col("git_dirty")).select("run_id", "aoi_id")
 
 
-@register("bucketed_scan_agrees", f"""{_O} SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second, true AS equal""")
+@register("bucketed_scan_agrees", f"""{_O} SELECT commodity_primary, count(*) AS n, CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second, true AS equal
+  FROM occurrence WHERE lon BETWEEN -122 AND -118.5 AND lat BETWEEN 46.5 AND 48 GROUP BY 1""")
 def _(spark, d):
-    occ = view(spark, d, "occurrence")
+    """A layer written by tile and read back tile by tile for a window, beside a full scan of the same window."""
+    path, whole = scratch_path(spark, "tiled"), view(spark, d, "occurrence")
+    tiled = whole.withColumns({"tile_lon": F.floor("lon").cast("int"), "tile_lat": F.floor("lat").cast("int")})
+    tiled.write.partitionBy("tile_lon", "tile_lat").parquet(path)
     box = geo.in_bbox(F.col("lon"), F.col("lat"), -122.0, 46.5, -118.5, 48.0)
-    tile = F.floor(F.col("lon") * 8).between(-976, -948) & F.floor(F.col("lat") * 8).between(372, 384)
-    return records.same_rows(occ.where(tile).where(box).select("site_id"), occ.where(box).select("site_id"))
+    pruned = F.col("tile_lon").between(-122, -119) & F.col("tile_lat").between(46, 48)
+    read = spark.read.schema(tiled.schema).parquet(path).where(pruned).where(box)
+    same = records.same_rows(read.select("site_id"), whole.where(box).select("site_id"))
+    counts = read.groupBy("commodity_primary").agg(F.count("*").alias("n"))
+    return counts.withColumns({c: same.select(c).scalar() for c in ("only_first", "only_second", "equal")})
 
 
 # --- unions and set operations ------------------------------------------------------------------
