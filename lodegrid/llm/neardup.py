@@ -9,10 +9,14 @@ Four values make a band; documents that agree on a band are candidates. With 48
 No group is ever collected, and copies are not expanded into pairs:
 
 - Equal sets are collapsed to one node before anything else.
-- A bucket is a star: each member is compared with the smallest member only. Groups are then joined by
-  distributed connected components, and buckets that still hold several groups get other leaders, a round at a
-  time. What is left after ``STAR_ROUNDS`` (members of one bucket, in different groups, never compared) is
-  compared in full, so no link inside a bucket is lost.
+- A bucket is a star: each member is compared with one leader only, and groups are joined by distributed connected
+  components. The first stars are those of ``FIRST`` bands; after them, members of a bucket that are in one group
+  already need nothing more, and most buckets hold one group.
+- Members of a bucket in different groups are met by a longer signature, one bit of each of ``2 * LONG`` values, made
+  for these members only: first with another leader per bucket, then, in the buckets that are still mixed, with
+  each other, once per pair, in the first bucket that they share. Both joins keep pairs whose differing bits are within
+  ``DEVIATIONS`` standard deviations of what the threshold gives (a pair above it is lost with probability 3e-7 at
+  most); these are compared in full too.
 - Full sets are made again from text for candidates only; they are never stored for all documents.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of
@@ -23,11 +27,11 @@ group; a row without doc_id gets no component and is kept. Columns beside ``doc_
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegrid.llm import text as T
@@ -37,10 +41,25 @@ SHINGLE = 5
 PERMUTATIONS = 96
 ROWS = 4
 PERCENT = 75
-STAR_ROUNDS = 3
+LONG = 2048
+DEVIATIONS = 5.0
+FIRST = 8
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)[:, None]
 _ODD = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1))[:, None]
+_LONG_XOR = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32)[:, None]
+_LONG_ODD = (_rng.integers(0, 1 << 32, LONG, dtype=np.uint32) | np.uint32(1))[:, None]
+#: A bit differs with half the probability that its value does.
+_DIFFER = (1 - PERCENT / 100) / 2
+_WORDS, _HEAD = 2 * LONG // 64, 16
+
+
+def most_bits(words: int) -> int:
+    """Differing bits in so many 64-bit words that a pair at the threshold may still have."""
+    n = 64 * words
+    return int(n * _DIFFER + DEVIATIONS * (n * _DIFFER * (1 - _DIFFER)) ** 0.5)
+
+
 _BAND = _rng.integers(0, 1 << 63, (PERMUTATIONS * 2 // ROWS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,16 +78,22 @@ def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndar
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, xor: np.ndarray = _XOR, odd: np.ndarray = _ODD) -> np.ndarray:
     """Minimum and maximum under each permutation, as rows (minimum, maximum)."""
     short = (shingles >> np.uint64(32)).astype(np.uint32)
-    low, high = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
-    for i in range(0, len(short), 4096):
-        h = (short[None, i:i + 4096] ^ _XOR) * _ODD
+    low, high = np.full(len(xor), 0xFFFFFFFF, np.uint32), np.zeros(len(xor), np.uint32)
+    step = max(1, (1 << 17) // len(xor))
+    for i in range(0, len(short), step):
+        h = (short[None, i:i + step] ^ xor) * odd
         low, high = np.minimum(low, h.min(axis=1)), np.maximum(high, h.max(axis=1))
     return np.stack([low, high], axis=1)
 
 
+def long_bits(shingles: np.ndarray) -> np.ndarray:
+    """The lowest bit of every value of the long signature, packed into 64-bit integers."""
+    return np.packbits((signature(shingles, _LONG_XOR, _LONG_ODD) & np.uint32(1)).astype(np.uint8)).view(np.int64)
+
+
 def bands(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band."""
     values = sig.reshape(-1, ROWS).astype(np.uint64)
@@ -100,6 +125,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["id", "shingles"])
 
 
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in T.chunks(texts):
+            sets = shingle_sets(texts[a:b])
+            bits, keys = [long_bits(s) for s in sets], [bands(signature(s)).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").slice(a, b - a), T.int_lists(np.concatenate(bits), np.array([len(x) for x in bits])),
+                T.int_lists(np.concatenate(keys), np.array([len(x) for x in keys])),
+            ], ["id", "bits", "bands"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sides = []
@@ -117,45 +154,74 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
+def _made_again(docs: DataFrame, ids: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """``make`` of the texts of the documents in ``ids`` (one column, distinct)."""
+    ids = ids.toDF("_id")
+    texts = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+    return materialise(texts.mapInArrow(make, schema), "made-again")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a < b) whose full sets are alike enough. Sets are made for the documents in ``pairs`` only."""
-    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(needed, docs["doc_id"] == needed["_id"]).select("doc_id", F.col("text").cast("binary").alias("text"))
-    sets = materialise(texts.mapInArrow(_sets, "id bigint, shingles array<bigint>"), "shingle-sets")
+    needed = pairs.select(F.explode(F.array("a", "b"))).distinct()
+    sets = _made_again(docs, needed, _sets, "id bigint, shingles array<bigint>")
     left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
     sized = pairs.join(right, "b").join(left, "a").where(
         F.least(F.size("left"), F.size("right")) * 100 >= F.greatest(F.size("left"), F.size("right")) * PERCENT
     )
-    return sized.select("a", "b", "left", "right").mapInArrow(_confirm, "a bigint, b bigint")
+    return materialise(sized.select("a", "b", "left", "right").mapInArrow(_confirm, "a bigint, b bigint"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that is not its own root; root is the smallest node that can be reached.
 
-    Alternates large-star and small-star steps on (node, smaller neighbour) until nothing changes; every step is
-    a pair of shuffles whose result is written to the shared folder.
+    Alternates large-star and small-star steps on (node, smaller neighbour) until every node has one neighbour
+    that has none itself. Every step is written to the shared folder.
     """
-    stars = materialise(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u <> v").distinct(), "edges")
-    mark = None
+    stars = edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u <> v")
     while True:
-        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = stars.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialise(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        seen = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
+        # Each node takes its smallest neighbour; the neighbours it had are sent there as well.
+        sent = large.join(lowest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        stars = materialise(sent.distinct(), "stars")
+        marks = stars.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                               F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("m"))
+        tangled = marks.groupBy("m.n").agg(F.sum("m.up").alias("up"), F.max("m.down").alias("down")).where("up + down > 1 AND up > 0")
+        if tangled.isEmpty():
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
 
 
-def _open_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (band, id, root) of buckets that hold more than one group."""
-    members = buckets.join(roots, buckets["id"] == roots["node"], "left").select(
-        "band", "id", F.coalesce("root", "id").alias("root"))
+def _open_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (band, id, root and other columns) of buckets that hold more than one group."""
+    members = buckets.join(roots, buckets["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return members.join(mixed.select("band"), "band")
+    return materialise(members.join(mixed.select("band"), "band"), "mixed")
+
+
+def _close(one: str, two: str) -> Column:
+    """Whether two long signatures can be those of texts above the threshold; a few words of them decide most pairs."""
+    head = sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(_HEAD)), F.lit(0))
+    words = F.zip_with(one, two, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return (head <= most_bits(_HEAD)) & (F.aggregate(words, F.lit(0), lambda total, n: total + n) <= most_bits(_WORDS))
+
+
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """Each open member with the leader of its bucket, where that is in another group and may be alike."""
+    leaders = members.groupBy("band").agg(F.min_by(F.struct("id", "root", "bits"), F.xxhash64("id")).alias("l"))
+    met = members.join(leaders, "band").where(F.col("root") != F.col("l.root")).where(_close("bits", "l.bits"))
+    return met.selectExpr("least(id, l.id) AS a", "greatest(id, l.id) AS b")
+
+
+def _member_pairs(members: DataFrame) -> DataFrame:
+    """Open members of one bucket with each other, where they are in different groups, may be alike and share no bucket before."""
+    two = members.toDF(*[f"{c}_" for c in members.columns])
+    before = F.zip_with(F.slice("bands", F.lit(1), F.col("place")), F.slice("bands_", F.lit(1), F.col("place")), lambda a, b: a == b)
+    met = members.join(two, (F.col("band") == F.col("band_")) & (F.col("id") < F.col("id_")) & (F.col("root") != F.col("root_"))
+                       & _close("bits", "bits_") & ~F.exists(before, lambda same: same))
+    return met.selectExpr("id AS a", "id_ AS b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -166,36 +232,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialise(signed, "signatures")
     nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
-    banded = nodes.select("id", F.explode("bands").alias("band"))
+    banded = nodes.select("id", F.posexplode("bands").alias("place", "band"))
     leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = materialise(banded.join(leaders.drop("n"), "band"), "buckets")
 
-    tested = materialise(buckets.where("id > leader").selectExpr("leader AS a", "id AS b").distinct(), "pairs")
-    links = materialise(confirmed(plain, tested), "links")
-    roots = components(links)
-    for turn in range(STAR_ROUNDS + 1):
-        mixed = materialise(_open_buckets(buckets.select("band", "id"), roots), "mixed")
-        if mixed.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            lead = mixed.groupBy("band").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("l"))
-            met = mixed.join(lead, "band").where("root <> l.root").selectExpr(
-                "least(id, l.id) AS a", "greatest(id, l.id) AS b")
-        else:
-            other = mixed.toDF("band", "id2", "root2")
-            met = mixed.join(other, (mixed["band"] == other["band"]) & (F.col("id") < F.col("id2")) & (
-                F.col("root") != F.col("root2"))).selectExpr("id AS a", "id2 AS b")
-        fresh = materialise(met.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        more = materialise(confirmed(plain, fresh), "links")
+    tested = materialise(buckets.where(f"place < {FIRST} AND id > leader").selectExpr("leader AS a", "id AS b").distinct(), "pairs")
+    roots = components(confirmed(plain, tested))
+    members = _open_members(buckets.select("band", "place", "id"), roots)
+    bits = _made_again(plain, members.select("id").distinct(), _long, "id bigint, bits array<bigint>, bands array<bigint>")
+    members = members.join(bits, "id")
+    for pairs in (_leader_pairs, _member_pairs):
+        fresh = materialise(pairs(members).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        # The stars so far stand for their links.
+        roots = components(confirmed(plain, fresh).union(roots.select("root", "node")))
         tested = tested.union(fresh)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
-    members = nodes.select("set_key", "id")
+        if pairs is _leader_pairs:
+            members = _open_members(members.drop("root"), roots)
+    members = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     classes = members.join(roots, members["id"] == roots["node"], "left").select(
         "set_key", F.coalesce("root", "id").alias("root"))
     out = signed.drop("bands").join(classes, "set_key", "left")

@@ -85,7 +85,7 @@ def test_signatures_estimate_resemblance():
     true = 857 / (len(a) + 143)
     assert abs((nd.signature(a) == nd.signature(b)).mean() - true) < 0.12
     differing = np.unpackbits((nd.long_bits(a) ^ nd.long_bits(b)).view(np.uint8)).sum() / (2 * nd.LONG)
-    assert abs(differing - (1 - true) / 2) < 0.04
+    assert abs(differing - (1 - true) / 2) < 0.03
 
 
 def test_links_between_groups_of_one_bucket_are_found(spark):
