@@ -65,8 +65,9 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         store.apply("loaded", token_counts.changes(docs, "insert", "words-1"))
     store.apply("toxic", token_counts.changes(docs.join(toxic, "doc_id", "left_semi"), "delete"))
-    rest = docs.where("NOT (lang <=> 'en')").join(toxic, "doc_id", "left_anti")
-    store.apply("recounted", token_counts.changes(rest, "revise", "marks-1"))
+    # Texts are counted where they are read; only their counts meet the list of what is gone.
+    recounted = token_counts.changes(docs.where("NOT (lang <=> 'en')"), "revise", "marks-1")
+    store.apply("recounted", recounted.join(toxic, "doc_id", "left_anti").select(*recounted.columns))
     return store.totals()
 
 
