@@ -51,7 +51,7 @@ _LONG_XOR = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32)[:, None]
 _LONG_ODD = (_rng.integers(0, 1 << 32, LONG, dtype=np.uint32) | np.uint32(1))[:, None]
 #: A bit differs with half the probability that its value does.
 _DIFFER = (1 - PERCENT / 100) / 2
-_WORDS, _HEAD = 2 * LONG // 64, 16
+_WORDS, _HEAD = 2 * LONG // 64, 16  # of 64 bits
 
 
 def most_bits(words: int) -> int:
@@ -89,9 +89,10 @@ def signature(shingles: np.ndarray, xor: np.ndarray = _XOR, odd: np.ndarray = _O
     return np.stack([low, high], axis=1)
 
 
-def long_bits(shingles: np.ndarray) -> np.ndarray:
-    """The lowest bit of every value of the long signature, packed into 64-bit integers."""
-    return np.packbits((signature(shingles, _LONG_XOR, _LONG_ODD) & np.uint32(1)).astype(np.uint8)).view(np.int64)
+def long_bits(shingles: np.ndarray, words: int = _WORDS) -> np.ndarray:
+    """The lowest bit of every value of the long signature, packed into 64-bit integers; the first ``words`` of them."""
+    n = 32 * words
+    return np.packbits((signature(shingles, _LONG_XOR[:n], _LONG_ODD[:n]) & np.uint32(1)).astype(np.uint8)).view(np.int64)
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
@@ -125,6 +126,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["id", "shingles"])
 
 
+def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in T.chunks(texts):
+            bits = [long_bits(s, _HEAD) for s in shingle_sets(texts[a:b])]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").slice(a, b - a), T.int_lists(np.concatenate(bits), np.full(len(bits), _HEAD)),
+            ], ["id", "bits"])
+
+
 def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -201,17 +212,21 @@ def _open_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(members.join(mixed.select("band"), "band"), "mixed")
 
 
+def _close_heads(one: str, two: str) -> Column:
+    """Whether the first words of two long signatures can be those of texts above the threshold."""
+    return sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(_HEAD)), F.lit(0)) <= most_bits(_HEAD)
+
+
 def _close(one: str, two: str) -> Column:
     """Whether two long signatures can be those of texts above the threshold; a few words of them decide most pairs."""
-    head = sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(_HEAD)), F.lit(0))
     words = F.zip_with(one, two, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    return (head <= most_bits(_HEAD)) & (F.aggregate(words, F.lit(0), lambda total, n: total + n) <= most_bits(_WORDS))
+    return _close_heads(one, two) & (F.aggregate(words, F.lit(0), lambda total, n: total + n) <= most_bits(_WORDS))
 
 
 def _leader_pairs(members: DataFrame) -> DataFrame:
     """Each open member with the leader of its bucket, where that is in another group and may be alike."""
     leaders = members.groupBy("band").agg(F.min_by(F.struct("id", "root", "bits"), F.xxhash64("id")).alias("l"))
-    met = members.join(leaders, "band").where(F.col("root") != F.col("l.root")).where(_close("bits", "l.bits"))
+    met = members.join(leaders, "band").where(F.col("root") != F.col("l.root")).where(_close_heads("bits", "l.bits"))
     return met.selectExpr("least(id, l.id) AS a", "greatest(id, l.id) AS b")
 
 
@@ -239,10 +254,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = materialise(buckets.where(f"place < {FIRST} AND id > leader").selectExpr("leader AS a", "id AS b").distinct(), "pairs")
     roots = components(confirmed(plain, tested))
     members = _open_members(buckets.select("band", "place", "id"), roots)
-    bits = _made_again(plain, members.select("id").distinct(), _long, "id bigint, bits array<bigint>, bands array<bigint>")
-    members = members.join(bits, "id")
-    for pairs in (_leader_pairs, _member_pairs):
-        fresh = materialise(pairs(members).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    for pairs, make, made in ((_leader_pairs, _head, "id bigint, bits array<bigint>"),
+                              (_member_pairs, _long, "id bigint, bits array<bigint>, bands array<bigint>")):
+        # Signatures join the members of this step only, so that nothing wide goes through the other shuffles.
+        bits = _made_again(plain, members.select("id").distinct(), make, made)
+        fresh = materialise(pairs(members.join(bits, "id")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         # The stars so far stand for their links.
         roots = components(confirmed(plain, fresh).union(roots.select("root", "node")))
         tested = tested.union(fresh)
