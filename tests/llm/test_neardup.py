@@ -88,6 +88,18 @@ def test_signatures_estimate_resemblance():
     assert abs(differing - (1 - true) / 2) < 0.03
 
 
+def test_long_cut_keeps_pairs_of_short_texts_above_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for shared, one, other in ((3, 1, 0), (4, 1, 0), (6, 1, 1), (9, 3, 0), (12, 2, 2), (15, 5, 0), (33, 11, 0), (45, 7, 8)):
+        for _ in range(150):
+            s = rng.integers(0, 1 << 63, shared + one + other, dtype=np.uint64)
+            pair = s[:shared + one], np.concatenate([s[:shared], s[shared + one:]])
+            rows.append((f"{shared}/+{one}/+{other}", *(nd.long_bits(x).tolist() for x in pair)))
+    pairs = spark.createDataFrame(rows, "kind string, one array<bigint>, two array<bigint>")
+    assert {r.kind: r["count"] for r in pairs.where(~nd._close("one", "two")).groupBy("kind").count().collect()} == {}
+
+
 def test_links_between_groups_of_one_bucket_are_found(spark):
     """Members far from the bucket's smallest are still met: a chain of texts, each like the next only."""
     words = [f"w{i}" for i in range(400)]
