@@ -2,9 +2,12 @@
 
 Subwords come from a public byte-level vocabulary: of its first ranks those whose beginnings are subwords too, so a word
 is cut greedily by walking a trie, for all words of a chunk at once. Every subword has two ids, inside a word and at
-its end; one more id ends a text. The model has one layer of one head. It is trained by backpropagation in one task
-on a bounded sample (the ``SAMPLE`` first learning documents by hash of their id, whole texts) and broadcast; its
-size is fixed. The output is a softmax in two steps, class and then member, so a token costs two short rows and
+its end; one more id ends a text. The model has one layer of one head, of fixed size. It is trained by backpropagation on
+every learning document, once, in ``ROUNDS`` rounds: documents are dealt to rounds by hash; in a round each task goes on
+from the model of the round before over its own texts, a chunk at a time, and the models of the tasks are added up in
+groups of ``FAN`` until one is left. What belongs to one id or class is averaged over the tasks that saw it, by how
+often they did, so that what only a few files hold is not thinned by the others. How tasks are cut changes the model a
+little. The output is a softmax in two steps, class and then member, so a token costs two short rows and
 not the whole vocabulary.
 
 Texts are scored in overlapping windows of ``WINDOW`` ids: each window scores the last ``STRIDE`` of them, with the ones
@@ -24,10 +27,11 @@ and not learned from; with nothing to learn from, all counts are 0 and the model
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,8 @@ from lodegrid.llm import text as T
 from lodegrid.llm.bpe import Vocabulary
 from lodegrid.session import materialise
 
-SAMPLE = 1_500
+#: Rounds of training; models that are added up in one task, and how often before the last sum.
+ROUNDS, FAN, LEVELS = 4, 32, 2
 BLOCK = 16 << 20
 RANKS, SUBWORDS, SIDE = 6_000, 2_047, 64
 WIDTH, INNER, WINDOW, STRIDE = 16, 24, 24, 18
@@ -138,8 +143,11 @@ class Model:
 
     def set_biases(self, ids: np.ndarray) -> None:
         """Start from the counts of ids."""
+        self.set_counts(np.bincount(ids, minlength=END + 1))
+
+    def set_counts(self, seen: np.ndarray) -> None:
         classes = len(self.p["class_bias"])
-        counts = np.bincount(ids, minlength=classes * SIDE).reshape(classes, SIDE) + 0.1
+        counts = np.pad(seen, (0, classes * SIDE - len(seen))).reshape(classes, SIDE) + 0.1
         counts[-1, (END + 1) - (classes - 1) * SIDE:] = 1e-9
         self.p["class_bias"] = np.log(counts.sum(1) / counts.sum()).astype(np.float32)
         self.p["member_bias"] = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
@@ -237,17 +245,25 @@ class Model:
         if not len(ids):
             return
         self.set_biases(ids)
+        steps = -(-int((-(-counts // STRIDE)).sum()) // BATCH)
+        self.descend(ids, counts, self.moments(), lambda t: min(1, t / 20) * (1 - (t - 1) / steps), seed)
+
+    def moments(self) -> dict:
+        return {"t": 0, "mean": {k: np.zeros_like(v) for k, v in self.p.items()}, "square": {k: np.zeros_like(v) for k, v in self.p.items()}}
+
+    def descend(self, ids: np.ndarray, counts: np.ndarray, state: dict, pace: Callable[[int], float], seed: int = 4) -> None:
+        """Adam over the windows in random order, going on from the moments in ``state``."""
         inputs, first, row, column = windows(ids, counts)
         starts = np.searchsorted(row, np.arange(len(inputs) + 1))
         order = np.random.default_rng(seed).permutation(len(inputs))
-        mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        steps = -(-len(order) // BATCH)
-        for t in range(1, steps + 1):
-            chosen = order[(t - 1) * BATCH:t * BATCH]
+        mean, square = state["mean"], state["square"]
+        for i in range(0, len(order), BATCH):
+            chosen = order[i:i + BATCH]
             own = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in chosen])
             local = np.repeat(np.arange(len(chosen)), starts[chosen + 1] - starts[chosen])
             g = self.gradients(inputs[chosen], first[chosen], local, column[own], ids[own])
-            rate = np.float32(RATE * min(1, t / 20) * (1 - (t - 1) / steps))
+            state["t"] += 1
+            t, rate = state["t"], np.float32(RATE * pace(state["t"]))
             for k, v in self.p.items():
                 mean[k] += np.float32(0.1) * (g[k] - mean[k])
                 square[k] += np.float32(0.02) * (g[k] * g[k] - square[k])
@@ -309,27 +325,79 @@ def _by_class(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(group[order[a]]), order[a:b]
 
 
-def train(docs: DataFrame, subwords: Subwords, learn: Column, sample: int = SAMPLE) -> Model:
-    """The model, trained in one task on the ``sample`` first learning documents by hash of their id."""
+def _id_counts(subwords: Subwords) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(END + 1, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in T.chunks(texts):
+                total += np.bincount(subwords.cut(texts[a:b])[1], minlength=END + 1)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["id", "n"])
+
+    return run
+
+
+def _weights(p: dict[str, np.ndarray], seen: np.ndarray) -> dict[str, np.ndarray]:
+    """How much each parameter of a task counts: rows of an id or class as often as it was seen, the others as all ids were."""
+    per_class = np.bincount(np.arange(len(seen)) // SIDE, seen, len(p["class_bias"]))
+    own = {"embed": seen[:, None], "member": per_class[:, None, None], "member_bias": per_class[:, None]}
+    return {k: own.get(k, seen.sum() * np.ones((1,) * v.ndim)) for k, v in p.items()}
+
+
+def _learned(shared: Broadcast, pace: float) -> Callable:
+    """One task of a round: (task, the sums of its parameters times their weights, and the weights)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((d, t or b"") for batch in batches for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        model, ids, counts = Model(), [], []
-        texts = [t for _, t in rows]
-        for a, b in T.chunks(texts):
-            _, i, c = subwords.cut(texts[a:b])
-            ids.append(i)
-            counts.append(c)
-        if ids:
-            model.train(np.concatenate(ids), np.concatenate(counts))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.p)], pa.binary())], ["model"])
-
-    chosen = docs.where(learn & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(sample)
-    # At most ``sample`` ids are broadcast.
-    picked = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text").repartition(1)
-    model, trained = Model(), picked.mapInArrow(run, "model binary").first()
-    if trained is not None:  # nothing runs over an empty table
-        model.p = pickle.loads(bytes(trained[0]))
+        subwords, start = shared.value
+        model, seen = Model(), np.zeros(END + 1)
+        model.p = {k: v.copy() for k, v in start.items()}
+        state = model.moments()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in T.chunks(texts):
+                _, ids, counts = subwords.cut(texts[a:b])
+                model.descend(ids, counts, state, lambda t: min(1, t / 20) * pace)
+                seen += np.bincount(ids, minlength=END + 1)
+        if seen.any():
+            weights = _weights(model.p, seen)
+            sums = {k: (v * weights[k]).astype(np.float32) for k, v in model.p.items()}
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pickle.dumps((sums, weights))], pa.binary())],
+                                             ["task", "model"])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Sums of a group of tasks as one."""
+    order = np.argsort(table.column("task").to_numpy(), kind="stable")
+    total = None
+    for i in order:
+        part = pickle.loads(table.column("model")[int(i)].as_py())
+        total = part if total is None else tuple({k: x[k] + y[k] for k in x} for x, y in zip(total, part, strict=True))
+    return pa.table({"task": pa.array([table.column("task")[0].as_py() // FAN], pa.int64()), "model": pa.array([pickle.dumps(total)], pa.binary())})
+
+
+def train(docs: DataFrame, subwords: Subwords, learn: Column) -> Model:
+    """The model, trained on all learning documents."""
+    spark, model = docs.sparkSession, Model()
+    texts = docs.where(learn & F.col("doc_id").isNotNull()).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("round"))
+    counted = texts.select("text").mapInArrow(_id_counts(subwords), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    if not counted:
+        return model
+    seen = np.zeros(END + 1, np.int64)
+    for r in counted:  # at most one row per id
+        seen[r.id] = r.n
+    model.set_counts(seen)
+    for i in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((subwords, model.p))
+        parts = texts.where(F.col("round") == i).select("text").mapInArrow(_learned(shared, 1 - i / ROUNDS), "task bigint, model binary")
+        for _ in range(LEVELS):
+            parts = parts.groupBy((F.col("task") / FAN).cast("bigint")).applyInArrow(_added, "task bigint, model binary")
+        found = parts.groupBy().applyInArrow(_added, "task bigint, model binary").first()
+        if found is not None:
+            sums, weights = pickle.loads(bytes(found["model"]))
+            model.p = {k: np.where(weights[k] > 0, sums[k] / np.maximum(weights[k], 1), v).astype(np.float32) for k, v in model.p.items()}
     return model
 
 

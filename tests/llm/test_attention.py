@@ -1,6 +1,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodegrid.llm import attention as at
@@ -93,6 +94,17 @@ def test_training_lowers_the_loss(subwords):
     assert trained.log10(ids, counts).mean() > model.log10(ids, counts).mean() + 0.5
 
 
+def test_what_only_late_documents_hold_is_learned(spark, subwords, monkeypatch):
+    """More documents than any sample of fixed size, over several tasks: the last 300 of 3,000 by hash of their id have words of their own."""
+    monkeypatch.setattr(at, "FAN", 2)
+    late = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"))) > 2700
+    text = F.when(late, "quick zebra vexes jumpy wolf").otherwise("the cat sat on the mat")
+    docs = spark.range(3000).toDF("doc_id").select("doc_id", text.cast("binary").alias("text")).repartition(7)
+    model = at.train(docs, subwords, F.lit(True))
+    _, ids, counts = subwords.cut([b"quick zebra vexes jumpy wolf"])
+    assert model.log10(ids, counts).mean() > at.Model().log10(ids, counts).mean() + 0.5
+
+
 def test_counts_and_base_scores_match_plain_counting(spark, monkeypatch):
     monkeypatch.setattr(at, "BLOCK", 200)
     texts = ["The cat sat on the mat", "a dog sat", None, "", "the cat", "new words here"] * 5
