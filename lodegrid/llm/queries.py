@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import attention, bpe, chat, decontaminate, fingerprint, hosts, language, neardup, quality, token_counts
+from lodegrid.llm import attention, bpe, chat, decontaminate, fingerprint, hosts, language, neardup, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +220,8 @@ def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
