@@ -1,50 +1,67 @@
 """Ranks within a group that may hold a third of all rows.
 
-No task sorts a whole group: rows are counted per distinct value (partial aggregation collapses ties before the
-shuffle), distinct values are ranked inside bins that are cut at quantiles of the group's distinct values, and
-bins are offset by a running total over at most ``BINS`` rows per group. Every group goes this way, of any size.
+A rank is a prefix sum. Rows are dealt out by range of (group, value), ties further by a hash of the row, so that no
+group, and no value that many rows share, stays in one task. Rows are counted per range, the counts are summed over the
+ranges before, and each row adds its place inside its range. Only a value that lies on the border of two ranges needs
+more: there is one such value per border at most, so that list is no longer than the list of ranges.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.functions.scalars import round_dp, tier
-from lodegrid.session import materialise, spread_join
-
-#: Bins per group; a bin holds about this share of the group's distinct values, however they are spread.
-BINS = 64
-
-
-def value_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group and distinct value: rows below it, rows tied with it, and the group's size and range."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("tied"))
-    shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    spans = counts.groupBy(*keys).agg(
-        F.min(value).alias("lowest"), F.max(value).alias("highest"), F.sum("tied").alias("n"),
-        F.percentile_approx(value, shares, F.lit(20 * BINS)).alias("_cuts"))
-    # Cut points leave before anything is sorted; only the bin goes on.
-    placed = spread_join(counts, spans, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    inside = Window.partitionBy(*keys, "_bin").orderBy(value)
-    placed = placed.withColumn("_below", F.sum("tied").over(inside) - F.col("tied"))
-    across = Window.partitionBy(*keys).orderBy("_bin")
-    bins = placed.groupBy(*keys, "_bin").agg(F.sum("tied").alias("_in_bin"))
-    bins = bins.withColumn("_before", F.sum("_in_bin").over(across) - F.col("_in_bin")).drop("_in_bin")
-    return (
-        spread_join(placed, bins, [*keys, "_bin"])
-        .withColumn("below", F.col("_below") + F.col("_before"))
-        .drop("_bin", "_below", "_before")
-    )
+from lodegrid.session import materialise
 
 
-def with_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows with below, tied, n, lowest and highest of their group; null values have no position.
+def dealt_by_range(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Rows stored in ranges of ``order``, with the number of the range (_part), which grows with the order."""
+    return materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
 
-    The input is stored once, as it is read more than once.
-    """
-    rows = materialise(rows, "ranked")
-    return spread_join(rows, value_positions(rows.where(F.col(value).isNotNull()), keys, value), [*keys, value], "left")
+
+def ranges(dealt: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+    """Per group and range: rows in it (_inside), in the ranges before it (_before) and in the group (n), and ``extra`` aggregates."""
+    parts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_inside"), *extra)
+    group = Window.partitionBy(*keys)
+    return parts.withColumns({"_before": F.sum("_inside").over(group.orderBy("_part")) - F.col("_inside"), "n": F.sum("_inside").over(group)})
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """Rows with their number (from 1) in their group, as row_number gives it, and the rows of the group (n)."""
+    dealt = dealt_by_range(rows, [*keys, *order])
+    placed = dealt.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    both = placed.join(ranges(dealt, keys).drop("_inside"), [*keys, "_part"], "left")
+    return both.withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
+
+
+def _across_borders(dealt: DataFrame, parts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Position of each value that more than one range holds: one row per border of two ranges at most."""
+    group = Window.partitionBy(*keys).orderBy("_part")
+    shared = parts.withColumn("_next", F.lead("_lo").over(group)).where("_hi = _next").select(*keys, F.col("_hi").alias(value)).distinct()
+    counts = dealt.join(F.broadcast(shared), [*keys, value], "left_semi").groupBy(*keys, value, "_part").agg(F.count("*").alias("_k"))
+    counts = counts.join(parts.select(*keys, "_part", "_inside", "_before"), [*keys, "_part"])
+    # In the first of its ranges such a value stands last.
+    return counts.groupBy(*keys, value).agg(
+        F.sum("_k").alias("_tied"), F.min_by(F.col("_before") + F.col("_inside") - F.col("_k"), "_part").alias("_below"))
+
+
+def with_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with below, tied, n, lowest and highest of their group; null values and rows of a null group have no position."""
+    known, keys_, columns = F.col(value).isNotNull(), ["_known", *keys], rows.columns
+    dealt = dealt_by_range(rows.withColumn("_known", known), [*keys_, value, F.xxhash64(*columns)])
+    parts = ranges(dealt, keys_, F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    group = Window.partitionBy(*keys_)
+    parts = parts.withColumns({"lowest": F.min("_lo").over(group), "highest": F.max("_hi").over(group)})
+    inside = Window.partitionBy(*keys_, "_part").orderBy(value)
+    placed = dealt.withColumns({"_rank": F.rank().over(inside), "_same": F.count("*").over(inside.rangeBetween(0, 0))})
+    border = _across_borders(dealt, parts, keys_, value)
+    placed = placed.join(parts.drop("_inside", "_lo", "_hi"), [*keys_, "_part"], "left").join(F.broadcast(border), [*keys_, value], "left")
+    found = {
+        "below": F.coalesce(F.col("_below"), F.col("_before") + F.col("_rank") - 1), "tied": F.coalesce("_tied", "_same"),
+        "n": F.col("n"), "lowest": F.col("lowest"), "highest": F.col("highest"),
+    }
+    return placed.select(*columns, *[F.when(F.col("_known"), c).alias(k) for k, c in found.items()])
 
 
 def rank_relative(cells: DataFrame, keys: list[str], score: str = "score") -> DataFrame:

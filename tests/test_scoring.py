@@ -44,17 +44,46 @@ def test_ten_cells_have_one_high(spark):
     assert tiers[-1] == "high" and tiers.count("high") == 1
 
 
-@pytest.mark.parametrize("bins", [2, ranking.BINS])
-def test_hot_group_matches_plain_window(spark, monkeypatch, bins):
-    monkeypatch.setattr(ranking, "BINS", bins)
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges as they are on a cluster, where small ones are not put together again."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("groups", [1, 50])
+def test_hot_group_matches_plain_window(spark, many_ranges, groups):
+    """A group of a third or all of the rows, a value of a quarter of them, some values missing."""
     from pyspark.sql import Window
     df = spark.range(5000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("aoi"), "id",
-        F.when(F.col("id") % 4 == 0, 0.25).otherwise((F.col("id") * 7919 % 997) / 997.0).alias("score"))
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % groups).alias("aoi"), "id",
+        F.when(F.col("id") % 4 == 0, 0.25).when(F.col("id") % 11 != 0, (F.col("id") * 7919 % 997) / 997.0).alias("score"))
+    known = df.where("score is not null")
     w = Window.partitionBy("aoi").orderBy("score")
-    plain = df.withColumn("r", F.rank().over(w) + (F.count("*").over(Window.partitionBy("aoi", "score")) - 1) / 2.0)
-    ours = ranking.mid_rank(df, ["aoi"], "score", "r")
-    assert plain.select("id", "r").exceptAll(ours.select("id", "r")).isEmpty()
+    plain = known.withColumn("r", F.rank().over(w) + (F.count("*").over(Window.partitionBy("aoi", "score")) - 1) / 2.0)
+    ours = ranking.mid_rank(df, ["aoi"], "score", "r").select("id", "r")
+    assert ours.where("r is not null").count() == plain.count() and ours.count() == 5000
+    assert plain.select("id", "r").exceptAll(ours).isEmpty()
+    found = ranking.with_positions(df, ["aoi"], "score").where("score = 0.25").groupBy("aoi").agg(F.min("tied"), F.max("tied"), F.count("*")).collect()
+    assert all(r[1] == r[2] == r[3] for r in found)
+
+
+def test_a_hot_group_is_dealt_to_many_ranges(spark, many_ranges):
+    df = spark.range(4000).select(F.lit(1).alias("aoi"), "id", F.when(F.col("id") % 3 > 0, 0.5).otherwise(F.col("id") / 4000).alias("score"))
+    sizes = ranking.dealt_by_range(df, ["aoi", "score", F.xxhash64("aoi", "id")]).groupBy("_part").count().collect()
+    assert len(sizes) >= 10 and max(r["count"] for r in sizes) < 800
+
+
+def test_numbers_of_rows_match_a_plain_window(spark, many_ranges):
+    from pyspark.sql import Window
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), "id", (F.col("id") * 31 % 100).alias("v"))
+    order = [F.col("v").desc(), F.col("id")]
+    plain = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("bigint").alias("i"))
+    assert plain.exceptAll(ranking.numbered(df, ["k"], order, "i").select("id", "i")).isEmpty()
 
 
 def test_spearman_ties_and_undefined(spark):
