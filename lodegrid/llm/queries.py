@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrid.llm import attention, bpe, chat, decontaminate, fingerprint, hosts, language, neardup, quality, simhash, token_counts
+from lodegrid.llm import attention, bpe, chat, decontaminate, fingerprint, hosts, importance, language, neardup, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +225,41 @@ def op10_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: crc32 byte by byte, with the table of its 256 remainders made by its rule.
+ORACLES["op12_importance_resampling"] = f"""
+WITH remainders AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(CAST([i, 0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[]),
+    lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::UBIGINT) ELSE a // 2 END) AS c FROM range(256) r(i))
+), texts AS (
+  SELECT 'd' AS kind, doc_id, {_WORDS} AS w FROM documents UNION ALL SELECT 'b', NULL, {_WORDS} FROM benchmark
+), numbered AS (
+  SELECT *, row_number() OVER () AS r FROM texts
+), features AS (
+  SELECT kind, r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM numbered
+), hashed AS (
+  SELECT f, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS UBIGINT)),
+    lambda a, b: xor(a // 256, t[CAST(xor(a, b) % 256 AS BIGINT) + 1])), 4294967295::UBIGINT) % {importance.BUCKETS} AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)), remainders
+), counts AS (
+  SELECT bucket, 1e0 * count(*) FILTER (kind = 'd') AS s, 1e0 * count(*) FILTER (kind = 'b') AS t FROM features JOIN hashed USING (f) GROUP BY 1
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + {importance.BUCKETS}) / ((s + 1) * ((SELECT sum(t) FROM counts) + {importance.BUCKETS})))) AS BIGINT) AS gain
+  FROM counts
+), weights AS (
+  SELECT r, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY 1
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+  FROM numbered LEFT JOIN weights USING (r) WHERE kind = 'd'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM placed"""
