@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from lodegrid.catalog import sqlmath as q
 from lodegrid.catalog.geometry import aoi_edges, drawn_polygons, multi_sql, overlay_sql
+from lodegrid.catalog.names import _NL, _SEG, KEYS, _cross, _touch, near_lines, segments
 from lodegrid.catalog.registry import register
 from lodegrid.catalog.views import with_views
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import round_dp
-from lodegrid.operators import clip, overlay
+from lodegrid.operators import clip, lines as ln, overlay
 from lodegrid.sinks.tables import polygon_feature
 
 
@@ -82,3 +83,32 @@ def _(spark, d):
     cells = cells.where("geometry IS NOT NULL").withColumn("cell_id", g.cell_id(F.col("res"), F.col("col"), F.col("row")))
     properties = F.struct("aoi_id", F.col("res").alias("resolution_m"))
     return cells.select("aoi_id", "cell_id", polygon_feature(F.col("geometry"), properties, F.col("cell_id")).alias("feature"))
+
+
+# --- crossings of faults, however many a cell holds -------------------------------------------------
+_A, _B, _C, _D = (("p.ax", "p.ay"), ("p.bx", "p.by"), ("s.ax", "s.ay"), ("s.bx", "s.by"))
+
+
+@register("fault_crossings_all", f"""{_NL}, ins AS (SELECT DISTINCT aoi_id, col, row, line_id FROM nl WHERE kind = 'fault' AND dm = 0),
+  pr AS (SELECT a.aoi_id, a.col, a.row, a.line_id AS la, b.line_id AS lb FROM ins a JOIN ins b ON a.aoi_id = b.aoi_id AND a.col = b.col AND a.row = b.row AND a.line_id < b.line_id),
+  cr AS (SELECT DISTINCT la, lb FROM (SELECT DISTINCT la, lb FROM pr) JOIN seg p ON p.line_id = la JOIN seg s ON s.line_id = lb WHERE {_touch(_A, _B, _C, _D)})
+  SELECT aoi_id, col, row, count(*) AS fault_intersections_in_cell FROM pr JOIN cr USING (la, lb) GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return ln.fault_crossings_all(near_lines(spark, d), segments(spark, d), KEYS)
+
+
+def _meeting_sql() -> str:
+    o3, o4 = _cross(_C, _D, _A), _cross(_C, _D, _B)
+    def end(o, p, r, e):
+        return (f"CASE WHEN {o} = 0 AND {e[0]} BETWEEN least({p[0]}, {r[0]}) AND greatest({p[0]}, {r[0]}) AND {e[1]} BETWEEN least({p[1]}, {r[1]}) AND greatest({p[1]}, {r[1]}) "
+                f"THEN {{x: {e[0]}, y: {e[1]}}} END")
+    ends = ", ".join((end(_cross(_A, _B, _C), _A, _B, _C), end(_cross(_A, _B, _D), _A, _B, _D), end(o3, _C, _D, _A), end(o4, _C, _D, _B)))
+    return f"coalesce(list_min([{ends}]), {{x: p.ax + {o3} / ({o3} - {o4}) * (p.bx - p.ax), y: p.ay + {o3} / ({o3} - {o4}) * (p.by - p.ay)}})"
+
+
+@register("fault_crossing_points", f"""{with_views('occurrence')}, {_SEG}, met AS (SELECT p.line_id, s.line_id AS other_id, {_meeting_sql()} AS m
+  FROM seg p JOIN seg s ON p.line_id < s.line_id AND p.kind = 'fault' AND s.kind = 'fault' WHERE {_touch(_A, _B, _C, _D)})
+  SELECT DISTINCT line_id, other_id, {q.rd('m.x', 6)} AS lon, {q.rd('m.y', 6)} AS lat FROM met""")
+def _(spark, d):
+    points = ln.crossing_points(segments(spark, d).where("kind = 'fault'"))
+    return points.select("line_id", "other_id", round_dp(F.col("x"), 6).alias("lon"), round_dp(F.col("y"), 6).alias("lat")).distinct()

@@ -93,6 +93,22 @@ def segments_touch(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
     )
 
 
+def meeting_point(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
+    """struct(x, y) that segments ab and cd share, null where they share none; the smallest end point where ends touch."""
+    o1, o2 = cross(*a, *b, *c), cross(*a, *b, *d)
+    o3, o4 = cross(*c, *d, *a), cross(*c, *d, *b)
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def end(o, p, q, r):
+        on = r[0].between(F.least(p[0], q[0]), F.greatest(p[0], q[0])) & r[1].between(F.least(p[1], q[1]), F.greatest(p[1], q[1]))
+        return F.when((o == 0) & on, at(*r))
+
+    ends = F.array_min(F.array_compact(F.array(end(o1, a, b, c), end(o2, a, b, d), end(o3, c, d, a), end(o4, c, d, b))))
+    t = o3 / (o3 - o4)
+    proper = (F.signum(o1) * F.signum(o2) < 0) & (F.signum(o3) * F.signum(o4) < 0)
+    return F.coalesce(ends, F.when(proper, at(a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))))
+
+
 def azimuth(dx: Column, dy: Column) -> Column:
     """Trend folded to [0, 180); null for a closed or single-point trace."""
     return F.when((dx != 0) | (dy != 0), F.pmod(F.degrees(F.atan2(dx, dy)), F.lit(180.0)))

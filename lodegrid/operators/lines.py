@@ -183,6 +183,81 @@ def fault_crossings(near: DataFrame, segments: DataFrame, keys: list[str]) -> Da
         F.count("*").alias("fault_intersections_in_cell"))
 
 
+# --- crossings of all faults --------------------------------------------------------------------
+#: Side of a square in degrees; a square with more than MOST segments is quartered both ways, DEEPEST times at most.
+CROSSING_SQUARE, MOST, DEEPEST = 0.02, 64, 4
+_EDGE = 1e-7
+
+
+def squares_passed(segments: DataFrame, side: float, within: float | None = None) -> DataFrame:
+    """Each segment in the squares (_bx, _by) of the plane of degrees that it passes, column by column, borders on both sides.
+
+    With ``within``, only squares inside the square of that side in which the row stands are listed.
+    """
+    column = lambda v, shift: F.floor(v / side + shift).cast("bigint")
+    lo_x, hi_x = F.least("ax", "bx"), F.greatest("ax", "bx")
+    k = None if within is None else round(within / side)
+    first, last = column(lo_x, -_EDGE), column(hi_x, _EDGE)
+    if k:
+        first, last = F.greatest(first, F.col("_bx") * k), F.least(last, F.col("_bx") * k + k - 1)
+    out = segments.where(first <= last).withColumn("_c", F.explode(F.sequence(first, last)))
+    slope = F.when(F.col("ax") != F.col("bx"), (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+    y = lambda x: F.when(slope.isNull(), None).otherwise(F.col("ay") + (x - F.col("ax")) * slope)
+    from_x, to_x = F.greatest(lo_x, F.col("_c") * side), F.least(hi_x, (F.col("_c") + 1) * side)
+    y0, y1 = F.coalesce(y(from_x), F.col("ay")), F.coalesce(y(to_x), F.col("by"))
+    low, high = column(F.least(y0, y1), -_EDGE), column(F.greatest(y0, y1), _EDGE)
+    if k:
+        low, high = F.greatest(low, F.col("_by") * k), F.least(high, F.col("_by") * k + k - 1)
+    out = out.withColumns({"_l": low, "_h": high}).where("_l <= _h").withColumn("_r", F.explode(F.sequence("_l", "_h")))
+    return out.drop("_bx", "_by", "_l", "_h").withColumnsRenamed({"_c": "_bx", "_r": "_by"})
+
+
+def _met(listed: DataFrame, side: float) -> DataFrame:
+    """Points shared by segments of two lines, each found in the square that holds it."""
+    ends = ("ax", "ay", "bx", "by")
+    other = listed.select("_bx", "_by", F.col("line_id").alias("other_id"), *[F.col(c).alias(f"o{c}") for c in ends])
+    apart = lambda p: (F.least(f"o{p[0]}", f"o{p[1]}") <= F.greatest(*p)) & (F.least(*p) <= F.greatest(f"o{p[0]}", f"o{p[1]}"))
+    c = F.col
+    point = geo.meeting_point((c("ax"), c("ay")), (c("bx"), c("by")), (c("oax"), c("oay")), (c("obx"), c("oby")))
+    met = listed.join(other, ["_bx", "_by"]).where((c("line_id") < c("other_id")) & apart(("ax", "bx")) & apart(("ay", "by")))
+    met = met.withColumn("_p", point).where("_p IS NOT NULL")
+    own = (F.floor(c("_p.x") / side) == c("_bx")) & (F.floor(c("_p.y") / side) == c("_by"))
+    return met.where(own).select("line_id", "other_id", "_p.x", "_p.y")
+
+
+def crossing_points(segments: DataFrame, side: float = CROSSING_SQUARE, most: int = MOST, deepest: int = DEEPEST) -> DataFrame:
+    """line_id, other_id, x, y (degrees): every point in which two lines cross or touch.
+
+    A segment meets only those that pass a square with it, and a point belongs to one square, so no line is compared with
+    a line and no point is found twice. Crowded squares are cut into sixteen by their counts.
+    """
+    todo = squares_passed(segments.select("line_id", "ax", "ay", "bx", "by"), side)
+    found = None
+    for level in range(deepest + 1):
+        todo = materialise(todo, "squares")
+        crowded = todo.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
+        deep = level < deepest and not crowded.isEmpty()
+        here = _met(todo.join(crowded, ["_bx", "_by"], "left_anti") if deep else todo, side)
+        found = here if found is None else found.unionByName(here)
+        if not deep:
+            return found
+        todo = squares_passed(todo.join(crowded, ["_bx", "_by"], "left_semi"), side / 4, within=side)
+        side /= 4
+
+
+def fault_crossings_all(near: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of faults that both meet a cell and cross or touch each other, for any number of faults in the cell.
+
+    Only pairs that do cross are joined to cells, so a cell with many faults costs what crosses in it.
+    """
+    inside = near.where((F.col("kind") == "fault") & (F.col("distance_m") == 0)).select(*keys, "line_id").distinct()
+    faults = segments.where(F.col("kind") == "fault") if "kind" in segments.columns else segments
+    pairs = crossing_points(faults).select("line_id", "other_id").distinct()
+    inside = materialise(inside, "faults")
+    both = inside.join(pairs, "line_id").join(inside.withColumnRenamed("line_id", "other_id"), [*keys, "other_id"], "left_semi")
+    return both.groupBy(*keys).agg(F.count("*").alias("fault_intersections_in_cell"))
+
+
 def trend_by_cell(mapped: DataFrame, structures: DataFrame, keys: list[str]) -> DataFrame:
     """Favourable trend nearby: true or false only where the cell is mapped, else null."""
     return structures.join(mapped.select(*keys, F.lit(True).alias("_m")).distinct(), keys, "left").select(
