@@ -152,17 +152,18 @@ def _(spark, d):
     """The same rollup as a stream over landed files, run until all input is taken: changed windows are merged as they come,
     and state is dropped once the watermark has passed."""
     from lodegrid.session import scratch_path
-    from lodegrid.sinks.tables import read_table, upsert_table
+    from lodegrid.sinks.tablelog import TableLog
     from lodegrid.streaming.pipelines import read_calls, windowed_usage
     landed, out = scratch_path(spark, "calls"), scratch_path(spark, "usage")
     calls = view(spark, d, "telemetry").withColumn("ts", F.col("ts").cast("timestamp"))
     calls.coalesce(4).write.json(landed)
     stream = windowed_usage(read_calls(spark, landed))
     # Counts of a window only grow, so the larger row is the newer one.
-    merge = lambda batch, _: upsert_table(batch.sparkSession, out, batch, ["window_start", "run_id", "agent_id"], ["calls"])
+    of = lambda s: TableLog(s, out, stream.schema, ["window_start", "run_id", "agent_id"], ["calls"])
+    merge = lambda batch, number: of(batch.sparkSession).merge(batch, ("usage", number))
     query = stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return read_table(spark, out, stream.schema).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return of(spark).read().withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 # --- plans --------------------------------------------------------------------------------------

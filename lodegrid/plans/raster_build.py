@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodegrid import fixed
 from lodegrid.functions import geo
 from lodegrid.operators import raster
-from lodegrid.sinks.tables import publish
+from lodegrid.sinks.tablelog import TableLog
 
 #: Layer names of the build and the grids they come from (fixed values).
 GRIDS = {"geol": "newageol", "fault": "newafaul", "fold": "newafold", "dike": "newadike"}
@@ -30,7 +30,8 @@ def native_cells(pixels: DataFrame, attributes: DataFrame, grids: dict[str, str]
 
 
 def build(pixels: DataFrame, attributes: DataFrame, path: str, built_at: str) -> None:
-    """Cells stored by coarse block, so an index window prunes files."""
+    """Cells stored by coarse block, so an index window prunes files, with their meta rows in the same commit."""
     cells = native_cells(pixels, attributes).withColumn("block", F.floor(F.col("col") / 400).cast("int"))
-    publish(cells.repartition("block").sortWithinPartitions("col", "row"), path, {
-        "built_at": built_at, "source": fixed.CITE_RASTER, "resolution_m": fixed.WOFE_RESOLUTION, "grid_tag": fixed.GRID_TAG}, ["block"])
+    table = TableLog(cells.sparkSession, path, cells.schema, ["block", "col", "row"], part="block")
+    table.publish(cells.repartition("block").sortWithinPartitions("col", "row"), {
+        "built_at": built_at, "source": fixed.CITE_RASTER, "resolution_m": fixed.WOFE_RESOLUTION, "grid_tag": fixed.GRID_TAG})

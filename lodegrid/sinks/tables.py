@@ -1,12 +1,11 @@
-"""Writing results: GeoJSON lines, table publishing, run records, upserts, manifests."""
+"""Writing results: GeoJSON lines, bounds, run records. Tables that change are in ``tablelog``."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodegrid import fixed
-from lodegrid.operators.records import upsert
 
 
 # --- GeoJSON ------------------------------------------------------------------------------------
@@ -48,14 +47,6 @@ def write_features(features: DataFrame, text: str, order: list[str], path: str)
 
 
 # --- tables -------------------------------------------------------------------------------------
-def publish(df: DataFrame, path: str, meta: dict[str, str], partition: list[str] | None = None) -> None:
-    """Data first, then its meta rows; each write commits as a whole."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
-    rows = [(k, str(v)) for k, v in sorted(meta.items())]
-    df.sparkSession.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.meta")
-
-
 def with_bounds(segments: DataFrame, keys: list[str], tile_degrees: float = 1.0) -> DataFrame:
     """Bounds of each geometry from its segments, and the tile its bounds start in for partition pruning."""
     out = segments.groupBy(*keys).agg(
@@ -65,49 +56,6 @@ def with_bounds(segments: DataFrame, keys: list[str], tile_degrees: float = 1.0)
         "tile_lon": F.floor(F.col("min_lon") / tile_degrees).cast("int"), "tile_lat": F.floor(F.col("min_lat") / tile_degrees).cast("int")})
 
 
-def committed_versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions of a table whose write has come to its end, oldest first."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    files = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = files.globStatus(at(f"{path.rstrip('/')}/version=*/_SUCCESS")) or []
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str, partition: str | None = None) -> DataFrame:
-    """Rows of a table written by ``upsert_table``: of each partition its newest committed version. Empty where there is none."""
-    versions = committed_versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    base = path.rstrip("/")
-    if not partition:
-        return spark.read.schema(schema).parquet(f"{base}/version={versions[-1]}")
-    fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    parts = [spark.read.schema(fields).parquet(f"{base}/version={v}").withColumn("_version", F.lit(v)) for v in versions]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    newest = every.groupBy(partition).agg(F.max("_version").alias("_version"))
-    return every.join(newest, [partition, "_version"], "left_semi").drop("_version").select(*fields.names)
-
-
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], order: list[str],
-                 partition: str | None = None) -> None:
-    """Merge into a parquet table; of the rows of a key the newest by ``order`` stays, so late files take nothing back.
-
-    The result is a new version beside the old ones, and readers turn to it when its write has ended; until then, and
-    after a lost job, they see the version before. With ``partition`` (one of the keys) only partitions that get rows
-    are in the new version. One writer at a time is assumed.
-    """
-    current = read_table(spark, path, incoming.schema, partition)
-    if partition:
-        touched = incoming.select(partition).distinct()
-        current = current.join(touched, partition, "left_semi")
-    merged = upsert(current, incoming, keys, order).select(*incoming.columns)
-    version = (committed_versions(spark, path) or [0])[-1] + 1
-    writer = merged.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{path.rstrip('/')}/version={version}")
-
-
 # --- run records --------------------------------------------------------------------------------
 def forbidden_fields(schema: T.DataType, path: str = "") -> list[str]:
     """Names anywhere in a schema that must never be written."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodegrid.operators.runs import usage_rollup
-from lodegrid.sinks.tables import upsert_table
+from lodegrid.sinks.tablelog import TableLog
 from lodegrid.sources.normalize import FIELDS, NORMALIZERS
 
 CALLS = "event_id bigint, ts timestamp, run_id bigint, agent_id string, input_tokens bigint, output_tokens bigint"
@@ -27,18 +27,25 @@ def windowed_usage(calls: DataFrame, width: str = "1 hour", late: str = "2 hours
     return out.select(F.col("window.start").alias("window_start"), "run_id", "agent_id", "calls", "input_tokens", "output_tokens", "est_cost_usd")
 
 
-def sync_channel(spark: SparkSession, landed: str, channel: str, schema: str, table: str, checkpoint: str) -> StreamingQuery:
+FEATURE_SCHEMA = ", ".join(f"{n} {t}" for n, t in FIELDS.items()) + ", ingested_at timestamp"
+
+
+def feature_table(spark: SparkSession, path: str) -> TableLog:
+    """Features of all channels, one row per record of a channel, the newest landed."""
+    return TableLog(spark, path, FEATURE_SCHEMA, ["source_channel", "source_record_id"], ["ingested_at"], "source_channel")
+
+
+def sync_channel(spark: SparkSession, landed: str, channel: str, schema: str, table: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
     """Normalise newly landed files of a channel and merge them into the feature table, then stop.
 
-    Within a batch the file landed last wins. A batch replayed after a failure merges to the same table.
+    Within a batch the file landed last wins. The table remembers the last batch of each channel, so one that is
+    replayed after a failure is not merged again. ``files`` bounds the files of a batch.
     """
-    raw = spark.readStream.schema(schema).json(landed).withColumn("ingested_at", F.col("_metadata.file_modification_time"))
+    reader = spark.readStream.schema(schema)
+    raw = (reader.option("maxFilesPerTrigger", files) if files else reader).json(landed).withColumn("ingested_at", F.col("_metadata.file_modification_time"))
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         features = NORMALIZERS[channel](batch, channel).where("source_record_id <> ''")
-        upsert_table(batch.sparkSession, table, features, ["source_channel", "source_record_id"], ["ingested_at"], "source_channel")
+        feature_table(batch.sparkSession, table).merge(features, (channel, number))
 
     return raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-FEATURE_SCHEMA = ", ".join(f"{n} {t}" for n, t in FIELDS.items()) + ", ingested_at timestamp"

@@ -117,7 +117,7 @@ def test_channel_sync_upserts_incrementally(spark, tmp_path):
     pipelines.sync_channel(spark, landed, "mindat", schema, table, ck).awaitTermination()
     rows((2, "b2", "47", "-121"), (3, "c", "bad", "-121"))
     pipelines.sync_channel(spark, landed, "mindat", schema, table, ck).awaitTermination()
-    got = {r.source_record_id: r.name for r in sink.read_table(spark, table, pipelines.FEATURE_SCHEMA, "source_channel").collect()}
+    got = {r.source_record_id: r.name for r in pipelines.feature_table(spark, table).read().collect()}
     assert got == {"1": "a", "2": "b2"}
 
 
@@ -173,14 +173,3 @@ def test_objects_are_found_whatever_stands_around_them(spark):
     text = 'x {"cells": [{"cell_id": "c1", "score": 0.5, "evidence": ["a } b"]}, {"cell_id": "c2", "meta": {"k": 1}}]} then {"cell_id": "c3"'
     df = spark.createDataFrame([(1, text)], "batch int, body string")
     assert [r.cell_id for r in runs.parse_responses(df, "body", ["batch"]).orderBy("position").collect()] == ["c1", "c2"]
-
-
-def test_late_rows_take_nothing_back_and_lost_writes_are_not_seen(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "ch string, k int, v int, text string"
-    put = lambda *rows: sink.upsert_table(spark, path, spark.createDataFrame(list(rows), schema), ["ch", "k"], ["v"], "ch")
-    put(("a", 1, 5, "new"), ("b", 1, 1, "b"))
-    put(("a", 1, 3, "late"), ("a", 2, 1, "two"))
-    spark.createDataFrame([("a", 1, 9, "lost")], schema).write.partitionBy("ch").parquet(path + "/version=9")
-    (tmp_path / "t" / "version=9" / "_SUCCESS").unlink()
-    got = sorted((r.ch, r.k, r.text) for r in sink.read_table(spark, path, schema, "ch").collect())
-    assert got == [("a", 1, "new"), ("a", 2, "two"), ("b", 1, "b")]
