@@ -1,30 +1,34 @@
 """Assembled facts, evidence lines, streams and end-to-end plans."""
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.catalog import sqlmath as q
 from lodegrid.catalog.evidence import _AREQ
-from lodegrid.catalog.geometry import aoi_cells
-from lodegrid.catalog.nearby import KEYS, _FACTS, facts
-from lodegrid.catalog.registry import register
+from lodegrid.catalog import clipped, names  # noqa: F401
+from lodegrid.catalog.geometry import aoi_cells, overlay_sql, polygon_edges
+from lodegrid.catalog.names import _REACH
+from lodegrid.catalog.nearby import KEYS, _CELLS, _FACTS, _PAIRS, facts, framed, near
+from lodegrid.catalog.registry import ORACLES, QUERIES, register
 from lodegrid.catalog.views import table, view, with_views
 from lodegrid.functions import geo, grid as g
-from lodegrid.operators import describe, overlay, spatial, wofe
+from lodegrid.operators import describe, lines as ln, overlay, spatial, toponyms as tp, wofe
 from lodegrid.plans import analysis
 from lodegrid.session import materialise
 
 
 @register("lithology_lines", f"""{_AREQ}, t1 AS (SELECT rc, rr, arg_min(geol_unit, place) AS unit FROM rk GROUP BY 1, 2),
   fm AS (SELECT unnest(['{"','".join(fixed.CONTRASTS)}']) AS u, unnest(['{"','".join(v[3].replace("'", "''") for v in fixed.CONTRASTS.values())}']) AS formation)
-  SELECT rc AS col, rr AS row, CASE WHEN favourable_unit IS NOT NULL THEN 'OF01-501 favourable unit ' || favourable_unit || ' contrast ' || favourable_contrast || ' [' || formation || ', ' ||
-  CAST(floor({q.rd('fav / total', 3)} * 100 + 0.5e0) AS INT) || '% of cell]' WHEN unit IS NOT NULL THEN 'OF-00-495 unit ' || unit || ' — zero training sites in OF01-501 (non-predictive)' ELSE 'no data' END AS line
+  SELECT rc AS col, rr AS row, CASE WHEN favourable_unit IS NOT NULL THEN 'ranked unit ' || favourable_unit || ': contrast ' || favourable_contrast || ', ' || formation || ', over ' ||
+  CAST(floor({q.rd('fav / total', 3)} * 100 + 0.5e0) AS INT) || '% of the cell' WHEN unit IS NOT NULL THEN 'raster unit ' || unit || ' holds no training site' ELSE 'no data' END AS line
   FROM co LEFT JOIN tot USING (rc, rr) LEFT JOIN t1 USING (rc, rr) LEFT JOIN fm ON fm.u = favourable_unit""")
 def _(spark, d):
-    out = unit_rows(spark, d)
     none = F.array().cast("array<struct<unit:string,name:string,lithology:string,frac:double>>")
-    return out.select(F.col("c").alias("col"), F.col("r").alias("row"), describe.or_no_data(describe.lithology(none, F.col("w"))).alias("line"))
+    text = describe.render("lithology", describe.rock_facts(none, F.col("w")))
+    return unit_rows(spark, d).select(F.col("c").alias("col"), F.col("r").alias("row"), describe.or_no_data(text).alias("line"))
 
 
 def unit_rows(spark, d):
@@ -36,85 +40,102 @@ def unit_rows(spark, d):
 
 
 def _list(table_, col):
-    return f"(SELECT string_agg(CASE x {' '.join(f'WHEN {k} THEN ' + chr(39) + v + chr(39) for k, v in table_.items())} ELSE 'code ' || x END, '; ' ORDER BY i) FROM (SELECT unnest(string_split({col}, ',')) AS s, unnest(range(1, 20)[1:len(string_split({col}, ','))]) AS i, CAST(s AS INT) AS x))"
+    return f"(SELECT string_agg(CASE x {' '.join(f'WHEN {k} THEN ' + chr(39) + v + chr(39) for k, v in table_.items())} ELSE 'code ' || x END, ', ' ORDER BY i) FROM (SELECT unnest(string_split({col}, ',')) AS s, unnest(range(1, 20)[1:len(string_split({col}, ','))]) AS i, CAST(s AS INT) AS x))"
+
 
+_NO_LINES = ("struct<count:bigint,kinds:array<struct<kind:string,n:bigint,km:double>>,azimuths:array<double>,favourable_azimuths:array<double>,"
+             "named:array<string>,nearest_km:double,nearest_kind:string,fault_intersections_in_cell:bigint>")
 
-@register("raster_structure_lines", f"""{_AREQ} SELECT rc AS col, rr AS row, CASE WHEN coalesce(fault_codes, '') = '' AND coalesce(fold_codes, '') = '' AND coalesce(dike_units, '') = '' THEN 'no data' ELSE
-  concat_ws(' | ', CASE WHEN fault_codes <> '' THEN 'OF-00-495 faults in this cell: ' || {_list(fixed.FAULT_TYPES, 'fault_codes')} || CASE WHEN has_predictor_fault THEN ' — includes the OF01-501 NORMAL-fault predictor class' ELSE '' END END,
-  CASE WHEN fault_codes <> '' THEN 'no azimuth available from this raster (presence only)' END, CASE WHEN fold_codes <> '' THEN 'folds: ' || {_list(fixed.FOLD_TYPES, 'fold_codes')} END,
-  CASE WHEN dike_units <> '' THEN 'dikes: ' || replace(dike_units, ',', ', ') END, 'no 1:24,000 structural mapping covers this cell') END AS line FROM co""")
+
+@register("raster_structure_lines", f"""{_AREQ} SELECT rc AS col, rr AS row, coalesce(nullif(concat_ws('; ',
+  CASE WHEN fault_codes <> '' THEN 'raster faults: ' || {_list(fixed.FAULT_TYPES, 'fault_codes')} || CASE WHEN has_predictor_fault THEN ', a predicting kind among them' ELSE '' END END,
+  CASE WHEN fold_codes <> '' THEN 'raster folds: ' || {_list(fixed.FOLD_TYPES, 'fold_codes')} END,
+  CASE WHEN dike_units <> '' THEN 'raster dikes: ' || replace(dike_units, ',', ', ') END, CASE WHEN fault_codes <> '' THEN 'the raster tells presence only and no trend' END), ''), 'no data') AS line FROM co""")
 def _(spark, d):
-    return unit_rows(spark, d).select(F.col("c").alias("col"), F.col("r").alias("row"), describe.or_no_data(describe.raster_structures(F.col("w"))).alias("line"))
+    text = describe.render("structure", describe.line_facts(F.lit(None).cast(_NO_LINES), F.col("w")))
+    return unit_rows(spark, d).select(F.col("c").alias("col"), F.col("r").alias("row"), describe.or_no_data(text).alias("line"))
 
 
-_DIST0 = "CASE WHEN (col + row) % 3 = 0 THEN 'district D' || col || ' (inside)' WHEN (col + row) % 3 = 1 THEN 'district D' || col || ' (1.5 km out)' END"
+# District polygons stand at the place names; what they yielded, and when, follows from their number.
+_DISTRICT = f"""dis AS (SELECT aoi_id, col, row, feature_id, km, inside, CASE WHEN feature_id % 4 > 0 THEN (feature_id % 90) || ' t of ore' END AS output,
+  (1880 + feature_id % 40) || CASE WHEN feature_id % 3 > 0 THEN ' to ' || (1880 + feature_id % 40 + feature_id % 3 * 10) ELSE '' END AS years FROM ({ORACLES['cell_district']}) WHERE feature_id IS NOT NULL)"""
+_DIST_TEXT = "CASE WHEN inside THEN 'in district ' || feature_id ELSE 'district ' || feature_id || ' at ' || km || ' km' END"
 
 
-def with_district(f):
-    k = (F.col("col") + F.col("row")) % 3
-    return F.when(k < 2, F.struct(F.concat(F.lit("D"), F.col("col").cast("string")).alias("name"), (k == 0).alias("inside"), F.lit(1.5).alias("km")))
+def districts(spark, d):
+    """The nearest district of each cell with its history; cells without one are not listed."""
+    k = F.col("feature_id")
+    return QUERIES["cell_district"](spark, d).where("feature_id IS NOT NULL").select(
+        *KEYS, k.alias("name"), "inside", "km", F.when(k % 4 > 0, F.concat((k % 90).cast("string"), F.lit(" t of ore"))).alias("production"),
+        (1880 + k % 40).alias("first_year"), (1880 + k % 40 + k % 3 * 10).alias("last_year"))
 
 
-@register("proximity_lines", f"""{_FACTS}, acc AS (SELECT aoi_id, col, row, accuracy_class AS na FROM rn WHERE nth = 1)
-  SELECT aoi_id, col, row, CASE WHEN nearest_km IS NULL THEN 'no recorded occurrence within 5 km' ELSE concat_ws(' | ', 'nearest "' || nearest_name || '" ' || nearest_km || ' km' ||
-  CASE WHEN na IN ('variable', 'district_centroid', 'unknown') THEN ' [position unreliable — do not use for a tight distance argument]' ELSE '' END,
-  'counts: ' || n_in_cell || ' in cell, ' || n_1km || ' <=1 km, ' || n_2km || ' <=2 km, ' || n_near || ' <=5 km', 'of those within 5 km: ' || with_production || ' with production, ' || with_assays || ' assay-backed',
-  {_DIST0}) END AS line FROM facts LEFT JOIN acc USING (aoi_id, col, row)""")
+@register("proximity_lines", f"""{_FACTS}, acc AS (SELECT aoi_id, col, row, accuracy_class AS na FROM rn WHERE nth = 1), {_DISTRICT}
+  SELECT aoi_id, col, row, concat_ws('; ', CASE WHEN nearest_km IS NULL THEN 'no record within 5 km' ELSE 'nearest record ' || nearest_name || ', ' || nearest_km || ' km' ||
+  CASE WHEN na IN ('variable', 'district_centroid', 'unknown') THEN ', its position too rough to argue from' ELSE '' END END,
+  CASE WHEN nearest_km IS NOT NULL THEN 'records: ' || n_in_cell || ' in the cell, ' || n_1km || ' to 1 km, ' || n_2km || ' to 2 km, ' || n_near || ' to 5 km' END,
+  CASE WHEN nearest_km IS NOT NULL THEN with_production || ' of them produced, ' || with_assays || ' were assayed' END, {_DIST_TEXT},
+  CASE WHEN n_near > 0 THEN least(n_near, 3) || ' surveyed workings to 5 km' END) AS line FROM facts LEFT JOIN acc USING (aoi_id, col, row) LEFT JOIN dis USING (aoi_id, col, row)""")
 def _(spark, d):
-    f = facts(spark, d)
-    occ = F.struct(*[c for c in f.columns if c not in KEYS])
-    none = F.array().cast("array<struct<text:string>>")
-    rows = f.withColumns({"occ": occ, "dist": with_district(f)})
-    return rows.select(*KEYS, describe.proximity(F.col("occ"), F.col("dist"), none).alias("line"))
+    rows = assembled(spark, d, ("occurrences", "district", "workings"))
+    known = {**describe.site_facts(F.col("occurrences")), **describe.district_facts(F.col("district")), "workings": F.size("workings.list")}
+    return rows.select(*KEYS, describe.render("proximity", known).alias("line"))
+
 
+_HITS = f"""{_REACH} SELECT aoi_id, col, row, name, tier, corroboration, row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY tier, distance_km, feature_id) AS place
+  FROM hits WHERE tier <> 5 QUALIFY place <= 3"""
 
-@register("historical_lines", f"""{_FACTS}, full1 AS (SELECT aoi_id, col, row, nth, place, '"' || name || '" ' || {q.rd('dm / 1000', 2)} || ' km [' || CASE WHEN production THEN 'production Y' ELSE 'production n/r' END || ', ' ||
-  CASE WHEN assays THEN 'assays Y' ELSE 'assays n/r' END || ', ' || CASE accuracy_class {' '.join(f"WHEN '{k}' THEN '" + v.replace("'", "''") + "'" for k, v in fixed.POSITION_LABELS.items())} END || ']' AS t FROM rn)
-  SELECT f.aoi_id, f.col, f.row, CASE WHEN nearest_km IS NULL THEN 'no recorded site within 5 km' ELSE concat_ws(' | ', n.n || ' recorded site(s) within 5 km (' || with_assays || ' assay-backed, ' || with_production || ' with production, ' || n_in_cell || ' inside the cell)',
-  CASE WHEN best_name IS NOT NULL THEN 'best-documented nearby: ' || b.t END) END AS line FROM facts f LEFT JOIN full1 b ON b.aoi_id = f.aoi_id AND b.col = f.col AND b.row = f.row AND b.place = 1, LATERAL (SELECT f.n_near AS n) n""")
+
+@register("historical_lines", f"""{_FACTS}, {_DISTRICT}, full1 AS (SELECT aoi_id, col, row, place, name || ' ' || {q.rd('dm / 1000', 2)} || ' km (' || concat_ws(', ', CASE WHEN production THEN 'produced' END,
+  CASE WHEN assays THEN 'assayed' END, CASE accuracy_class {' '.join(f"WHEN '{k}' THEN '" + v.replace("'", "''") + "'" for k, v in fixed.POSITION_LABELS.items())} END) || ')' AS best FROM rn WHERE place = 1),
+  three AS (SELECT aoi_id, col, row, string_agg(name || ' ' || {q.rd('dm / 1000', 2)} || ' km', ', ' ORDER BY nth) AS list FROM rn WHERE nth <= 3 GROUP BY 1, 2, 3),
+  seen AS (SELECT aoi_id, col, row, string_agg(name || ' ' || {q.rd('dm / 1000', 2)} || ' km', ', ' ORDER BY i) AS pins FROM (
+    SELECT *, row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY dm, site_id) AS i FROM near WHERE site_id % 11 = 0) WHERE i <= 3 GROUP BY 1, 2, 3),
+  named AS (SELECT aoi_id, col, row, string_agg(name || ' (tier ' || tier || ', ' || corroboration || ')', ', ' ORDER BY place) AS names FROM ({_HITS}) GROUP BY 1, 2, 3)
+  SELECT aoi_id, col, row, concat_ws('; ', CASE WHEN nearest_km IS NULL THEN 'no recorded site within 5 km' ELSE n_near || ' recorded sites to 5 km, ' || n_in_cell || ' of them in the cell, ' || with_assays ||
+  ' assayed, ' || with_production || ' with production' END, CASE WHEN best_name IS NOT NULL THEN 'best documented: ' || best END, {_DIST_TEXT},
+  coalesce('the district yielded ' || output || ' in ' || years, 'the district was worked in ' || years), 'surveyed workings: ' || list, 'seen in the field: ' || pins, 'place names: ' || names) AS line
+  FROM facts LEFT JOIN full1 USING (aoi_id, col, row) LEFT JOIN dis USING (aoi_id, col, row) LEFT JOIN three USING (aoi_id, col, row) LEFT JOIN seen USING (aoi_id, col, row) LEFT JOIN named USING (aoi_id, col, row)""")
 def _(spark, d):
-    f = facts(spark, d)
-    b = F.col("best")
+    rows = assembled(spark, d, ("occurrences", "district", "workings", "toponyms", "field_observations"))
+    b, t = F.col("occurrences.best"), F.col("district")
     best = F.when(b.isNotNull(), describe.record_text(b["name"], b["km"], b["production"], b["assays"], b["accuracy_class"], F.lit(None).cast("int")))
-    none = F.array().cast("array<struct<text:string,name:string,km:double>>")
-    tops = F.array().cast("array<struct<name:string,tier:int,tier_name:string,corroboration:string>>")
-    no_district = F.lit(None).cast("struct<name:string,inside:boolean,km:double>")
-    rows = f.withColumn("occ", F.struct(*[c for c in f.columns if c not in KEYS]))
-    text = describe.historical(F.col("occ"), F.lit("?"), best, no_district, none, none, tops)
-    return rows.select(*KEYS, F.regexp_replace(text, r"^nearest \? \| ", "").alias("line"))
+    known = {**describe.site_facts(F.col("occurrences")), "best": best, **describe.district_facts(t),
+             **describe.district_history(t["production"], t["first_year"], t["last_year"]),
+             **describe.nearby_facts(F.col("workings.list"), F.col("field_observations.list"), F.col("toponyms.list"))}
+    return rows.select(*KEYS, describe.render("historical", known).alias("line"))
 
 
 @register("geochemistry_remote_lines", """WITH r AS (SELECT o_custkey AS k, o_orderkey AS i, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS ore, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus END AS gangue FROM orders),
   o AS (SELECT k, ore, min(i) AS f FROM r WHERE ore <> '' GROUP BY 1, 2), g AS (SELECT k, gangue, min(i) AS f FROM r WHERE gangue IS NOT NULL GROUP BY 1, 2), ks AS (SELECT DISTINCT k FROM r),
-  oo AS (SELECT k, array_to_string(list(ore ORDER BY f)[1:3], ' / ') AS ores FROM o GROUP BY 1), gg AS (SELECT k, array_to_string(list(gangue ORDER BY f)[1:2], ' / ') AS gs FROM g GROUP BY 1),
-  ga AS (SELECT k, array_to_string(list(gangue ORDER BY i)[1:2], ' / ') AS ga FROM r WHERE gangue IS NOT NULL GROUP BY 1)
-  SELECT k, concat_ws(' | ', 'ore minerals nearby: ' || ores, 'gangue: ' || gs, CASE WHEN k % 5 > 0 THEN (k % 5) || ' site(s) within 5 km have assays ON RECORD (values are in the cited source documents, not in this dataset)' END, 'host: U' || k || ' tuff') AS geochemistry,
-  concat_ws(' | ', 'host: 60% U' || k || ' tuff', 'recorded gangue nearby: ' || ga) AS remote FROM ks LEFT JOIN oo USING (k) LEFT JOIN gg USING (k) LEFT JOIN ga USING (k)""")
+  oo AS (SELECT k, array_to_string(list(ore ORDER BY f)[1:3], ', ') AS ores FROM o GROUP BY 1), gg AS (SELECT k, array_to_string(list(gangue ORDER BY f)[1:2], ', ') AS gs FROM g GROUP BY 1)
+  SELECT k, concat_ws('; ', 'ore minerals on record: ' || ores, 'gangue on record: ' || gs, CASE WHEN k % 5 > 0 THEN (k % 5) || ' sites to 5 km were assayed, the values are in their documents' END, 'host rock: U' || k || ' tuff') AS geochemistry,
+  concat_ws('; ', 'host rock: U' || k || ' tuff 60%', 'gangue on record: ' || gs) AS remote FROM ks LEFT JOIN oo USING (k) LEFT JOIN gg USING (k)""")
 def _(spark, d):
+    first = lambda c: F.min(F.when(F.nullif(c, F.lit("")).isNotNull(), F.col("o_orderkey")))
     o = table(spark, d, "orders").select(
-        F.col("o_custkey").alias("k"), F.struct(F.col("o_orderkey").alias("i"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("ore_minerals"),
-                                                F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")).alias("gangue")).alias("r"))
-    rows = o.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("records"))
-    units = F.array(F.struct(F.concat(F.lit("U"), F.col("k").cast("string")).alias("unit"), F.lit("tuff").alias("lithology"), F.lit(0.6).alias("frac")))
-    return rows.select("k", describe.geochemistry(F.col("records"), F.col("k") % 5, units).alias("geochemistry"),
-                       describe.remote_sensing(units, F.lit(None).cast("string"), F.col("records")).alias("remote"))
-
-
-@register("structure_lines", """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'no data' WHEN p_size % 4 = 1 THEN 'nothing mapped within 1.7 km; nearest fold 2.5 km' ELSE
-  p_size || ' within 1.7 km (fault ' || p_size || ') | nearest fault 0.25 km | azimuths 10.5, 90.0 — IN favourable NW-NNE band (10.5) | 2 fault intersection(s) inside the cell | named: ' || p_name END AS line FROM part""")
+        F.col("o_custkey").alias("k"), "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("ore_minerals"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")).alias("gangue"))
+    # A mineral stands once per site, so lists hold as many rows as there are minerals.
+    each = o.groupBy("k", "ore_minerals", "gangue").agg(F.min("o_orderkey").alias("first"))
+    rows = each.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("first", "ore_minerals", "gangue"))).alias("records"))
+    units = F.array(F.struct(F.concat(F.lit("U"), F.col("k").cast("string")).alias("unit"), F.lit(None).cast("string").alias("name"), F.lit("tuff").alias("lithology"), F.lit(0.6).alias("frac")))
+    no_raster = F.lit(None).cast("struct<favourable_unit:string,favourable_frac:double,favourable_contrast:double,formation:string,unit:string>")
+    known = {**describe.record_facts(F.col("records"), F.col("k") % 5), **describe.rock_facts(units, no_raster)}
+    return rows.select("k", describe.render("geochemistry", known).alias("geochemistry"), describe.render("remote_sensing", known).alias("remote"))
+
+
+@register("structure_lines", f"""WITH s AS ({ORACLES['cell_structures']}), x AS ({ORACLES['fault_crossings_all']})
+  SELECT aoi_id, col, row, concat_ws('; ', CASE WHEN count > 0 THEN count || ' mapped lines within 1.7 km: ' ||
+    list_aggregate(list_transform(string_split(kinds, '|'), lambda k: split_part(k, ' ', 2) || ' ' || split_part(k, ' ', 1) || ' from ' || split_part(k, ' ', 3) || ' km'), 'string_agg', ', ')
+    ELSE 'no mapped line within 1.7 km, a ' || nearest_kind || ' is nearest at ' || nearest_km || ' km' END,
+  CASE WHEN azimuths <> '' THEN 'trends ' || replace(azimuths, '|', ', ') || CASE WHEN favourable_azimuths <> '' THEN ', favourable among them ' || replace(favourable_azimuths, '|', ', ') ELSE ', none of them favourable' END END,
+  fault_intersections_in_cell || ' pairs of faults meet in the cell', 'names: ' || replace(named, '|', ', ')) AS line FROM s LEFT JOIN x USING (aoi_id, col, row)""")
 def _(spark, d):
-    size = F.col("p_size")
-    near = size % 4 >= 2
-    pick = lambda v, t: F.when(near, v).otherwise(F.lit(None).cast(t))
-    s = F.when(size % 4 > 0, F.struct(
-        F.when(near, size).otherwise(0).cast("bigint").alias("count"),
-        pick(F.array(F.struct(F.lit("fault").alias("kind"), size.cast("bigint").alias("n"), F.lit(0.25).alias("km"))), "array<struct<kind:string,n:bigint,km:double>>").alias("kinds"),
-        pick(F.array(F.lit(10.5), F.lit(90.0)), "array<double>").alias("azimuths"), pick(F.array(F.lit(10.5)), "array<double>").alias("favourable_azimuths"),
-        pick(F.lit(True), "boolean").alias("favourable_trend"), pick(F.array("p_name"), "array<string>").alias("named"), F.lit(2.5).alias("nearest_km"),
-        F.lit("fold").alias("nearest_kind"), pick(F.lit(2), "int").alias("fault_intersections_in_cell")))
-    w = F.lit(None).cast("struct<fault_codes:array<int>,fold_codes:array<int>,dike_units:array<string>,has_predictor_fault:boolean>")
-    rows = table(spark, d, "part").select("p_partkey", s.alias("s"), w.alias("w"))
-    return rows.select("p_partkey", describe.or_no_data(describe.structure(F.col("s"), F.col("w"))).alias("line"))
+    rows = assembled(spark, d, ("structures",))
+    s = F.col("structures")
+    none = F.lit(None).cast("struct<fault_codes:array<int>,fold_codes:array<int>,dike_units:array<string>,has_predictor_fault:boolean>")
+    return rows.select(*KEYS, describe.render("structure", describe.line_facts(s, none)).alias("line"))
 
 
 @register("cell_centre_lines", f"""{with_views('aoi')}, {q.square_aoi()} SELECT aoi_id, '  - c' || aoi_id || ': center (' || printf('%.4f', {q.rd('(s + n) / 2')}) || ', ' || printf('%.4f', {q.rd('(w + e) / 2')}) || ')' AS line,
@@ -126,12 +147,77 @@ def _(spark, d):
     return out.select("aoi_id", describe.cell_line(F.concat(F.lit("c"), F.col("aoi_id").cast("string")), *cols).alias("line"), describe.bbox_text(*cols).alias("box"))
 
 
-@register("facts_assembled", f"""{_FACTS} SELECT aoi_id, count(*) AS cells_total, count(*) AS cells_with_occurrences, count(*) FILTER ((col + row) % 3 < 2) AS cells_with_district FROM facts GROUP BY 1""")
+# --- the nine fact tables -----------------------------------------------------------------------
+def _geology(spark, d, pairs):
+    parts = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id", "unit"], 4000)
+    shares = overlay.unit_shares(aoi_cells(spark, d), parts, KEYS, "unit")
+    return shares.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "unit", "frac"))).alias("units"))
+
+
+def _structures(spark, d, pairs):
+    cells = framed(spark, d)
+    near_ = names.near_lines(spark, d, cells, beyond=True)
+    return ln.structure_facts(cells.select(*KEYS), near_, KEYS, ln.fault_crossings_all(near_, names.segments(spark, d), KEYS))
+
+
+def _raster(spark, d, pairs):
+    cells = aoi_cells(spark, d).withColumns({"c": F.col("col"), "r": F.col("row")})
+    return wofe.unit_facts(cells, view(spark, d, "wofe_cell"), ["aoi_id", "c", "r"]).withColumnsRenamed({"c": "col", "r": "row"})
+
+
+def _three(rows):
+    """At most three records per cell, nearest first."""
+    return spatial.nearest_records(rows, KEYS).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "name", "km"))).alias("list"))
+
+
+def _toponyms(spark, d, pairs):
+    _, hits = names.reach_hits(spark, d)
+    return tp.top_hits(hits, KEYS).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "name", "tier", "corroboration"))).alias("list"))
+
+
+def _occurrences(spark, d, pairs):
+    return spatial.occurrence_facts(aoi_cells(spark, d).select(*KEYS), pairs(), KEYS)
+
+
+def _novelty(spark, d, pairs):
+    return spatial.novelty_facts(_occurrences(spark, d, pairs), KEYS).select(*KEYS, "nearest_occurrence_km", "novelty").where("novelty IS NOT NULL")
+
+
+FACT_TABLES = {
+    "geology": _geology, "structures": _structures, "wofe": _raster, "occurrences": _occurrences, "district": lambda spark, d, pairs: districts(spark, d),
+    "workings": lambda spark, d, pairs: _three(pairs()), "toponyms": _toponyms,
+    "field_observations": lambda spark, d, pairs: _three(pairs().where("site_id % 11 = 0")), "novelty": _novelty,
+}
+
+
+def assembled(spark, d, which=tuple(FACT_TABLES)):
+    """Cells with the wanted fact tables, each stored in buckets of cells and joined as it lies."""
+    cells = describe.stored(aoi_cells(spark, d).select(*KEYS), KEYS, "cells")
+    pairs = cache(lambda: materialise(near(spark, d), "near"))  # of cells and records, read by several tables
+    return describe.assemble(cells, KEYS, {n: describe.stored(FACT_TABLES[n](spark, d, pairs), KEYS, n) for n in which})
+
+
+def _having(sql, where="true"):
+    return f"(SELECT DISTINCT aoi_id, col, row FROM ({sql}) WHERE {where})"
+
+
+_PIECES = {
+    "geology": _having(f"{with_views('aoi', 'place_name')}, {q.square_aoi()}, {q.cover_ctes(4000)}, {overlay_sql(4000)}, u AS (SELECT col, row, unit, {q.fsum('greatest(f, 0)')} AS s FROM frac WHERE f > 1e-9 GROUP BY 1, 2, 3) SELECT * FROM cells JOIN u USING (col, row)", f"{q.rd('s', 3)} > 0"),
+    "structures": _having(ORACLES["cell_structures"]),
+    "wofe": _having(f"{with_views('aoi', 'wofe_cell')}, {q.square_aoi()}, {q.cover_ctes(4000)} SELECT aoi_id, c.col, c.row FROM cells c JOIN (SELECT DISTINCT col // 16 AS col, row // 16 AS row FROM wofe_cell) USING (col, row)"),
+    "occurrences": _having(f"{_FACTS} SELECT * FROM facts"),
+    "district": _having(ORACLES["cell_district"], "feature_id IS NOT NULL"),
+    "workings": _having(ORACLES["cell_nearest_workings"]),
+    "toponyms": _having(_HITS),
+    "field_observations": _having(f"{_PAIRS} SELECT * FROM near WHERE site_id % 11 = 0"),
+    "novelty": _having(ORACLES["cell_novelty"], "novelty IS NOT NULL"),
+}
+
+
+@register("facts_assembled", f"""{_CELLS} SELECT aoi_id, count(*) AS cells_total, {', '.join(f"count(t{i}.col) AS cells_with_{n}" for i, n in enumerate(_PIECES))} FROM cells c
+  {' '.join(f"LEFT JOIN {sql} t{i} ON t{i}.aoi_id = c.aoi_id AND t{i}.col = c.col AND t{i}.row = c.row" for i, sql in enumerate(_PIECES.values()))} GROUP BY 1""".replace("SELECT aoi_id, count(*)", "SELECT c.aoi_id, count(*)"))
 def _(spark, d):
-    f = facts(spark, d)
-    district = f.where((F.col("col") + F.col("row")) % 3 < 2).select(*KEYS, F.lit("D").alias("name"))
-    out = describe.assemble(f, KEYS, {"occurrences": f, "district": district})
-    return describe.census(out, ["aoi_id"], ["occurrences", "district"])
+    return describe.census(assembled(spark, d), ["aoi_id"], list(FACT_TABLES))
 
 
 # --- streams ------------------------------------------------------------------------------------

@@ -135,6 +135,7 @@ POSITION_LABELS = {
     "district_centroid": "DISTRICT CENTROID — not a site position",
     "unknown": "accuracy unknown",
 }
+ROUGH_POSITIONS = ("variable", "district_centroid", "unknown")
 GROUND_TRUTH_ACCURACY = ("survey", "topo")
 PROMPT_FIELDS = ("name", "commodity_primary", "commodities", "ore_minerals", "gangue", "district",
                  "assays", "production", "accuracy_class", "doc_count")

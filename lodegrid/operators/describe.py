@@ -1,146 +1,184 @@
-"""One line of evidence per cell and domain, from assembled facts; cells without data say so."""
+"""Evidence per cell: nine fact tables put together, and one line of text per domain made from them.
+
+A line is a list of slots, a slot a list of alternatives, an alternative a text with named facts in it. Of a slot the
+first alternative whose facts are all known is taken, and a slot without any is left out. ``{name:if}`` asks for a fact
+without printing it. What the lines say is in ``LINES``; what a fact looks like as text is in the functions below it.
+"""
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.functions.scalars import lookup, round_dp
-
-
-def line(*bits: Column) -> Column:
-    """Present parts joined by bars, null when none is present."""
-    kept = F.filter(F.array(*bits), lambda b: b.isNotNull() & (b != ""))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " | "))
+from lodegrid.session import scratch_path
+
+LINES: dict[str, tuple[tuple[str, ...], ...]] = {
+    "lithology": (
+        ("mapped rock: {units}",),
+        ("ranked unit {ranked}: contrast {contrast}, {formation}, over {share}% of the cell", "ranked unit {ranked}: contrast {contrast}, {formation}",
+         "raster unit {raster_unit} holds no training site"),
+    ),
+    "structure": (
+        ("{count} mapped lines within {reach} km: {kinds}", "no mapped line within {reach} km, a {nearest_kind} is nearest at {nearest_km} km",
+         "no mapped line within {reach} km, the nearest is {nearest_km} km away"),
+        ("trends {trends}, favourable among them {favourable}", "trends {trends}, none of them favourable"),
+        ("{crossings} pairs of faults meet in the cell",),
+        ("names: {names}",),
+        ("raster faults: {raster_faults}, a predicting kind among them{predicting:if}", "raster faults: {raster_faults}"),
+        ("raster folds: {raster_folds}",),
+        ("raster dikes: {raster_dikes}",),
+        ("the raster tells presence only and no trend{raster_faults:if}",),
+    ),
+    "proximity": (
+        ("nearest record {nearest_name}, {nearest_km} km, its position too rough to argue from{rough:if}", "nearest record {nearest_name}, {nearest_km} km",
+         "no record within 5 km{empty:if}"),
+        ("records: {in_cell} in the cell, {within_1} to 1 km, {within_2} to 2 km, {within_5} to 5 km",),
+        ("{producers} of them produced, {assayed} were assayed",),
+        ("in district {district}{in_district:if}", "district {district} at {district_km} km"),
+        ("{workings} surveyed workings to 5 km",),
+    ),
+    "geochemistry": (
+        ("ore minerals on record: {ores}",),
+        ("gangue on record: {gangue}",),
+        ("{assayed} sites to 5 km were assayed, the values are in their documents",),
+        ("host rock: {host}",),
+    ),
+    "historical": (
+        ("{within_5} recorded sites to 5 km, {in_cell} of them in the cell, {assayed} assayed, {producers} with production", "no recorded site within 5 km{empty:if}"),
+        ("best documented: {best}",),
+        ("in district {district}{in_district:if}", "district {district} at {district_km} km"),
+        ("the district yielded {district_output} in {district_years}", "the district was worked in {district_years}"),
+        ("surveyed workings: {working_list}",),
+        ("seen in the field: {pins}",),
+        ("place names: {names}",),
+    ),
+    "remote_sensing": (
+        ("host rock: {hosts}",),
+        ("volcanic host {ranked}, where alteration can be expected",),
+        ("gangue on record: {gangue}",),
+    ),
+}
+
+
+def render(domain: str, facts: dict[str, Column]) -> Column:
+    """The line of a domain from facts as text; null where no slot has anything to say."""
+    def filled(template: str) -> Column:
+        parts = []
+        for text, name, spec, _ in Formatter().parse(template):
+            if text:
+                parts.append(F.lit(text))
+            if name:
+                fact = facts.get(name, F.lit(None)).cast("string")
+                parts.append(F.when(fact.isNotNull(), "") if spec == "if" else fact)
+        return F.concat(*parts)
+
+    slots = F.array_compact(F.array(*[F.coalesce(*[filled(t) for t in slot]) for slot in LINES[domain]]))
+    return F.when(F.size(slots) > 0, F.array_join(slots, "; "))
 
 
 def or_no_data(x: Column) -> Column:
     return F.coalesce(x, F.lit("no data"))
 
 
-def _s(x: Column) -> Column:
-    return x.cast("string")
+# --- facts as text ------------------------------------------------------------------------------
+def some(x: Column) -> Column:
+    """The text, if there is any."""
+    return F.nullif(x.cast("string"), F.lit(""))
+
+
+def listing(items: Column, text, most: int | None = None, between: str = ", ") -> Column:
+    """Texts of the first ``most`` items (all by default), null where there are none."""
+    chosen = items if most is None else F.slice(items, 1, most)
+    return F.when(F.size(chosen) > 0, F.array_join(F.transform(chosen, text), between))
 
 
-def _pct(x: Column) -> Column:
-    return _s(F.floor(x * 100 + 0.5).cast("int"))
+def spaced(*parts: Column) -> Column:
+    return F.concat_ws(" ", *[some(p) for p in parts])
 
 
-def _words(*cols: Column) -> Column:
-    return F.array_join(F.filter(F.array(*cols), lambda c: c.isNotNull() & (c != "")), " ")
+def percent(x: Column) -> Column:
+    return F.floor(x * 100 + 0.5).cast("int")
 
 
-def lithology(units: Column, wofe: Column) -> Column:
+def flag(condition: Column) -> Column:
+    return F.when(condition, "yes")
+
+
+def rock_facts(units: Column, wofe: Column) -> dict[str, Column]:
     """``units``: array of (unit, name, lithology, frac); ``wofe``: unit facts of the cell."""
-    part = lambda u: F.concat(
-        _pct(u["frac"]), F.lit("% "), u["unit"],
-        F.when(_words(u["name"], u["lithology"]) != "", F.concat(F.lit(" ("), _words(u["name"], u["lithology"]), F.lit(")"))).otherwise(""))
-    mapped = F.when(F.size(units) > 0, F.array_join(F.transform(units, part), "; "))
-    share = F.when(F.coalesce(wofe["favourable_frac"], F.lit(0.0)) > 0, F.concat(F.lit(", "), _pct(wofe["favourable_frac"]), F.lit("% of cell"))).otherwise("")
-    model = F.when(wofe["favourable_unit"].isNotNull(), F.concat(
-        F.lit("OF01-501 favourable unit "), wofe["favourable_unit"], F.lit(" contrast "), _s(wofe["favourable_contrast"]), F.lit(" ["),
-        wofe["formation"], share, F.lit("]"))).when(wofe["unit"].isNotNull(), F.concat(
-            F.lit("OF-00-495 unit "), wofe["unit"], F.lit(" — zero training sites in OF01-501 (non-predictive)")))
-    return line(mapped, model)
-
-
-def raster_structures(wofe: Column) -> Column:
-    types = lambda codes, table, word: F.array_join(F.transform(codes, lambda c: F.coalesce(
-        lookup(table, c), F.concat(F.lit("code "), _s(c)))), "; ")
-    some = lambda a: F.coalesce(F.size(a), F.lit(0)) > 0
-    faults, folds, dikes = wofe["fault_codes"], wofe["fold_codes"], wofe["dike_units"]
-    return F.when(some(faults) | some(folds) | some(dikes), line(
-        F.when(some(faults), F.concat(
-            F.lit("OF-00-495 faults in this cell: "), types(faults, fixed.FAULT_TYPES, "fault"),
-            F.when(wofe["has_predictor_fault"], " — includes the OF01-501 NORMAL-fault predictor class").otherwise(""))),
-        F.when(some(faults), "no azimuth available from this raster (presence only)"),
-        F.when(some(folds), F.concat(F.lit("folds: "), types(folds, fixed.FOLD_TYPES, "fold"))),
-        F.when(some(dikes), F.concat(F.lit("dikes: "), F.array_join(dikes, ", "))),
-        F.lit("no 1:24,000 structural mapping covers this cell")))
-
-
-def structure(s: Column, wofe: Column) -> Column:
-    """``s``: structure facts of the cell, null where nothing is mapped; the raster stands in then."""
-    km = fixed.STRUCTURE_BUFFER_M / 1000.0
-    fallback = raster_structures(wofe)
-    none_near = line(F.when(s["nearest_km"].isNotNull(), F.concat(
-        F.lit(f"nothing mapped within {km} km; nearest "), F.coalesce(s["nearest_kind"], F.lit("structure")), F.lit(" "), _s(s["nearest_km"]), F.lit(" km"))), fallback)
-    az = F.array_join(F.transform(s["azimuths"], _s), ", ")
-    trend = F.when(s["favourable_trend"], F.concat(F.lit("IN favourable NW-NNE band ("), F.array_join(F.transform(s["favourable_azimuths"], _s), ", "), F.lit(")"))).otherwise(
-        "none in favourable NW-NNE band")
-    near = line(
-        F.concat(_s(s["count"]), F.lit(f" within {km} km ("), F.array_join(F.transform(s["kinds"], lambda k: F.concat_ws(" ", k["kind"], _s(k["n"]))), ", "), F.lit(")")),
-        F.concat(F.lit("nearest "), F.array_join(F.transform(s["kinds"], lambda k: F.concat(k["kind"], F.lit(" "), _s(k["km"]), F.lit(" km"))), ", ")),
-        F.when(F.size(s["azimuths"]) > 0, F.concat(F.lit("azimuths "), az, F.lit(" — "), trend)),
-        F.when(s["fault_intersections_in_cell"] > 0, F.concat(_s(s["fault_intersections_in_cell"]), F.lit(" fault intersection(s) inside the cell"))),
-        F.when(F.size(s["named"]) > 0, F.concat(F.lit("named: "), F.array_join(s["named"], "; "))),
-        F.when(F.size(wofe["dike_units"]) > 0, F.concat(F.lit("OF-00-495 dikes: "), F.array_join(wofe["dike_units"], ", "))))
-    return F.when(s.isNull(), fallback).when(F.coalesce(s["count"], F.lit(0)) == 0, none_near).otherwise(near)
-
-
-def _district(d: Column, word: str) -> Column:
-    return F.concat(F.lit("district "), d["name"], F.lit(" ("), F.when(d["inside"], "inside").otherwise(F.concat(_s(d["km"]), F.lit(f" km {word}"))), F.lit(")"))
-
-
-def proximity(occ: Column, district: Column, workings: Column) -> Column:
-    """``occ``: occurrence facts; counts are zero and nearest null where nothing is in reach."""
-    caveat = F.when(occ["nearest_accuracy"].isin("variable", "district_centroid", "unknown"),
-                    " [position unreliable — do not use for a tight distance argument]").otherwise("")
-    full = line(
-        F.concat(F.lit('nearest "'), F.coalesce(occ["nearest_name"], F.lit("unnamed")), F.lit('" '), _s(occ["nearest_km"]), F.lit(" km"), caveat),
-        F.concat(F.lit("counts: "), _s(occ["n_in_cell"]), F.lit(" in cell, "), _s(occ["n_1km"]), F.lit(" <=1 km, "), _s(occ["n_2km"]), F.lit(" <=2 km, "), _s(occ["n_near"]), F.lit(" <=5 km")),
-        F.concat(F.lit("of those within 5 km: "), _s(occ["with_production"]), F.lit(" with production, "), _s(occ["with_assays"]), F.lit(" assay-backed")),
-        F.when(district["name"].isNotNull(), _district(district, "out")),
-        F.when(F.size(workings) > 0, F.concat(_s(F.size(workings)), F.lit(" IAML working(s) within 5 km"))))
-    return F.when(occ["n_near"].isNull(), F.lit(None)).when(occ["nearest_km"].isNull(), "no recorded occurrence within 5 km").otherwise(full)
-
-
-def geochemistry(records: Column, with_assays: Column, units: Column) -> Column:
-    """Observed minerals of nearby records stand in for assays; values are in the cited documents, not here."""
-    seen = lambda f: F.array_distinct(F.filter(F.transform(records, lambda r: r[f]), lambda v: v.isNotNull() & (v != "")))
-    ore, gangue = seen("ore_minerals"), seen("gangue")
+    ranked = wofe["favourable_unit"]
+    share = F.when(wofe["favourable_frac"] > 0, percent(wofe["favourable_frac"]))
+    shown = lambda u: F.concat(spaced(u["unit"], u["name"], u["lithology"]), F.lit(" "), percent(u["frac"]).cast("string"), F.lit("%"))
     top = F.try_element_at(units, F.lit(1))
-    return line(
-        F.when(F.size(ore) > 0, F.concat(F.lit("ore minerals nearby: "), F.array_join(F.slice(ore, 1, 3), " / "))),
-        F.when(F.size(gangue) > 0, F.concat(F.lit("gangue: "), F.array_join(F.slice(gangue, 1, 2), " / "))),
-        F.when(with_assays > 0, F.concat(_s(with_assays), F.lit(" site(s) within 5 km have assays ON RECORD (values are in the cited source documents, not in this dataset)"))),
-        F.when(top.isNotNull(), F.concat(F.lit("host: "), _words(top["unit"], top["lithology"]))))
+    return {
+        "units": listing(units, shown), "hosts": listing(units, shown, 2), "host": some(spaced(top["unit"], top["lithology"])), "ranked": ranked,
+        "contrast": wofe["favourable_contrast"], "formation": wofe["formation"], "share": share, "raster_unit": wofe["unit"],
+    }
+
+
+def line_facts(s: Column, wofe: Column) -> dict[str, Column]:
+    """``s``: structure facts of the cell, null where nothing is mapped; ``wofe``: what the rasters hold."""
+    kind = lambda k: F.concat(k["n"].cast("string"), F.lit(" "), k["kind"], F.lit(" from "), k["km"].cast("string"), F.lit(" km"))
+    named = lambda table: lambda c: F.coalesce(lookup(table, c), F.concat(F.lit("code "), c.cast("string")))
+    plain = lambda v: v.cast("string")
+    near = s["count"] > 0
+    return {
+        "reach": F.when(s.isNotNull(), str(fixed.STRUCTURE_BUFFER_M / 1000)), "count": F.when(near, s["count"]), "kinds": listing(s["kinds"], kind),
+        "nearest_kind": F.when(~near, s["nearest_kind"]), "nearest_km": F.when(~near, s["nearest_km"]),
+        "trends": listing(s["azimuths"], plain), "favourable": listing(s["favourable_azimuths"], plain),
+        "crossings": F.when(s["fault_intersections_in_cell"] > 0, s["fault_intersections_in_cell"]), "names": listing(s["named"], plain),
+        "raster_faults": listing(wofe["fault_codes"], named(fixed.FAULT_TYPES)), "predicting": flag(wofe["has_predictor_fault"]),
+        "raster_folds": listing(wofe["fold_codes"], named(fixed.FOLD_TYPES)), "raster_dikes": listing(wofe["dike_units"], plain),
+    }
+
+
+def site_facts(occ: Column) -> dict[str, Column]:
+    """``occ``: occurrence facts; counts are zero and nearest null where nothing is in reach."""
+    near = occ["nearest_km"].isNotNull()
+    when = lambda name: F.when(near, occ[name])
+    return {
+        "nearest_name": F.when(near, F.coalesce(some(occ["nearest_name"]), F.lit("without a name"))), "nearest_km": occ["nearest_km"],
+        "rough": flag(occ["nearest_accuracy"].isin(*fixed.ROUGH_POSITIONS)), "empty": flag(occ["n_near"].isNotNull() & ~near),
+        "in_cell": when("n_in_cell"), "within_1": when("n_1km"), "within_2": when("n_2km"), "within_5": when("n_near"),
+        "producers": when("with_production"), "assayed": when("with_assays"),
+    }
+
+
+def district_facts(d: Column) -> dict[str, Column]:
+    """``d``: (name, inside, km) and, where known, production and years."""
+    return {"district": d["name"].cast("string"), "in_district": flag(d["inside"]), "district_km": d["km"]}
+
+
+def district_history(production: Column, first_year: Column, last_year: Column) -> dict[str, Column]:
+    years = F.when(first_year.isNotNull(), F.concat_ws(" to ", first_year.cast("string"), F.when(last_year > first_year, last_year.cast("string"))))
+    return {"district_output": some(production), "district_years": years}
+
+
+def record_facts(records: Column, assayed: Column) -> dict[str, Column]:
+    """Minerals of nearby records stand in for assays, whose values are in documents."""
+    seen = lambda f, n: listing(F.array_distinct(F.filter(F.transform(records, lambda r: some(r[f])), lambda v: v.isNotNull())), lambda v: v, n)
+    return {"ores": seen("ore_minerals", 3), "gangue": seen("gangue", 2), "assayed": F.when(assayed > 0, assayed)}
 
 
 def record_text(name: Column, km: Column, production: Column, assays: Column, accuracy: Column, docs: Column) -> Column:
-    flags = F.concat_ws(
-        ", ", F.when(production, "production Y").otherwise("production n/r"), F.when(assays, "assays Y").otherwise("assays n/r"),
-        lookup(fixed.POSITION_LABELS, F.coalesce(accuracy, F.lit("unknown")), "accuracy unknown"),
-        F.when(docs > 0, F.concat(_s(docs), F.when(docs == 1, " scanned doc").otherwise(" scanned docs"))))
-    return F.concat(F.lit('"'), F.coalesce(F.nullif(name, F.lit("")), F.lit("unnamed")), F.lit('" '), _s(km), F.lit(" km ["), flags, F.lit("]"))
-
-
-def historical(occ: Column, nearest_text: Column, best_text: Column, district: Column, workings: Column, pins: Column, toponyms: Column) -> Column:
-    """Recorded mining history; ``workings`` and ``pins`` are arrays of (text, km), ``toponyms`` of (name, tier, tier_name, corroboration)."""
-    counts = F.when(occ["n_near"] > 0, F.concat(
-        _s(occ["n_near"]), F.lit(" recorded site(s) within 5 km ("), _s(occ["with_assays"]), F.lit(" assay-backed, "), _s(occ["with_production"]),
-        F.lit(" with production, "), _s(occ["n_in_cell"]), F.lit(" inside the cell)")))
-    listed = lambda a, part: F.when(F.size(a) > 0, F.array_join(F.transform(F.slice(a, 1, 2), part), "; "))
-    near = occ["nearest_km"].isNotNull()
-    return line(
-        F.when(near, F.concat(F.lit("nearest "), nearest_text)).when(occ["n_near"].isNotNull(), "no recorded site within 5 km"),
-        F.when(near, counts), F.when(near & best_text.isNotNull(), F.concat(F.lit("best-documented nearby: "), best_text)),
-        F.when(district["name"].isNotNull(), _district(district, "outside")),
-        F.concat(F.lit("IAML workings: "), listed(workings, lambda w: F.concat(w["text"], F.lit(" "), _s(w["km"]), F.lit(" km")))),
-        F.concat(F.lit("FIELD OBSERVATION: "), listed(pins, lambda p: F.concat(p["name"], F.lit(" "), _s(p["km"]), F.lit(" km — "), F.coalesce(F.nullif(p["text"], F.lit("")), F.lit("no note"))))),
-        F.when(F.size(toponyms) > 0, F.concat(F.lit("toponyms: "), F.array_join(F.transform(toponyms, lambda t: F.concat(
-            F.lit('"'), t["name"], F.lit('" (T'), _s(t["tier"]), F.lit(" "), F.coalesce(t["tier_name"], F.lit("")), F.lit(", "), t["corroboration"], F.lit(")"))), "; "))))
+    known = F.concat_ws(", ", F.when(production, "produced"), F.when(assays, "assayed"),
+                        lookup(fixed.POSITION_LABELS, F.coalesce(accuracy, F.lit("unknown")), "accuracy unknown"),
+                        F.when(docs > 0, F.concat(docs.cast("string"), F.lit(" documents"))))
+    return F.concat(F.coalesce(some(name), F.lit("without a name")), F.lit(" "), km.cast("string"), F.lit(" km ("), known, F.lit(")"))
 
 
-def remote_sensing(units: Column, favourable_unit: Column, records: Column) -> Column:
-    gangue = F.filter(F.transform(records, lambda r: r["gangue"]), lambda v: v.isNotNull() & (v != ""))
-    return line(
-        F.when(F.size(units) > 0, F.concat(F.lit("host: "), F.array_join(F.transform(F.slice(units, 1, 2), lambda u: F.concat(
-            _pct(u["frac"]), F.lit("% "), _words(u["unit"], u["lithology"]))), "; "))),
-        F.when(favourable_unit.isNotNull(), F.concat(F.lit("Eocene volcanic host ("), favourable_unit, F.lit(") — argillic and adularia-sericite alteration expected if mineralised"))),
-        F.when(F.size(gangue) > 0, F.concat(F.lit("recorded gangue nearby: "), F.array_join(F.slice(gangue, 1, 2), " / "))))
+def nearby_facts(workings: Column, pins: Column, toponyms: Column) -> dict[str, Column]:
+    """Arrays of (name, km) and of (name, tier, corroboration)."""
+    placed = lambda w: F.concat(F.coalesce(some(w["name"]), F.lit("without a name")), F.lit(" "), w["km"].cast("string"), F.lit(" km"))
+    named = lambda t: F.concat(t["name"], F.lit(" (tier "), t["tier"].cast("string"), F.lit(", "), t["corroboration"], F.lit(")"))
+    return {"workings": F.when(F.size(workings) > 0, F.size(workings)), "working_list": listing(workings, placed), "pins": listing(pins, placed),
+            "names": listing(toponyms, named)}
 
 
+# --- coordinates --------------------------------------------------------------------------------
 def cell_line(label: Column, min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
     four = lambda a, b: F.format_string("%.4f", round_dp((a + b) / 2.0, 4))
     return F.concat(F.lit("  - "), label, F.lit(": center ("), four(min_lat, max_lat), F.lit(", "), four(min_lon, max_lon), F.lit(")"))
@@ -151,6 +189,20 @@ def bbox_text(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column
     return F.concat(F.lit("Bounding box: "), four(min_lat), F.lit("°N to "), four(max_lat), F.lit("°N, "), four(F.abs(min_lon)), F.lit("°W to "), four(F.abs(max_lon)), F.lit("°W"))
 
 
+# --- assembly -----------------------------------------------------------------------------------
+#: Buckets of stored fact tables; one number for all, so that they join without a shuffle.
+BUCKETS = 16
+
+
+def stored(facts: DataFrame, keys: list[str], name: str, buckets: int = BUCKETS) -> DataFrame:
+    """A fact table (one row per cell) written in buckets of its cells, below the shared folder."""
+    spark = facts.sparkSession
+    path = scratch_path(spark, name)
+    table = "facts_" + path.rsplit("-", 1)[-1]
+    facts.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def assemble(cells: DataFrame, keys: list[str], tables: dict[str, DataFrame]) -> DataFrame:
     """Fact tables as struct columns on the cells; absent facts are null and every cell is kept."""
     out = cells.select(*keys)
