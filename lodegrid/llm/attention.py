@@ -14,8 +14,8 @@ Texts are scored in overlapping windows of ``WINDOW`` ids: each window scores th
 before as context only, so every id is scored once. Windows are batched; attention is masked to what came before.
 
 A word that was learned has half the probability that the model's subwords give it and half its share among all learning
-words, less the share of words seen once, the usual estimate of what is new. A word that was not has what the model
-gives it: its probabilities of new words add up to about that share.
+words, less u, the share of words seen once, the usual estimate of what is new. A word that was not has (1 + u) / 2 of
+what the model gives it. With P the model's mass on learned words that adds up to 1 - uP / 2, so never to over 1.
 
 Counts cover the whole corpus and never meet in one place. Documents are dealt by hash into blocks of about
 ``BLOCK`` bytes; a block asks for the counts of its distinct words by a join on the word, and gets them back
@@ -240,92 +240,7 @@ class Model:
         np.add.at(g["embed"], inputs.ravel(), flat(dx))
         return g
 
-    def train(self, ids: np.ndarray, counts: np.ndarray, seed: int = 4) -> None:
-        """One pass of Adam over the windows in random order, the step falling to nothing."""
-        if not len(ids):
-            return
-        self.set_biases(ids)
-        steps = -(-int((-(-counts // STRIDE)).sum()) // BATCH)
-        self.descend(ids, counts, self.moments(), lambda t: min(1, t / 20) * (1 - (t - 1) / steps), seed)
-
-    def moments(self) -> dict:
-        return {"t": 0, "mean": {k: np.zeros_like(v) for k, v in self.p.items()}, "square": {k: np.zeros_like(v) for k, v in self.p.items()}}
-
-    def descend(self, ids: np.ndarray, counts: np.ndarray, state: dict, pace: Callable[[int], float], seed: int = 4) -> None:
-        """Adam over the windows in random order, going on from the moments in ``state``."""
-        inputs, first, row, column = windows(ids, counts)
-        starts = np.searchsorted(row, np.arange(len(inputs) + 1))
-        order = np.random.default_rng(seed).permutation(len(inputs))
-        mean, square = state["mean"], state["square"]
-        for i in range(0, len(order), BATCH):
-            chosen = order[i:i + BATCH]
-            own = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in chosen])
-            local = np.repeat(np.arange(len(chosen)), starts[chosen + 1] - starts[chosen])
-            g = self.gradients(inputs[chosen], first[chosen], local, column[own], ids[own])
-            state["t"] += 1
-            t, rate = state["t"], np.float32(RATE * pace(state["t"]))
-            for k, v in self.p.items():
-                mean[k] += np.float32(0.1) * (g[k] - mean[k])
-                square[k] += np.float32(0.02) * (g[k] * g[k] - square[k])
-                v -= rate * (mean[k] / np.float32(1 - 0.9**t)) / (np.sqrt(square[k] / np.float32(1 - 0.98**t)) + np.float32(1e-6))
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
-
-
-def _chosen(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log softmax at one place of each row; ``z`` is used up."""
-    own = z[np.arange(len(z)), which]
-    if len(z) and z.max() > 80:  # beyond the range of exp in single precision
-        top = z.max(axis=1)
-        z, own = z - top[:, None], own - top
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-
-def _runs(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, from, to) of each run of a sorted array."""
-    bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        yield int(group[a]), a, b
-
-
-def train(self, ids: np.ndarray, counts: np.ndarray, seed: int = 4) -> None:
-        """One pass of Adam over the windows in random order, the step falling to nothing."""
-        if not len(ids):
-            return
-        self.set_biases(ids)
-        inputs, first, row, column = windows(ids, counts)
-        starts = np.searchsorted(row, np.arange(len(inputs) + 1))
-        order = np.random.default_rng(seed).permutation(len(inputs))
-        mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        steps = -(-len(order) // BATCH)
-        for t in range(1, steps + 1):
-            chosen = order[(t - 1) * BATCH:t * BATCH]
-            own = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in chosen])
-            local = np.repeat(np.arange(len(chosen)), starts[chosen + 1] - starts[chosen])
-            g = self.gradients(inputs[chosen], first[chosen], local, column[own], ids[own])
-            rate = np.float32(RATE * min(1, t / 20) * (1 - (t - 1) / steps))
-            for k, v in self.p.items():
-                mean[k] += np.float32(0.1) * (g[k] - mean[k])
-                square[k] += np.float32(0.02) * (g[k] * g[k] - square[k])
-                v -= rate * (mean[k] / np.float32(1 - 0.9**t)) / (np.sqrt(square[k] / np.float32(1 - 0.98**t)) + np.float32(1e-6))
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
-
-
-def _by_class(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    bounds = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        yield int(group[order[a]]), order[a:b]
-
-
-def _id_counts(subwords: Subwords) -> Callable:
+    def _id_counts(subwords: Subwords) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(END + 1, np.int64)
         for batch in batches:
@@ -455,6 +370,14 @@ def log_scores(docs: DataFrame, path: str, learn: Column) -> DataFrame:
 def _scored(cutter: Subwords, net: Model, texts: list[bytes | None], known: np.ndarray, counts: np.ndarray, n_all: int, n_distinct: int,
             n_once: int) -> tuple[np.ndarray, ...]:
     """Number of tokens, of known ones, base score and score of each text of a chunk."""
+    per_doc, c, base, score = token_scores(cutter, net, texts, known, counts, n_all, n_distinct, n_once)
+    text = np.repeat(np.arange(len(texts)), per_doc)
+    return (per_doc, *(np.bincount(text, w, len(texts)) for w in (c > 0, base, score)))
+
+
+def token_scores(cutter: Subwords, net: Model, texts: list[bytes | None], known: np.ndarray, counts: np.ndarray, n_all: int, n_distinct: int,
+                 n_once: int) -> tuple[np.ndarray, ...]:
+    """Tokens of each text, and of each token its count, base score and score (log10)."""
     words, ids, per_text = cutter.cut(texts)
     # Word hashes with the end of each text after its words.
     ends = np.cumsum(words.per_doc + 1) - 1
@@ -473,6 +396,6 @@ def _scored(cutter: Subwords, net: Model, texts: list[bytes | None], known: np.n
     first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if len(ids) else np.zeros(0, np.int64)
     spelled = np.add.reduceat(net.log10(ids, per_text), first)
     share = (1 - n_once / n_all) * c / n_all if n_all else c
-    score = np.where(c > 0, np.log10(np.maximum((share + np.power(10.0, np.maximum(spelled, -290))) / 2, 1e-290)), spelled)
-    text = np.repeat(np.arange(len(texts)), words.per_doc + 1)
-    return (words.per_doc + 1, *(np.bincount(text, w, len(texts)) for w in (c > 0, base, score)))
+    new = np.log10((1 + n_once / n_all) / 2) if n_all else 0.0
+    score = np.where(c > 0, np.log10(np.maximum((share + np.power(10.0, np.maximum(spelled, -290))) / 2, 1e-290)), spelled + new)
+    return words.per_doc + 1, c, base, score

@@ -7,9 +7,14 @@ longer does not begin with the shorter, the template has rewritten history, and
 that differ from their first character on render to a common head and a common tail, and the text is what a real
 turn has between them.
 
-A prefix holds at most ``WINDOW`` turns, the latest; a template that looks back further than that is outside the
-contract. This bounds both memory (a conversation is streamed, sorted, through its task and never held) and work
-(linear in the turns). Digests are chains over all turns of a conversation, so one conversation stays in one task.
+Prefixes are rendered whole, so a template may look back as far as it likes, and work grows with the square of a
+conversation's turns. A template that writes each turn by itself can be declared ``local``: prefixes then begin at most
+``WINDOW`` turns back, work is linear and a conversation is streamed, sorted, through its task and never held. The
+claim is tested whenever turns are dropped: the window must render to its older half followed by its younger half,
+or the conversation is reported as ``rewritten``. Digests are chains over all turns of a conversation, so one
+conversation stays in one task.
+
+A template that leaves a text out, or says the same for both probes, has no loss span there.
 
 Defined results: a null text is an empty text, a null role an empty role; a null conv_id is a conversation of its
 own, null turns come first; turns with one number are ordered by role and text; extra columns are ignored; an empty
@@ -55,15 +60,17 @@ def read_turns(formatted: str) -> list[Turn]:
 class Rendering:
     """Grows one conversation turn by turn: ``add`` gives the turn's piece of output and its loss span in the piece."""
 
-    def __init__(self, template: Callable[[list[Turn]], str], loss_roles: tuple[str, ...] = ("assistant",)):
-        self.template, self.loss_roles = template, loss_roles
+    def __init__(self, template: Callable[[list[Turn]], str], loss_roles: tuple[str, ...] = ("assistant",), local: bool = False):
+        self.template, self.loss_roles, self.local = template, loss_roles, local
         self.turns: list[Turn] = []
         self.output, self.rewritten = template([]), False
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
-        if len(self.turns) == WINDOW:
-            self.turns = self.turns[WINDOW // 2:]
-            self.output = self.template(self.turns)
+        if self.local and len(self.turns) == WINDOW:
+            older, younger = self.turns[:WINDOW // 2], self.turns[WINDOW // 2:]
+            tail = self.template(younger)
+            self.rewritten |= self.output != self.template(older) + tail[len(self.template([])):]
+            self.turns, self.output = younger, tail
         longer = self.template([*self.turns, (role, text)])
         if not longer.startswith(self.output):
             self.rewritten = True
@@ -72,15 +79,16 @@ class Rendering:
         if role in self.loss_roles and not self.rewritten:
             a, b = (self.template([*self.turns, (role, p)])[len(self.output):] for p in _PROBES)
             head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-            begin, end = head, len(piece) - (len(a) - head - len(_PROBES[0]))
+            if a != b:
+                begin, end = head, max(head, len(piece) - (len(a) - head - len(_PROBES[0])))
         self.turns.append((role, text))
         self.output = longer
         return piece, begin, end
 
 
 class _Digest:
-    def __init__(self, conv_id: int | None, template: Callable[[list[Turn]], str]):
-        self.conv_id, self.rendering = conv_id, Rendering(template)
+    def __init__(self, conv_id: int | None, template: Callable[[list[Turn]], str], local: bool):
+        self.conv_id, self.rendering = conv_id, Rendering(template, local=local)
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.formatted_chars = 0
 
@@ -111,7 +119,7 @@ def _sorted_turns(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = marked_turns) -> DataFrame:
+def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = marked_turns, local: bool = False) -> DataFrame:
     """One row per turn: conv_id, turn, piece of output, loss span in the piece (equal ends: none), rewritten so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +128,7 @@ def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str]
             rows = []
             for c, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if rendering is None or c != conv_id:
-                    conv_id, rendering = c, Rendering(template)
+                    conv_id, rendering = c, Rendering(template, local=local)
                 rows.append((c, turn, *rendering.add(role, text), rendering.rewritten))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
@@ -130,8 +138,11 @@ def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str]
         run, "conv_id bigint, turn bigint, piece string, loss_from bigint, loss_to bigint, rewritten boolean")
 
 
-def format_digests(conversations: DataFrame, template: Callable[[list[Turn]], str] = marked_turns) -> DataFrame:
-    """One row per conversation, read back from the formatted output and its loss mask."""
+def format_digests(conversations: DataFrame, template: Callable[[list[Turn]], str] = marked_turns, local: bool = True) -> DataFrame:
+    """One row per conversation, read back from the formatted output and its loss mask.
+
+    Turns are read back by ``read_turns``, so the template has to be one that it reads, like ``marked_turns``, which is local.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, done = None, []
@@ -140,7 +151,7 @@ def format_digests(conversations: DataFrame, template: Callable[[list[Turn]], st
                 if current is None or c != current.conv_id:
                     if current is not None:
                         done.append(current.row())
-                    current = _Digest(c, template)
+                    current = _Digest(c, template, local)
                 current.add(role, text)
             yield _rows(done)
             done = []

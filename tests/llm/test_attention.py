@@ -127,6 +127,31 @@ def test_counts_and_base_scores_match_plain_counting(spark, monkeypatch):
         assert r.score < 0
 
 
+@pytest.mark.parametrize("once", [0, 3])
+def test_probabilities_of_words_sum_to_one_at_most(subwords, once):
+    """At the start of a text: the learned words, and all that is left to the model as the mass of new ones."""
+    words = [f"{a}{b}" for a in ("gold", "quartz", "river", "old") for b in ("", "s", "mine", "field")]
+    counts = np.array([5 + i if i >= once else 1 for i in range(len(words))] + [9])
+    hashes = np.concatenate([at.T.words_of([" ".join(words).encode()], at.T.BLANK_SEPARATED).hashes(), [at.END_WORD]])
+    order = np.argsort(hashes)
+    net = at.Model()
+    _, ids, per = subwords.cut([" ".join(words).encode()] * 300)
+    net.train(ids, per)
+    n = int(counts.sum())
+    each = [w.encode() for w in words] + [b""]
+    per_doc, c, _, score = at.token_scores(subwords, net, each, hashes[order], counts[order], n, len(counts), once)
+    first = np.cumsum(per_doc) - per_doc
+    assert (c[first] == counts).all()
+    learned = (10.0 ** score[first]).sum()
+    u = once / n
+    spelled = 2 * (learned - (1 - u) / 2)  # the model's own mass on them
+    new = at.token_scores(subwords, net, [b"zyx"], hashes[order], counts[order], n, len(counts), once)[3][0]
+    bare = at.token_scores(subwords, net, [b"zyx"], hashes[:0], counts[:0], 0, 0, 0)[3][0]
+    assert abs(new - bare - np.log10((1 + u) / 2)) < 1e-9
+    total = learned + (1 + u) / 2 * (1 - spelled)
+    assert 0 < spelled < 1 and total <= 1 + 1e-6 and abs(total - (1 - u * spelled / 2)) < 1e-6
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     got = at.log_scores(docs, PATH, F.lit(False)).collect()

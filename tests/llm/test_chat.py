@@ -32,11 +32,45 @@ def test_a_template_that_rewrites_history_is_told():
     assert r.rewritten
 
 
-def test_long_conversations_slide_their_window():
-    turns = [("assistant" if i % 2 else "user", f"text {i}") for i in range(3 * chat.WINDOW)]
-    r = chat.Rendering(chat.marked_turns)
-    assert "".join(r.add(*t)[0] for t in turns) == chat.marked_turns(turns)
-    assert len(r.turns) <= chat.WINDOW
+LONG = [("assistant" if i % 2 else "user", f"text {i}") for i in range(200)]
+
+
+def spans(turns, template, **more):
+    r = chat.Rendering(template, **more)
+    return r, [r.add(*t) for t in turns]
+
+
+@pytest.mark.parametrize("local", [False, True])
+def test_long_conversations_render_as_a_whole(local):
+    r, pieces = spans(LONG, chat.marked_turns, local=local)
+    assert "".join(p for p, _, _ in pieces) == chat.marked_turns(LONG) and not r.rewritten
+    assert len(r.turns) == (200 if not local else len(r.turns)) and (not local or len(r.turns) <= chat.WINDOW)
+
+
+def numbered(turns):
+    return "".join(f"[{i}] {role}: {text}\n" for i, (role, text) in enumerate(turns))
+
+
+def test_a_template_that_numbers_its_turns_gives_its_whole_output():
+    r, pieces = spans(LONG, numbered)
+    assert "".join(p for p, _, _ in pieces) == numbered(LONG) and not r.rewritten
+    assert [p[a:b] for (p, a, b), (role, _) in zip(pieces, LONG) if role == "assistant"] == [t for role, t in LONG if role == "assistant"]
+    assert spans(LONG, numbered, local=True)[0].rewritten  # it is not local, and is found out
+
+
+def test_history_rewritten_late_is_told():
+    late = lambda turns: ("gone" if len(turns) > 100 else "kept") + numbered(turns)
+    assert not spans(LONG[:100], late)[0].rewritten
+    r, pieces = spans(LONG, late)
+    assert r.rewritten and pieces[-1][1:] == (0, 0)
+
+
+def test_a_head_and_a_text_left_out_or_trimmed():
+    r, pieces = spans(LONG[:6], lambda turns: "<s>" + "".join(f"{role};" for role, _ in turns))
+    assert all(a == b <= len(p) for p, a, b in pieces) and not r.rewritten
+    r, pieces = spans([("assistant", "  x  "), ("assistant", " ")], lambda turns: "<s>" + "".join(f"({text.strip()})" for _, text in turns), local=True)
+    assert [p[a:b] for p, a, b in pieces] == ["x", ""]
+    assert not spans(LONG, lambda turns: "<s>" + chat.marked_turns(turns), local=True)[0].rewritten
 
 
 def test_tables(spark):
