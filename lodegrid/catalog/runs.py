@@ -192,27 +192,33 @@ def _(spark, d):
 
 
 # --- responses ----------------------------------------------------------------------------------
-_R = f"""{with_views('response')}, full1 AS (SELECT batch, turn, response, batch % 4 AS kind FROM response)"""
+# Every turn of every conversation as what a model answered: its text, without brackets and fences, is the prose around the
+# items and their evidence. By turn: cut off, wordy, a draft before the fenced answer, a second array, objects in the evidence, no answer.
+_R = """WITH response AS (SELECT conv_id AS batch, turn, coalesce(text, '') AS raw, translate(coalesce(text, ''), '[]{}`"', '') AS prose, (conv_id + turn) % 6 AS kind FROM conversations)"""
 
 
 def responses(spark, d):
-    """Truncated bodies as in the view, and whole, fenced and wordy variants of them."""
-    whole = F.regexp_replace(F.regexp_replace("response", r",\{[^{}]*$", "]"), "^note ", "")
-    kind = F.col("batch") % 4
-    text = F.when(kind == 0, F.col("response")).when(kind == 1, whole).when(
-        kind == 2, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("Scores: "), whole, F.lit(" as asked.")))
-    return view(spark, d, "response").withColumn("text", text)
-
-
-_BC = "SELECT batch, turn, 'cell-' || batch || '-' || turn || '-' || n AS canonical, 'c' || n AS label FROM response, (SELECT unnest(range(1, 13)) AS n)"
-
-
-@register("parsed_responses", f"""{with_views('response')} SELECT batch, turn, 'cell-' || batch || '-' || turn || '-' || (turn + 1) AS cell_id,
-  (batch % 10) / 1e1 AS score, 1e0 AS confidence FROM response WHERE turn + 1 <= 12""")
+    r = table(spark, d, "conversations").select(F.col("conv_id").alias("batch"), "turn", F.coalesce("text", F.lit("")).alias("raw"))
+    r = r.withColumns({"prose": F.translate("raw", '[]{}`"', ""), "kind": (F.col("batch") + F.col("turn")) % 6})
+    label = F.concat(F.lit("c"), (F.col("turn") % 12 + 1).cast("string"))
+    deep = F.struct(F.struct(F.struct(F.lit("c2").alias("cell_id"), F.lit(1).alias("score")).alias("b")).alias("a"))
+    item = lambda score, evidence: F.to_json(F.struct(label.alias("cell_id"), score.alias("score"), F.lit(1.5).alias("confidence"), evidence.alias("evidence")))
+    good, draft = item((F.col("batch") % 10) / 10.0, F.col("prose")), item(F.lit(0.95), F.lit("draft"))
+    nested = F.concat(F.regexp_replace(item((F.col("batch") % 10) / 10.0, F.array("prose")), r"\]\}$", ","), F.to_json(deep), F.lit("]}"))
+    text = (F.when(F.col("kind") == 0, F.concat("prose", F.lit(" ["), good, F.lit(',{"cell_id":"c9","sco')))
+            .when(F.col("kind") == 1, F.concat("prose", F.lit(" ["), good, F.lit("] as asked.")))
+            .when(F.col("kind") == 2, F.concat(F.lit("["), draft, F.lit("] then\n```json\n["), good, F.lit("]\n```\n"), "prose"))
+            .when(F.col("kind") == 3, F.concat(F.lit("["), good, F.lit("] or rather ["), draft, F.lit("] "), "prose"))
+            .when(F.col("kind") == 4, F.concat(F.lit('{"cells": ['), nested, F.lit("]}"))).otherwise(F.col("prose")))
+    return r.withColumn("text", text)
+
+
+@register("parsed_responses", f"""{_R} SELECT batch, turn, 'cell-' || batch || '-' || turn || '-' || (turn % 12 + 1) AS cell_id,
+  (batch % 10) / 1e1 AS score, 1e0 AS confidence, prose AS evidence FROM response WHERE kind < 5""")
 def _(spark, d):
     r = responses(spark, d)
     items = runs.parse_responses(r, "text", ["batch", "turn"])
-    return runs.scored_from_items(items, batch_cells(r), ["batch", "turn"]).select("batch", "turn", "cell_id", "score", "confidence")
+    return runs.scored_from_items(items, batch_cells(r), ["batch", "turn"]).select("batch", "turn", "cell_id", "score", "confidence", F.col("evidence")[0].alias("evidence"))
 
 
 def batch_cells(r):
@@ -222,13 +228,13 @@ def batch_cells(r):
         F.concat_ws("-", F.lit("cell"), "batch", "turn", "n").alias("cell_id"))
 
 
-@register("response_health", f"""{with_views('response')} SELECT batch, turn, 12 AS requested, CASE WHEN turn + 1 <= 12 THEN 1 ELSE 0 END AS scored,
-  CASE WHEN turn + 1 <= 12 THEN 'partial' ELSE 'failed' END AS parse_status, length(response) AS response_chars, left(response, 400) AS preview FROM response""")
+@register("response_health", f"""{_R} SELECT batch, turn, 12 AS requested, CASE WHEN kind < 5 THEN 1 ELSE 0 END AS scored,
+  CASE WHEN kind < 5 THEN 'partial' ELSE 'failed' END AS parse_status, length(raw) AS response_chars, left(raw, 400) AS preview FROM response""")
 def _(spark, d):
     r = responses(spark, d)
     cells = batch_cells(r)
     scored = runs.scored_from_items(runs.parse_responses(r, "text", ["batch", "turn"]), cells, ["batch", "turn"])
-    return runs.parse_health(cells, scored, r, "response", ["batch", "turn"])
+    return runs.parse_health(cells, scored, r, "raw", ["batch", "turn"])
 
 
 # --- telemetry ----------------------------------------------------------------------------------

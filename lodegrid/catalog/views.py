@@ -62,11 +62,6 @@ VIEWS: dict[str, tuple[str, dict[str, str], str | None]] = {
     "doc_page": ("documents", {
         "doc": "CAST(floor(doc_id / 10) AS BIGINT)", "page": "doc_id % 10 + 1", "text": "text",
     }, None),
-    "response": ("conversations", {
-        "batch": "conv_id", "turn": "turn",
-        "response": "'note ' || '[{\"cell_id\":\"c' || CAST(turn + 1 AS STRING) || '\",\"score\":0.' || "
-                    "CAST(conv_id % 10 AS STRING) || ',\"confidence\":1.5},{\"cell_id\":\"c9'",
-    }, "role = 'assistant'"),
 }
 
 

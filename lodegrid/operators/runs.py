@@ -87,24 +87,45 @@ def batches(cells: DataFrame, group: list[str], order: list[str], size: int = fi
 _ITEM = "struct<cell_id:string,score:string,confidence:string,evidence:string,data_sources_used:string>"
 
 
-#: A flat JSON object, and one that may hold flat ones; braces inside strings do not count.
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_FLAT = r"\{(?:[^{}\"]++|" + _STRING + r")*+\}"
-_OBJECT = r"\{(?:[^{}\"]++|" + _STRING + "|" + _FLAT + r")*+\}"
+_FENCE = r"(?s)```(?:json)?\s*(.*?)(?:```|\z)"
+#: Strings whole, brackets one by one, what stands between them in one piece; a quote that is never closed by itself.
+_TOKEN = r'(?s)"(?:[^"\\]++|\\.)*+"|[\[\]{}]|[^"\[\]{}]++|"'
+_SCAN = "struct<at:int,square:int,ended:boolean,open:array<int>,found:array<struct<first:int,last:int>>>"
+
+
+def _objects(tokens: Column) -> Column:
+    """Token spans of all complete objects in the first array, nested ones too. Brackets inside strings are no brackets."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("square"), F.lit(False).alias("ended"), F.array().cast("array<int>").alias("open"),
+                     F.array().cast("array<struct<first:int,last:int>>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        at, within = s["at"] + 1, ~s["ended"] & (s["square"] > 0)
+        square = s["square"] + F.when(s["ended"], 0).when(t == "[", 1).when((t == "]") & within, -1).otherwise(0)
+        closes = within & (t == "}") & (F.size(s["open"]) > 0)
+        opened = F.when(within & (t == "{"), F.concat(s["open"], F.array(at))).when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"])
+        found = F.when(closes, F.concat(s["found"], F.array(F.struct(F.element_at(s["open"], -1).alias("first"), at.alias("last"))))).otherwise(s["found"])
+        ended = s["ended"] | (within & (square == 0))
+        return F.struct(at.alias("at"), square.cast("int").alias("square"), ended.alias("ended"), opened.alias("open"), found.alias("found")).cast(_SCAN)
+
+    return F.aggregate(tokens, start.cast(_SCAN), step)["found"]
 
 
 def parse_responses(responses: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Items of each response, in the order in which they stand.
 
-    One scan finds every complete object, whatever stands around it: prose, fences, a wrapping array or object, or
-    a cut-off end. An object that names no cell is looked into for objects that do.
+    What is looked at is the first fenced block, or else the whole text, and of it the first array, whole or cut off:
+    drafts before a fence and arrays after the first do not count. Complete objects of any depth are found in one
+    scan. An object that names no cell is looked into for objects that do; one that names a cell is one item, whatever it holds.
     """
-    item = lambda c: F.from_json(c, _ITEM)
-    found = responses.select(*keys, once(F.regexp_extract_all(F.col(text), F.lit("(?s)" + _OBJECT), 0)).alias("_f"))
-    inner = F.flatten(F.transform("_f", lambda o: F.when(item(o)["cell_id"].isNotNull(), F.array(o)).otherwise(
-        F.regexp_extract_all(F.substring(o, F.lit(2), F.length(o)), F.lit("(?s)" + _FLAT), 0))))
-    rows = found.select(*keys, F.posexplode(F.transform(inner, item)).alias("position", "_i"))
-    return rows.where("_i.cell_id is not null").select(*keys, "position", "_i.*")
+    fence = F.regexp_extract(F.col(text), _FENCE, 1)
+    body = F.when(F.contains(F.col(text), F.lit("```")), fence).otherwise(F.col(text))
+    found = responses.select(*keys, once(F.regexp_extract_all(body, F.lit(_TOKEN), 0)).alias("_t"))
+    found = found.withColumn("_o", _objects(F.col("_t")))
+    named = F.transform("_o", lambda o: F.struct(o["first"].alias("first"), o["last"].alias("last"), F.from_json(
+        F.array_join(F.slice("_t", o["first"], o["last"] - o["first"] + 1), ""), _ITEM).alias("item")))
+    found = found.withColumn("_n", F.filter(named, lambda o: o["item"]["cell_id"].isNotNull()))
+    outer = F.filter("_n", lambda o: ~F.exists("_n", lambda p: (p["first"] < o["first"]) & (p["last"] > o["last"])))
+    return found.select(*keys, F.posexplode(F.array_sort(outer)).alias("position", "_i")).select(*keys, "position", "_i.item.*")
 
 
 def scored_from_items(items: DataFrame, batch_cells: DataFrame, keys: list[str]) -> DataFrame:
