@@ -1,16 +1,18 @@
-"""Cells cut to their polygon, and fault crossings."""
+"""Cells cut to their polygon, fault crossings, and the geology store."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lodegrid.catalog import sqlmath as q
-from lodegrid.catalog.geometry import aoi_edges, drawn_polygons, multi_sql, overlay_sql
-from lodegrid.catalog.names import _NL, _SEG, KEYS, _cross, _touch, near_lines, segments
+from lodegrid.catalog.geometry import POLY_SIZE, aoi_edges, drawn_polygons, multi_sql, overlay_sql, polygons
+from lodegrid.catalog.names import _NL, _SEG, _TRD, KEYS, _cross, _touch, lines, near_lines, segments
 from lodegrid.catalog.registry import register
-from lodegrid.catalog.views import with_views
+from lodegrid.catalog.views import view, with_views
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import round_dp
 from lodegrid.operators import clip, lines as ln, overlay
+from lodegrid.session import scratch_path
+from lodegrid.sinks import store
 from lodegrid.sinks.tables import polygon_feature
 
 
@@ -112,3 +114,29 @@ def _meeting_sql() -> str:
 def _(spark, d):
     points = ln.crossing_points(segments(spark, d).where("kind = 'fault'"))
     return points.select("line_id", "other_id", round_dp(F.col("x"), 6).alias("lon"), round_dp(F.col("y"), 6).alias("lat")).distinct()
+
+
+# --- geology store ------------------------------------------------------------------------------
+_WINDOW = (-121.5, 46.6, -119.9, 47.9)
+_MEETS = "min_lon <= {2} AND max_lon >= {0} AND min_lat <= {3} AND max_lat >= {1}".format(*_WINDOW)
+
+
+@register("store_window_read", f"""{with_views('place_name', 'occurrence')}, {_SEG}, {_TRD},
+  u AS (SELECT feature_class AS unit, arg_max(name, length(name) * 1000000000 - feature_id) AS description FROM place_name GROUP BY 1),
+  p AS (SELECT feature_id AS id, feature_class AS label, lon - {POLY_SIZE} AS min_lon, lat - {POLY_SIZE} AS min_lat, lon + {POLY_SIZE} AS max_lon, lat + 1e0 * {POLY_SIZE} AS max_lat FROM place_name),
+  b AS (SELECT line_id AS id, kind AS label, min(least(ax, bx)) AS min_lon, min(least(ay, seg.by)) AS min_lat, max(greatest(ax, bx)) AS max_lon, max(greatest(ay, seg.by)) AS max_lat FROM seg GROUP BY 1, 2)
+  SELECT 'poly' AS layer, id, label, {q.rd('min_lon', 6)} AS min_lon, {q.rd('max_lat', 6)} AS max_lat, description, CAST(NULL AS DOUBLE) AS length_m FROM p JOIN u ON unit = label WHERE {_MEETS}
+  UNION ALL SELECT 'line', id, label, {q.rd('min_lon', 6)}, {q.rd('max_lat', 6)}, NULL, {q.rd('length_m', 3)} FROM b JOIN tr2 ON line_id = id WHERE {_MEETS}""")
+def _(spark, d):
+    """Units, polygons and lines written as a store and read back for a window."""
+    path = scratch_path(spark, "geology-store")
+    geology = polygons(spark, d).select(F.col("feature_id").alias("poly_id"), "unit", "rings")
+    described = view(spark, d, "place_name").select(
+        F.col("feature_class").alias("unit"), F.col("feature_class").alias("name"), F.lit(None).cast("string").alias("lithology"), F.col("name").alias("description"), F.col("feature_id").alias("ord"))
+    store.write_store(path, described, geology, lines(spark, d))
+    six = lambda c: round_dp(F.col(c), 6).alias(c)
+    poly = store.with_unit(store.read_window(spark, path, "poly", *_WINDOW), spark, path).select(
+        F.lit("poly").alias("layer"), F.col("poly_id").alias("id"), F.col("unit").alias("label"), six("min_lon"), six("max_lat"), "description", F.lit(None).cast("double").alias("length_m"))
+    traces = store.read_window(spark, path, "line", *_WINDOW).select(
+        F.lit("line").alias("layer"), F.col("line_id").alias("id"), F.col("kind").alias("label"), six("min_lon"), six("max_lat"), F.lit(None).cast("string").alias("description"), round_dp(F.col("length_m"), 3).alias("length_m"))
+    return poly.unionByName(traces)
