@@ -15,7 +15,7 @@ from lodegrid.catalog.nearby import KEYS, _CELLS, _FACTS, _PAIRS, facts, framed,
 from lodegrid.catalog.registry import ORACLES, QUERIES, register
 from lodegrid.catalog.views import table, view, with_views
 from lodegrid.functions import geo, grid as g
-from lodegrid.operators import describe, lines as ln, overlay, spatial, toponyms as tp, wofe
+from lodegrid.operators import context, describe, lines as ln, overlay, spatial, toponyms as tp, wofe
 from lodegrid.plans import analysis
 from lodegrid.session import materialise
 
@@ -220,6 +220,42 @@ def _(spark, d):
     return describe.census(assembled(spark, d), ["aoi_id"], list(FACT_TABLES))
 
 
+# --- what a cell's score was based on -----------------------------------------------------------
+def _sums_sql(sql, columns, keys="aoi_id, col, row"):
+    text = " || chr(1) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(2))" for c in sorted(columns))
+    number = lambda place: f"sum(CAST(CAST('0x' || substr(h, {place}, 15) AS BIGINT) AS HUGEINT))"
+    return f"SELECT {keys}, count(*) || ':' || {number(1)} || ':' || {number(16)} AS part FROM (SELECT {keys}, sha256({text}) AS h FROM ({sql})) GROUP BY {keys}"
+
+
+def _context_tables(spark, d, mark=None):
+    """Facts of cells and areas; with ``mark`` every fiftieth record is renamed and every tenth area relabelled."""
+    renamed = F.col("name") if mark is None else F.when(F.col("site_id") % 50 == 0, F.concat("name", F.lit(mark))).otherwise(F.col("name"))
+    label = F.col("label") if mark is None else F.when(F.col("aoi_id") % 10 == 0, F.concat("label", F.lit(mark))).otherwise(F.col("label"))
+    pairs = near(spark, d).withColumn("name", renamed)
+    cells = {"workings": spatial.nearest_records(pairs, KEYS).select(*KEYS, "place", "name", "km"), "novelty": QUERIES["cell_novelty"](spark, d)}
+    return cells, {"area": view(spark, d, "aoi").select("aoi_id", label.alias("label"), "toponym_revealing")}
+
+
+def _contexts(spark, d, mark=None):
+    cells, areas = _context_tables(spark, d, mark)
+    return context.context_hashes(aoi_cells(spark, d), KEYS, cells, "aoi_id", areas)
+
+
+@register("context_hashes", f"""{_CELLS}, w AS ({_sums_sql(ORACLES['cell_nearest_workings'], ['place', 'name', 'km'])}),
+  n AS ({_sums_sql(ORACLES['cell_novelty'], ['nearest_occurrence_km', 'novelty'])}), a AS ({_sums_sql('SELECT aoi_id, label, toponym_revealing FROM aoi', ['label', 'toponym_revealing'], 'aoi_id')})
+  SELECT c.aoi_id, c.col, c.row, sha256(sha256(concat_ws('|', 'novelty:' || n.part, 'workings:' || w.part)) || '/' || sha256('area:' || a.part)) AS context_hash
+  FROM cells c LEFT JOIN w USING (aoi_id, col, row) LEFT JOIN n USING (aoi_id, col, row) LEFT JOIN a ON a.aoi_id = c.aoi_id""")
+def _(spark, d):
+    return _contexts(spark, d)
+
+
+@register("cells_to_rescore", f"""{_PAIRS}, three AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY dm, site_id) <= 3)
+  SELECT DISTINCT aoi_id, col, row FROM cells LEFT JOIN (SELECT DISTINCT aoi_id, col, row, true AS hit FROM three WHERE site_id % 50 = 0) USING (aoi_id, col, row) WHERE hit OR aoi_id % 10 = 0""")
+def _(spark, d):
+    """Some records are renamed and some areas relabelled after scoring: only cells that were told of them are scored again."""
+    return context.cells_to_rescore(_contexts(spark, d), _contexts(spark, d, " (renamed)"), KEYS)
+
+
 # --- streams ------------------------------------------------------------------------------------
 _COST = q.rd("(input_tokens * 300 + output_tokens * 1500) / 1e8", 6)
 _WIN = f"""{with_views('telemetry')} SELECT date_trunc('hour', ts) AS window_start, run_id, agent_id, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
