@@ -288,6 +288,52 @@ def _(spark, d):
     return of(spark).read().withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+_PHASES = "CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'complete' ELSE event_type END"
+_STATES = "CASE WHEN event_type IN ('view', 'click') THEN CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'partial' ELSE 'failed' END END"
+_SESSIONS = f"""WITH e AS (SELECT event_id, ts, user_id AS run_id, {_PHASES} AS phase, {_STATES} AS status, CASE WHEN event_type = 'view' THEN event_id % 50 END AS cells, CAST(floor(value * 100) AS BIGINT) AS tokens FROM events),
+  g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM e),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS n FROM g)
+  SELECT run_id, min(ts) AS started_at, max(ts) AS last_event_at, count(*) AS events, count(status) AS batches, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'partial') AS partial,
+  count(*) FILTER (status = 'failed') AS failed, CAST(coalesce(sum(cells), 0) AS BIGINT) AS cells_scored, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens,
+  arg_max(phase, (ts, event_id)) AS last_phase, CASE WHEN arg_max(phase, (ts, event_id)) = 'complete' THEN 'complete' ELSE 'expired' END AS state FROM s GROUP BY run_id, n"""
+
+
+def run_events(spark, d):
+    return table(spark, d, "events").selectExpr(
+        "event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id AS run_id", f"{_PHASES} AS phase", f"{_STATES} AS status",
+        "CASE WHEN event_type = 'view' THEN event_id % 50 END AS cells", "CAST(floor(value * 100) AS BIGINT) AS tokens")
+
+
+def _local_times(df):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_event_at")})
+
+
+@register("run_sessions", _SESSIONS)
+def _(spark, d):
+    from lodegrid.streaming.pipelines import run_sessions
+    return _local_times(run_sessions(run_events(spark, d), "6 hours"))
+
+
+@register("run_sessions_stream", _SESSIONS)
+def _(spark, d):
+    """The same as a stream: each landing is a batch, and sessions come out as the watermark passes them. A last event, long after, closes what is open."""
+    from lodegrid.session import scratch_path
+    from lodegrid.streaming.pipelines import read_events, run_sessions
+    landed, out = scratch_path(spark, "events"), scratch_path(spark, "sessions")
+    events = materialise(run_events(spark, d), "events")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    middle = span["a"] + (span["b"] - span["a"]) / 2
+    land = lambda df, name: df.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{landed}/{name}")
+    land(events.where(F.col("ts") < F.lit(middle)), 1)
+    land(events.where(F.col("ts") >= F.lit(middle)), 2)
+    closing = events.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(span["b"]).alias("ts") + F.expr("INTERVAL 30 DAYS"), F.lit(-1).cast("bigint").alias("run_id"))
+    land(closing.toDF("event_id", "ts", "run_id"), 3)
+    for part in (1, 2, 3):  # one landing at a time, as they come; the query goes on from its checkpoint
+        stream = run_sessions(read_events(spark, f"{landed}/{{{','.join(str(i) for i in range(1, part + 1))}}}"), "6 hours", "1 day")
+        stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-ck").trigger(availableNow=True).start(out).awaitTermination()
+    return _local_times(spark.read.schema(stream.schema).parquet(out).where("run_id >= 0"))
+
+
 # --- plans --------------------------------------------------------------------------------------
 def _rings(spark, d):
     box = geo.square_around(F.col("lon"), F.col("lat"), F.col("radius_km"))
