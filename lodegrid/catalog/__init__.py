@@ -1,7 +1,7 @@
 """Registered queries over the given tables, each beside the SQL that must agree with it."""
 import importlib
 
-MODULES = ("scoring", "geometry", "evidence", "nearby", "names", "clipped", "runs", "ingest", "facts")
+MODULES = ("scoring", "geometry", "evidence", "nearby", "names", "clipped", "runs", "ingest", "facts", "reports")
 
 
 def load_all() -> None:

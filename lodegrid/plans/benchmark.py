@@ -1,25 +1,49 @@
 """Both scorers against known sites, over all runs at once."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrid.operators import evaluation as ev
 from lodegrid.operators import ranking
+from lodegrid.session import materialise
+from lodegrid.sinks.tablelog import TableLog
 
 
-def run_report(run_cells: DataFrame, model_cells: DataFrame, runs: DataFrame, workings: DataFrame) -> DataFrame:
-    """Metrics per run: flatness, correlation with the deterministic model, and known-site percentiles.
+def run_report(run_cells: DataFrame, model_cells: DataFrame, runs: DataFrame, workings: DataFrame, areas: DataFrame) -> DataFrame:
+    """Metrics per run: provenance, mean and flatness of both scorers, their correlation, known-site percentiles where allowed.
 
-    ``run_cells`` (run_id, col, row, score), ``model_cells`` (col, row, model_score nullable),
-    ``runs`` (run_id, aoi_id), ``workings`` (aoi_id, site_uid, col, row).
+    ``run_cells`` (run_id, col, row, score), ``model_cells`` (col, row, model_score nullable), ``runs`` (run_id, aoi_id, git_commit,
+    git_dirty, cache_hits), ``workings`` (aoi_id, site_uid, col, row), ``areas`` (aoi_id, workings_verified). Site metrics of
+    an area whose workings are missing or not verified are refused, with the reason.
     """
     keys = ["run_id"]
     base = ev.map_metrics(run_cells, keys)
-    shared = run_cells.join(model_cells.where("model_score is not null"), ["col", "row"])
+    shared = materialise(run_cells.join(model_cells.where("model_score is not null"), ["col", "row"]), "shared")
+    modelled = ev.map_metrics(shared, keys, "model_score").withColumnsRenamed({"cells": "model_cells", "mean_score": "model_mean", "flatness": "model_flatness"})
     rho = ranking.spearman(shared, keys, "score", "model_score").withColumnsRenamed({"rho": "spearman", "pairs": "spearman_n"})
-    sites = runs.select("run_id", "aoi_id").join(workings, "aoi_id").select("run_id", "site_uid", "col", "row")
+    counts = areas.join(workings.groupBy("aoi_id").agg(F.count("*").alias("_known")), "aoi_id", "left")
+    allowed, why = ev.workings_gate(F.col("_known"), F.col("workings_verified"))
+    gated = runs.join(counts, "aoi_id", "left").withColumns({"_ok": allowed, "workings_refused": F.when(~allowed, why)})
+    sites = gated.where("_ok").select("run_id", "aoi_id").join(workings, "aoi_id").select("run_id", "site_uid", "col", "row")
     known = ev.workings_metrics(sites, run_cells, keys, ["col", "row"])
     model = ev.workings_metrics(sites, shared.select("run_id", "col", "row", F.col("model_score").alias("score")), keys, ["col", "row"])
     model = model.select("run_id", *[F.col(c).alias(f"{c}_model") for c in ("found", "mean_percentile", "recall_at_high")])
-    return runs.join(base, keys, "left").join(rho, keys, "left").join(known, keys, "left").join(model, keys, "left")
+    out = gated.drop("_ok", "_known", "workings_verified")
+    for part in (base, modelled, rho, known, model):
+        out = out.join(part, keys, "left")
+    return out
+
+
+def freeze_baseline(spark: SparkSession, path: str, metrics: DataFrame, meta: dict[str, object]) -> None:
+    """Metric rows (metric, value) as the baseline that later runs are compared with, and where they come from, in one commit."""
+    _baseline(spark, path).publish(metrics.select("metric", "value"), meta)
+
+
+def _baseline(spark: SparkSession, path: str) -> TableLog:
+    return TableLog(spark, path, "metric string, value double", ["metric"])
+
+
+def against_baseline(spark: SparkSession, path: str, now: DataFrame, floor: DataFrame) -> DataFrame:
+    """Metric rows of today beside the frozen ones; a metric on one side only has no delta."""
+    return ev.delta_verdict(now, _baseline(spark, path).read(), floor)

@@ -65,16 +65,24 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def _runs(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
-    return raw.select(F.input_file_name().alias("path"), F.from_json(
-        "value", RUN, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return run_records(raw.select(F.input_file_name().alias("path"), "value"))
+
+
+def run_records(texts: DataFrame) -> DataFrame:
+    """(path, value) texts as (path, r); a text that is no whole record is marked in r._broken."""
+    return texts.select("path", F.from_json("value", RUN, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
 
 
 def readable_runs(rows: DataFrame) -> DataFrame:
     return rows.where("r is not null and r._broken is null").select("path", "r.*").drop("_broken")
 
 
+def unreadable_runs(rows: DataFrame) -> DataFrame:
+    return rows.where("r is null or r._broken is not null").select("path")
+
+
 def broken_runs(spark: SparkSession, path: str) -> DataFrame:
-    return _runs(spark, path).where("r is null or r._broken is not null").select("path")
+    return unreadable_runs(_runs(spark, path))
 
 
 def label_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
