@@ -9,8 +9,8 @@ The classifier is fitted on a bounded sample: ``SAMPLE`` labelled rows, the firs
 Only their ids are broadcast. The fit runs in one task, whose input is bounded by the sample; scoring is one pass.
 
 Defined results: null and empty texts have the constant feature only and get its probability; equal texts get equal
-scores; without a label of either class every score is 0.5; a doc_id with several labels counts once, with the lowest;
-extra columns pass through ``score``.
+scores; without a label of either class every score is 0.5; a doc_id with several labels counts once, with the lowest, and one
+with several texts is learned from the first by hash; a column ``quality_score`` of the input is replaced, other extra columns pass through ``score``.
 """
 from __future__ import annotations
 
@@ -156,9 +156,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``."""
     chosen = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_doc"), F.col("label").cast("int"))
-    # At most ``sample`` ids are broadcast.
+    # At most ``sample`` ids are broadcast. An id stands for one text, the first by hash, however many rows have it, so the fit
+    # sees no more rows than ids.
     plain = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = plain.join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc")).select("_doc", "label", "text")
+    named = plain.join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))
+    rows = named.groupBy("_doc", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

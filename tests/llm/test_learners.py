@@ -71,3 +71,55 @@ def test_quality_is_learned_and_kept_between_0_and_1(spark):
     assert held[900] == held[901]
     nothing = quality.learn(docs, labels.where("false"))
     assert {r.quality_score for r in quality.score(docs, nothing).collect()} == {0.5}
+
+
+def test_scores_are_those_of_plain_sums():
+    """Log ratios by counting, margins by adding up, one text at a time."""
+    rng = random.Random(6)
+    texts = [sentence(rng, "abcdef" if i % 2 else "uvwxyz", rng.randrange(1, 30)).encode() for i in range(60)] + [b"", None]
+    labels = np.array([i % 2 for i in range(60)] + [1, 0])
+    rows = [quality.features([t])[0] for t in texts]
+    ratios = quality.log_ratios(rows, labels)
+    ones = [{int(f) for f in r} for r, y in zip(rows, labels) if y == 1]
+    zeros = [{int(f) for f in r} for r, y in zip(rows, labels) if y == 0]
+    p, q = {}, {}
+    for counts, docs in ((p, ones), (q, zeros)):
+        for d in docs:
+            for f in d:
+                counts[f] = counts.get(f, 0) + 1
+    a, b = (sum(c.values()) + quality.SMOOTHING * quality.WIDTH for c in (p, q))
+    assert ratios[0] == 1  # the constant
+    for f in sorted({*p, *q} - {0})[:200]:
+        want = np.log(((p.get(f, 0) + quality.SMOOTHING) / a) / ((q.get(f, 0) + quality.SMOOTHING) / b))
+        assert abs(ratios[f] - want) < 1e-9
+    model = quality.fit(rows, labels)
+    got = model.scores(texts)
+    for t, s in zip(texts, got):
+        found = quality.features([t])[0]
+        margin = sum(model.product[f] for f in found) / max(sum(model.ratios[f] ** 2 for f in found) ** 0.5, 1e-12)
+        assert abs(s - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-9
+
+
+def test_a_repeated_id_is_one_row_of_the_sample_and_empty_tables_score_nothing(spark, monkeypatch):
+    rows = [(i, f"good words number {i}" if i % 2 else f"BAD!! stuff {i}") for i in range(40)]
+    again = [(0, f"BAD!! other {i}") for i in range(200)] + [(0, None)]
+    docs = spark.createDataFrame(rows + again, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, label int")
+    model = quality.learn(docs, labels)
+    texts = [r.text for r in docs.where("doc_id = 0").collect()]
+    one = [quality.learn(docs.where("doc_id <> 0").union(spark.createDataFrame([(0, t)], docs.schema)), labels) for t in texts[:1]]
+    assert abs(len(texts) - 202) == 0 and model.slope != 0 and one[0].slope != 0
+    assert quality.score(docs.where("false"), model).count() == 0
+    assert language.identify(docs.where("false"), language.learn(docs.withColumn("lang", F.lit("aa")))).count() == 0
+
+
+def test_very_long_texts_are_learned_and_scored(spark):
+    rng = random.Random(8)
+    long = [(i, sentence(rng, "abcdefgh" if i % 2 else "ijklmnop", 60_000)) for i in range(4)]
+    rows = long + [(10 + i, sentence(rng, "abcdefgh" if i % 2 else "ijklmnop", 30)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "aa" if i % 2 else "bb") for i, t in rows], "doc_id bigint, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    got = {r.doc_id: r.quality_score for r in quality.score(docs, quality.learn(docs, labels)).collect()}
+    assert all((s >= 0.5) == bool(i % 2) for i, s in got.items())
+    told = {r.doc_id: r.lang_pred for r in language.identify(docs.drop("lang"), language.learn(docs)).collect()}
+    assert all(v == ("aa" if i % 2 else "bb") for i, v in told.items())
