@@ -60,3 +60,24 @@ def test_documents_or_spans_are_removed(spark):
     assert dc.decontaminate(docs.where("false"), bench).count() == 0
     with pytest.raises(ValueError):
         dc.decontaminate(docs, bench, remove="all")
+
+
+def test_one_window_in_all_items_and_repeated_documents(spark):
+    window = "a b c d e f g h i j"
+    bench = [(i, f"{window} k{i}") for i in range(300)]
+    docs = [(i % 4, f"x {window} y") for i in range(40)] + [(9, f"{window} k7")]
+    known, held = dc.numbered(spark.createDataFrame(bench, BENCH))
+    assert known.count() == 301 and held.count() == 600
+    got = dc.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, BENCH)).collect()
+    assert len(got) == 41 and {r.n_items for r in got} == {300}
+    assert {(r.doc_id, r.n_words, r.n_hit) for r in got} == {(i, 12, 10) for i in range(4)} | {(9, 11, 11)}
+    assert len({r.items_sha256 for r in got}) == 1
+
+
+def test_spans_of_several_blocks_are_removed_together(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK", 2)
+    words = [f"w{i}" for i in range(14)]
+    docs = spark.createDataFrame([(1, "before " + " ".join(words) + " after")], DOCS)
+    bench = spark.createDataFrame([(1, " ".join(words))], BENCH)
+    assert [r.text for r in dc.decontaminate(docs, bench, remove="spans").collect()] == ["before  after"]
+    assert dc.decontaminate(docs, bench).collect() == []
