@@ -40,3 +40,15 @@ def test_the_last_change_of_a_document_in_a_batch_holds(spark):
     store = tc.Rollup.fresh(spark)
     store.apply("one", tc.changes(docs, "insert", "words-1", 1).union(tc.changes(docs, "delete", seq=2)).union(tc.changes(docs, "insert", "marks-1", 3)))
     assert totals(store) == {("s", "en", "marks-1"): (1, 3)}
+
+
+def test_many_small_batches_read_back_only_their_buckets(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "'a b' AS text", "'s' AS source", "'en' AS lang", "0 AS tokens")
+    store = tc.Rollup.fresh(spark)
+    store.apply("all of them", tc.changes(docs, "insert", "words-1"))
+    for i in range(3):
+        store.apply(f"n/{i}", tc.changes(docs.where(f"doc_id = {i}"), "delete"))
+    assert store.committed() == ["all of them", "n/0", "n/1", "n/2"]
+    assert totals(store) == {("s", "en", "words-1"): (297, 594)}
+    plan = store._current(["all of them"], "n/2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket#" in plan.split("PartitionFilters")[1]
