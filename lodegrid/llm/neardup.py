@@ -10,7 +10,7 @@ independent, and it is up to 1.0e-6 (3 of 4 shingles shared). Candidates are con
 No group is ever collected, and copies are not expanded into pairs:
 
 - Equal sets are collapsed to one node before anything else.
-- A bucket is a star: each member is compared with one leader only, and groups are joined by distributed connected
+- A bucket is first a star: each member is compared with one leader only, and groups are joined by distributed connected
   components. The first stars are those of ``FIRST`` bands; after them, members of a bucket that are in one group
   already need nothing more, and most buckets hold one group.
 - Members of a bucket in different groups are met by a longer signature, one bit of each of ``2 * LONG`` values, made
@@ -19,10 +19,7 @@ No group is ever collected, and copies are not expanded into pairs:
   ``DEVIATIONS`` standard deviations of what the threshold gives; these are compared in full too. A bit is taken from
   a full mix of its value with a constant of its own, so bits are independent in texts of any length, and a pair at
   the threshold is lost with probability 1.8e-6 at most (binomial tails: 1.2e-6 for the first 1,024 bits, 6e-7 for all).
-- Candidates are cut before their sets are looked at, by sizes and by one byte of each signature value: a pair at the
-  threshold agrees in 144 of 192 on average and is kept from ``LEAST`` on, five deviations below, counted as if the two
-  values of a permutation always agreed together (a loss of 3e-7 at most).
-- Full sets are made again from text for what is left; they are never stored for all documents.
+- Full sets are made again from text for candidates only; they are never stored for all documents.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of
 fewer words than a shingle is one shingle; rows are kept as they come, repeated rows are equal sets and so one
@@ -65,10 +62,7 @@ def most_bits(words: int) -> int:
     return int(n * _DIFFER + DEVIATIONS * (n * _DIFFER * (1 - _DIFFER)) ** 0.5)
 
 
-#: Signature values that two texts at the threshold agree in at least.
-LEAST = int(2 * PERMUTATIONS * PERCENT / 100 - DEVIATIONS * 2 * (PERMUTATIONS * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
 _BAND = _rng.integers(0, 1 << 63, (PERMUTATIONS * 2 // ROWS, ROWS), dtype=np.uint64) | np.uint64(1)
-_BYTE_SALT = np.random.default_rng(77).integers(0, 1 << 64, (PERMUTATIONS, 2), dtype=np.uint64)
 _LONG_SALT = _rng.integers(0, 1 << 64, (LONG, 2), dtype=np.uint64)
 
 
@@ -107,11 +101,6 @@ def long_bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
 
-def brief(sig: np.ndarray) -> bytes:
-    """One mixed byte of every value: equal values give equal bytes, others one time in 256."""
-    return (T.mix(sig.astype(np.uint64) ^ _BYTE_SALT) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
 def bands(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band."""
     values = sig.reshape(-1, ROWS).astype(np.uint64)
@@ -124,13 +113,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         for a, b in T.chunks(texts):
             sets = shingle_sets(texts[a:b])
-            signed = [signature(s) if len(s) else None for s in sets]
-            keys = [np.zeros(0, np.int64) if s is None else bands(s).view(np.int64) for s in signed]
+            keys = [bands(signature(s)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                T.int_lists(np.concatenate(keys), np.array([len(k) for k in keys])), pa.array([s if s is None else brief(s) for s in signed], pa.binary()),
-            ], ["doc_id", "n_shingles", "set_key", "bands", "brief"])
+                T.int_lists(np.concatenate(keys), np.array([len(k) for k in keys])),
+            ], ["doc_id", "n_shingles", "set_key", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,22 +168,6 @@ def _made_again(docs: DataFrame, ids: DataFrame, make: Callable, schema: str) ->
     return materialise(texts.mapInArrow(make, schema), "made-again")
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and brief signatures can be those of texts above the threshold."""
-    for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS) for c in ("brief", "brief_"))
-        n, m = batch.column("n").to_numpy(), batch.column("n_").to_numpy()
-        keep = pa.array(((one == two).sum(axis=1) >= LEAST) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-
-def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that are worth a look at their sets; ``nodes`` has id, n and brief."""
-    both = pairs.join(nodes.select(F.col("id").alias("b"), F.col("n").alias("n_"), F.col("brief").alias("brief_")), "b")
-    both = both.join(nodes.select(F.col("id").alias("a"), "n", "brief"), "a").select("a", "b", "n", "brief", "n_", "brief_")
-    return materialise(both.mapInArrow(_alike, "a bigint, b bigint"), "possible")
-
-
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a < b) whose full sets are alike enough. Sets are made for the documents in ``pairs`` only."""
     needed = pairs.select(F.explode(F.array("a", "b"))).distinct()
@@ -263,29 +235,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = plain.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        _signed, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, brief binary")
+        _signed, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
     signed = materialise(signed, "signatures")
-    sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key")
-    nodes = materialise(sets.agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "brief", F.col("n_shingles").alias("n")), "doc_id").alias("s")), "nodes").select("set_key", "id", "s.*")
+    nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
+        F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     banded = nodes.select("id", F.posexplode("bands").alias("place", "band"))
     leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = materialise(banded.join(leaders.drop("n"), "band"), "buckets")
 
     tested = materialise(buckets.where(f"place < {FIRST} AND id > leader").selectExpr("leader AS a", "id AS b").distinct(), "pairs")
-    roots = components(confirmed(plain, possible(tested, nodes)))
+    roots = components(confirmed(plain, tested))
     members = _open_members(buckets.select("band", "place", "id"), roots)
     bits = _made_again(plain, members.select("id").distinct(), _long, "id bigint, bits array<bigint>, bands array<bigint>")
     members = members.join(bits, "id")
     for pairs in (_leader_pairs, _member_pairs):
         fresh = materialise(pairs(members).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         # The stars so far stand for their links.
-        roots = components(confirmed(plain, possible(fresh, nodes)).union(roots.select("root", "node")))
+        roots = components(confirmed(plain, fresh).union(roots.select("root", "node")))
         tested = tested.union(fresh)
         if pairs is _leader_pairs:
             members = _open_members(members.drop("root"), roots)
-    classes = nodes.join(roots, nodes["id"] == roots["node"], "left").select("set_key", F.coalesce("root", "id").alias("root"))
+    members = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
+    classes = members.join(roots, members["id"] == roots["node"], "left").select(
+        "set_key", F.coalesce("root", "id").alias("root"))
     # A set may be that of a third of all rows.
-    out = spread_join(signed.select("doc_id", "n_shingles", "set_key"), classes, ["set_key"], "left", salts=8, spread_on=[F.col("doc_id")])
+    out = spread_join(signed.drop("bands"), classes, ["set_key"], "left", salts=8, spread_on=[F.col("doc_id")])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -108,18 +108,3 @@ def test_links_between_groups_of_one_bucket_are_found(spark):
     got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit(1))).collect()
     assert {r.doc_id: r.component_id for r in got} == root
     assert len(set(root.values())) == 1
-
-
-def test_the_cut_before_the_sets_keeps_pairs_at_the_threshold():
-    """Pairs just above it, of 4 to 400 shingles, all pass; pairs of half the likeness do not."""
-    rng = np.random.default_rng(12)
-    kept, dropped = 0, 0
-    for n in (4, 8, 20, 60, 400):
-        for _ in range(150):
-            whole = rng.integers(0, 1 << 64, n, dtype=np.uint64)
-            shared = -(-3 * n // 4)
-            one, two = nd.brief(nd.signature(np.sort(whole))), nd.brief(nd.signature(np.sort(whole[:shared])))
-            kept += sum(x == y for x, y in zip(one, two)) >= nd.LEAST
-            other = np.concatenate([whole[:n // 4], rng.integers(0, 1 << 64, n, dtype=np.uint64)])
-            dropped += sum(x == y for x, y in zip(one, nd.brief(nd.signature(np.sort(other))))) < nd.LEAST
-    assert kept == 750 and dropped == 750
