@@ -19,7 +19,8 @@ No group is ever collected, and copies are not expanded into pairs:
   ``DEVIATIONS`` standard deviations of what the threshold gives; these are compared in full too. A bit is taken from
   a full mix of its value with a constant of its own, so bits are independent in texts of any length, and a pair at
   the threshold is lost with probability 1.8e-6 at most (binomial tails: 1.2e-6 for the first 1,024 bits, 6e-7 for all).
-- Full sets are made again from text for candidates only; they are never stored for all documents.
+- Full sets are made again from text for candidates only, picked by a bitmap of their ids where the texts are read: no
+  text is shuffled, and sets are never stored for all documents.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a text of
 fewer words than a shingle is one shingle; rows are kept as they come, repeated rows are equal sets and so one
@@ -33,6 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ ROWS = 4
 PERCENT = 75
 LONG = 2048
 DEVIATIONS = 5.0
+#: Slices and most bits (16 MB) of the filter by which texts are picked.
+SLICES, MOST_BITS = 64, 1 << 27
 FIRST = 8
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)[:, None]
@@ -161,11 +165,49 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
+def _spots(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slice and bit of each id in a filter of ``SLICES`` slices of ``size`` bits."""
+    h = T.mix(ids.view(np.uint64))
+    return (h % np.uint64(SLICES)).astype(np.int32), ((h >> np.uint64(16)) % np.uint64(size)).astype(np.int64)
+
+
+def _filter_of(ids: DataFrame) -> tuple[int, Broadcast]:
+    """A bitmap that holds all ``ids``, of ``MOST_BITS`` at most; others are in it rarely, unless there are very many ids."""
+    size = max(1024, min(16 * ids.count(), MOST_BITS) // SLICES)
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _spots(batch.column(0).to_numpy(), size)], ["slice", "bit"])
+
+    def slice_of(table: pa.Table) -> pa.Table:
+        bits = np.zeros(size, bool)
+        bits[table.column("bit").to_numpy()] = True
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    found = ids.mapInArrow(spots, "slice int, bit bigint").groupBy("slice").applyInArrow(slice_of, "slice int, bits binary").collect()
+    bits = np.zeros((SLICES, -(-size // 8)), np.uint8)
+    for r in found:  # the bitmap, not the ids
+        bits[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return size, ids.sparkSession.sparkContext.broadcast(bits)
+
+
 def _made_again(docs: DataFrame, ids: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """``make`` of the texts of the documents in ``ids`` (one column, distinct)."""
-    ids = ids.toDF("_id")
-    texts = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return materialise(texts.mapInArrow(make, schema), "made-again")
+    """``make`` of the texts of the documents in ``ids`` (one column, distinct, no nulls), and of a few others.
+
+    Texts are picked where they are read, by a bitmap of the ids, so that none is shuffled. What is made of the
+    others meets nothing in the joins that follow.
+    """
+    size, shared = _filter_of(materialise(ids.toDF("id"), "ids"))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("doc_id")
+            part, bit = _spots(column.fill_null(0).to_numpy(), size)
+            there = (shared.value[part, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(there & column.is_valid().to_numpy(zero_copy_only=False)))
+
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return materialise(texts.mapInArrow(lambda batches: make(picked(batches)), schema), "made-again")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -108,3 +108,22 @@ def test_links_between_groups_of_one_bucket_are_found(spark):
     got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).withColumn("extra", F.lit(1))).collect()
     assert {r.doc_id: r.component_id for r in got} == root
     assert len(set(root.values())) == 1
+
+
+def test_texts_are_picked_by_a_bitmap_that_misses_none(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 50 = 49 THEN NULL ELSE id - 500 END AS doc_id", "concat('a b c d e f ', id) AS text")
+    ids = docs.where("doc_id % 7 = 0").select("doc_id")
+    for bits in (1 << 27, 4096):
+        monkeypatch.setattr(nd, "MOST_BITS", bits)
+        got = {r.id for r in nd._made_again(docs, ids, nd._sets, "id bigint, shingles array<bigint>").collect()}
+        want = {r.doc_id for r in ids.collect()}
+        assert want <= got and None not in got
+        assert bits < 5000 or len(got) < 1.2 * len(want)
+    assert nd._made_again(docs, ids.where("false"), nd._sets, "id bigint, shingles array<bigint>").count() == 0
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 9973}x{i}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-500])), (3, " ".join(words[60_000:])), (4, " ".join(words[:-30_100]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (119_996, 1), 2: (119_496, 1), 3: (59_996, 3), 4: (89_896, 1)}
