@@ -122,7 +122,7 @@ FROM tokens t LEFT JOIN words_hit h ON h.id = t.id LEFT JOIN items k ON k.id = t
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    return hosts.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("bad_rate_bound")
+    return hosts.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("below_limit")
 
 
 def _sql_rules(what: int) -> str:
@@ -146,6 +146,13 @@ def _sql_level(name: str, rows: str, parent: str) -> str:
           FROM {rows} WHERE n > 0 {parent})))))"""
 
 
+def _sql_side(sign: int) -> str:
+    """Sum of midpoints on one side of even odds, relative to the height of the peak."""
+    soft = lambda x: f"(greatest({x}, 0e0) + ln(1 + exp(-abs({x}))))"
+    height = lambda u: f"(-a * {soft(f'(-({u}))')} - b * {soft(f'({u})')})"
+    return f"list_sum(list_transform(range({hosts.STEPS}), lambda j: exp({height(f'{sign} * (j + 0.5e0) * h')} - {height('peak')})))"
+
+
 _LONG = ", ".join(f"'{s}'" for s in hosts.LONG_SUFFIXES)
 ORACLES["op5_host_reputation"] = rf"""
 WITH cut AS (
@@ -168,11 +175,14 @@ t AS (SELECT CASE WHEN sum(n) > 0 THEN 1e0 * sum(bad) / sum(n) ELSE 0e0 END AS b
 ps AS (SELECT suffix, (ks.k * base + bad) / (ks.k + n) AS prior FROM s, t, ks),
 pd AS (SELECT suffix, domain, (kd.k * prior + bad) / (kd.k + n) AS prior FROM d JOIN ps USING (suffix), kd),
 ab AS (SELECT host, kh.k * prior + bad AS a, kh.k * (1 - prior) + n - bad AS b FROM h JOIN pd USING (suffix, domain), kh),
+step AS (SELECT host, a, b, sqrt(1 / a + 1 / b) / {hosts.FINE} AS h, ln(a / b) AS peak FROM ab WHERE a > 0 AND b > 0),
+side AS (SELECT host, h, peak, {_sql_side(-1)} AS low, {_sql_side(1)} AS high FROM step),
 bound AS (
-  SELECT host, greatest(0e0, a / (a + b) - {hosts.DEVIATIONS} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower_ FROM ab
+  SELECT ab.host, CASE WHEN a <= 0 THEN 1e0 WHEN b <= 0 THEN 0e0 WHEN peak / (h * {hosts.FINE}) > {hosts.FAR} THEN 0e0
+    WHEN peak / (h * {hosts.FINE}) < -{hosts.FAR} THEN 1e0 ELSE low / (low + high) END AS below FROM ab LEFT JOIN side ON side.host = ab.host
 )
 SELECT page_id, host, path, {_sql_rules(0)} AS rule,
-  coalesce({_sql_rules(1)}, CASE WHEN lower_ >= {hosts.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({_sql_rules(1)}, CASE WHEN below <= {hosts.TAIL} THEN 'block' ELSE 'allow' END) AS verdict
 FROM parted JOIN bound USING (host)"""
 
 
