@@ -5,12 +5,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegrid import fixed
-from lodegrid.functions.scalars import exact_sum, round_dp
+from lodegrid.functions.scalars import exact_sum, lookup, round_dp
+from lodegrid.operators.ranking import best_per_key
 
 
-def weights_table(spark, weights: dict[str, float]) -> DataFrame:
+def checked_weights(weights: dict[str, float]) -> None:
     if any(w < 0 for w in weights.values()):
         raise ValueError("scorer weights must not be negative")
+
+
+def weights_table(spark, weights: dict[str, float]) -> DataFrame:
+    checked_weights(weights)
     return spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "agent_id string, weight double")
 
 
@@ -27,30 +32,30 @@ def fuse(scores: DataFrame, cell_keys: list[str], weights: dict[str, float] | No
 
     ``scores`` holds one row per cell and scorer. Scorers without a weight count 1.
     """
-    table = weights_table(scores.sparkSession, weights or {})
-    rows = scores.join(F.broadcast(table), "agent_id", "left")
-    w = F.coalesce(F.col("weight"), F.lit(1.0))
+    checked_weights(weights or {})
+    w = F.coalesce(lookup({k: float(v) for k, v in weights.items()}, F.col("agent_id")), F.lit(1.0)) if weights else F.lit(1.0)
     wc = w * F.col("confidence")
     aggs = [
         exact_sum(wc * F.col("score")).alias("_wcs"), exact_sum(wc).alias("_wc"), exact_sum(w).alias("_w"),
     ]
-    if evidence:
-        lines = F.transform("evidence", lambda e: F.concat(F.lit("["), F.col("agent_id"), F.lit("] "), e))
-        aggs += [
-            F.array_sort(F.collect_list(F.struct("agent_id", lines.alias("lines")))).alias("_ev"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
-        ]
-    out = rows.groupBy(*cell_keys).agg(*aggs)
+    out = scores.groupBy(*cell_keys).agg(*aggs)
     zero = F.lit(0.0)
     fused = out.withColumns({
         "score": F.when(F.col("_wc") > 0, round_dp(F.try_divide("_wcs", "_wc"), 4)).otherwise(zero),
         "confidence": F.when(F.col("_wc") > 0, round_dp(F.try_divide("_wc", "_w"), 4)).otherwise(zero),
     })
-    if evidence:
-        fused = fused.withColumn(
-            "evidence", F.slice(F.flatten(F.transform("_ev", lambda s: s["lines"])), 1, fixed.MAX_EVIDENCE)
-        )
-    return fused.drop("_wcs", "_wc", "_w", "_ev")
+    fused = fused.drop("_wcs", "_wc", "_w")
+    if not evidence:
+        return fused
+    # Lines are cut to the first ones of a cell before any list of them is made; sources are few by nature.
+    lines = scores.select(*cell_keys, "agent_id", F.posexplode("evidence").alias("_i", "_line"))
+    first = best_per_key(lines, cell_keys, [F.asc("agent_id"), F.asc("_i")], fixed.MAX_EVIDENCE, "_place")
+    told = first.groupBy(*cell_keys).agg(F.array_sort(F.collect_list(F.struct(
+        "_place", F.concat(F.lit("["), F.col("agent_id"), F.lit("] "), F.col("_line")).alias("line")))).alias("_ev"))
+    named = scores.select(*cell_keys, F.explode("sources").alias("_source")).groupBy(*cell_keys).agg(F.sort_array(F.collect_set("_source")).alias("sources"))
+    out = fused.join(told, cell_keys, "left").join(named, cell_keys, "left")
+    empty = F.array().cast("array<string>")
+    return out.withColumns({"evidence": F.coalesce(F.transform("_ev", lambda s: s["line"]), empty), "sources": F.coalesce("sources", empty)}).drop("_ev")
 
 
 def fill_grid(cells: DataFrame, fused: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ def modal_value(pixels: DataFrame, attributes: DataFrame, keys: list[str]) -> Da
     labelled = attributes.agg(F.count("*") == F.count(F.nullif(F.trim("label"), F.lit("")))).scalar()
     code = F.format_string("%012d", F.col("value").cast("bigint"))
     group = F.when(labelled, F.col("label")).otherwise(code)
-    votes = pixels.join(F.broadcast(attributes.select("value", "label")), "value").withColumn("_g", group)
+    votes = pixels.join(attributes.select("value", "label"), "value").withColumn("_g", group)
     counts = votes.groupBy(*keys, "_g").agg(F.count("*").alias("_n"), F.min("value").alias("_code"))
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_g").alias("g"), F.col("_code").alias("code")))
     out = counts.groupBy(*keys).agg(best.alias("_b"), F.sum("_n").alias("total_count"))

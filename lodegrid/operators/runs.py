@@ -171,7 +171,7 @@ def ungrounded(agents: DataFrame, knowledge: DataFrame, mineral: str) -> DataFra
     """Knowledge file each scorer uses: the mineral's, else the default, else none."""
     own = knowledge.where(F.col("name") == mineral.lower().replace(" ", "_")).select("domain", F.col("file").alias("_own"))
     default = knowledge.where(F.col("name") == "default").select("domain", F.col("file").alias("_default"))
-    out = agents.join(F.broadcast(own), "domain", "left").join(F.broadcast(default), "domain", "left")
+    out = agents.join(own, "domain", "left").join(default, "domain", "left")
     return out.withColumn("knowledge_file", F.coalesce("_own", "_default")).withColumn(
         "grounded", F.col("knowledge_file").isNotNull()).drop("_own", "_default")
 
