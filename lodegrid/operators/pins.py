@@ -1,49 +1,51 @@
 """Field pins: stable ids, annotation overrides, counts and the blank template."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodegrid import fixed
 from lodegrid.functions.scalars import coerce_enum, iso_date, name_key, parse_flag, round_dp, slug, strict_enum
+from lodegrid.operators.ranking import numbered
+from lodegrid.session import materialise
+
+#: An id that another name could reach by numbering: the name and the number.
+_NUMBERED = r"^(.+)-([2-9]|[1-9][0-9]{1,8})$"
 
 
 def assign_ids(pins: DataFrame, order: str, file: str = "source_file") -> DataFrame:
     """Slug of the name, numbered where an earlier pin of the file has it already: the first free of a, a-2, a-3 and so on.
 
-    Ids can only meet within names that are equal up to trailing numbers, so each such family is numbered by itself,
-    in document order, streamed through its task; what is kept in memory is the ids of one family.
+    The k-th pin of a name takes the k-th number that no earlier pin of another name holds. Which numbers those are
+    follows from the ids of the others, so ids are worked out for all pins at once and again until they stand; names that
+    nothing else can reach, nearly all, stand at once. Pins are numbered by a prefix scan, so a file of equal names is
+    spread over tasks; what is listed per name is the ids of other names that look like a number of it.
     """
-    at = Window.partitionBy(file).orderBy(order)
+    of = ["_file", "_base"]
     carried = F.nullif(F.trim("pin_id"), F.lit("")) if "pin_id" in pins.columns else F.lit(None).cast("string")
-    base = F.coalesce(carried, F.nullif(slug(F.col("name")), F.lit("")),
-                      F.concat(F.lit("pin-"), F.row_number().over(at).cast("string")))
-    family = F.struct(F.col(file).alias("file"), F.regexp_replace("_base", r"(-\d+)+$", "").alias("name"))
-    dealt = pins.withColumn("_base", base).withColumn("_group", F.to_json(family))
-    ordered = dealt.repartition("_group").sortWithinPartitions("_group", order)
-    keep = [c for c in pins.columns if c != "pin_id"]
-
-    def number(batches):
-        group, used, following = None, set(), {}
-        for batch in batches:
-            ids = []
-            for g, b in zip(batch["_group"], batch["_base"], strict=True):
-                if g != group:
-                    group, used, following = g, set(), {}
-                name, n = b, following.get(b, 2)
-                while name in used:
-                    name, n = f"{b}-{n}", n + 1
-                if name != b:
-                    following[b] = n
-                used.add(name)
-                ids.append(name)
-            out = batch[keep].copy()
-            out["pin_id"] = ids
-            yield out
-
-    schema = T.StructType([pins.schema[c] for c in keep]).add("pin_id", "string")
-    return ordered.select(*keep, "_base", "_group").mapInPandas(number, schema)
+    placed = numbered(pins.withColumn("_file", F.coalesce(F.col(file), F.lit(""))), ["_file"], [F.col(order)], "_i").drop("n")
+    base = F.coalesce(carried, F.nullif(slug(F.col("name")), F.lit("")), F.concat(F.lit("pin-"), F.col("_i").cast("string")))
+    counted = materialise(numbered(placed.withColumn("_base", base), of, [F.col(order)], "_k").drop("n", "_i"), "pins")
+    state = counted.select(*of, F.col(order).alias("_o"), F.col("_k").cast("int").alias("_k"))
+    names, now = state.select(*of).distinct(), state.withColumn("_num", F.col("_k"))
+    pin_id = F.when(F.col("_num") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_num").cast("string")))
+    while True:
+        held = now.select("_file", "_o", F.col("_base").alias("_owner"), pin_id.alias("_id"))
+        plain = held.select("_file", "_o", "_owner", F.col("_id").alias("_base"), F.lit(1).alias("_n"))
+        number = held.select("_file", "_o", "_owner", F.regexp_extract("_id", _NUMBERED, 1).alias("_base"), F.regexp_extract("_id", _NUMBERED, 2).try_cast("int").alias("_n"))
+        others = plain.union(number.where("_base <> ''")).where("_owner <> _base").join(names, of, "left_semi")
+        lists = others.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("_n", "_o"))).alias("_taken"))
+        earlier = F.filter("_taken", lambda t: t["_o"] < F.col("_o"))
+        free = F.aggregate(earlier, F.col("_k"), lambda m, t: F.when(t["_n"] <= m, m + 1).otherwise(m))
+        again = state.join(lists, of, "left").withColumn("_num", F.coalesce(free, F.col("_k"))).drop("_taken")
+        again = materialise(again, "pin-numbers")
+        moved = again.join(now.select(*of, "_k", F.col("_num").alias("_was")), [*of, "_k"]).where("_num <> _was")
+        now = again
+        if moved.isEmpty():
+            break
+    ids = now.select(*of, F.col("_k").cast("bigint").alias("_k"), pin_id.alias("_pin"))
+    out = counted.withColumn("_k", F.col("_k").cast("bigint")).join(ids, [*of, "_k"])
+    return out.select(*[c for c in pins.columns if c != "pin_id"], F.col("_pin").alias("pin_id"))
 
 
 def annotate(pins: DataFrame, annotations: DataFrame, defaults: dict[str, str], strict: bool = True,
