@@ -1,18 +1,20 @@
 """Assembled facts, evidence lines, streams and end-to-end plans."""
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.catalog import sqlmath as q
-from lodegrid.catalog.evidence import _AREQ
+from lodegrid.catalog.evidence import _AREQ, _NATIVE
 from lodegrid.catalog import clipped, names  # noqa: F401
 from lodegrid.catalog.geometry import aoi_cells, overlay_sql, polygon_edges
 from lodegrid.catalog.names import _REACH
 from lodegrid.catalog.nearby import KEYS, _CELLS, _FACTS, _PAIRS, facts, framed, near
 from lodegrid.catalog.registry import ORACLES, QUERIES, register
+from lodegrid.catalog.scoring import WEIGHTS, _FUSED
 from lodegrid.catalog.views import table, view, with_views
 from lodegrid.functions import geo, grid as g
 from lodegrid.operators import context, describe, lines as ln, overlay, spatial, toponyms as tp, wofe
@@ -341,21 +343,41 @@ def _rings(spark, d):
 
 
 def _scores(spark, d, res):
-    cells = aoi_cells(spark, d, res)
-    agents = F.array(*[F.lit(a) for a in fixed.SCORER_WEIGHTS["gold"]])
-    h = F.pmod(F.xxhash64("col", "row", "agent_id"), F.lit(1001))
-    rows = cells.withColumn("agent_id", F.explode(agents))
-    return rows.select("aoi_id", "col", "row", "agent_id", (h / 1000.0).alias("score"), ((h % 11) / 10.0).alias("confidence"), F.lit(1).alias("written"))
-
-
-@register("analysis_end_to_end", None)
+    """Scorer rows of the table, each told for the cells of its area that its key falls on."""
+    keyed = aoi_cells(spark, d, res).withColumn("cell_key", (F.col("col") * 7 + F.col("row") * 13) % 100)
+    rows = view(spark, d, "agent_score").withColumn("written", F.struct("ord1", "ord2", "ord3")).drop("ord1", "ord2", "ord3")
+    return keyed.join(rows, ["aoi_id", "cell_key"]).select("aoi_id", "col", "row", "agent_id", "score", "confidence", "written")
+
+
+_FACTS8 = re.sub(r"\b4000\b", "8000", _FACTS)
+_W4 = lambda v: f"CASE WHEN min(d2) = 0 THEN arg_min({v}, k) ELSE least(1e0, greatest(0e0, {q.fsum(f'{v} / d2', 12)} / {q.fsum('1e0 / d2', 12)})) END"
+
+
+@register("analysis_end_to_end", f"""WITH coarse AS (SELECT c.aoi_id, c.col, c.row, coalesce(f.score, 0e0) AS score, coalesce(f.confidence, 0e0) AS confidence
+    FROM ({with_views('aoi')}, {q.square_aoi()}, {q.cover_ctes(8000)} SELECT * FROM cells) c LEFT JOIN ({_FUSED} SELECT * FROM fused) f ON f.aoi_id = c.aoi_id AND f.cell_key = (c.col * 7 + c.row * 13) % 100),
+  fine AS (SELECT * FROM ({with_views('aoi')}, {q.square_aoi()}, {q.cover_ctes(4000)} SELECT * FROM cells)),
+  met AS (SELECT f.aoi_id, f.col, f.row, c.col AS cc, c.row AS cr, score, confidence, pow((c.col * 2 + 1) * 2 - (f.col * 2 + 1), 2) + pow((c.row * 2 + 1) * 2 - (f.row * 2 + 1), 2) AS d2 FROM fine f JOIN coarse c USING (aoi_id)),
+  nn AS (SELECT *, row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY d2, cc, cr) AS k FROM met QUALIFY k <= 4),
+  shown AS (SELECT aoi_id, col, row, {q.rd(_W4('score'))} AS score, {q.rd(_W4('confidence'))} AS confidence, arg_min(cc, k) AS nc, arg_min(cr, k) AS nr FROM nn GROUP BY 1, 2, 3),
+  up AS (SELECT s.*, coalesce(c.col, nc) AS pc, coalesce(c.row, nr) AS pr FROM shown s LEFT JOIN coarse c ON c.aoi_id = s.aoi_id AND c.col = s.col // 2 AND c.row = s.row // 2),
+  pos AS (SELECT *, min(score) OVER p AS lo, max(score) OVER p AS hi, count(*) OVER p AS n, rank() OVER (PARTITION BY aoi_id ORDER BY score) - 1 AS below, count(*) OVER (PARTITION BY aoi_id, score) AS tied FROM up WINDOW p AS (PARTITION BY aoi_id)),
+  ranked AS (SELECT *, CASE WHEN hi - lo > 1e-9 THEN {q.rd('(score - lo) / (hi - lo)')} ELSE 0.5e0 END AS relative_score, {q.rd('(below + tied / 2e0) / n')} AS percentile FROM pos),
+  near8 AS (SELECT * FROM ({_FACTS8} SELECT aoi_id, col, row, nearest_km FROM facts))
+  SELECT r.aoi_id, r.col, r.row, score, confidence, relative_score, percentile, CASE WHEN hi - lo <= 1e-9 THEN 'low' WHEN percentile >= 0.9e0 THEN 'high' WHEN percentile >= 0.65e0 THEN 'medium' WHEN percentile >= 0.35e0 THEN 'low' ELSE 'negligible' END AS tier,
+    nearest_km AS nearest_occurrence_km, CASE WHEN nearest_km <= 0.5 THEN 'confirms' WHEN nearest_km <= 2 THEN 'extends' WHEN nearest_km IS NOT NULL THEN 'lead' END AS novelty
+  FROM ranked r LEFT JOIN near8 n ON n.aoi_id = r.aoi_id AND n.col = pc AND n.row = pr""")
 def _(spark, d):
-    job = analysis.Analysis(analysis_res=8000, display_res=4000)
+    job = analysis.Analysis(analysis_res=8000, display_res=4000, weights=WEIGHTS)
     out = analysis.analyse(_rings(spark, d), view(spark, d, "occurrence"), _scores(spark, d, 8000), job)
     return out.select("aoi_id", "col", "row", "score", "confidence", "relative_score", "percentile", "tier", "nearest_occurrence_km", "novelty")
 
 
-@register("baseline_over_areas", None)
+@register("baseline_over_areas", f"""{_NATIVE}, n8 AS (SELECT col // 32 AS col, row // 32 AS row, count(*) AS n, count(*) FILTER (tract = 'favourable') AS nf, count(*) FILTER (tract = 'permissive') AS np,
+    count(*) FILTER (tract = 'non_permissive') AS nn FROM nat GROUP BY 1, 2),
+  c8 AS (SELECT aoi_id, coalesce(n, 0) AS n, coalesce(n, 0) / 1024e0 AS cov, CASE WHEN nf >= np AND nf >= nn THEN 'favourable' WHEN np >= nn THEN 'permissive' ELSE 'non_permissive' END AS tract
+    FROM ({with_views('aoi')}, {q.square_aoi()}, {q.cover_ctes(8000)} SELECT * FROM cells) c LEFT JOIN n8 USING (col, row))
+  SELECT aoi_id, count(*) AS cells, count(*) FILTER (cov >= 0.5) AS scored, {q.rd('count(*) FILTER (cov >= 0.5) / count(*)')} AS coverage, count(*) FILTER (n = 0) AS refused_outside,
+    count(*) FILTER (n > 0 AND cov < 0.5) AS refused_partial, {', '.join(f"count(*) FILTER (cov >= 0.5 AND tract = '{t}') AS {t}" for t in fixed.TRACTS)} FROM c8 GROUP BY 1""")
 def _(spark, d):
     out = analysis.baseline(_rings(spark, d), view(spark, d, "wofe_cell"), 8000)
     return wofe.refusal_report(out, ["aoi_id"])

@@ -121,11 +121,11 @@ def children(requested: DataFrame, keys: list[str]) -> DataFrame:
     k = F.greatest(F.lit(1), (F.col("res") / base).cast("int"))
     up = F.greatest(F.lit(1), F.floor(F.lit(base) / F.col("res")).cast("int"))
     sized = requested.withColumns({
-        "_k": k, "_c": F.floor(F.col("col") / up).cast("int") * k, "_r": F.floor(F.col("row") / up).cast("int") * k})
-    wide = sized.withColumn("_cc", F.explode(F.sequence(F.col("_c"), F.col("_c") + F.col("_k") - 1)))
-    tall = wide.withColumn("_rr", F.explode(F.sequence(F.col("_r"), F.col("_r") + F.col("_k") - 1)))
-    return tall.select(*keys, "res", F.col("_cc").alias("col"), F.col("_rr").alias("row"),
-                       (F.col("_k") * F.col("_k")).alias("expected"))
+        "_child_k": k, "_child_c": F.floor(F.col("col") / up).cast("int") * k, "_child_r": F.floor(F.col("row") / up).cast("int") * k})
+    wide = sized.withColumn("_child_cc", F.explode(F.sequence(F.col("_child_c"), F.col("_child_c") + F.col("_child_k") - 1)))
+    tall = wide.withColumn("_child_rr", F.explode(F.sequence(F.col("_child_r"), F.col("_child_r") + F.col("_child_k") - 1)))
+    return tall.select(*keys, "res", F.col("_child_cc").alias("col"), F.col("_child_rr").alias("row"),
+                       (F.col("_child_k") * F.col("_child_k")).alias("expected"))
 
 
 def unit_facts(requested: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
