@@ -64,8 +64,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated part of ``a`` that is in ``b``."""
-    return _shared(a, b, lambda n, p, q: F.when(p == 0, 1.0).otherwise(n / p))
+    """Estimated part of ``a`` that is in ``b``; null where none of ``a`` lies where both are complete."""
+    return F.when(F.size(a) == 0, 1.0).otherwise(_shared(a, b, lambda n, p, q: F.when(p > 0, n / p)))
 
 
 def as_text(kept: Column) -> Column:

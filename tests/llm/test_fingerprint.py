@@ -49,3 +49,43 @@ def test_containment_of_a_part_and_merging(spark):
         fp.containment(fp.merged(F.col("b"), F.col("c")), F.col("a")).alias("merged"))
     r = df.first()
     assert r.b_in_a == 1 and r.same == 1 and 0.015 < r.a_in_b < 0.045 and r.merged == 1
+
+
+def full_set(text):
+    """All shingle hashes of a text: words hashed on from one another, as signed 64-bit numbers."""
+    import xxhash
+    words = [w for w in __import__("re").split(r"[ \t\n\x0B\f\r]+", text.lower()) if w]
+    out = set()
+    for i in range(max(1, len(words) - fp.SHINGLE + 1) if words else 0):
+        h = 42
+        for w in words[i:i + fp.SHINGLE]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        out.add(h - (1 << 64) if h >> 63 else h)
+    return out
+
+
+def test_sketches_are_the_low_part_of_full_sets_and_likeness_is_close(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(3000)]
+    texts = [" ".join(base[:n]) for n in (1, 4, 6, 30, 200, 3000)]
+    texts += [" ".join(base[:2400] + [f"x{i}" for i in range(600)]), " ".join(base[1500:]), " ".join(base[5:25]), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fp.sketch(F.col("t")).alias("k"))
+    kept = {r.i: r.k for r in df.collect()}
+    sets = [full_set(t) for t in texts]
+    for i, full in enumerate(sets):
+        low = sorted(full)
+        assert kept[i] == [h for n, h in enumerate(low) if h < fp._CUT or n < fp.AT_LEAST]
+    two = df.toDF("i", "a").crossJoin(df.toDF("j", "b"))
+    for r in two.select("i", "j", fp.likeness(F.col("a"), F.col("b")).alias("l"), fp.containment(F.col("a"), F.col("b")).alias("c")).collect():
+        a, b = sets[r.i], sets[r.j]
+        if len(a) <= fp.AT_LEAST and len(b) <= fp.AT_LEAST and a | b:
+            assert abs(r.l - len(a & b) / len(a | b)) < 1e-12
+        elif a and b:
+            assert abs(r.l - len(a & b) / len(a | b)) < 0.12
+            assert r.c is None and len(a) < fp.AT_LEAST or len(a) < fp.AT_LEAST or abs(r.c - len(a & b) / len(a)) < 0.2
+
+
+def test_repeated_rows_have_one_fingerprint(spark):
+    rows = [(1, "same text over and over again")] * 3 + [(2, "another text that is here"), (None, "same text over and over again")]
+    got = fp.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 5 and len({r.fingerprint for r in got if r.doc_id in (1, None)}) == 1
