@@ -112,6 +112,36 @@ def simplify_rings(polygons: DataFrame, rings: str, tolerance: float) -> DataFra
     return polygons.withColumn(rings, F.from_json(simplify(F.to_json(rings)), kind))
 
 
+def rounded_rings(rings: Column, places: int) -> Column:
+    """Rings with rounded coordinates; of vertices that fall on the one before them only that one is kept."""
+    point = lambda p: F.struct(round_dp(p["x"], places).alias("x"), round_dp(p["y"], places).alias("y"))
+    whole = lambda ring: F.transform(ring, point)
+    apart = lambda ring: F.filter(ring, lambda p, i: (i == 0) | (p != F.element_at(ring, F.greatest(i, F.lit(1)))))
+    return F.transform(F.transform(rings, whole), apart)
+
+
+def _ring_area(ring: Column) -> Column:
+    """Area of a closed ring in the square of its units, taken from its first vertex."""
+    o = ring[0]
+    steps = F.zip_with(ring, F.slice(ring, 2, F.size(ring)), lambda a, b: F.when(b.isNotNull(), (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])).otherwise(0.0))
+    return F.abs(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
+def rings_area(rings: Column) -> Column:
+    """Area of a polygon: its first ring less the others."""
+    each = F.transform(rings, _ring_area)
+    return F.aggregate(F.slice(each, 2, F.size(each)), F.try_element_at(each, F.lit(1)), lambda s, v: s - v)
+
+
+def geometry_change(polygons: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """Features, vertices and area of a layer before and after its rings were changed, and features that lost all area."""
+    vertices = lambda c: F.aggregate(F.col(c), F.lit(0).cast("bigint"), lambda n, ring: n + F.size(ring))
+    exact = lambda c: F.sum(to_fixed(rings_area(F.col(c)), 12).cast("decimal(38,0)")).cast("double") / 1e12
+    return polygons.groupBy(*keys).agg(
+        F.count("*").alias("features"), F.sum(vertices(before)).alias("vertices_before"), F.sum(vertices(after)).alias("vertices_after"),
+        exact(before).alias("area_before"), exact(after).alias("area_after"), F.count_if(rings_area(F.col(after)) <= 0).alias("emptied"))
+
+
 def polygon_area_km2(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Shoelace area in equal-area metres, holes taken out by orientation."""
     part = F.col("orient") * (F.col("xb") - F.col("xa")) * (F.col("ya") + F.col("yb")) / 2.0
