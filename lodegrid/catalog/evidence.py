@@ -214,17 +214,22 @@ def _(spark, d):
     return raster.modal_value(view(spark, d, "pixel"), codes, ["col", "row"])
 
 
-@register("raster_wide_cells", f"""{_PX}, geol AS (SELECT col, row, label AS g, count(*) AS n FROM pixel JOIN vat USING (value) GROUP BY 1, 2, 3
-  QUALIFY row_number() OVER (PARTITION BY col, row ORDER BY count(*) DESC, label) = 1),
-  fault AS (SELECT col, row, value AS g, count(*) AS n FROM pixel JOIN vat USING (value) WHERE value < 6 GROUP BY 1, 2, 3
-  QUALIFY row_number() OVER (PARTITION BY col, row ORDER BY count(*) DESC, value) = 1)
-  SELECT coalesce(a.col, b.col) AS col, coalesce(a.row, b.row) AS row, a.g AS geol, CAST(b.g AS VARCHAR) AS fault
-  FROM geol a FULL JOIN fault b ON a.col = b.col AND a.row = b.row""")
+def _layer_sql(name: str, what: str, where: str) -> str:
+    return (f"{name} AS (SELECT col, row, {what} AS g, count(*) AS n, sum(count(*)) OVER (PARTITION BY col, row) AS t FROM pixel JOIN vat USING (value) WHERE {where} GROUP BY 1, 2, 3 "
+            f"QUALIFY row_number() OVER (PARTITION BY col, row ORDER BY count(*) DESC, {what}) = 1)")
+
+
+@register("raster_wide_cells", f"""{_PX}, {_layer_sql('geol', 'label', 'true')}, {_layer_sql('fault', 'value', 'value < 6')}, {_layer_sql('fold', 'value', 'value % 7 = 0')}, {_layer_sql('dike', 'label', 'value > 40')},
+  k AS (SELECT col, row FROM geol UNION SELECT col, row FROM fault UNION SELECT col, row FROM fold UNION SELECT col, row FROM dike)
+  SELECT k.col, k.row, geol.g AS geol, {q.rd('1e0 * geol.n / geol.t')} AS geol_frac, CAST(fault.g AS VARCHAR) AS fault, CAST(fold.g AS VARCHAR) AS fold, dike.g AS dike, {q.rd('1e0 * dike.n / dike.t')} AS dike_frac
+  FROM k LEFT JOIN geol ON geol.col = k.col AND geol.row = k.row LEFT JOIN fault ON fault.col = k.col AND fault.row = k.row LEFT JOIN fold ON fold.col = k.col AND fold.row = k.row LEFT JOIN dike ON dike.col = k.col AND dike.row = k.row""")
 def _(spark, d):
+    """All four layers: labelled units and dikes, coded faults and folds."""
     px, attrs = view(spark, d, "pixel"), vat(spark, d)
-    geol = raster.modal_value(px, attrs, ["col", "row"])
-    fault = raster.modal_value(px, attrs.where("value < 6").withColumn("label", F.lit("")), ["col", "row"])
-    return raster.wide_cells({"geol": geol, "fault": fault}, ["col", "row"]).select("col", "row", "geol", "fault")
+    coded = lambda where: attrs.where(where).withColumn("label", F.lit(""))
+    tables = {"geol": attrs, "fault": coded("value < 6"), "fold": coded("value % 7 = 0"), "dike": attrs.where("value > 40")}
+    layers = {name: raster.modal_value(px, t, ["col", "row"]) for name, t in tables.items()}
+    return raster.wide_cells(layers, ["col", "row"]).select("col", "row", "geol", "geol_frac", "fault", "fold", "dike", "dike_frac")
 
 
 @register("raster_pixel_centres", f"""{with_views('pixel')} SELECT DISTINCT col, row, 500000e0 + (col + 0.5e0) * 50e0 AS x, 5400000e0 - (row + 0.5e0) * 50e0 AS y FROM pixel""")

@@ -124,9 +124,11 @@ def with_nearest_beyond(framed: DataFrame, segments: DataFrame, near: DataFrame,
 
 
 def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossings: DataFrame | None = None,
-                    buffer_m: float = fixed.STRUCTURE_BUFFER_M) -> DataFrame:
+                    buffer_m: float = fixed.STRUCTURE_BUFFER_M, most_azimuths: int = 8, most_favourable: int = 6, most_names: int = 4) -> DataFrame:
     """Counts, distances and trends of lines (line_id, kind, name, azimuth_deg) within the buffer of each cell.
 
+    Lists are cut to the first ``most_azimuths``, ``most_favourable`` and ``most_names``, ``truncated`` tells where one was; ``near``
+    itself has every line.
     With nothing in the buffer the count is 0 and the nearest line of any kind in the searched range is named.
     """
     near = materialise(near, "near")
@@ -139,8 +141,8 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
     # Azimuths are kept to tenths of a degree: 1800 values at most.
     main = near.groupBy(*keys).agg(
         *per_kind, F.count_if(in_buffer).alias("count"),
-        F.slice(F.sort_array(F.collect_set(F.when(in_buffer, tenth))), 1, 8).alias("azimuths"),
-        F.slice(F.sort_array(F.collect_set(F.when(in_buffer & favourable_trend(tenth), tenth))), 1, 6).alias("favourable_azimuths"),
+        F.sort_array(F.collect_set(F.when(in_buffer, tenth))).alias("azimuths"),
+        F.sort_array(F.collect_set(F.when(in_buffer & favourable_trend(tenth), tenth))).alias("favourable_azimuths"),
         F.count_if(in_buffer & F.col("azimuth_deg").isNotNull()).alias("_az"),
         F.min_by(F.struct("kind", "distance_m"), F.struct("distance_m", "line_id")).alias("_n"))
     kinds = F.array_compact(F.array(*[F.when(F.col(f"_n_{k}") > 0, F.struct(
@@ -149,8 +151,11 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
     main = main.withColumns({
         "kinds": F.when(F.col("count") > 0, kinds), "azimuths": F.when(F.col("_az") > 0, F.col("azimuths")),
         "favourable_azimuths": F.when(F.col("_az") > 0, F.col("favourable_azimuths"))})
+    long = (F.size("azimuths") > most_azimuths) | (F.size("favourable_azimuths") > most_favourable)
+    main = main.withColumn("_long", F.coalesce(long, F.lit(False))).withColumns({
+        "azimuths": F.slice("azimuths", 1, most_azimuths), "favourable_azimuths": F.slice("favourable_azimuths", 1, most_favourable)})
     named = near.where(in_buffer & F.col("name").isNotNull()).groupBy(*keys, "name").agg(F.min("line_id").alias("_id"))
-    named = best_per_key(named, keys, [F.asc("_id"), F.asc("name")], 4).groupBy(*keys).agg(
+    named = best_per_key(named, keys, [F.asc("_id"), F.asc("name")], most_names + 1).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("place", "name"))).alias("_names"))
     out = cells.select(*keys).join(main, keys, "left").join(named, keys, "left")
     if crossings is not None:
@@ -159,7 +164,8 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
     return out.select(
         *keys, n.alias("count"), "kinds", "azimuths", "favourable_azimuths",
         F.when(n > 0, F.coalesce(F.size("favourable_azimuths") > 0, F.lit(False))).alias("favourable_trend"),
-        F.transform("_names", lambda s: s["name"]).alias("named"),
+        F.transform(F.slice("_names", 1, most_names), lambda s: s["name"]).alias("named"),
+        (F.coalesce("_long", F.lit(False)) | (F.coalesce(F.size("_names"), F.lit(0)) > most_names)).alias("truncated"),
         round_dp(F.col("_n.distance_m") / 1000.0, 2).alias("nearest_km"), F.col("_n.kind").alias("nearest_kind"),
         *(["fault_intersections_in_cell"] if crossings is not None else []))
 

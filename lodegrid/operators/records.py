@@ -120,8 +120,11 @@ def slim(occ: DataFrame, fields: tuple[str, ...] = fixed.PROMPT_FIELDS) -> Colum
 
 # --- queries over features ----------------------------------------------------------------------
 def query_features(features: DataFrame, bbox: str | None = None, commodity: str | None = None, feature_type: str | None = None,
-                   limit: int = 500, offset: int = 0, key: str = "site_id") -> DataFrame:
-    """Box, commodity and type filters with paging; a malformed box is ignored. Ordered so pages are stable."""
+                   limit: int = 500, offset: int = 0, key: str = "site_id", most: int = 5000) -> DataFrame:
+    """Box, commodity and type filters with paging; a malformed box is ignored. Ordered so pages are stable.
+
+    A page holds ``most`` rows at most, whatever is asked for; the next page goes on where it ends.
+    """
     out = features
     try:
         w, s, e, n = (float(v) for v in bbox.split(",")) if bbox else (None,) * 4
@@ -133,7 +136,7 @@ def query_features(features: DataFrame, bbox: str | None = None, commodity: str
         out = out.where(F.col("commodity_primary").ilike(f"%{commodity}%"))
     if feature_type:
         out = out.where(F.col("feature_type") == feature_type)
-    return out.orderBy(key).offset(max(0, offset)).limit(min(5000, max(1, limit)))
+    return out.orderBy(key).offset(max(0, offset)).limit(min(most, max(1, limit)))
 
 
 def capped(rows: DataFrame, order: list, cap: int) -> DataFrame:
