@@ -17,7 +17,7 @@ from lodegrid import fixed
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import round_dp, to_fixed
 from lodegrid.operators.ranking import best_per_key
-from lodegrid.session import spread_join
+from lodegrid.session import shuffled, spread_join
 
 _AREA_DIGITS = 6  # square metres
 _WIDTH_DIGITS = 9  # metres
@@ -28,28 +28,28 @@ def ring_edges(polygons: DataFrame, keys: list[str], rings: str = "rings", degre
 
     ``rings`` is an array of closed rings of struct(x, y), the first one outer and the others its holes, or an array of
     such arrays, one per part of a multipart polygon. Orientation is set from each ring's own signed area, so winding
-    in the source does not matter; the edges of a large ring are spread over tasks.
+    in the source does not matter.
     """
     depth = polygons.schema[rings].dataType.simpleString().count("array<")
     listed = polygons if depth == 3 else polygons.withColumn(rings, F.array(rings))
     parts = listed.select(*keys, F.posexplode(rings).alias("part", "_rings")).select(*keys, "part", F.posexplode("_rings").alias("ring", "_pts"))
+
+    def metres(p: Column) -> Column:
+        x, y = g.to_grid_metres(p["x"], p["y"]) if degrees else (p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    # The sign is taken where the ring is whole, so edges need not meet it in a join.
+    placed = parts.where(F.size("_pts") > 3).select(*keys, "part", "ring", F.transform("_pts", metres).alias("_pts"))
+    turns = F.zip_with("_pts", F.slice("_pts", 2, F.size("_pts")), lambda a, b: F.coalesce((a["x"] - b["x"]) * (a["y"] + b["y"]), F.lit(0.0)))
+    sign = F.signum(F.aggregate(turns, F.lit(0.0), lambda s, v: s + v))
+    signed = placed.withColumn("orient", F.when(F.col("ring") == 0, -sign).otherwise(sign))
     steps = F.sequence(F.lit(1), F.size("_pts") - 1)
-    edges = parts.where(F.size("_pts") > 3).select(
-        *keys, "part", "ring", F.posexplode_outer(F.transform(steps, lambda i: F.struct(
+    edges = signed.select(
+        *keys, "part", "ring", "orient", F.posexplode_outer(F.transform(steps, lambda i: F.struct(
             F.element_at("_pts", i).alias("a"), F.element_at("_pts", i + 1).alias("b")))).alias("edge", "_e"),
     )
-    ends = [F.col(f"_e.{p}.{c}") for p in ("a", "b") for c in ("x", "y")]
-    if degrees:
-        xa, ya = g.to_grid_metres(ends[0], ends[1])
-        xb, yb = g.to_grid_metres(ends[2], ends[3])
-    else:
-        xa, ya, xb, yb = ends
-    of = [*keys, "part", "ring"]
-    flat = edges.select(*of, "edge", xa.alias("xa"), ya.alias("ya"), xb.alias("xb"), yb.alias("yb"))
-    turn = F.sum((F.col("xa") - F.col("xb")) * (F.col("ya") + F.col("yb")))
-    signs = flat.groupBy(*of).agg(F.signum(turn).alias("_s"))
-    orient = F.when(F.col("ring") == 0, -F.col("_s")).otherwise(F.col("_s"))
-    return spread_join(flat, signs, of).withColumn("orient", orient).drop("_s")
+    ends = [F.col(f"_e.{p}.{c}").alias(f"{c}{p}") for p in ("a", "b") for c in ("x", "y")]
+    return edges.select(*keys, "part", "ring", "edge", *ends, "orient")
 
 
 def in_range(areas: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def box_rings(df: DataFrame, keys: list[str], box: Column) -> DataFrame:
 
 def unit_shares(cells: DataFrame, overlay: DataFrame, cell_keys: list[str], unit: str, top: int = 3) -> DataFrame:
     """Largest units of each cell by covered share; shares that round to 0 at three places are dropped."""
-    joined = cells.join(overlay, ["res", "col", "row"])
+    joined = cells.join(shuffled(overlay), ["res", "col", "row"])
     summed = joined.groupBy(*cell_keys, unit).agg(
         (F.sum(to_fixed(F.col("fraction"), 9)).cast("double") / 1e9).alias("_f"))
     first = best_per_key(summed, cell_keys, [F.desc("_f"), F.asc(unit)], top)
