@@ -13,6 +13,7 @@ from lodegrid.functions import geo, grid as g
 from lodegrid.functions.scalars import round_dp
 from lodegrid.operators import lines as ln, overlay, spatial, toponyms as tp
 from lodegrid.operators.toponyms import Lexicon
+from lodegrid.session import shuffled
 
 LEX = Lexicon(
     terms={1: ("gear",), 2: ("red", "blue"), 3: ("plate",), 4: ("cold",), 5: ("red gear", "cold plate")},
@@ -191,7 +192,7 @@ def near_lines(spark, d, cells=None, beyond=False):
     near = ln.cells_near_segments(cells, segments(spark, d), 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
     if beyond:
         near = ln.with_nearest_beyond(cells, segments(spark, d), near, 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
-    return near.join(ln.trend_and_length(segments(spark, d), ["line_id"]), "line_id")
+    return near.join(shuffled(ln.trend_and_length(segments(spark, d), ["line_id"])), "line_id")
 
 
 @register("cell_structures", f"""{_NL}, nz AS (SELECT nl.*, {q.rd('azimuth_deg', 1)} AS az FROM nl JOIN tr2 USING (line_id)), cl AS (SELECT * FROM nz WHERE dm <= 1700),
@@ -247,7 +248,7 @@ def _deg_edges():
 def _(spark, d):
     cells = aoi_cells(spark, d)
     covered = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id"], 4000)
-    covered = cells.join(covered.select("res", "col", "row", "feature_id"), ["res", "col", "row"])
+    covered = cells.join(shuffled(covered.select("res", "col", "row", "feature_id")), ["res", "col", "row"])
     borders = ln.line_segments(polygons(spark, d).withColumnRenamed("rings", "parts"), ["feature_id"])
     near = ln.cells_near_segments(framed(spark, d), borders, 2000.0, 4000, KEYS, ["feature_id"])
     return ln.polygon_of_cell(cells, covered, near, KEYS, "feature_id")
@@ -259,15 +260,15 @@ def _(spark, d):
 def _(spark, d):
     cells = aoi_cells(spark, d)
     near = ln.cells_near_segments(framed(spark, d), segments(spark, d), 1700.0, 4000, KEYS, ["line_id", "kind", "name"])
-    facts = ln.structure_facts(cells, near.join(ln.trend_and_length(segments(spark, d), ["line_id"]), "line_id"), KEYS)
+    facts = ln.structure_facts(cells, near.join(shuffled(ln.trend_and_length(segments(spark, d), ["line_id"])), "line_id"), KEYS)
     units = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id"], 4000)
-    mapped = cells.join(units.select("res", "col", "row"), ["res", "col", "row"], "left_semi")
+    mapped = cells.join(shuffled(units.select("res", "col", "row")), ["res", "col", "row"], "left_semi")
     return ln.trend_by_cell(mapped, facts, KEYS)
 
 
 @register("longest_structures", f"""{with_views('occurrence')}, {_SEG}, {_TRD} SELECT line_id, {q.rd('coalesce(length_m, 0) / 1000', 2)} AS length_km FROM tr2 ORDER BY length_km DESC, line_id LIMIT 60""")
 def _(spark, d):
-    rows = lines(spark, d).select("line_id", "kind", "name").join(ln.trend_and_length(segments(spark, d), ["line_id"]), "line_id")
+    rows = lines(spark, d).select("line_id", "kind", "name").join(shuffled(ln.trend_and_length(segments(spark, d), ["line_id"])), "line_id")
     return ln.longest_structures(rows).select("line_id", "length_km")
 
 

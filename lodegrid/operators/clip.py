@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodegrid import fixed
 from lodegrid.functions import grid as g
 from lodegrid.operators.overlay import polygon_cells
+from lodegrid.session import shuffled
 
 #: Metres by which a piece on a grid line is moved to its inside to find its cell.
 _NUDGE = 1e-6
@@ -148,7 +149,7 @@ def clipped_cells(edges: DataFrame, keys: list[str], res: int) -> DataFrame:
     bordered = F.exists("_paths", lambda p: p["comes"].isNotNull())
     cut = cut.select(*of, sized.alias("_sized"), bordered.alias("_bordered"))
 
-    cells = polygon_cells(edges, keys, res).join(cut, of, "left")
+    cells = polygon_cells(edges, keys, res).join(shuffled(cut), of, "left")
     known = F.coalesce("_sized", F.array().cast(f"array<struct<ring:array<{_POINT}>,area:double>>"))
     whole = F.col("fraction") * r * r - F.aggregate(known, F.lit(0.0), lambda s, v: s + v["area"]) > r * r / 2
     square = F.array(*[point(left + dx, low + dy) for dx, dy in ((0.0, 0.0), (r, 0.0), (r, r), (0.0, r))])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegrid.session import shuffled
+
 #: Between values, and in place of a value that is missing; no fact holds them.
 BETWEEN, MISSING = "\u0001", "\u0002"
 
@@ -49,12 +51,12 @@ def context_hashes(cells: DataFrame, keys: list[str], tables: dict[str, DataFram
             every = every.unionByName(p)
         return every
 
-    out = cells.select(*keys).distinct().join(_combined(union(tables, keys), keys, "_cell"), keys, "left")
-    out = out.join(_combined(union(area_tables, [area_key]), [area_key], "_area"), area_key, "left")
+    out = cells.select(*keys).distinct().join(shuffled(_combined(union(tables, keys), keys, "_cell")), keys, "left")
+    out = out.join(shuffled(_combined(union(area_tables, [area_key]), [area_key], "_area")), area_key, "left")
     both = F.concat(F.coalesce("_cell", F.lit("")), F.lit("/"), F.coalesce("_area", F.lit("")))
     return out.select(*keys, F.sha2(both, 256).alias("context_hash"))
 
 
 def cells_to_rescore(scored: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
     """Cells whose context is not the one they were scored with, and cells never scored."""
-    return now.join(scored.select(*keys, "context_hash"), [*keys, "context_hash"], "left_anti").select(*keys)
+    return now.join(shuffled(scored.select(*keys, "context_hash")), [*keys, "context_hash"], "left_anti").select(*keys)

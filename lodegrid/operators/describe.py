@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.functions.scalars import lookup, round_dp
-from lodegrid.session import scratch_path
+from lodegrid.session import scratch_path, shuffled
 
 LINES: dict[str, tuple[tuple[str, ...], ...]] = {
     "lithology": (
@@ -208,7 +208,7 @@ def assemble(cells: DataFrame, keys: list[str], tables: dict[str, DataFrame]) ->
     out = cells.select(*keys)
     for name, facts in tables.items():
         values = [c for c in facts.columns if c not in keys]
-        out = out.join(facts.select(*keys, F.struct(*values).alias(name)), keys, "left")
+        out = out.join(shuffled(facts.select(*keys, F.struct(*values).alias(name))), keys, "left")
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodegrid import fixed
 from lodegrid.functions.scalars import exact_sum, lookup, round_dp
 from lodegrid.operators.ranking import best_per_key
+from lodegrid.session import shuffled
 
 
 def checked_weights(weights: dict[str, float]) -> None:
@@ -53,14 +54,14 @@ def fuse(scores: DataFrame, cell_keys: list[str], weights: dict[str, float] | No
     told = first.groupBy(*cell_keys).agg(F.array_sort(F.collect_list(F.struct(
         "_place", F.concat(F.lit("["), F.col("agent_id"), F.lit("] "), F.col("_line")).alias("line")))).alias("_ev"))
     named = scores.select(*cell_keys, F.explode("sources").alias("_source")).groupBy(*cell_keys).agg(F.sort_array(F.collect_set("_source")).alias("sources"))
-    out = fused.join(told, cell_keys, "left").join(named, cell_keys, "left")
+    out = fused.join(shuffled(told), cell_keys, "left").join(shuffled(named), cell_keys, "left")
     empty = F.array().cast("array<string>")
     return out.withColumns({"evidence": F.coalesce(F.transform("_ev", lambda s: s["line"]), empty), "sources": F.coalesce("sources", empty)}).drop("_ev")
 
 
 def fill_grid(cells: DataFrame, fused: DataFrame, keys: list[str]) -> DataFrame:
     """Every grid cell once: unscored cells get score and confidence 0, scores off the grid are ignored."""
-    out = cells.select(*keys).join(fused, keys, "left")
+    out = cells.select(*keys).join(shuffled(fused), keys, "left")
     return out.fillna(0.0, subset=["score", "confidence"])
 
 
@@ -70,7 +71,7 @@ def completed_only(results: DataFrame) -> DataFrame:
 
 def fill_missing(cells: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
     """Cells a scorer skipped, as zero-confidence rows that carry no weight."""
-    missing = cells.select(*keys).join(scored.select(*keys), keys, "left_anti")
+    missing = cells.select(*keys).join(shuffled(scored.select(*keys)), keys, "left_anti")
     filler: dict[str, Column] = {
         "score": F.lit(0.0), "confidence": F.lit(0.0), "evidence": F.array(F.lit("Cell not scored by LLM")),
         "sources": F.array().cast("array<string>"),
@@ -92,4 +93,4 @@ def breakdown_by_parent(display: DataFrame, agent_scores: DataFrame) -> DataFram
     """Scorer rows of a display cell, looked up through its analysis parent when interpolated."""
     key = F.coalesce(F.col("parent_cell_id"), F.col("cell_id"))
     right = agent_scores.withColumnRenamed("cell_id", "_lookup")
-    return display.withColumn("_lookup", key).join(right, "_lookup", "left").drop("_lookup")
+    return display.withColumn("_lookup", key).join(shuffled(right), "_lookup", "left").drop("_lookup")

@@ -10,7 +10,7 @@ from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import favourable_trend, holds, never_null, round_dp, to_fixed
 from lodegrid.operators import spatial
 from lodegrid.operators.ranking import best_per_key
-from lodegrid.session import materialise
+from lodegrid.session import materialise, shuffled
 
 
 def line_segments(lines: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
@@ -112,14 +112,14 @@ def with_nearest_beyond(framed: DataFrame, segments: DataFrame, near: DataFrame,
     round sees every line within its radius. ``widest_m`` exceeds the extent of the grid's envelope.
     """
     found = near
-    todo = materialise(framed.join(near.select(*cell_keys).distinct(), cell_keys, "left_anti"), "without-line")
+    todo = materialise(framed.join(shuffled(near.select(*cell_keys).distinct()), cell_keys, "left_anti"), "without-line")
     while radius_m < widest_m and not todo.isEmpty():
         radius_m *= 4
         reached = cells_near_segments(todo, segments, radius_m, max_res, cell_keys, line_keys)
         best = reached.groupBy(*cell_keys).agg(F.min_by(F.struct(*line_keys, "distance_m"), F.struct("distance_m", line_keys[0])).alias("_b"))
         best = materialise(best.select(*cell_keys, "_b.*"), "nearest-line")
         found = found.unionByName(best.select(*found.columns))
-        todo = todo.join(best.select(*cell_keys), cell_keys, "left_anti")
+        todo = todo.join(shuffled(best.select(*cell_keys)), cell_keys, "left_anti")
     return found
 
 
@@ -157,9 +157,9 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
     named = near.where(in_buffer & F.col("name").isNotNull()).groupBy(*keys, "name").agg(F.min("line_id").alias("_id"))
     named = best_per_key(named, keys, [F.asc("_id"), F.asc("name")], most_names + 1).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("place", "name"))).alias("_names"))
-    out = cells.select(*keys).join(main, keys, "left").join(named, keys, "left")
+    out = cells.select(*keys).join(shuffled(main), keys, "left").join(shuffled(named), keys, "left")
     if crossings is not None:
-        out = out.join(crossings, keys, "left")
+        out = out.join(shuffled(crossings), keys, "left")
     n = F.coalesce(F.col("count"), F.lit(0))
     return out.select(
         *keys, n.alias("count"), "kinds", "azimuths", "favourable_azimuths",
@@ -175,17 +175,17 @@ def fault_crossings(near: DataFrame, segments: DataFrame, keys: list[str]) -> Da
     inside = near.where((F.col("kind") == "fault") & (F.col("distance_m") == 0)).select(*keys, "line_id").distinct()
     inside = materialise(inside, "faults")
     counts = inside.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, fixed.MAX_CROSSING_FAULTS))
-    inside = inside.join(counts.select(*keys), keys, "left_semi")
+    inside = inside.join(shuffled(counts.select(*keys)), keys, "left_semi")
     other = inside.withColumnRenamed("line_id", "other_id")
-    pairs = inside.join(other, keys).where(F.col("line_id") < F.col("other_id"))
+    pairs = inside.join(shuffled(other), keys).where(F.col("line_id") < F.col("other_id"))
     ends = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("ax", "ay", "bx", "by")]
     seg = segments.select("line_id", *ends("p"))
     seg2 = segments.select(F.col("line_id").alias("other_id"), *ends("q"))
-    unique = pairs.select("line_id", "other_id").distinct().join(seg, "line_id").join(seg2, "other_id")
+    unique = pairs.select("line_id", "other_id").distinct().join(shuffled(seg), "line_id").join(shuffled(seg2), "other_id")
     c = F.col
     touch = geo.segments_touch((c("p_ax"), c("p_ay")), (c("p_bx"), c("p_by")), (c("q_ax"), c("q_ay")), (c("q_bx"), c("q_by")))
     crossing = unique.where(touch).select("line_id", "other_id").distinct()
-    return pairs.join(crossing, ["line_id", "other_id"]).groupBy(*keys).agg(
+    return pairs.join(shuffled(crossing), ["line_id", "other_id"]).groupBy(*keys).agg(
         F.count("*").alias("fault_intersections_in_cell"))
 
 
@@ -225,7 +225,7 @@ def _met(listed: DataFrame, side: float) -> DataFrame:
     apart = lambda p: (F.least(f"o{p[0]}", f"o{p[1]}") <= F.greatest(*p)) & (F.least(*p) <= F.greatest(f"o{p[0]}", f"o{p[1]}"))
     c = F.col
     point = geo.meeting_point((c("ax"), c("ay")), (c("bx"), c("by")), (c("oax"), c("oay")), (c("obx"), c("oby")))
-    met = listed.join(other, ["_bx", "_by"]).where((c("line_id") < c("other_id")) & apart(("ax", "bx")) & apart(("ay", "by")))
+    met = listed.join(shuffled(other), ["_bx", "_by"]).where((c("line_id") < c("other_id")) & apart(("ax", "bx")) & apart(("ay", "by")))
     met = met.withColumn("_p", point).where("_p IS NOT NULL")
     own = (F.floor(c("_p.x") / side) == c("_bx")) & (F.floor(c("_p.y") / side) == c("_by"))
     return met.where(own).select("line_id", "other_id", "_p.x", "_p.y")
@@ -243,11 +243,11 @@ def crossing_points(segments: DataFrame, side: float = CROSSING_SQUARE, most: in
         todo = materialise(todo, "squares")
         crowded = todo.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
         deep = level < deepest and not crowded.isEmpty()
-        here = _met(todo.join(crowded, ["_bx", "_by"], "left_anti") if deep else todo, side)
+        here = _met(todo.join(shuffled(crowded), ["_bx", "_by"], "left_anti") if deep else todo, side)
         found = here if found is None else found.unionByName(here)
         if not deep:
             return found
-        todo = squares_passed(todo.join(crowded, ["_bx", "_by"], "left_semi"), side / 4, within=side)
+        todo = squares_passed(todo.join(shuffled(crowded), ["_bx", "_by"], "left_semi"), side / 4, within=side)
         side /= 4
 
 
@@ -260,13 +260,13 @@ def fault_crossings_all(near: DataFrame, segments: DataFrame, keys: list[str]) -
     faults = segments.where(F.col("kind") == "fault") if "kind" in segments.columns else segments
     pairs = crossing_points(faults).select("line_id", "other_id").distinct()
     inside = materialise(inside, "faults")
-    both = inside.join(pairs, "line_id").join(inside.withColumnRenamed("line_id", "other_id"), [*keys, "other_id"], "left_semi")
+    both = inside.join(shuffled(pairs), "line_id").join(shuffled(inside.withColumnRenamed("line_id", "other_id")), [*keys, "other_id"], "left_semi")
     return both.groupBy(*keys).agg(F.count("*").alias("fault_intersections_in_cell"))
 
 
 def trend_by_cell(mapped: DataFrame, structures: DataFrame, keys: list[str]) -> DataFrame:
     """Favourable trend nearby: true or false only where the cell is mapped, else null."""
-    return structures.join(mapped.select(*keys, F.lit(True).alias("_m")).distinct(), keys, "left").select(
+    return structures.join(shuffled(mapped.select(*keys, F.lit(True).alias("_m")).distinct()), keys, "left").select(
         *keys, F.when(F.col("_m"), F.coalesce("favourable_trend", F.lit(False))).alias("favourable_trend"))
 
 
@@ -278,7 +278,7 @@ def polygon_of_cell(cells: DataFrame, covered: DataFrame, borders: DataFrame, ke
     inside = covered.select(*keys, poly, F.lit(0.0).alias("distance_m"))
     both = inside.unionByName(borders.select(*keys, poly, "distance_m"))
     best = both.groupBy(*keys).agg(F.min(F.struct("distance_m", poly)).alias("_b"))
-    out = cells.select(*keys).join(best, keys, "left")
+    out = cells.select(*keys).join(shuffled(best), keys, "left")
     return out.select(*keys, f"_b.{poly}", round_dp(F.col("_b.distance_m") / 1000.0, 2).alias("km"),
                       (F.col("_b.distance_m") == 0).alias("inside"))
 

@@ -13,7 +13,7 @@ from lodegrid.functions import geo
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import exact_sum, holds, never_null, novelty, once, round_dp
 from lodegrid.operators.ranking import best_per_key
-from lodegrid.session import materialise, spread_join
+from lodegrid.session import materialise, shuffled, spread_join
 
 #: Local frames and the equal-area plane differ by under five percent inside the envelope.
 SLACK = 1.05
@@ -156,7 +156,7 @@ def occurrence_facts(cells: DataFrame, near: DataFrame, keys: list[str], any_poi
     records = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "place", "site_id", "name", "accuracy_class", "assays", "production",
         round_dp(km, 2).alias("km")))).alias("records"))
-    out = cells.select(*keys).join(counted, keys, "left").join(records, keys, "left")
+    out = cells.select(*keys).join(shuffled(counted), keys, "left").join(shuffled(records), keys, "left")
     known = any_points if isinstance(any_points, Column) else F.lit(any_points)
     zero = lambda c: F.when(known, F.coalesce(F.col(c), F.lit(0))).alias(c)
     best = F.try_element_at("records", F.lit(1))
@@ -180,7 +180,7 @@ def with_novelty(cells: DataFrame, facts: DataFrame, parent: str = "parent_cell_
     known = facts.select("cell_id", *cols, F.lit(True).alias("_known"))
     own = known.select(F.col("cell_id"), *[F.col(c).alias(f"_o_{c}") for c in cols], F.col("_known").alias("_own"))
     up = known.select(F.col("cell_id").alias(parent), *[F.col(c).alias(f"_p_{c}") for c in cols])
-    out = cells.join(own, "cell_id", "left").join(up, parent, "left")
+    out = cells.join(shuffled(own), "cell_id", "left").join(shuffled(up), parent, "left")
     return out.withColumns({
         c: F.when(F.col("_own"), F.col(f"_o_{c}")).otherwise(F.col(f"_p_{c}")) for c in cols
     }).drop("_own", *[f"_{p}_{c}" for p in ("o", "p") for c in cols])
@@ -213,7 +213,7 @@ def nearest_point(targets: DataFrame, points: DataFrame, key: str, name: str, st
         km = geo.km_between(F.col("_tlon"), F.col("_tlat"), F.col("lon"), F.col("lat"))
         best = pairs.withColumn("_km", km).groupBy("_tlon", "_tlat").agg(
             F.min(F.struct("_km", "_name")).alias("_b")).select("_tlon", "_tlat", "_b._km", "_b._name")
-        step = materialise(todo.join(best, ["_tlon", "_tlat"], "left"), "nearest")
+        step = materialise(todo.join(shuffled(best), ["_tlon", "_tlat"], "left"), "nearest")
         settled = F.col("_km") * 1000.0 * SLACK <= size
         last = size >= max_m
         done = step.where(F.col("_km").isNotNull() if last else settled).select("_tlon", "_tlat", "_km", "_name")
@@ -262,7 +262,7 @@ def interpolate(fine: DataFrame, coarse: DataFrame, keys: list[str], fine_res: i
     sides = known.select(*keys, "_cc", "_cr").unionByName(cells.select(*keys, F.col("_pc").alias("_cc"), F.col("_pr").alias("_cr")))
     spans = sides.groupBy(*keys).agg(F.greatest(F.max("_cc") - F.min("_cc"), F.max("_cr") - F.min("_cr")).alias("_span"))
     sizes = known.groupBy(*keys).agg(F.count("*").alias("_size"))
-    areas = materialise(spans.join(sizes, keys), "areas")
+    areas = materialise(spans.join(shuffled(sizes), keys), "areas")
     widest = (areas.agg(F.max("_span")).first()[0] or 0) + 1
     cells = spread_join(cells, areas, keys)
     todo, out, ring = cells, None, 1
@@ -274,9 +274,9 @@ def interpolate(fine: DataFrame, coarse: DataFrame, keys: list[str], fine_res: i
         span = F.sequence(-reach_of, reach_of)
         around = parents.where(~few).withColumn("_i", F.explode(span)).withColumn("_j", F.explode(span))
         around = around.withColumns({"_cc": F.col("_pc") + F.col("_i"), "_cr": F.col("_pr") + F.col("_j")})
-        near = around.join(known, [*keys, "_cc", "_cr"]).select(*keys, "_pc", "_pr", "_cc", "_cr", *values)
-        whole = parents.where(few).join(known, keys).select(*near.columns)
-        pairs = todo.join(near.unionByName(whole), [*keys, "_pc", "_pr"])
+        near = around.join(shuffled(known), [*keys, "_cc", "_cr"]).select(*keys, "_pc", "_pr", "_cc", "_cr", *values)
+        whole = parents.where(few).join(shuffled(known), keys).select(*near.columns)
+        pairs = todo.join(shuffled(near.unionByName(whole)), [*keys, "_pc", "_pr"])
         # exact integer distance in half fine cells
         dx = (F.col("_cc") * 2 + 1) * ratio - (F.col("col") * 2 + 1)
         dy = (F.col("_cr") * 2 + 1) * ratio - (F.col("row") * 2 + 1)
@@ -289,7 +289,7 @@ def interpolate(fine: DataFrame, coarse: DataFrame, keys: list[str], fine_res: i
         got = top.groupBy(*keys, "col", "row", "_pc", "_pr", "_span", "_size").agg(*aggs)
         reach = (2 * ring + 1) * ratio + 1
         settled = (F.col("_size") <= k) | (F.col("_span") <= ring) | ((F.col("_n") >= k) & (F.col("_far") <= reach * reach))
-        step = materialise(todo.join(got, [*keys, "col", "row", "_pc", "_pr", "_span", "_size"], "left"), "interpolated")
+        step = materialise(todo.join(shuffled(got), [*keys, "col", "row", "_pc", "_pr", "_span", "_size"], "left"), "interpolated")
         done = step.where(F.coalesce(settled, F.lit(False)) & F.col("_n").isNotNull())
         out = done if out is None else out.unionByName(done)
         todo = step.where(~F.coalesce(settled, F.lit(False))).select(*todo.columns)
@@ -301,7 +301,7 @@ def interpolate(fine: DataFrame, coarse: DataFrame, keys: list[str], fine_res: i
         v: round_dp(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(at_centre, F.col(f"_first.{v}")).otherwise(
             F.try_divide(f"_s_{v}", "_w")))), 4) for v in values})
     contained = known.select(*keys, F.col("_cc").alias("_pc"), F.col("_cr").alias("_pr"), F.lit(True).alias("_has"))
-    out = out.join(contained, [*keys, "_pc", "_pr"], "left")
+    out = out.join(shuffled(contained), [*keys, "_pc", "_pr"], "left")
     return out.select(
         *keys, "col", "row", *values,
         F.when(F.col("_has"), F.col("_pc")).otherwise(F.col("_first._cc")).alias("parent_col"),

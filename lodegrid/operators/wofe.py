@@ -15,6 +15,7 @@ from lodegrid import fixed
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import exact_sum, lookup, round_dp, sentence
 from lodegrid.operators.ranking import best_per_key
+from lodegrid.session import shuffled
 
 MAX_CONTRAST = max(v[0] for v in fixed.CONTRASTS.values())
 LOGIT_SPAN = MAX_CONTRAST + fixed.FAULT_CONTRAST
@@ -64,7 +65,7 @@ def fault_distance(cells: DataFrame, codes: tuple[int, ...] | None = None, reach
 
 def native_terms(cells: DataFrame, codes: tuple[int, ...] | None = None) -> DataFrame:
     """Lithology and structure terms of every native cell."""
-    near = cells.join(buffered_unit(cells), ["col", "row"], "left").join(
+    near = cells.join(shuffled(buffered_unit(cells)), ["col", "row"], "left").join(
         fault_distance(cells, codes), ["col", "row"], "left")
     own = F.when(contrast(F.col("geol_unit")).isNotNull(), F.col("geol_unit"))
     near = near.withColumns({"in_cell_unit": own, "_own": contrast(own), "_buf": contrast(F.col("buffer_unit"))})
@@ -130,7 +131,7 @@ def children(requested: DataFrame, keys: list[str]) -> DataFrame:
 
 def unit_facts(requested: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Unit shares weighted by coverage, favourable ground, fault, fold and dike lists of each cell."""
-    kids = children(requested, keys).join(cells, ["col", "row"])
+    kids = children(requested, keys).join(shuffled(cells), ["col", "row"])
     kids = kids.withColumn("_w", F.when(F.col("geol_unit").isNotNull(), F.coalesce("geol_unit_frac", F.lit(1.0))))
     by_unit = kids.where("geol_unit is not null").groupBy(*keys, "geol_unit").agg(
         exact_sum(F.col("_w")).alias("_share"), F.min(F.struct("col", "row")).alias("_first"))
@@ -141,7 +142,7 @@ def unit_facts(requested: DataFrame, cells: DataFrame, keys: list[str]) -> DataF
         exact_sum(F.when(contrast(F.col("geol_unit")).isNotNull(), F.col("_share"))).alias("_fav"),
     )
     totals = totals.withColumn("favourable_unit", F.when(F.col("favourable_contrast").isNotNull(), F.col("favourable_unit")))
-    top = best_per_key(by_unit, keys, [F.desc("_share"), F.asc("_first")], 4).join(totals.select(*keys, "_total"), keys)
+    top = best_per_key(by_unit, keys, [F.desc("_share"), F.asc("_first")], 4).join(shuffled(totals.select(*keys, "_total")), keys)
     frac = round_dp(F.col("_share") / F.col("_total"), 3)
     units = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "place", F.col("geol_unit").alias("unit"), frac.alias("frac"),
@@ -155,7 +156,7 @@ def unit_facts(requested: DataFrame, cells: DataFrame, keys: list[str]) -> DataF
         F.slice(F.sort_array(F.collect_set("dike_unit")), 1, 4).alias("dike_units"))
     first = F.try_element_at("units", F.lit(1))
     formation = lookup({k: v[3] for k, v in fixed.CONTRASTS.items()}, F.col("favourable_unit"))
-    return codes.join(units, keys, "left").join(totals, keys, "left").select(
+    return codes.join(shuffled(units), keys, "left").join(shuffled(totals), keys, "left").select(
         *keys, "source_cells", "inherited", "units", first["unit"].alias("unit"), first["frac"].alias("unit_frac"),
         first["contrast"].alias("contrast"), "favourable_unit", "favourable_contrast",
         round_dp(F.try_divide("_fav", "_total"), 3).alias("favourable_frac"), formation.alias("formation"),
@@ -170,10 +171,10 @@ def roll_up(requested: DataFrame, terms: DataFrame, keys: list[str], prior: Colu
     """
     kids = children(requested, keys)
     if trend is not None:
-        kids = kids.join(trend.select(*keys, F.col("favourable_trend").alias("_trend")), keys, "left")
-        scored = score_terms(kids.join(terms, ["col", "row"]), prior, F.col("_trend"))
+        kids = kids.join(shuffled(trend.select(*keys, F.col("favourable_trend").alias("_trend"))), keys, "left")
+        scored = score_terms(kids.join(shuffled(terms), ["col", "row"]), prior, F.col("_trend"))
     else:
-        scored = score_terms(kids.join(terms, ["col", "row"]), prior)
+        scored = score_terms(kids.join(shuffled(terms), ["col", "row"]), prior)
     spot = F.struct(-F.col("col"), -F.col("row"))
     has_unit = F.col("wofe_unit").isNotNull()
     best_order = F.struct(
@@ -198,7 +199,7 @@ def roll_up(requested: DataFrame, terms: DataFrame, keys: list[str], prior: Colu
     modal = units.groupBy(*keys).agg(F.max_by(F.struct("geol_unit", "_a"), F.struct("_a", "_first")).alias("_m"))
     res = F.col("res")
     expected = F.when(res > fixed.WOFE_RESOLUTION, (res / fixed.WOFE_RESOLUTION) * (res / fixed.WOFE_RESOLUTION)).otherwise(1.0)
-    out = requested.join(agg, keys, "left").join(modal, keys, "left")
+    out = requested.join(shuffled(agg), keys, "left").join(shuffled(modal), keys, "left")
     n = F.coalesce(F.col("wofe_cells"), F.lit(0))
     out = out.withColumn("coverage_frac", n / expected)
     outside = F.lit(fixed.REFUSED_OUTSIDE)

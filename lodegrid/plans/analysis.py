@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodegrid import fixed
 from lodegrid.functions import grid as g
 from lodegrid.operators import fusion, overlay, ranking, spatial, wofe
-from lodegrid.session import materialise
+from lodegrid.session import materialise, shuffled
 
 
 @dataclass
@@ -47,13 +47,13 @@ def analyse(rings: DataFrame, occurrences: DataFrame, scores: DataFrame, job: An
         shown = fused.withColumns({"parent_col": F.lit(None).cast("int"), "parent_row": F.lit(None).cast("int")})
         up = novelty
         ranked = ranking.rank_relative(shown, ["aoi_id"])
-        return ranked.join(up, keys, "left").withColumn("res", F.lit(job.display_res))
+        return ranked.join(shuffled(up), keys, "left").withColumn("res", F.lit(job.display_res))
     fine = overlay.cover(edges, ["aoi_id"], job.display_res)
     shown = spatial.interpolate(fine, fused, ["aoi_id"], job.display_res, job.analysis_res)
     ranked = ranking.rank_relative(shown, ["aoi_id"])
     # Facts were measured on the analysis cell, so a finer cell inherits them.
     up = novelty.withColumnsRenamed({"col": "parent_col", "row": "parent_row"})
-    return ranked.join(up, ["aoi_id", "parent_col", "parent_row"], "left").withColumn("res", F.lit(job.display_res))
+    return ranked.join(shuffled(up), ["aoi_id", "parent_col", "parent_row"], "left").withColumn("res", F.lit(job.display_res))
 
 
 def baseline(rings: DataFrame, wofe_cells: DataFrame, res: int = fixed.WOFE_RESOLUTION, mineral: str = "gold",
