@@ -58,6 +58,15 @@ def test_raster_rows_padding_and_counts(spark, tmp_path):
     assert cells.agg(F.count("*")).first()[0] >= 1 and {r.geol_unit for r in cells.collect()} <= {"Evsf", "Eck", "Kigd"}
 
 
+def test_a_value_table_without_records_declares_nothing(spark, tmp_path):
+    text = raster_text(ROWS, [])
+    (tmp_path / "none.e00").write_bytes(text)
+    px, attrs = rasters.read_rasters(spark, str(tmp_path))
+    assert px.isEmpty() and attrs.isEmpty()
+    (tmp_path / "none.e00").write_bytes(text[:text.index(b"IFO")] + b"EOI\n")  # no table at all: every pixel counts
+    assert rasters.read_rasters(spark, str(tmp_path))[0].count() == 12
+
+
 @pytest.mark.parametrize("text", [raster_text(ROWS[:2], VAT), raster_text(ROWS, VAT, declared=5)])
 def test_raster_mismatch_fails(spark, tmp_path, text):
     (tmp_path / "bad.e00").write_bytes(text)
