@@ -234,14 +234,19 @@ def nearest_within(sites: DataFrame, centres: DataFrame, centre_key: str, distan
     """Nearest centre of each site among those whose own reach includes it.
 
     Each centre is listed in every bucket its reach touches, so a site meets it in one bucket only.
-    Sites carry (site_key, sx, sy); centres carry (cx, cy) in the same units.
+    Sites carry (site_key, sx, sy); centres carry (cx, cy) in the same units. Sites, and centres, that agree in all
+    columns but the key are met once: of such centres the lowest key wins wherever they are nearest.
     """
     span = lambda c, r: F.sequence(F.floor((F.col(c) - r) / size).cast("int"), F.floor((F.col(c) + r) / size).cast("int"))
-    spread = centres.withColumn("_bx", F.explode(span("cx", reach_x))).withColumn("_by", F.explode(span("cy", reach_y)))
-    placed = sites.withColumns({"_bx": _bucket(F.col("sx"), size), "_by": _bucket(F.col("sy"), size)})
+    at = [c for c in sites.columns if c != "site_key"]
+    spots = sites.select(*at).distinct()
+    unique = centres.groupBy(*[c for c in centres.columns if c != centre_key]).agg(F.min(centre_key).alias(centre_key))
+    spread = unique.withColumn("_bx", F.explode(span("cx", reach_x))).withColumn("_by", F.explode(span("cy", reach_y)))
+    placed = spots.withColumns({"_bx": _bucket(F.col("sx"), size), "_by": _bucket(F.col("sy"), size)})
     pairs = split_join(placed, spread, ["_bx", "_by"]).withColumn("_d", distance).where(holds(accept))
     best = F.min(F.struct(F.col("_d").alias("distance"), F.col(centre_key))).alias("_b")
-    return pairs.groupBy("site_key").agg(best).select("site_key", "_b.distance", f"_b.{centre_key}")
+    found = pairs.groupBy(*at).agg(best).select(*at, "_b.distance", f"_b.{centre_key}")
+    return spread_join(sites, found, at).select("site_key", "distance", centre_key)
 
 
 # --- interpolation to a finer grid --------------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodegrid.catalog import load_all
 from lodegrid.catalog.registry import QUERIES
-from lodegrid.operators import overlay
+from lodegrid.operators import overlay, spatial
 
 
 def plan_of(df):
@@ -30,3 +30,19 @@ def test_rings_get_their_sign_without_a_join(spark):
     assert "Join" not in plan_of(edges) and "Exchange" not in plan_of(edges)
     area = edges.groupBy("id").agg(F.sum(F.col("orient") * (F.col("xb") - F.col("xa")) * (F.col("ya") + F.col("yb")) / 2).alias("a"))
     assert [r["a"] for r in area.orderBy("id").collect()] == [4.0, 4.0]
+
+
+def test_equal_sites_and_centres_are_met_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def away(sx, cx):
+        met.add(1)
+        return abs(sx - cx)
+
+    sites = spark.range(40).select(F.col("id").alias("site_key"), F.lit(1.0).alias("sx"), F.lit(1.0).alias("sy"))
+    centres = spark.range(30).select((30 - F.col("id")).alias("centre"), F.lit(1.5).alias("cx"), F.lit(1.0).alias("cy"))
+    best = spatial.nearest_within(sites, centres, "centre", away("sx", "cx"), F.lit(1.0), F.lit(1.0), 2.0, F.col("_d") <= 1)
+    got = best.collect()
+    assert sorted(r["site_key"] for r in got) == list(range(40)) and {(r["distance"], r["centre"]) for r in got} == {(0.5, 1)}
+    assert met.value < 10  # 1,200 pairs of the given rows
