@@ -17,7 +17,7 @@ from lodegrid import fixed
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import round_dp, to_fixed
 from lodegrid.operators.ranking import best_per_key
-from lodegrid.session import shuffled, spread_join
+from lodegrid.session import dealt, shuffled, spread_join
 
 _AREA_DIGITS = 6  # square metres
 _WIDTH_DIGITS = 9  # metres
@@ -180,7 +180,7 @@ def polygon_cells(edges: DataFrame, keys: list[str], res: int) -> DataFrame:
     xa, ya, xb, yb = (F.col(c) for c in ("xa", "ya", "xb", "yb"))
     left, right = F.least(xa, xb), F.greatest(xa, xb)
     ox, oy = float(fixed.GRID_ORIGIN_X), float(fixed.GRID_ORIGIN_Y)
-    strips = edges.withColumn(
+    strips = dealt(edges, [*keys, "xa", "ya", "xb", "yb"]).withColumn(
         "col", F.explode_outer(F.sequence(F.floor((left - ox) / r).cast("int"), F.floor((right - ox) / r).cast("int")))
     )
     x_from = F.greatest(left, ox + F.col("col") * r)

@@ -46,3 +46,12 @@ def test_equal_sites_and_centres_are_met_once(spark):
     got = best.collect()
     assert sorted(r["site_key"] for r in got) == list(range(40)) and {(r["distance"], r["centre"]) for r in got} == {(0.5, 1)}
     assert met.value < 10  # 1,200 pairs of the given rows
+
+
+def test_edges_of_one_file_are_dealt_out_before_they_become_cells(spark):
+    ring = "array(struct(0D AS x, 0D AS y), struct(9e4 AS x, 0D AS y), struct(9e4 AS x, 9e4 AS y), struct(0D AS x, 9e4 AS y), struct(0D AS x, 0D AS y))"
+    df = spark.sql(f"SELECT id, array({ring}) AS rings FROM range(64)").coalesce(1)
+    cells = overlay.polygon_cells(overlay.ring_edges(df, ["id"], degrees=False), ["id"], 1000)
+    plan = plan_of(cells)
+    # Below the explosion into columns and rows of cells stands a shuffle by number.
+    assert "REPARTITION_BY_NUM" in plan and plan.rindex("sequence(") > plan.index("HashAggregate")
