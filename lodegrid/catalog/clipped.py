@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from lodegrid.catalog import sqlmath as q
 from lodegrid.catalog.geometry import POLY_SIZE, aoi_edges, drawn_polygons, multi_sql, overlay_sql, polygons
-from lodegrid.catalog.names import _NL, _SEG, _TRD, KEYS, _cross, _touch, lines, near_lines, segments
+from lodegrid.catalog.names import _NL, _SEG, _TRD, _cross, _touch, faults_in_squares, lines, of_all_cells, segments
 from lodegrid.catalog.registry import register
 from lodegrid.catalog.views import view, with_views
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import round_dp
-from lodegrid.operators import clip, lines as ln, overlay
+from lodegrid.operators import clip, lines as ln, overlay, spatial
 from lodegrid.session import scratch_path
 from lodegrid.sinks import store
 from lodegrid.sinks.tables import polygon_feature
@@ -96,7 +96,7 @@ _A, _B, _C, _D = (("p.ax", "p.ay"), ("p.bx", "p.by"), ("s.ax", "s.ay"), ("s.bx",
   cr AS (SELECT DISTINCT la, lb FROM (SELECT DISTINCT la, lb FROM pr) JOIN seg p ON p.line_id = la JOIN seg s ON s.line_id = lb WHERE {_touch(_A, _B, _C, _D)})
   SELECT aoi_id, col, row, count(*) AS fault_intersections_in_cell FROM pr JOIN cr USING (la, lb) GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return ln.fault_crossings_all(near_lines(spark, d), segments(spark, d), KEYS)
+    return of_all_cells(spark, d, ln.fault_crossings_all(faults_in_squares(spark, d), segments(spark, d), spatial.SQUARE))
 
 
 def _meeting_sql() -> str:

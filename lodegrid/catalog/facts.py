@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, partial
 
 from pyspark.sql import functions as F
 
@@ -10,16 +10,16 @@ from lodegrid import fixed
 from lodegrid.catalog import sqlmath as q
 from lodegrid.catalog.evidence import _AREQ, _NATIVE
 from lodegrid.catalog import clipped, names  # noqa: F401
-from lodegrid.catalog.geometry import aoi_cells, overlay_sql, polygon_edges
+from lodegrid.catalog.geometry import aoi_cells, of_all_areas, outline_cells, overlay_sql, polygon_edges
 from lodegrid.catalog.names import _REACH
-from lodegrid.catalog.nearby import KEYS, _CELLS, _FACTS, _PAIRS, facts, framed, near
+from lodegrid.catalog.nearby import KEYS, _CELLS, _FACTS, _PAIRS, Near
 from lodegrid.catalog.registry import ORACLES, QUERIES, register
 from lodegrid.catalog.scoring import WEIGHTS, _FUSED
 from lodegrid.catalog.views import table, view, with_views
 from lodegrid.functions import geo, grid as g
 from lodegrid.operators import context, describe, lines as ln, overlay, spatial, toponyms as tp, wofe
 from lodegrid.plans import analysis
-from lodegrid.session import materialise
+from lodegrid.session import materialise, shuffled
 
 
 @register("lithology_lines", f"""{_AREQ}, t1 AS (SELECT rc, rr, arg_min(geol_unit, place) AS unit FROM rk GROUP BY 1, 2),
@@ -67,7 +67,7 @@ _DIST_TEXT = "CASE WHEN inside THEN 'in district ' || feature_id ELSE 'district
 def districts(spark, d):
     """The nearest district of each cell with its history; cells without one are not listed."""
     k = F.col("feature_id")
-    return QUERIES["cell_district"](spark, d).where("feature_id IS NOT NULL").select(
+    return names.district_rows(spark, d).where("feature_id IS NOT NULL").select(
         *KEYS, k.alias("name"), "inside", "km", F.when(k % 4 > 0, F.concat((k % 90).cast("string"), F.lit(" t of ore"))).alias("production"),
         (1880 + k % 40).alias("first_year"), (1880 + k % 40 + k % 3 * 10).alias("last_year"))
 
@@ -81,7 +81,7 @@ def districts(spark, d):
 def _(spark, d):
     rows = assembled(spark, d, ("occurrences", "district", "workings"))
     known = {**describe.site_facts(F.col("occurrences")), **describe.district_facts(F.col("district")), "workings": F.size("workings.list")}
-    return rows.select(*KEYS, describe.render("proximity", known).alias("line"))
+    return of_all_areas(spark, d, rows.select(*KEYS, describe.render("proximity", known).alias("line")))
 
 
 _HITS = f"""{_REACH} SELECT aoi_id, col, row, name, tier, corroboration, row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY tier, distance_km, feature_id) AS place
@@ -105,7 +105,7 @@ def _(spark, d):
     known = {**describe.site_facts(F.col("occurrences")), "best": best, **describe.district_facts(t),
              **describe.district_history(t["production"], t["first_year"], t["last_year"]),
              **describe.nearby_facts(F.col("workings.list"), F.col("field_observations.list"), F.col("toponyms.list"))}
-    return rows.select(*KEYS, describe.render("historical", known).alias("line"))
+    return of_all_areas(spark, d, rows.select(*KEYS, describe.render("historical", known).alias("line")))
 
 
 @register("geochemistry_remote_lines", """WITH r AS (SELECT o_custkey AS k, o_orderkey AS i, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS ore, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus END AS gangue FROM orders),
@@ -137,7 +137,7 @@ def _(spark, d):
     rows = assembled(spark, d, ("structures",))
     s = F.col("structures")
     none = F.lit(None).cast("struct<fault_codes:array<int>,fold_codes:array<int>,dike_units:array<string>,has_predictor_fault:boolean>")
-    return rows.select(*KEYS, describe.render("structure", describe.line_facts(s, none)).alias("line"))
+    return of_all_areas(spark, d, rows.select(*KEYS, describe.render("structure", describe.line_facts(s, none)).alias("line")))
 
 
 @register("cell_centre_lines", f"""{with_views('aoi')}, {q.square_aoi()} SELECT aoi_id, '  - c' || aoi_id || ': center (' || printf('%.4f', {q.rd('(s + n) / 2')}) || ', ' || printf('%.4f', {q.rd('(w + e) / 2')}) || ')' AS line,
@@ -150,21 +150,30 @@ def _(spark, d):
 
 
 # --- the nine fact tables -----------------------------------------------------------------------
+# Each table is told for the cells of outlines; what does not depend on the area is found once per cell of the grid.
+def _told(spark, d, rows):
+    """Facts of cells of the grid for every outline that has the cell."""
+    return outline_cells(spark, d).join(shuffled(rows), spatial.SQUARE).drop("res")
+
+
+def _grid_cells(spark, d):
+    return outline_cells(spark, d).select(*spatial.SQUARE).distinct()
+
+
 def _geology(spark, d, pairs):
     parts = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id", "unit"], 4000)
-    shares = overlay.unit_shares(aoi_cells(spark, d), parts, KEYS, "unit")
-    return shares.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "unit", "frac"))).alias("units"))
+    shares = overlay.unit_shares(_grid_cells(spark, d), parts, spatial.SQUARE, "unit")
+    return _told(spark, d, shares.groupBy(*spatial.SQUARE).agg(F.array_sort(F.collect_list(F.struct("place", "unit", "frac"))).alias("units")))
 
 
 def _structures(spark, d, pairs):
-    cells = framed(spark, d)
-    near_ = names.near_lines(spark, d, cells, beyond=True)
-    return ln.structure_facts(cells.select(*KEYS), near_, KEYS, ln.fault_crossings_all(near_, names.segments(spark, d), KEYS))
+    return names.structures(spark, d, crossings=True)
 
 
 def _raster(spark, d, pairs):
-    cells = aoi_cells(spark, d).withColumns({"c": F.col("col"), "r": F.col("row")})
-    return wofe.unit_facts(cells, view(spark, d, "wofe_cell"), ["aoi_id", "c", "r"]).withColumnsRenamed({"c": "col", "r": "row"})
+    cells = _grid_cells(spark, d).withColumns({"z": F.col("res"), "c": F.col("col"), "r": F.col("row")})
+    rows = wofe.unit_facts(cells, view(spark, d, "wofe_cell"), ["z", "c", "r"])
+    return _told(spark, d, rows.withColumnsRenamed({"z": "res", "c": "col", "r": "row"}))
 
 
 def _three(rows):
@@ -174,28 +183,25 @@ def _three(rows):
 
 def _toponyms(spark, d, pairs):
     _, hits = names.reach_hits(spark, d)
-    return tp.top_hits(hits, KEYS).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "name", "tier", "corroboration"))).alias("list"))
-
-
-def _occurrences(spark, d, pairs):
-    return spatial.occurrence_facts(aoi_cells(spark, d).select(*KEYS), pairs(), KEYS)
+    top = tp.top_hits(hits, spatial.SQUARE).groupBy(*spatial.SQUARE)
+    return _told(spark, d, top.agg(F.array_sort(F.collect_list(F.struct("place", "name", "tier", "corroboration"))).alias("list")))
 
 
 def _novelty(spark, d, pairs):
-    return spatial.novelty_facts(_occurrences(spark, d, pairs), KEYS).select(*KEYS, "nearest_occurrence_km", "novelty").where("novelty IS NOT NULL")
+    return pairs().novelty().select(*KEYS, "nearest_occurrence_km", "novelty").where("novelty IS NOT NULL")
 
 
 FACT_TABLES = {
-    "geology": _geology, "structures": _structures, "wofe": _raster, "occurrences": _occurrences, "district": lambda spark, d, pairs: districts(spark, d),
-    "workings": lambda spark, d, pairs: _three(pairs()), "toponyms": _toponyms,
-    "field_observations": lambda spark, d, pairs: _three(pairs().where("site_id % 11 = 0")), "novelty": _novelty,
+    "geology": _geology, "structures": _structures, "wofe": _raster, "occurrences": lambda spark, d, pairs: pairs().facts(), "district": lambda spark, d, pairs: districts(spark, d),
+    "workings": lambda spark, d, pairs: _three(pairs().nearest()), "toponyms": _toponyms,
+    "field_observations": lambda spark, d, pairs: _three(pairs().nearest(where="site_id % 11 = 0")), "novelty": _novelty,
 }
 
 
 def assembled(spark, d, which=tuple(FACT_TABLES)):
-    """Cells with the wanted fact tables, each stored in buckets of cells and joined as it lies."""
-    cells = describe.stored(aoi_cells(spark, d).select(*KEYS), KEYS, "cells")
-    pairs = cache(lambda: materialise(near(spark, d), "near"))  # of cells and records, read by several tables
+    """Cells of outlines with the wanted fact tables, each stored in buckets of cells and joined as it lies."""
+    cells = describe.stored(outline_cells(spark, d).select(*KEYS), KEYS, "cells")
+    pairs = cache(lambda: Near(spark, d))  # records near cells, read by several tables
     return describe.assemble(cells, KEYS, {n: describe.stored(FACT_TABLES[n](spark, d, pairs), KEYS, n) for n in which})
 
 
@@ -219,7 +225,7 @@ _PIECES = {
 @register("facts_assembled", f"""{_CELLS} SELECT aoi_id, count(*) AS cells_total, {', '.join(f"count(t{i}.col) AS cells_with_{n}" for i, n in enumerate(_PIECES))} FROM cells c
   {' '.join(f"LEFT JOIN {sql} t{i} ON t{i}.aoi_id = c.aoi_id AND t{i}.col = c.col AND t{i}.row = c.row" for i, sql in enumerate(_PIECES.values()))} GROUP BY 1""".replace("SELECT aoi_id, count(*)", "SELECT c.aoi_id, count(*)"))
 def _(spark, d):
-    return describe.census(assembled(spark, d), ["aoi_id"], list(FACT_TABLES))
+    return of_all_areas(spark, d, describe.census(assembled(spark, d), ["aoi_id"], list(FACT_TABLES)))
 
 
 # --- what a cell's score was based on -----------------------------------------------------------
@@ -229,18 +235,24 @@ def _sums_sql(sql, columns, keys="aoi_id, col, row"):
     return f"SELECT {keys}, count(*) || ':' || {number(1)} || ':' || {number(16)} AS part FROM (SELECT {keys}, sha256({text}) AS h FROM ({sql})) GROUP BY {keys}"
 
 
-def _context_tables(spark, d, mark=None):
-    """Facts of cells and areas; with ``mark`` every fiftieth record is renamed and every tenth area relabelled."""
+def _nearest_three(spark, d):
+    facts = Near(spark, d)
+    return facts, materialise(facts.nearest(3), "nearest")
+
+
+def _context_tables(spark, d, facts, near, mark=None):
+    """Facts of the cells of outlines, and of areas; with ``mark`` every fiftieth record is renamed and every tenth area relabelled."""
     renamed = F.col("name") if mark is None else F.when(F.col("site_id") % 50 == 0, F.concat("name", F.lit(mark))).otherwise(F.col("name"))
     label = F.col("label") if mark is None else F.when(F.col("aoi_id") % 10 == 0, F.concat("label", F.lit(mark))).otherwise(F.col("label"))
-    pairs = near(spark, d).withColumn("name", renamed)
-    cells = {"workings": spatial.nearest_records(pairs, KEYS).select(*KEYS, "place", "name", "km"), "novelty": QUERIES["cell_novelty"](spark, d)}
+    told = near.withColumn("name", renamed)
+    known = facts.novelty(near).select(*KEYS, "nearest_occurrence_km", "novelty")
+    cells = {"workings": spatial.nearest_records(told, KEYS).select(*KEYS, "place", "name", "km"), "novelty": known}
     return cells, {"area": view(spark, d, "aoi").select("aoi_id", label.alias("label"), "toponym_revealing")}
 
 
-def _contexts(spark, d, mark=None):
-    cells, areas = _context_tables(spark, d, mark)
-    return context.context_hashes(aoi_cells(spark, d), KEYS, cells, "aoi_id", areas)
+def _contexts(spark, d, facts, near, mark=None):
+    cells, areas = _context_tables(spark, d, facts, near, mark)
+    return context.context_hashes(facts.cells.select(*KEYS), KEYS, cells, "aoi_id", areas, partial(of_all_areas, spark, d))
 
 
 @register("context_hashes", f"""{_CELLS}, w AS ({_sums_sql(ORACLES['cell_nearest_workings'], ['place', 'name', 'km'])}),
@@ -248,14 +260,15 @@ def _contexts(spark, d, mark=None):
   SELECT c.aoi_id, c.col, c.row, sha256(sha256(concat_ws('|', 'novelty:' || n.part, 'workings:' || w.part)) || '/' || sha256('area:' || a.part)) AS context_hash
   FROM cells c LEFT JOIN w USING (aoi_id, col, row) LEFT JOIN n USING (aoi_id, col, row) LEFT JOIN a ON a.aoi_id = c.aoi_id""")
 def _(spark, d):
-    return _contexts(spark, d)
+    return _contexts(spark, d, *_nearest_three(spark, d))
 
 
 @register("cells_to_rescore", f"""{_PAIRS}, three AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY dm, site_id) <= 3)
   SELECT DISTINCT aoi_id, col, row FROM cells LEFT JOIN (SELECT DISTINCT aoi_id, col, row, true AS hit FROM three WHERE site_id % 50 = 0) USING (aoi_id, col, row) WHERE hit OR aoi_id % 10 = 0""")
 def _(spark, d):
     """Some records are renamed and some areas relabelled after scoring: only cells that were told of them are scored again."""
-    return context.cells_to_rescore(_contexts(spark, d), _contexts(spark, d, " (renamed)"), KEYS)
+    known = _nearest_three(spark, d)
+    return context.cells_to_rescore(_contexts(spark, d, *known), _contexts(spark, d, *known, " (renamed)"), KEYS)
 
 
 # --- streams ------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.catalog import sqlmath as q
-from lodegrid.catalog.geometry import _poly_sql, aoi_cells, overlay_sql, polygon_edges, polygons
+from lodegrid.catalog.geometry import _poly_sql, aoi_cells, of_all_areas, outline_cells, overlay_sql, polygon_edges, polygons
 from lodegrid.catalog.nearby import framed
 from lodegrid.catalog.registry import register
 from lodegrid.catalog.views import view, with_views
@@ -13,7 +13,7 @@ from lodegrid.functions import geo, grid as g
 from lodegrid.functions.scalars import round_dp
 from lodegrid.operators import lines as ln, overlay, spatial, toponyms as tp
 from lodegrid.operators.toponyms import Lexicon
-from lodegrid.session import shuffled
+from lodegrid.session import materialise, shuffled
 
 LEX = Lexicon(
     terms={1: ("gear",), 2: ("red", "blue"), 3: ("plate",), 4: ("cold",), 5: ("red gear", "cold plate")},
@@ -84,8 +84,9 @@ _REACH = f"""{_MATCH.format(views=with_views('aoi', 'occurrence', 'place_name'))
 
 
 def reach_hits(spark, d):
-    names, cells = view(spark, d, "place_name"), aoi_cells(spark, d)
-    reach = tp.names_in_reach(cells, names, KEYS, 4000)
+    """Names in reach of cells of the grid, and those that mean something: the same for every area that has the cell."""
+    names, cells = view(spark, d, "place_name"), outline_cells(spark, d).select(*spatial.SQUARE).distinct()
+    reach = materialise(tp.names_in_reach(cells, names, spatial.SQUARE, 4000), "reach")
     matched = tp.match_names(names, LEX)
     return reach, tp.cell_hits(reach, matched, tp.corroborate(matched, view(spark, d, "occurrence")))
 
@@ -98,7 +99,7 @@ def reach_hits(spark, d):
   FROM g JOIN tot USING (aoi_id, col, row)""")
 def _(spark, d):
     reach, hits = reach_hits(spark, d)
-    return tp.cell_summary(hits, reach, KEYS)
+    return of_all_cells(spark, d, tp.cell_summary(hits, reach, spatial.SQUARE))
 
 
 @register("cell_toponym_sentences", f"""{_REACH} SELECT aoi_id, col, row, place, 'Toponym: "' || name || '" (GNIS ' || feature_class || ', Tier ' || tier || ' ' ||
@@ -108,7 +109,8 @@ def _(spark, d):
   FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY tier, distance_km, feature_id) AS place FROM hits WHERE tier <> 5) WHERE place <= 3""")
 def _(spark, d):
     _, hits = reach_hits(spark, d)
-    return tp.top_hits(hits, KEYS).select(*KEYS, "place", tp.evidence_sentence().alias("sentence"))
+    rows = tp.top_hits(hits, spatial.SQUARE).select(*spatial.SQUARE, "place", tp.evidence_sentence().alias("sentence"))
+    return of_all_cells(spark, d, rows)
 
 
 # --- lines: three-vertex traces at the occurrences, every fourth kind a point ---------------------
@@ -187,12 +189,27 @@ def near_lines_sql(radius, seg="seg", keep="line_id, kind, name"):
 _NL = f"""{with_views('aoi', 'occurrence')}, {q.square_aoi()}, {q.cover_ctes(4000)}, {q.framed_ctes(4000)}, {_SEG}, {_TRD}, {near_lines_sql(6000)}"""
 
 
-def near_lines(spark, d, cells=None, beyond=False):
-    cells = cells if cells is not None else framed(spark, d)
-    near = ln.cells_near_segments(cells, segments(spark, d), 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
-    if beyond:
-        near = ln.with_nearest_beyond(cells, segments(spark, d), near, 6000.0, 4000, KEYS, ["line_id", "kind", "name"])
-    return near.join(shuffled(ln.trend_and_length(segments(spark, d), ["line_id"])), "line_id")
+def line_facts(spark, d):
+    return ln.trend_and_length(segments(spark, d), ["line_id", "kind", "name"])
+
+
+def structures(spark, d, crossings=False, beyond=True):
+    """Structure facts of the cells of every outline."""
+    cells, segs = framed(spark, d), segments(spark, d)
+    near = materialise(ln.lines_near_squares(cells, segs, "line_id", fixed.STRUCTURE_BUFFER_M, 4000, "kind", beyond), "lines")
+    met = ln.fault_crossings_all(near, segs, spatial.SQUARE) if crossings else None
+    return ln.shared_structure_facts(cells, near.drop("kind"), segs, line_facts(spark, d), KEYS, met)
+
+
+def faults_in_squares(spark, d):
+    """Faults that meet cells of the grid: the same for every area that has the cell."""
+    cells = spatial.squares(framed(spark, d))
+    return ln.cells_near_segments(cells, segments(spark, d).where("kind = 'fault'"), 0.0, 4000, spatial.SQUARE, ["line_id", "kind"], side=2.0)
+
+
+def of_all_cells(spark, d, rows):
+    """Rows of cells of the grid for every area that has the cell."""
+    return aoi_cells(spark, d).join(shuffled(rows), spatial.SQUARE).drop("res").select(*KEYS, *[c for c in rows.columns if c not in spatial.SQUARE])
 
 
 @register("cell_structures", f"""{_NL}, nz AS (SELECT nl.*, {q.rd('azimuth_deg', 1)} AS az FROM nl JOIN tr2 USING (line_id)), cl AS (SELECT * FROM nz WHERE dm <= 1700),
@@ -209,12 +226,11 @@ def near_lines(spark, d, cells=None, beyond=False):
   SELECT c.*, coalesce(cnt, 0) AS count, kinds, azimuths, fav AS favourable_azimuths, CASE WHEN cnt > 0 THEN coalesce(fav <> '', false) END AS favourable_trend, named, nearest_km, nearest_kind
   FROM cells c LEFT JOIN k2 USING (aoi_id, col, row) LEFT JOIN t USING (aoi_id, col, row) LEFT JOIN nm USING (aoi_id, col, row) LEFT JOIN ne USING (aoi_id, col, row)""")
 def structure_rows(spark, d):
-    cells = framed(spark, d)
-    out = ln.structure_facts(cells.select(*KEYS), near_lines(spark, d, cells, beyond=True), KEYS)
+    out = structures(spark, d)
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
     kinds = F.array_join(F.transform("kinds", lambda k: F.concat_ws(" ", k["kind"], k["n"].cast("string"), k["km"].cast("string"))), "|")
-    return out.select(*KEYS, "count", kinds.alias("kinds"), text("azimuths"), text("favourable_azimuths"), "favourable_trend", text("named"),
-                      "nearest_km", "nearest_kind")
+    return of_all_areas(spark, d, out.select(*KEYS, "count", kinds.alias("kinds"), text("azimuths"), text("favourable_azimuths"), "favourable_trend", text("named"),
+                                             "nearest_km", "nearest_kind"))
 
 
 @register("cell_fault_crossings", f"""{_NL}, ins AS (SELECT DISTINCT aoi_id, col, row, line_id FROM nl WHERE kind = 'fault' AND dm = 0),
@@ -225,7 +241,7 @@ def structure_rows(spark, d):
     WHERE {_touch(('p.ax', 'p.ay'), ('p.bx', 'p.by'), ('s.ax', 's.ay'), ('s.bx', 's.by'))})
   SELECT aoi_id, col, row, count(*) AS fault_intersections_in_cell FROM pr JOIN cr USING (la, lb) GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return ln.fault_crossings(near_lines(spark, d), segments(spark, d), KEYS)
+    return of_all_cells(spark, d, ln.fault_crossings(faults_in_squares(spark, d), segments(spark, d), spatial.SQUARE))
 
 
 _DIST = f"""{with_views('aoi', 'place_name')}, {q.square_aoi()}, {q.cover_ctes(4000)}, {q.framed_ctes(4000)}, {overlay_sql(4000)},
@@ -245,12 +261,23 @@ def _deg_edges():
 @register("cell_district", f"""{_DIST.format(edges=_deg_edges())}, al AS (SELECT aoi_id, c.col, c.row, feature_id, 0e0 AS dm FROM cells c JOIN frac f USING (col, row) WHERE f.f > 1e-9 OR f.tch
   UNION ALL SELECT aoi_id, col, row, feature_id, dm FROM nl), b AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY aoi_id, col, row ORDER BY dm, feature_id) = 1)
   SELECT c.*, feature_id, {q.rd('dm / 1000', 2)} AS km, dm = 0 AS inside FROM cells c LEFT JOIN b USING (aoi_id, col, row)""")
-def _(spark, d):
-    cells = aoi_cells(spark, d)
-    covered = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id"], 4000)
-    covered = cells.join(shuffled(covered.select("res", "col", "row", "feature_id")), ["res", "col", "row"])
+def cell_district(spark, d):
+    return of_all_areas(spark, d, district_rows(spark, d))
+
+
+def district_rows(spark, d):
+    """The district of each cell of every outline. A cell that polygons touch has the lowest of them in every frame; borders are
+    looked for from the others only."""
+    cells = framed(spark, d)
+    touched = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id"], 4000)
+    touched = materialise(touched.groupBy(*spatial.SQUARE).agg(F.min("feature_id").alias("feature_id")), "touched")
+    covered = cells.select(*dict.fromkeys([*KEYS, *spatial.SQUARE])).join(shuffled(touched), spatial.SQUARE)
+    bare = materialise(cells.join(shuffled(touched), spatial.SQUARE, "left_anti"), "bare")
     borders = ln.line_segments(polygons(spark, d).withColumnRenamed("rings", "parts"), ["feature_id"])
-    near = ln.cells_near_segments(framed(spark, d), borders, 2000.0, 4000, KEYS, ["feature_id"])
+    listed = ln.lines_near_squares(bare, borders, "feature_id", 2000.0, 4000, beyond=False)
+    least = listed.groupBy(*spatial.SQUARE).agg(F.min("high_m").alias("_least"))
+    listed = listed.join(shuffled(least), spatial.SQUARE).where("low_m <= _least")
+    near = ln.measured_lines(bare, listed, borders, "feature_id", KEYS).where("distance_m <= 2000.0")
     return ln.polygon_of_cell(cells, covered, near, KEYS, "feature_id")
 
 
@@ -258,12 +285,9 @@ def _(spark, d):
   {overlay_sql(4000)}, mp AS (SELECT DISTINCT col, row FROM frac WHERE f > 1e-9 OR tch), fv AS (SELECT aoi_id, col, row, bool_or(azimuth_deg <= 30 OR azimuth_deg >= 165) AS ok FROM nl JOIN tr2 USING (line_id) GROUP BY 1, 2, 3)
   SELECT c.*, CASE WHEN mp.col IS NOT NULL THEN coalesce(ok, false) END AS favourable_trend FROM cells c LEFT JOIN mp USING (col, row) LEFT JOIN fv USING (aoi_id, col, row)""")
 def _(spark, d):
-    cells = aoi_cells(spark, d)
-    near = ln.cells_near_segments(framed(spark, d), segments(spark, d), 1700.0, 4000, KEYS, ["line_id", "kind", "name"])
-    facts = ln.structure_facts(cells, near.join(shuffled(ln.trend_and_length(segments(spark, d), ["line_id"])), "line_id"), KEYS)
-    units = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id"], 4000)
-    mapped = cells.join(shuffled(units.select("res", "col", "row")), ["res", "col", "row"], "left_semi")
-    return ln.trend_by_cell(mapped, facts, KEYS)
+    units = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id"], 4000).select(*spatial.SQUARE).distinct()
+    mapped = outline_cells(spark, d).join(shuffled(units), spatial.SQUARE, "left_semi")
+    return of_all_areas(spark, d, ln.trend_by_cell(mapped, structures(spark, d, beyond=False), KEYS))
 
 
 @register("longest_structures", f"""{with_views('occurrence')}, {_SEG}, {_TRD} SELECT line_id, {q.rd('coalesce(length_m, 0) / 1000', 2)} AS length_km FROM tr2 ORDER BY length_km DESC, line_id LIMIT 60""")

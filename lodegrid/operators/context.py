@@ -6,6 +6,8 @@ ever put together. A cell's context is the hash over the sums of all its tables
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,12 @@ def _combined(parts: DataFrame, keys: list[str], out: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "|"), 256).alias(out))
 
 
-def context_hashes(cells: DataFrame, keys: list[str], tables: dict[str, DataFrame], area_key: str, area_tables: dict[str, DataFrame]) -> DataFrame:
+def context_hashes(cells: DataFrame, keys: list[str], tables: dict[str, DataFrame], area_key: str, area_tables: dict[str, DataFrame],
+                   told: Callable[[DataFrame], DataFrame] = lambda cells: cells) -> DataFrame:
     """keys and context_hash of every cell; without any fact it is the hash of nothing.
 
-    ``area_tables`` are told for every cell of an area, so a change in them changes all its cells.
+    ``area_tables`` are told for every cell of an area, so a change in them changes all its cells. Where cells stand for
+    those of several areas, ``told`` turns them into the cells of all areas before facts of areas are added.
     """
     def union(found: dict[str, DataFrame], by: list[str]) -> DataFrame:
         parts = [table_sums(df, by, name).select(*by, "table", "n", "sum1", "sum2") for name, df in found.items()]
@@ -52,6 +56,7 @@ def context_hashes(cells: DataFrame, keys: list[str], tables: dict[str, DataFram
         return every
 
     out = cells.select(*keys).distinct().join(shuffled(_combined(union(tables, keys), keys, "_cell")), keys, "left")
+    out = told(out)
     out = out.join(shuffled(_combined(union(area_tables, [area_key]), [area_key], "_area")), area_key, "left")
     both = F.concat(F.coalesce("_cell", F.lit("")), F.lit("/"), F.coalesce("_area", F.lit("")))
     return out.select(*keys, F.sha2(both, 256).alias("context_hash"))

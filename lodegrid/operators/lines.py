@@ -56,10 +56,13 @@ def _to_buckets(segments: DataFrame, reach: float, size: float) -> DataFrame:
 
 
 def cells_near_segments(framed: DataFrame, segments: DataFrame, radius_m: float, max_res: int,
-                        cell_keys: list[str], line_keys: list[str]) -> DataFrame:
-    """Least distance between a cell's square and each line within ``radius_m``; 0 when they meet."""
+                        cell_keys: list[str], line_keys: list[str], side: float = 0.75) -> DataFrame:
+    """Least distance between a cell's square and each line within ``radius_m``; 0 when they meet.
+
+    ``side`` is that of a bucket in terms of the reach: the fewer cells there are, the wider buckets may be.
+    """
     reach = (radius_m + spatial.HALF_DIAGONAL * max_res) * spatial.SLACK
-    size = 0.75 * reach
+    size = side * reach
     placed = framed.withColumns({
         "_tx": g.centre_x(F.col("col"), F.col("res")), "_ty": g.centre_y(F.col("row"), F.col("res")),
         "_bx": F.floor(g.centre_x(F.col("col"), F.col("res")) / size).cast("int"),
@@ -68,12 +71,17 @@ def cells_near_segments(framed: DataFrame, segments: DataFrame, radius_m: float,
     # Centre against bounds in the plane first: most listed pairs end here.
     ahead = (F.col("_tx") >= F.col("_x0") - reach) & (F.col("_tx") <= F.col("_x1") + reach)
     ahead = ahead & (F.col("_ty") >= F.col("_y0") - reach) & (F.col("_ty") <= F.col("_y1") + reach)
-    pairs = pairs.where(holds(ahead)).drop("_tx", "_ty", "_x0", "_x1", "_y0", "_y1")
+    pairs = pairs.where(holds(ahead)).drop("_tx", "_ty", "_x0", "_x1", "_y0", "_y1", "_bx", "_by")
+    return _least_distance(pairs, radius_m, cell_keys, line_keys)
+
+
+def _least_distance(pairs: DataFrame, radius_m: float, cell_keys: list[str], line_keys: list[str]) -> DataFrame:
+    """Distance of each line to each cell from pairs of a framed cell and a segment, as far as ``radius_m``."""
     local = {}
     for end in ("a", "b"):
         x, y = geo.local_xy(F.col(f"{end}x"), F.col(f"{end}y"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
         local[f"l{end}x"], local[f"l{end}y"] = x, y
-    pairs = pairs.drop("_bx", "_by").withColumns(local)
+    pairs = pairs.withColumns(local)
     close = F.lit(True)
     for axis, corner in (("x", "px"), ("y", "py")):
         corners = [F.col(f"{corner}{i}") for i in range(4)]
@@ -123,6 +131,106 @@ def with_nearest_beyond(framed: DataFrame, segments: DataFrame, near: DataFrame,
     return found
 
 
+# --- cells that many areas share (see ``spatial``) ----------------------------------------------
+def lines_near_squares(framed: DataFrame, segments: DataFrame, line_key: str, buffer_m: float, max_res: int,
+                       kinds: str | None = None, beyond: bool = True, widest_m: float = 2_000_000.0) -> DataFrame:
+    """Lines near cells of the grid with bounds of their distance (low_m, high_m) over the frames of all areas, stored.
+
+    Listed are those that may be within ``buffer_m`` and, with ``beyond``, those that may be the nearest at any distance (of
+    their kind, where ``kinds`` names a column of the segments). The search widens fourfold for cells without a line that is surely in its radius.
+    """
+    todo, found, radius = spatial.squares(framed), None, buffer_m * 1.02
+    by = [line_key] + ([kinds] if kinds else [])
+    while True:
+        reached = cells_near_segments(todo, segments, radius, max_res, [*spatial.SQUARE, "stretch"], by, side=2.0)
+        reached = materialise(reached.withColumns(spatial.bounds()).drop("stretch"), "reached")
+        least = reached.groupBy(*spatial.SQUARE).agg(F.min("high_m").alias("_least"))
+        last = not beyond or radius >= widest_m
+        done = reached.join(shuffled(least), spatial.SQUARE).where((F.col("low_m") <= buffer_m) | (F.col("low_m") <= F.col("_least")))
+        done = (done if last else done.where(F.col("_least") <= radius)).drop("_least")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        todo = materialise(todo.join(shuffled(least.where(F.col("_least") <= radius)), spatial.SQUARE, "left_anti"), "without-line")
+        if todo.isEmpty():
+            return found
+        radius *= 4
+
+
+def measured_lines(framed: DataFrame, near: DataFrame, segments: DataFrame, line_key: str, keys: list[str]) -> DataFrame:
+    """Lines of cells of the grid for each area that has the cell, with their distance in its frame."""
+    drawn = near.select(*spatial.SQUARE, line_key).join(shuffled(segments.select(line_key, "ax", "ay", "bx", "by")), line_key)
+    return _least_distance(spatial.split_join(framed, drawn, spatial.SQUARE), float("inf"), keys, [line_key])
+
+
+def shared_structure_facts(framed: DataFrame, near: DataFrame, segments: DataFrame, lines: DataFrame, keys: list[str], crossings: DataFrame | None = None,
+                           buffer_m: float = fixed.STRUCTURE_BUFFER_M, most_azimuths: int = 8, most_favourable: int = 6, most_names: int = 4) -> DataFrame:
+    """``structure_facts`` of areas' cells from ``lines_near_squares``: lines whose place is the same in every frame are counted
+    once per cell of the grid, only the others are measured for each area. ``lines`` has line_id, kind, name, azimuth_deg."""
+    square, low, high = spatial.SQUARE, F.col("low_m"), F.col("high_m")
+    tenth = round_dp(F.pmod(F.col("azimuth_deg"), F.lit(180.0)), 1)
+    near = near.join(shuffled(lines.select("line_id", "kind", "name", tenth.alias("azimuth"))), "line_id")
+    least = near.groupBy(*square, "kind").agg(F.min("high_m").alias("_kind"))
+    over = least.groupBy(*square).agg(F.min("_kind").alias("_any"))
+    near = materialise(near.join(shuffled(least), [*square, "kind"]).join(shuffled(over), square), "near")
+    sure, open_ = high <= buffer_m, (low <= buffer_m) & (high > buffer_m)
+
+    def told(rows: DataFrame, by: list[str], inside: Column, at: Column, prefix: str) -> DataFrame:
+        """Counts, least distances, azimuths and names; ``at`` is the distance where it is known."""
+        per_kind = []
+        for k in fixed.STRUCTURE_KINDS:
+            mine = F.col("kind") == k
+            per_kind += [F.count_if(mine & inside).alias(f"{prefix}n_{k}"), F.min(F.when(mine & (at <= buffer_m), at)).alias(f"{prefix}d_{k}")]
+        # Azimuths are kept to tenths of a degree: 1800 values at most.
+        listed = lambda c, n, name: F.slice(F.sort_array(F.collect_set(F.when(inside & c, F.col("azimuth")))), 1, n + 1).alias(prefix + name)
+        main = rows.groupBy(*by).agg(
+            *per_kind, listed(F.lit(True), most_azimuths, "az"), listed(favourable_trend(F.col("azimuth")), most_favourable, "fav"),
+            F.min_by(F.struct("kind", at.alias("distance_m")), F.when(at.isNotNull(), F.struct(at.alias("d"), "line_id"))).alias(f"{prefix}near"))
+        named = rows.where(inside & F.col("name").isNotNull()).groupBy(*by, "name").agg(F.min("line_id").alias("_id"))
+        named = best_per_key(named, by, [F.asc("_id"), F.asc("name")], most_names + 1).groupBy(*by).agg(
+            F.array_sort(F.collect_list(F.struct("_id", "name"))).alias(f"{prefix}names"))
+        return main.join(shuffled(named), by, "left")
+
+    once_ = told(near, square, sure, F.when(high == 0, 0.0), "s_")
+    unsure = near.where(open_ | ((high > 0) & ((low <= F.col("_kind")) | (low <= F.col("_any")))))
+    attributes = unsure.select(*square, "line_id", "kind", "name", "azimuth", open_.alias("_open"))
+    exact = measured_lines(framed, unsure, segments, "line_id", [*keys, "res"]).join(shuffled(attributes), [*square, "line_id"])
+    here = told(materialise(exact, "measured"), keys, F.col("_open") & (F.col("distance_m") <= buffer_m), F.col("distance_m"), "o_")
+    out = framed.select(*dict.fromkeys([*keys, *square])).join(shuffled(once_), square, "left").join(shuffled(here), keys, "left")
+    none = F.array().cast("array<double>")
+    both = lambda c, n: F.slice(F.array_sort(F.array_distinct(F.concat(F.coalesce(f"s_{c}", none), F.coalesce(f"o_{c}", none)))), 1, n + 1)
+    pairs = F.array().cast(f"array<struct<_id:{near.schema['line_id'].dataType.simpleString()},name:string>>")
+    names = F.array_sort(F.concat(F.coalesce("s_names", pairs), F.coalesce("o_names", pairs)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    cols = {}
+    for k in fixed.STRUCTURE_KINDS:
+        cols |= {f"_n_{k}": zero(f"s_n_{k}") + zero(f"o_n_{k}"), f"_d_{k}": F.coalesce(f"s_d_{k}", f"o_d_{k}")}
+    out = out.withColumns(cols | {"_az": both("az", most_azimuths), "_fav": both("fav", most_favourable), "_all": names, "_n": F.coalesce("s_near", "o_near")})
+    count = sum((F.col(f"_n_{k}") for k in fixed.STRUCTURE_KINDS), F.lit(0))
+    # Of two lines with one name the lower id speaks.
+    first = F.filter("_all", lambda s, i: ~F.exists(F.slice("_all", F.lit(1), i), lambda t: t["name"] == s["name"]))
+    n = F.col("count")
+    known = F.size("_az") > 0
+    out = out.withColumns({"count": count, "_first": first})
+    if crossings is not None:
+        out = out.join(shuffled(crossings), square, "left")
+    return out.select(
+        *keys, "count", F.when(n > 0, _kinds()).alias("kinds"), F.when(known, F.slice("_az", 1, most_azimuths)).alias("azimuths"),
+        F.when(known, F.slice("_fav", 1, most_favourable)).alias("favourable_azimuths"),
+        F.when(n > 0, F.size("_fav") > 0).alias("favourable_trend"),
+        F.when(F.size("_first") > 0, F.transform(F.slice("_first", 1, most_names), lambda s: s["name"])).alias("named"),
+        ((F.size("_az") > most_azimuths) | (F.size("_fav") > most_favourable) | (F.size("_first") > most_names)).alias("truncated"),
+        round_dp(F.col("_n.distance_m") / 1000.0, 2).alias("nearest_km"), F.col("_n.kind").alias("nearest_kind"),
+        *(["fault_intersections_in_cell"] if crossings is not None else []))
+
+
+def _kinds() -> Column:
+    """Kinds that are in the buffer with their number (_n_) and least distance (_d_)."""
+    return F.array_compact(F.array(*[F.when(F.col(f"_n_{k}") > 0, F.struct(
+        F.lit(k).alias("kind"), F.col(f"_n_{k}").alias("n"), round_dp(F.col(f"_d_{k}") / 1000.0, 2).alias("km")))
+        for k in sorted(fixed.STRUCTURE_KINDS)]))
+
+
 def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossings: DataFrame | None = None,
                     buffer_m: float = fixed.STRUCTURE_BUFFER_M, most_azimuths: int = 8, most_favourable: int = 6, most_names: int = 4) -> DataFrame:
     """Counts, distances and trends of lines (line_id, kind, name, azimuth_deg) within the buffer of each cell.
@@ -145,11 +253,8 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
         F.sort_array(F.collect_set(F.when(in_buffer & favourable_trend(tenth), tenth))).alias("favourable_azimuths"),
         F.count_if(in_buffer & F.col("azimuth_deg").isNotNull()).alias("_az"),
         F.min_by(F.struct("kind", "distance_m"), F.struct("distance_m", "line_id")).alias("_n"))
-    kinds = F.array_compact(F.array(*[F.when(F.col(f"_n_{k}") > 0, F.struct(
-        F.lit(k).alias("kind"), F.col(f"_n_{k}").alias("n"), round_dp(F.col(f"_d_{k}") / 1000.0, 2).alias("km")))
-        for k in sorted(fixed.STRUCTURE_KINDS)]))
     main = main.withColumns({
-        "kinds": F.when(F.col("count") > 0, kinds), "azimuths": F.when(F.col("_az") > 0, F.col("azimuths")),
+        "kinds": F.when(F.col("count") > 0, _kinds()), "azimuths": F.when(F.col("_az") > 0, F.col("azimuths")),
         "favourable_azimuths": F.when(F.col("_az") > 0, F.col("favourable_azimuths"))})
     long = (F.size("azimuths") > most_azimuths) | (F.size("favourable_azimuths") > most_favourable)
     main = main.withColumn("_long", F.coalesce(long, F.lit(False))).withColumns({
@@ -254,14 +359,20 @@ def crossing_points(segments: DataFrame, side: float = CROSSING_SQUARE, most: in
 def fault_crossings_all(near: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of faults that both meet a cell and cross or touch each other, for any number of faults in the cell.
 
-    Only pairs that do cross are joined to cells, so a cell with many faults costs what crosses in it.
+    Faults of a cell meet inside the cell, and a pair is counted where it is met: none is written or shuffled.
     """
     inside = near.where((F.col("kind") == "fault") & (F.col("distance_m") == 0)).select(*keys, "line_id").distinct()
-    faults = segments.where(F.col("kind") == "fault") if "kind" in segments.columns else segments
-    pairs = crossing_points(faults).select("line_id", "other_id").distinct()
-    inside = materialise(inside, "faults")
-    both = inside.join(shuffled(pairs), "line_id").join(shuffled(inside.withColumnRenamed("line_id", "other_id")), [*keys, "other_id"], "left_semi")
-    return both.groupBy(*keys).agg(F.count("*").alias("fault_intersections_in_cell"))
+    ends = ("ax", "ay", "bx", "by")
+    box = [F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")]
+    drawn = segments.groupBy("line_id").agg(F.collect_list(F.struct(*ends)).alias("s"), *box)
+    inside = materialise(inside.join(shuffled(drawn), "line_id"), "faults")
+    other = inside.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("line_id", "s", "x0", "x1", "y0", "y1")])
+    c = F.col
+    apart = (c("x0") > c("o_x1")) | (c("o_x0") > c("x1")) | (c("y0") > c("o_y1")) | (c("o_y0") > c("y1"))
+    ends_of = lambda s: ((s["ax"], s["ay"]), (s["bx"], s["by"]))
+    touch = F.exists("s", lambda p: F.exists("o_s", lambda q: geo.segments_touch(*ends_of(p), *ends_of(q))))
+    met = spatial.split_join(inside, other, keys).where((c("line_id") < c("o_line_id")) & ~apart).where(touch)
+    return met.groupBy(*keys).agg(F.count("*").alias("fault_intersections_in_cell"))
 
 
 def trend_by_cell(mapped: DataFrame, structures: DataFrame, keys: list[str]) -> DataFrame:

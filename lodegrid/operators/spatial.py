@@ -69,6 +69,11 @@ def framed_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
         ((F.col("min_lat") + F.col("max_lat")) / 2.0).alias("lat0f"))
     frame = frame.withColumn("mx", geo.metres_per_degree_lon(F.col("lat0f")))
     out = spread_join(full.drop("min_lon", "min_lat", "max_lon", "max_lat"), frame, keys)
+    return materialise(_in_frame(out), "framed")
+
+
+def _in_frame(out: DataFrame) -> DataFrame:
+    """Corners, sides and their inverse squares in the frame (lon0f, lat0f, mx) that each row carries."""
     new = {}
     for i in range(4):
         x, y = geo.local_xy(F.col(f"lon{i}"), F.col(f"lat{i}"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
@@ -80,9 +85,8 @@ def framed_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
         sides[f"sx{i}"] = F.col(f"px{(i + 1) % 4}") - F.col(f"px{i}")
         sides[f"sy{i}"] = F.col(f"py{(i + 1) % 4}") - F.col(f"py{i}")
     out = out.withColumns(sides)
-    out = out.withColumns({f"sw{i}": never_null(
+    return out.withColumns({f"sw{i}": never_null(
         1.0 / (F.col(f"sx{i}") * F.col(f"sx{i}") + F.col(f"sy{i}") * F.col(f"sy{i}"))) for i in range(4)})
-    return materialise(out, "framed")
 
 
 _FRAME = ["lon0f", "lat0f", "mx"] + [f"{a}{i}" for a in ("px", "py", "sx", "sy", "sw") for i in range(4)]
@@ -114,15 +118,90 @@ def cells_near_points(framed: DataFrame, points: DataFrame, radius_m: float, max
     located = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumns({"_px": px, "_py": py})
     pairs = bucket_pairs(targets, located, reach)
     near = (F.abs(F.col("_px") - F.col("_tx")) <= reach) & (F.abs(F.col("_py") - F.col("_ty")) <= reach)
+    return _within(pairs.where(holds(near)).drop("_tx", "_ty", "_px", "_py"), radius_m)
+
+
+def _within(pairs: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of a framed cell and a point (lon, lat) with their distance, as far as ``radius_m``."""
     lx, ly = geo.local_xy(F.col("lon"), F.col("lat"), F.col("lon0f"), F.col("lat0f"), F.col("mx"))
     feet, distance = _square_distance("_lx", "_ly")
-    out = pairs.where(holds(near)).drop("_tx", "_ty", "_px", "_py").withColumns({"_lx": never_null(lx), "_ly": never_null(ly)})
-    out = out.withColumns(feet)
+    out = pairs.withColumns({"_lx": never_null(lx), "_ly": never_null(ly)}).withColumns(feet)
     kept = [c for c in out.columns if c not in _FRAME and not c.startswith("_")]
     out = out.select(*kept, once(distance).alias("distance_m"))
     return out.where(F.col("distance_m") <= radius_m)
 
 
+# --- cells that many areas share ----------------------------------------------------------------
+# Frames of areas differ in ``mx`` only, by a few parts in a thousand, so the distance in any of them lies between bounds
+# that are found once per cell of the grid. What the bounds settle is not measured again for every area.
+SQUARE = ["res", "col", "row"]
+
+
+def squares(framed: DataFrame) -> DataFrame:
+    """Each cell of the grid once, in the frame with the least ``mx`` of its areas, and how much the largest exceeds it (stretch)."""
+    once_ = framed.groupBy(*SQUARE).agg(F.min("mx").alias("mx"), (F.max("mx") / F.min("mx")).alias("stretch"))
+    boxed = g.with_bbox(g.with_corners(once_))
+    middle = {"lon0f": (F.col("min_lon") + F.col("max_lon")) / 2.0, "lat0f": (F.col("min_lat") + F.col("max_lat")) / 2.0}
+    return materialise(_in_frame(boxed.withColumns(middle).drop("min_lon", "min_lat", "max_lon", "max_lat")), "squares")
+
+
+def bounds(distance: str = "distance_m", stretch: str = "stretch") -> dict[str, Column]:
+    """Least and greatest distance over all frames, with a margin for rounding; 0 is 0 in all of them."""
+    d = F.col(distance)
+    return {"low_m": F.when(d > 0, d * (1 - 1e-9) - 1e-6).otherwise(0.0), "high_m": F.when(d > 0, d * F.col(stretch) * (1 + 1e-9) + 1e-6).otherwise(0.0)}
+
+
+def near_squares(framed: DataFrame, points: DataFrame, radius_m: float, max_res: int) -> DataFrame:
+    """(cell of the grid, point) pairs that may be within ``radius_m`` for some area, with bounds of their distance, stored."""
+    pairs = cells_near_points(squares(framed), points, radius_m, max_res)
+    return materialise(pairs.withColumns(bounds()).drop("distance_m", "stretch"), "near")
+
+
+def measured(framed: DataFrame, pairs: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of cells of the grid for each area that has the cell, with their distance in its frame, as far as ``radius_m``."""
+    return _within(split_join(framed, pairs.drop("low_m", "high_m"), SQUARE), radius_m)
+
+
+def first_near(framed: DataFrame, pairs: DataFrame, radius_m: float, orders: list[tuple[list[Column], int]], tie: str = "site_id") -> DataFrame:
+    """Pairs of areas' cells and points, measured, among them the first of every cell in each of ``orders``.
+
+    An order is its leading columns, which do not depend on the area, and how many are wanted; distance and ``tie`` come
+    last. Left out is what as many others precede in every frame.
+    """
+    kept, wanted = pairs, F.lit(False)
+    sure = pairs.where(F.col("high_m") <= radius_m)
+    for n, (lead, limit) in enumerate(orders):
+        lead = [c.alias(f"l{i}") for i, c in enumerate(lead)]
+        high, low, last = F.col("high_m"), F.col("low_m"), F.col(f"_last{n}")
+        first = best_per_key(sure, SQUARE, [*lead, F.asc("high_m"), F.asc(tie)], limit, "_k")
+        ends = first.groupBy(*SQUARE).agg(F.max(F.struct(*lead, high.alias("m"), F.col(tie).alias("t"))).alias(f"_last{n}"), F.count("*").alias(f"_n{n}"))
+        kept = kept.join(shuffled(ends), SQUARE, "left")
+        before = [last[f"l{i}"].alias(f"l{i}") for i in range(len(lead))]
+        ahead = F.when(high == 0, F.struct(*lead, high.alias("m"), F.col(tie).alias("t")) <= last).otherwise(
+            F.struct(*lead, low.alias("m")) <= F.struct(*before, last["m"].alias("m")))
+        wanted = wanted | F.coalesce(F.col(f"_n{n}") < limit, F.lit(True)) | ahead
+    return measured(framed, kept.where(wanted).select(*pairs.columns), radius_m)
+
+
+def counts_near(framed: DataFrame, keys: list[str], pairs: DataFrame, radius_m: float) -> DataFrame:
+    """Records by distance around every cell: counted per cell of the grid, and per area only at positions that its frame decides on."""
+    low, high = F.col("low_m"), F.col("high_m")
+    steps = {"n_in_cell": 0.0, "n_1km": 1000.0, "n_2km": 2000.0, "n_near": radius_m}
+    flags = {"with_assays": "assays", "with_production": "production"}
+    open_ = F.lit(False)
+    for t in steps.values():
+        open_ = open_ | ((low <= t) & (high > t))
+    sure = pairs.where(~open_).groupBy(*SQUARE).agg(
+        *[F.count_if(high <= t).alias(f"_{n}") for n, t in steps.items()], *[F.count_if((high <= radius_m) & F.col(c)).alias(f"_{n}") for n, c in flags.items()])
+    spots = pairs.where(open_).groupBy(*SQUARE, "lon", "lat").agg(F.count("*").alias("all"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+    d = F.col("distance_m")
+    # Kilometres as everywhere else, so that a limit falls on the same side.
+    near = measured(framed, spots, radius_m).groupBy(*keys).agg(
+        *[F.sum(F.when(d / 1000.0 <= t / 1000.0, F.col("all"))).alias(n) for n, t in steps.items()], *[F.sum(n).alias(n) for n in flags])
+    out = framed.select(*dict.fromkeys([*keys, *SQUARE])).join(shuffled(sure), SQUARE, "left").join(shuffled(near), keys, "left")
+    return out.select(*keys, *[(F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in (*steps, *flags)])
+
+
 # --- occurrence facts ---------------------------------------------------------------------------
 def accuracy_rank(x: Column) -> Column:
     pairs = [F.lit(v) for kv in fixed.ACCURACY_RANK.items() for v in kv]
@@ -138,20 +217,23 @@ def evidence_order() -> list[Column]:
 
 
 def occurrence_facts(cells: DataFrame, near: DataFrame, keys: list[str], any_points: bool | Column = True,
-                     radius_km: float = fixed.SEARCH_RADIUS_KM, top: int = fixed.MAX_RECORDS_PER_CELL) -> DataFrame:
+                     radius_km: float = fixed.SEARCH_RADIUS_KM, top: int = fixed.MAX_RECORDS_PER_CELL, counts: DataFrame | None = None) -> DataFrame:
     """Counts by distance, nearest and best-documented records of every cell.
 
     A layer without any record leaves every fact null (unknown); a populated layer with nothing in reach
-    gives zeros and no nearest record.
+    gives zeros and no nearest record. With ``counts`` (as ``counts_near`` gives them) ``near`` needs no more pairs than
+    the first of each cell.
     """
     near = materialise(near, "near")
     km = F.col("distance_m") / 1000.0
-    counted = near.groupBy(*keys).agg(
-        F.count_if(km <= 0).alias("n_in_cell"), F.count_if(km <= 1).alias("n_1km"),
-        F.count_if(km <= 2).alias("n_2km"), F.count("*").alias("n_near"),
-        F.count_if("assays").alias("with_assays"), F.count_if("production").alias("with_production"),
-        F.min_by(F.struct("site_id", "name", "accuracy_class", "distance_m"), F.struct("distance_m", "site_id")).alias("_near"),
-    )
+    nearest = F.min_by(F.struct("site_id", "name", "accuracy_class", "distance_m"), F.struct("distance_m", "site_id")).alias("_near")
+    if counts is None:
+        counted = near.groupBy(*keys).agg(
+            F.count_if(km <= 0).alias("n_in_cell"), F.count_if(km <= 1).alias("n_1km"),
+            F.count_if(km <= 2).alias("n_2km"), F.count("*").alias("n_near"),
+            F.count_if("assays").alias("with_assays"), F.count_if("production").alias("with_production"), nearest)
+    else:
+        counted = counts.join(shuffled(near.groupBy(*keys).agg(nearest)), keys, "left")
     ranked = best_per_key(near, keys, evidence_order(), top)
     records = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "place", "site_id", "name", "accuracy_class", "assays", "production",
@@ -168,6 +250,11 @@ def occurrence_facts(cells: DataFrame, near: DataFrame, keys: list[str], any_poi
     )
 
 
+def record_orders(top: int = fixed.MAX_RECORDS_PER_CELL, nearest: int = 3) -> list[tuple[list[Column], int]]:
+    """Orders for ``first_near`` from which ``occurrence_facts`` and ``nearest_records`` can be told."""
+    return [(evidence_order()[:3], top), ([], nearest)]
+
+
 def nearest_records(near: DataFrame, keys: list[str], limit: int = 3, tie: str = "site_id") -> DataFrame:
     """The ``limit`` closest records of each cell, ascending."""
     rows = best_per_key(near, keys, [F.asc("distance_m"), F.asc(tie)], limit)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodegrid import fixed
 from lodegrid.functions import grid as g
+from lodegrid.functions.scalars import round_dp
 from lodegrid.operators import fusion, overlay, ranking, spatial, wofe
 from lodegrid.session import materialise, shuffled
 
@@ -38,10 +39,12 @@ def analyse(rings: DataFrame, occurrences: DataFrame, scores: DataFrame, job: An
     fused = fusion.fill_grid(cells, fusion.fuse(last, keys, weights), keys)
 
     framed = spatial.framed_cells(cells, ["aoi_id"])
-    near = spatial.cells_near_points(framed, occurrences, fixed.SEARCH_RADIUS_KM * 1000.0, job.analysis_res)
-    # An empty layer leaves facts unknown; it is not the same as ground without records.
-    facts = spatial.occurrence_facts(cells, near, keys, occurrences.agg(F.count("*") > 0).scalar())
-    novelty = spatial.novelty_facts(facts, keys)
+    reach = fixed.SEARCH_RADIUS_KM * 1000.0
+    # Novelty hangs on the nearest record alone, which an empty layer leaves as unknown as ground without records.
+    near = spatial.first_near(framed, spatial.near_squares(framed, occurrences, reach, job.analysis_res), reach, [([], 1)])
+    nearest = near.groupBy(*keys).agg(F.min_by(F.struct("distance_m", "name"), F.struct("distance_m", "site_id")).alias("_n")).select(
+        *keys, round_dp(F.col("_n.distance_m") / 1000.0, 2).alias("nearest_km"), F.col("_n.name").alias("nearest_name"))
+    novelty = spatial.novelty_facts(cells.select(*keys).join(shuffled(nearest), keys, "left"), keys)
 
     if job.display_res == job.analysis_res:
         shown = fused.withColumns({"parent_col": F.lit(None).cast("int"), "parent_row": F.lit(None).cast("int")})
@@ -59,7 +62,13 @@ def analyse(rings: DataFrame, occurrences: DataFrame, scores: DataFrame, job: An
 def baseline(rings: DataFrame, wofe_cells: DataFrame, res: int = fixed.WOFE_RESOLUTION, mineral: str = "gold",
              trend: DataFrame | None = None) -> DataFrame:
     """Deterministic scores of every area, no scorer rows needed; refused cells carry their reason."""
-    cells = overlay.cover(overlay.ring_edges(overlay.rings_in_range(rings), ["aoi_id"]), ["aoi_id"], res)
+    cells = materialise(overlay.cover(overlay.ring_edges(overlay.rings_in_range(rings), ["aoi_id"]), ["aoi_id"], res), "cells")
     size = wofe_cells.agg(F.count("*")).scalar()
+    terms, prior, square = wofe.native_terms(wofe_cells), wofe.prior_logit(size), spatial.SQUARE
+    if trend is None:
+        # Nothing but the cell of the grid decides, so each is scored once for all areas that have it.
+        request = cells.select(*square).distinct().withColumns({"_z": F.col("res"), "_c": F.col("col"), "_r": F.col("row")})
+        scored = wofe.roll_up(request, terms, ["_z", "_c", "_r"], prior, None, mineral).drop("_z", "_c", "_r")
+        return cells.join(shuffled(scored), square)
     request = cells.withColumns({"_c": F.col("col"), "_r": F.col("row")})
-    return wofe.roll_up(request, wofe.native_terms(wofe_cells), ["aoi_id", "_c", "_r"], wofe.prior_logit(size), trend, mineral).drop("_c", "_r")
+    return wofe.roll_up(request, terms, ["aoi_id", "_c", "_r"], prior, trend, mineral).drop("_c", "_r")
