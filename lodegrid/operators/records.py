@@ -145,12 +145,16 @@ def capped(rows: DataFrame, order: list, cap: int) -> DataFrame:
     return rows.orderBy(*order).limit(cap).withColumn("truncated", total > cap)
 
 
-def best_occurrences(occ: DataFrame, keys: list[str], limit: int = 40) -> DataFrame:
-    """Records that survive truncation: production, assays, trust in position, name."""
+def truncation_order() -> list[Column]:
     from lodegrid.operators.spatial import accuracy_rank
 
-    order = [F.when(F.col("production"), 0).otherwise(1), F.when(F.col("assays"), 0).otherwise(1),
-             accuracy_rank(F.col("accuracy_class")), F.coalesce("name", F.lit("")), F.col("site_id")]
+    return [F.when(F.col("production"), 0).otherwise(1), F.when(F.col("assays"), 0).otherwise(1),
+            accuracy_rank(F.col("accuracy_class")), F.coalesce("name", F.lit("")), F.col("site_id")]
+
+
+def best_occurrences(occ: DataFrame, keys: list[str], limit: int = 40) -> DataFrame:
+    """Records that survive truncation: production, assays, trust in position, name."""
+    order = truncation_order()
     if keys:
         return best_per_key(occ, keys, order, limit)
     return occ.orderBy(*order).limit(limit)
