@@ -4,14 +4,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodegrid.catalog import sqlmath as q
-from lodegrid.catalog.geometry import POLY_SIZE, aoi_edges, drawn_polygons, multi_sql, overlay_sql, polygons
+from lodegrid.catalog.geometry import POLY_SIZE, aoi_edges, drawn_once, drawn_polygons, multi_sql, overlay_sql, polygons
 from lodegrid.catalog.names import _NL, _SEG, _TRD, _cross, _touch, faults_in_squares, lines, of_all_cells, segments
 from lodegrid.catalog.registry import register
 from lodegrid.catalog.views import view, with_views
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import round_dp
 from lodegrid.operators import clip, lines as ln, overlay, spatial
-from lodegrid.session import scratch_path
+from lodegrid.session import scratch_path, shuffled
 from lodegrid.sinks import store
 from lodegrid.sinks.tables import polygon_feature
 
@@ -48,10 +48,12 @@ _RES = 1000
   SELECT feature_id, col, row, CAST(n AS BIGINT) AS vertices, {q.rd(f'f * {_RES * _RES} / 1e6', 3)} AS area_km2 FROM v""")
 def clipped_cells(spark, d):
     """Polygons of two parts with holes: corners and area of each cell's share."""
-    edges = overlay.ring_edges(drawn_polygons(spark, d), ["feature_id"], "parts")
+    drawn, members = drawn_once(spark, d)
+    edges = overlay.ring_edges(drawn, ["feature_id"], "parts")
     cells = clip.clipped_cells(edges, ["feature_id"], _RES).where("fraction > 1e-6")
     vertices = F.aggregate(F.flatten("shape"), F.lit(0).cast("bigint"), lambda n, ring: n + F.size(ring))
-    return cells.select("feature_id", "col", "row", vertices.alias("vertices"), round_dp(clip.shape_area(F.col("shape")) / 1e6, 3).alias("area_km2"))
+    told = cells.select("feature_id", "col", "row", vertices.alias("vertices"), round_dp(clip.shape_area(F.col("shape")) / 1e6, 3).alias("area_km2"))
+    return told.join(shuffled(members), "feature_id").select(F.col("_id").alias("feature_id"), "col", "row", "vertices", "area_km2")
 
 
 def _convex_sql(res: int) -> str:
