@@ -296,7 +296,8 @@ def fault_crossings(near: DataFrame, segments: DataFrame, keys: list[str]) -> Da
 
 # --- crossings of all faults --------------------------------------------------------------------
 #: Side of a square in degrees; a square with more than MOST segments is quartered both ways, DEEPEST times at most.
-CROSSING_SQUARE, MOST, DEEPEST = 0.02, 64, 4
+#: Comparing bounds is far cheaper than listing a segment in the squares of a finer level, so only squares that are crowded beyond that are cut.
+CROSSING_SQUARE, MOST, DEEPEST = 0.02, 1024, 4
 _EDGE = 1e-7
 
 
