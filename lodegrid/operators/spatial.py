@@ -13,7 +13,7 @@ from lodegrid.functions import geo
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import exact_sum, holds, never_null, novelty, once, round_dp
 from lodegrid.operators.ranking import best_per_key
-from lodegrid.session import materialise, shuffled, spread_join
+from lodegrid.session import dealt, materialise, shuffled, spread_join
 
 #: Local frames and the equal-area plane differ by under five percent inside the envelope.
 SLACK = 1.05
@@ -140,7 +140,7 @@ SQUARE = ["res", "col", "row"]
 def squares(framed: DataFrame) -> DataFrame:
     """Each cell of the grid once, in the frame with the least ``mx`` of its areas, and how much the largest exceeds it (stretch)."""
     once_ = framed.groupBy(*SQUARE).agg(F.min("mx").alias("mx"), (F.max("mx") / F.min("mx")).alias("stretch"))
-    boxed = g.with_bbox(g.with_corners(once_))
+    boxed = g.with_bbox(g.with_corners(dealt(once_, SQUARE)))
     middle = {"lon0f": (F.col("min_lon") + F.col("max_lon")) / 2.0, "lat0f": (F.col("min_lat") + F.col("max_lat")) / 2.0}
     return materialise(_in_frame(boxed.withColumns(middle).drop("min_lon", "min_lat", "max_lon", "max_lat")), "squares")
 
