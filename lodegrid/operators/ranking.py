@@ -14,6 +14,9 @@ from lodegrid import fixed
 from lodegrid.functions.scalars import round_dp, tier
 from lodegrid.session import materialise
 
+#: Rows of a group that are sorted in one task; what is larger is dealt out by range.
+WHOLE = 1_000_000
+
 
 def dealt_by_range(rows: DataFrame, order: list[Column | str]) -> DataFrame:
     """Rows stored in ranges of ``order``, with the number of the range (_part), which grows with the order."""
@@ -64,6 +67,31 @@ def with_positions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return placed.select(*columns, *[F.when(F.col("_known"), c).alias(k) for k, c in found.items()])
 
 
+def placed(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows with <value>_below, <value>_tied and <value>_n for each of ``values``, as ``with_positions`` finds them.
+
+    Groups of up to ``WHOLE`` rows are sorted where they lie, by each value in turn, after one shuffle for all of them; only what is
+    larger is dealt out by range. Rows of a null group are left out.
+    """
+    names = {v: {"below": f"{v}_below", "tied": f"{v}_tied", "n": f"{v}_n"} for v in values}
+    rows = materialise(rows.dropna(subset=keys), "groups")
+    crowded = materialise(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE).select(*keys), "crowded")
+    none, group, whole = crowded.isEmpty(), Window.partitionBy(*keys), rows
+    if not none:  # at most one row for every WHOLE rows
+        whole = rows.join(F.broadcast(crowded), keys, "left_anti")
+    for v, out in names.items():
+        order, known = group.orderBy(F.asc_nulls_last(v)), F.col(v).isNotNull()
+        whole = whole.withColumns({
+            out["below"]: F.when(known, F.rank().over(order) - 1), out["tied"]: F.when(known, F.count(v).over(order.rangeBetween(0, 0))),
+            out["n"]: F.when(known, F.count(v).over(group))})
+    if none:
+        return whole
+    large = rows.join(F.broadcast(crowded), keys, "left_semi")
+    for v, out in names.items():
+        large = with_positions(large, keys, v).withColumnsRenamed(out).drop("lowest", "highest")
+    return whole.unionByName(large)
+
+
 def rank_relative(cells: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Min-max stretch, midpoint percentile and tier of every cell within its area."""
     ranked = with_positions(cells, keys, score)
@@ -92,16 +120,22 @@ def spearman(pairs: DataFrame, keys: list[str], x: str, y: str, places: int = 4)
     Ranks are multiples of a half, so doubled ranks and their products are summed as exact integers.
     """
     ranked = mid_rank(mid_rank(pairs, keys, x, "_rx"), keys, y, "_ry")
-    a, b = (F.floor(F.col(c) * 2 + 0.5).cast("decimal(20,0)") for c in ("_rx", "_ry"))
-    sums = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"),
-        F.sum((a * b).cast("decimal(38,0)")).alias("sab"), F.sum((a * a).cast("decimal(38,0)")).alias("saa"),
-        F.sum((b * b).cast("decimal(38,0)")).alias("sbb"),
-    )
-    n, sa, sb, sab, saa, sbb = (F.col(c).cast("double") for c in ("n", "sa", "sb", "sab", "saa", "sbb"))
+    a, b = (F.floor(F.col(c) * 2 + 0.5) for c in ("_rx", "_ry"))
+    sums = ranked.groupBy(*keys).agg(F.count("*").alias("pairs"), *rank_sums(a, b))
+    return sums.select(*keys, "pairs", rank_correlation(F.col("pairs"), places).alias("rho"))
+
+
+def rank_sums(a: Column, b: Column) -> list[Column]:
+    """Aggregates of doubled ranks that ``rank_correlation`` reads."""
+    a, b = a.cast("decimal(20,0)"), b.cast("decimal(20,0)")
+    product = lambda x, y: F.sum((x * y).cast("decimal(38,0)"))
+    return [F.sum(a).alias("_sa"), F.sum(b).alias("_sb"), product(a, b).alias("_sab"), product(a, a).alias("_saa"), product(b, b).alias("_sbb")]
+
+
+def rank_correlation(pairs: Column, places: int = 4) -> Column:
+    n, sa, sb, sab, saa, sbb = (c.cast("double") for c in (pairs, *(F.col(k) for k in ("_sa", "_sb", "_sab", "_saa", "_sbb"))))
     cov, vx, vy = n * sab - sa * sb, n * saa - sa * sa, n * sbb - sb * sb
-    rho = F.when((n >= 3) & (vx > 0) & (vy > 0), round_dp(cov / (F.sqrt(vx) * F.sqrt(vy)), places))
-    return sums.select(*keys, F.col("n").alias("pairs"), rho.alias("rho"))
+    return F.when((n >= 3) & (vx > 0) & (vy > 0), round_dp(cov / (F.sqrt(vx) * F.sqrt(vy)), places))
 
 
 def best_per_key(rows: DataFrame, keys: list[str], order: list, limit: int, out: str = "place") -> DataFrame:
