@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodegrid.catalog import load_all
+from lodegrid.catalog.registry import QUERIES
 from lodegrid.operators import evaluation as ev
 from lodegrid.operators import ranking
 from lodegrid.plans import benchmark
@@ -49,3 +51,24 @@ def test_small_maps_are_not_dealt_by_range(spark, monkeypatch):
     tables = inputs(spark)
     monkeypatch.setattr(ranking, "dealt_by_range", dealt)
     assert benchmark.run_report(*tables).count() == 6
+
+
+def test_baseline_reads_the_report_once(spark, sf, monkeypatch):
+    load_all()
+    from lodegrid.catalog import reports
+
+    rows, report = spark.sparkContext.accumulator(0), reports.run_report
+
+    def counted(spark, d):
+        made = report(spark, d)
+
+        def count(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return made.mapInArrow(count, made.schema)
+
+    monkeypatch.setattr(reports, "run_report", counted)
+    assert QUERIES["against_frozen_baseline"](spark, sf).count() > 0
+    assert rows.value == spark.read.parquet(f"{sf}/orders.parquet").count()
