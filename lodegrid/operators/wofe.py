@@ -2,7 +2,7 @@
 
 Everything is keyed by integer cell indices. Neighbourhood and distance terms are written as short
 exploded offsets that are min/max-combined before each shuffle, so cost is linear in the cells and no
-group is ever collected.
+group is ever collected. Offsets along a row are combined where the row lies, without a shuffle.
 """
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from lodegrid import fixed
 from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import exact_sum, lookup, round_dp, sentence
 from lodegrid.operators.ranking import best_per_key
-from lodegrid.session import shuffled
+from lodegrid.session import materialise, shuffled
 
 MAX_CONTRAST = max(v[0] for v in fixed.CONTRASTS.values())
 LOGIT_SPAN = MAX_CONTRAST + fixed.FAULT_CONTRAST
@@ -50,12 +50,13 @@ def fault_distance(cells: DataFrame, codes: tuple[int, ...] | None = None, reach
     """Exact distance to the nearest fault cell within ``reach`` cells, for every position in reach.
 
     The squared distance separates by axis: one minimum along columns, one along rows. That is
-    2 * (2 * reach + 1) offsets per cell instead of all cells of the disc.
+    2 * (2 * reach + 1) offsets per cell instead of all cells of the disc. Cells of one row are kept
+    together for both, so only the offsets of fault cells are shuffled.
     """
     fault = F.col("fault_code").isNotNull() if codes is None else F.col("fault_code").isin(*codes)
     steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_s")
     vertical = cells.where(fault).select("col", "row", steps).select(
-        "col", (F.col("row") + F.col("_s")).alias("row"), (F.col("_s") * F.col("_s")).alias("_v"))
+        "col", (F.col("row") + F.col("_s")).alias("row"), (F.col("_s") * F.col("_s")).alias("_v")).repartition("row")
     vertical = vertical.groupBy("col", "row").agg(F.min("_v").alias("_v"))
     both = vertical.select("col", "row", "_v", steps).select(
         (F.col("col") + F.col("_s")).alias("col"), "row", (F.col("_v") + F.col("_s") * F.col("_s")).alias("_d2"))
@@ -174,7 +175,7 @@ def roll_up(requested: DataFrame, terms: DataFrame, keys: list[str], prior: Colu
         kids = kids.join(shuffled(trend.select(*keys, F.col("favourable_trend").alias("_trend"))), keys, "left")
         scored = score_terms(kids.join(shuffled(terms), ["col", "row"]), prior, F.col("_trend"))
     else:
-        scored = score_terms(kids.join(shuffled(terms), ["col", "row"]), prior)
+        scored = kids.join(shuffled(score_terms(terms, prior)), ["col", "row"])
     spot = F.struct(-F.col("col"), -F.col("row"))
     has_unit = F.col("wofe_unit").isNotNull()
     best_order = F.struct(
@@ -194,9 +195,11 @@ def roll_up(requested: DataFrame, terms: DataFrame, keys: list[str], prior: Colu
         F.bool_or("favourable_trend").alias("favourable_trend"),
     )
     share = F.coalesce(F.nullif(F.col("geol_unit_frac"), F.lit(0.0)), F.lit(1.0))
-    units = scored.where("geol_unit is not null").groupBy(*keys, "geol_unit").agg(
-        exact_sum(share).alias("_a"), F.max(spot).alias("_first"))
-    modal = units.groupBy(*keys).agg(F.max_by(F.struct("geol_unit", "_a"), F.struct("_a", "_first")).alias("_m"))
+    by_unit = kids.join(shuffled(terms.where("geol_unit is not null").select("col", "row", "geol_unit", "geol_unit_frac")), ["col", "row"])
+    # One shuffle by request serves both steps; the first child is the least of numbers that grow with col and row.
+    place = F.shiftleft(F.col("col").cast("bigint"), 32) + F.col("row") + 2**31
+    units = by_unit.repartition(*keys).groupBy(*keys, "geol_unit").agg(exact_sum(share).alias("_a"), F.min(place).alias("_first"))
+    modal = units.groupBy(*keys).agg(F.max_by(F.struct("geol_unit", "_a"), F.struct("_a", -F.col("_first"))).alias("_m"))
     res = F.col("res")
     expected = F.when(res > fixed.WOFE_RESOLUTION, (res / fixed.WOFE_RESOLUTION) * (res / fixed.WOFE_RESOLUTION)).otherwise(1.0)
     out = requested.join(shuffled(agg), keys, "left").join(shuffled(modal), keys, "left")
@@ -275,10 +278,16 @@ def score_requests(ids: DataFrame, cells: DataFrame, mineral: str = fixed.MODEL_
                    trend: DataFrame | None = None) -> DataFrame:
     """Scores for bare cell ids, malformed ids refused rather than dropped."""
     unique = ids.select("cell_id").where("cell_id is not null").distinct()
-    parsed = unique.withColumn("_p", g.parse_cell_id(F.col("cell_id")))
-    good = parsed.where("_p is not null").select("cell_id", "_p.res", "_p.col", "_p.row")
+    parsed = materialise(unique.withColumn("_p", g.parse_cell_id(F.col("cell_id"))), "requests")
+    # The numbers in an id and its length tell it from all others, and are joined and sorted sooner than its text.
+    keys = ["_r", "_c", "_z", "_length"]
+    good = parsed.where("_p is not null").select(
+        "cell_id", "_p.res", "_p.col", "_p.row", F.col("_p.row").alias("_r"), F.col("_p.col").alias("_c"), F.col("_p.res").alias("_z"),
+        F.length("cell_id").alias("_length"))
+    if trend is not None:
+        trend = trend.join(shuffled(good.select("cell_id", *keys)), "cell_id")
     size = cells.agg(F.count("*")).scalar()
-    scored = roll_up(good, native_terms(cells), ["cell_id"], prior_logit(size), trend, mineral).drop("res", "col", "row")
+    scored = roll_up(good, materialise(native_terms(cells), "terms"), keys, prior_logit(size), trend, mineral).drop("res", "col", "row", *keys)
     reason = F.lit(fixed.REFUSED_BAD_ID if mineral.strip().lower() == fixed.MODEL_MINERAL
                    else fixed.REFUSED_MINERAL % mineral.strip().lower())
     bad = parsed.where("_p is null").select("cell_id", reason.alias("refused")).withColumn(
