@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodegrid import fixed
 from lodegrid.operators.lines import line_segments, trend_and_length
 from lodegrid.operators.records import longest_description
+from lodegrid.session import shuffled
 
 LEVELS = 12
 #: Leading bits of the key by which a level is parted.
@@ -91,6 +92,18 @@ def _bounds(segments: DataFrame, key: str) -> DataFrame:
         F.max(F.greatest("ax", "bx")).alias("max_lon"), F.max(F.greatest("ay", "by")).alias("max_lat"))
 
 
+def bounded_polygons(polygons: DataFrame) -> DataFrame:
+    """Polygons with the bounds of their outer ring; those without a vertex are left out."""
+    outer = polygons.select("poly_id", F.array(F.col("rings")[0]).alias("_outer"))
+    return polygons.join(shuffled(_bounds(line_segments(outer, ["poly_id"], "_outer"), "poly_id")), "poly_id")
+
+
+def measured_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their bounds, trend and length; those without a vertex are left out."""
+    segments = line_segments(lines, ["line_id"])
+    return lines.join(shuffled(_bounds(segments, "line_id")), "line_id").join(shuffled(trend_and_length(segments, ["line_id"])), "line_id")
+
+
 def write_store(path: str, units: DataFrame, polygons: DataFrame, lines: DataFrame) -> None:
     """Three tables below ``path``.
 
@@ -99,12 +112,8 @@ def write_store(path: str, units: DataFrame, polygons: DataFrame, lines: DataFra
     vertex have no bounds and are left out.
     """
     longest_description(units, "unit", "description", "ord").write.mode("overwrite").parquet(f"{path}/unit")
-    outer = polygons.select("poly_id", F.array(F.col("rings")[0]).alias("_outer"))
-    edges = _bounds(line_segments(outer, ["poly_id"], "_outer"), "poly_id")
-    _write(polygons.join(edges, "poly_id"), f"{path}/poly", "poly_id")
-    segments = line_segments(lines, ["line_id"])
-    measured = lines.join(_bounds(segments, "line_id"), "line_id").join(trend_and_length(segments, ["line_id"]), "line_id")
-    _write(measured, f"{path}/line", "line_id")
+    _write(bounded_polygons(polygons), f"{path}/poly", "poly_id")
+    _write(measured_lines(lines), f"{path}/line", "line_id")
 
 
 def read_window(spark: SparkSession, path: str, table: str, w: float, s: float, e: float, n: float) -> DataFrame:

@@ -62,3 +62,12 @@ def test_ranges_are_few_cover_the_window_and_hold_little_else():
         assert all(any(a <= c and d <= b for a, b in ranges) for c, d in exact)
     wide = sum(b - a + 1 for a, b in store.key_ranges(9, -121.0, 46.5, -119.0, 48.0))
     assert wide < 4 ** 9 / 8
+
+
+def test_bounds_and_lengths_reach_their_features_without_the_driver(spark):
+    point = "struct(CAST(id AS DOUBLE) AS x, 47D AS y)"
+    polygons = spark.range(9).selectExpr("id AS poly_id", f"array(array({point}, struct(id + 1D AS x, 48D AS y), {point})) AS rings")
+    lines = spark.range(9).selectExpr("id AS line_id", f"array(array({point}, struct(id + 1D AS x, 48D AS y))) AS parts")
+    for df in (store.bounded_polygons(polygons), store.measured_lines(lines)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.min_lon, r.max_lat) for r in df.collect()) == [(float(i), 48.0) for i in range(9)]
