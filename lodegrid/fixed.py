@@ -152,7 +152,6 @@ RUN_MATCH_DEGREES = 0.15
 # --- fixed values: structure lines --------------------------------------------------------------
 STRUCTURE_BUFFER_M = 1700.0
 STRUCTURE_KINDS = ("fault", "fold", "dike", "vent")
-MAX_CROSSING_FAULTS = 12
 
 # --- fixed values: field pins -------------------------------------------------------------------
 ROLES = ("display", "truth", "evidence")

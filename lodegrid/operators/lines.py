@@ -275,25 +275,6 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
         *(["fault_intersections_in_cell"] if crossings is not None else []))
 
 
-def fault_crossings(near: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of faults inside a cell that cross or touch; only cells with 2 to 12 faults are looked at."""
-    inside = near.where((F.col("kind") == "fault") & (F.col("distance_m") == 0)).select(*keys, "line_id").distinct()
-    inside = materialise(inside, "faults")
-    counts = inside.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, fixed.MAX_CROSSING_FAULTS))
-    inside = inside.join(shuffled(counts.select(*keys)), keys, "left_semi")
-    other = inside.withColumnRenamed("line_id", "other_id")
-    pairs = inside.join(shuffled(other), keys).where(F.col("line_id") < F.col("other_id"))
-    ends = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("ax", "ay", "bx", "by")]
-    seg = segments.select("line_id", *ends("p"))
-    seg2 = segments.select(F.col("line_id").alias("other_id"), *ends("q"))
-    unique = pairs.select("line_id", "other_id").distinct().join(shuffled(seg), "line_id").join(shuffled(seg2), "other_id")
-    c = F.col
-    touch = geo.segments_touch((c("p_ax"), c("p_ay")), (c("p_bx"), c("p_by")), (c("q_ax"), c("q_ay")), (c("q_bx"), c("q_by")))
-    crossing = unique.where(touch).select("line_id", "other_id").distinct()
-    return pairs.join(shuffled(crossing), ["line_id", "other_id"]).groupBy(*keys).agg(
-        F.count("*").alias("fault_intersections_in_cell"))
-
-
 # --- crossings of all faults --------------------------------------------------------------------
 #: Side of a square in degrees; a square with more than MOST segments is quartered both ways, DEEPEST times at most.
 #: Comparing bounds is far cheaper than listing a segment in the squares of a finer level, so only squares that are crowded beyond that are cut.
