@@ -1,8 +1,12 @@
 """Structure lines and polygon borders near cells: distances, trends, crossings, districts."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodegrid import fixed
 from lodegrid.functions import geo
@@ -10,7 +14,7 @@ from lodegrid.functions import grid as g
 from lodegrid.functions.scalars import favourable_trend, holds, never_null, round_dp, to_fixed
 from lodegrid.operators import spatial
 from lodegrid.operators.ranking import best_per_key
-from lodegrid.session import materialise, shuffled
+from lodegrid.session import dealt, materialise, shuffled
 
 
 def line_segments(lines: DataFrame, keys: list[str], parts: str = "parts") -> DataFrame:
@@ -338,23 +342,110 @@ def crossing_points(segments: DataFrame, side: float = CROSSING_SQUARE, most: in
         side /= 4
 
 
-def fault_crossings_all(near: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+#: Segments of a cell that are held at once; rows and columns of the pairs of segments that are tested at once.
+HELD, TILE = 4096, (128, 512)
+
+
+def _touching(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which segments of ``p`` (ax, ay, bx, by; rows) share a point with which of ``s`` (columns), as ``geo.segments_touch`` tells."""
+    u, v, w = np.empty((3, p.shape[1], s.shape[1]))
+
+    def turn(q, x, y, out):
+        np.multiply(np.subtract(y, q[1], out=out), q[2] - q[0], out=out)
+        np.multiply(np.subtract(x, q[0], out=w), q[3] - q[1], out=w)
+        return np.subtract(out, w, out=out)
+
+    rows, cols = p[:, :, None], s[:, None, :]
+    left = np.multiply(turn(rows, *cols[:2], u), turn(rows, *cols[2:], v), out=u)
+    met, open_ = left < 0, left == 0
+    right = np.multiply(turn(cols, *rows[:2], u), turn(cols, *rows[2:], v), out=u)
+    met &= right < 0
+    open_ |= right == 0
+    if open_.any():
+        i, j = np.nonzero(open_)
+        met[i, j] = _touching_ends(p[:, i], s[:, j])
+    return met
+
+
+def _touching_ends(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The same for pairs in line with an end of one another, one by one."""
+    turn = lambda q, x, y: (q[2] - q[0]) * (y - q[1]) - (q[3] - q[1]) * (x - q[0])
+    on = lambda q, x, y: (x >= np.minimum(q[0], q[2])) & (x <= np.maximum(q[0], q[2])) & (y >= np.minimum(q[1], q[3])) & (y <= np.maximum(q[1], q[3]))
+    ends = [(p, s[:2]), (p, s[2:]), (s, p[:2]), (s, p[2:])]
+    turns = [turn(q, *e) for q, e in ends]
+    sign = [np.sign(t) for t in turns]
+    met = (sign[0] * sign[1] < 0) & (sign[2] * sign[3] < 0)
+    for t, (q, e) in zip(turns, ends, strict=True):
+        met |= (t == 0) & on(q, *e)
+    return met
+
+
+def _count_touching(lines: np.ndarray, ends: np.ndarray, second: np.ndarray | None = None) -> int:
+    """Pairs of lines that share a point; with ``second`` (true for segments of the other block) pairs of one line of either block.
+
+    Segments are tested in tiles of bounded size; what is kept is one bit per pair of lines.
+    """
+    order = np.argsort(lines, kind="stable")
+    sides = [order] * 2 if second is None else [order[~second[order]], order[second[order]]]
+    if not all(map(len, sides)):
+        return 0
+    codes = [np.unique(lines[o], return_inverse=True)[1] for o in sides]
+    (p, s), (left, right) = [ends[:, o] for o in sides], codes
+    met = np.zeros((left[-1] + 1, right[-1] + 1), bool)
+    high, wide = TILE
+    for r in range(0, len(left), high):
+        rows = left[r:r + high]
+        # A pair of one block has its later line to the right, so columns before the row are left out.
+        for c in range(0 if second is not None else r, len(right), wide):
+            cols = right[c:c + wide]
+            i, j = np.divmod(np.flatnonzero(_touching(p[:, r:r + high], s[:, c:c + wide])), len(cols))
+            met[rows[i], cols[j]] = True
+    return int(np.count_nonzero(met if second is not None else np.triu(met, 1)))
+
+
+def fault_crossings_all(near: DataFrame, segments: DataFrame, keys: list[str], held: int = HELD) -> DataFrame:
     """Pairs of faults that both meet a cell and cross or touch each other, for any number of faults in the cell.
 
-    Faults of a cell meet inside the cell, and a pair is counted where it is met: none is written or shuffled.
+    Faults of a cell meet inside the cell, and a pair is counted where it is met: none is written or shuffled. A cell of more
+    than ``held`` segments is dealt out in blocks of its faults, and every two blocks meet on their own.
     """
+    ends = ["ax", "ay", "bx", "by"]
     inside = near.where((F.col("kind") == "fault") & (F.col("distance_m") == 0)).select(*keys, "line_id").distinct()
-    ends = ("ax", "ay", "bx", "by")
-    box = [F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")]
-    drawn = segments.groupBy("line_id").agg(F.collect_list(F.struct(*ends)).alias("s"), *box)
-    inside = materialise(inside.join(shuffled(drawn), "line_id"), "faults")
-    other = inside.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("line_id", "s", "x0", "x1", "y0", "y1")])
-    c = F.col
-    apart = (c("x0") > c("o_x1")) | (c("o_x0") > c("x1")) | (c("y0") > c("o_y1")) | (c("o_y0") > c("y1"))
-    ends_of = lambda s: ((s["ax"], s["ay"]), (s["bx"], s["by"]))
-    touch = F.exists("s", lambda p: F.exists("o_s", lambda q: geo.segments_touch(*ends_of(p), *ends_of(q))))
-    met = spatial.split_join(inside, other, keys).where((c("line_id") < c("o_line_id")) & ~apart).where(touch)
-    return met.groupBy(*keys).agg(F.count("*").alias("fault_intersections_in_cell"))
+    drawn = materialise(inside.join(shuffled(segments.select("line_id", *ends)), "line_id"), "faults")
+    crowded = drawn.groupBy(*keys).agg(F.ceil(F.count("*") / held).cast("int").alias("_of"))
+    block = F.pmod(F.xxhash64("line_id"), F.col("_of")).cast("int")
+    rows = drawn.join(shuffled(crowded), keys).withColumn("_own", block).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    rows = rows.select(*keys, F.least("_own", "_with").alias("_i"), F.greatest("_own", "_with").alias("_j"), "_own", F.xxhash64("line_id").alias("_line"), *ends)
+    groups = [*keys, "_i", "_j"]
+
+    schema = T.StructType([*[near.schema[k] for k in keys], T.StructField("n", T.LongType())])
+
+    def told(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        i, j, own, line = (rows.column(c).to_numpy() for c in ("_i", "_j", "_own", "_line"))
+        drawn = np.array([rows.column(c).to_numpy() for c in ends], float)
+        n = [_count_touching(line[a:b], drawn[:, a:b], None if i[a] == j[a] else own[a:b] == j[a]) for a, b in zip(starts, starts[1:])]
+        known = rows.select(keys).take(starts[:-1]).combine_chunks()
+        return pa.RecordBatch.from_arrays([*[known.column(k).chunk(0) for k in keys], pa.array(n, pa.int64())], names=schema.names)
+
+    def count(batches):
+        """Groups follow one another in sorted rows; the last one of a batch is held until the next."""
+        held_rows = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if held_rows is None else pa.concat_tables([held_rows, rows])).combine_chunks()
+            new = np.zeros(len(rows), bool)
+            for k in groups:
+                c = rows.column(k).chunk(0)
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(new).tolist()]
+            if len(starts) > 1:
+                yield told(rows, starts)
+            held_rows = rows.slice(starts[-1])
+        if held_rows is not None:
+            yield told(held_rows, [0, len(held_rows)])
+
+    counted = dealt(rows, groups).sortWithinPartitions(*groups).mapInArrow(count, schema)
+    return counted.groupBy(*keys).agg(F.sum("n").alias("fault_intersections_in_cell")).where("fault_intersections_in_cell > 0")
 
 
 def trend_by_cell(mapped: DataFrame, structures: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Crossings of lines against comparing every pair of segments."""
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,28 @@ def test_cells_with_more_than_twelve_faults_are_not_left_out(spark, tmp_path):
     found = {name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("cell_fault_crossings", "fault_crossings_all")}
     assert max(n for *_, n in found["cell_fault_crossings"]) == 190
     assert found["cell_fault_crossings"] == found["fault_crossings_all"]
+
+
+@pytest.mark.parametrize("held", [4096, 10, 1])
+def test_pairs_of_faults_are_counted_in_blocks_of_bounded_size(spark, held):
+    """However a cell is dealt out, each pair that touches counts once; parallel, shared and empty segments included."""
+    rows = crowd(5, 40)
+    cells = {"a": set(range(46)), "b": set(range(0, 46, 3)), "c": {1}, "d": {40, 42, 43, 44, 45}}
+    near = spark.createDataFrame([(c, i, "fault", 0.0) for c, ids in cells.items() for i in ids], "cell string, line_id bigint, kind string, distance_m double")
+    got = ln.fault_crossings_all(near, spark.createDataFrame(rows, SCHEMA), ["cell"], held).collect()
+    pairs = brute(rows)
+    want = {c: sum(1 for a, b in pairs if a in ids and b in ids) for c, ids in cells.items()}
+    assert {r.cell: r.fault_intersections_in_cell for r in got} == {c: n for c, n in want.items() if n}
+
+
+def test_tiles_give_the_pairs_of_all_segments():
+    rng = np.random.default_rng(7)
+    lines = rng.permutation(np.repeat(np.arange(300), 4))
+    ends = rng.integers(0, 60, (4, 1200)).astype(float)
+    ends[2:] = ends[:2] + rng.integers(-4, 5, (2, 1200))
+    met = np.zeros((300, 300), bool)
+    for i in range(1200):
+        met[lines[i], lines[ln._touching_ends(np.repeat(ends[:, i:i + 1], 1200, 1), ends)]] = True
+    assert ln._count_touching(lines, ends) == np.count_nonzero(np.triu(met, 1))
+    second = lines % 3 == 0
+    assert ln._count_touching(lines, ends, second) == np.count_nonzero(met[np.arange(300) % 3 != 0][:, np.arange(300) % 3 == 0])
