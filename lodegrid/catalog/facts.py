@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from functools import cache, partial
+from functools import cached_property, partial
 
 from pyspark.sql import functions as F
 
@@ -10,9 +10,9 @@ from lodegrid import fixed
 from lodegrid.catalog import sqlmath as q
 from lodegrid.catalog.evidence import _AREQ, _NATIVE
 from lodegrid.catalog import clipped, names  # noqa: F401
-from lodegrid.catalog.geometry import aoi_cells, of_all_areas, outline_cells, overlay_sql, polygon_edges
+from lodegrid.catalog.geometry import aoi_cells, of_all_areas, overlay_sql, polygon_edges
 from lodegrid.catalog.names import _REACH
-from lodegrid.catalog.nearby import KEYS, _CELLS, _FACTS, _PAIRS, Near
+from lodegrid.catalog.nearby import KEYS, _CELLS, _FACTS, _PAIRS, Near, framed
 from lodegrid.catalog.registry import ORACLES, QUERIES, register
 from lodegrid.catalog.scoring import WEIGHTS, _FUSED
 from lodegrid.catalog.views import table, view, with_views
@@ -64,10 +64,10 @@ _DISTRICT = f"""dis AS (SELECT aoi_id, col, row, feature_id, km, inside, CASE WH
 _DIST_TEXT = "CASE WHEN inside THEN 'in district ' || feature_id ELSE 'district ' || feature_id || ' at ' || km || ' km' END"
 
 
-def districts(spark, d):
+def districts(spark, d, cells=None):
     """The nearest district of each cell with its history; cells without one are not listed."""
     k = F.col("feature_id")
-    return names.district_rows(spark, d).where("feature_id IS NOT NULL").select(
+    return names.district_rows(spark, d, cells).where("feature_id IS NOT NULL").select(
         *KEYS, k.alias("name"), "inside", "km", F.when(k % 4 > 0, F.concat((k % 90).cast("string"), F.lit(" t of ore"))).alias("production"),
         (1880 + k % 40).alias("first_year"), (1880 + k % 40 + k % 3 * 10).alias("last_year"))
 
@@ -151,29 +151,47 @@ def _(spark, d):
 
 # --- the nine fact tables -----------------------------------------------------------------------
 # Each table is told for the cells of outlines; what does not depend on the area is found once per cell of the grid.
-def _told(spark, d, rows):
-    """Facts of cells of the grid for every outline that has the cell."""
-    return outline_cells(spark, d).join(shuffled(rows), spatial.SQUARE).drop("res")
+class Known:
+    """Steps that several fact tables read, each taken once: cells of outlines in their frames, records near them and the first of these."""
 
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
 
-def _grid_cells(spark, d):
-    return outline_cells(spark, d).select(*spatial.SQUARE).distinct()
+    @cached_property
+    def cells(self):
+        return framed(self.spark, self.d)
 
+    @cached_property
+    def grid_cells(self):
+        return materialise(self.cells.select(*spatial.SQUARE).distinct(), "grid-cells")
 
-def _geology(spark, d, pairs):
-    parts = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id", "unit"], 4000)
-    shares = overlay.unit_shares(_grid_cells(spark, d), parts, spatial.SQUARE, "unit")
-    return _told(spark, d, shares.groupBy(*spatial.SQUARE).agg(F.array_sort(F.collect_list(F.struct("place", "unit", "frac"))).alias("units")))
+    @cached_property
+    def pairs(self):
+        return Near(self.spark, self.d, cells=self.cells)
 
+    @cached_property
+    def near(self):
+        return self.pairs.told()
 
-def _structures(spark, d, pairs):
-    return names.structures(spark, d, crossings=True)
+    def told(self, rows):
+        """Facts of cells of the grid for every outline that has the cell."""
+        return self.cells.select("aoi_id", *spatial.SQUARE).join(shuffled(rows), spatial.SQUARE).drop("res")
 
 
-def _raster(spark, d, pairs):
-    cells = _grid_cells(spark, d).withColumns({"z": F.col("res"), "c": F.col("col"), "r": F.col("row")})
-    rows = wofe.unit_facts(cells, view(spark, d, "wofe_cell"), ["z", "c", "r"])
-    return _told(spark, d, rows.withColumnsRenamed({"z": "res", "c": "col", "r": "row"}))
+def _geology(k):
+    parts = overlay.polygon_cells(polygon_edges(k.spark, k.d), ["feature_id", "unit"], 4000)
+    shares = overlay.unit_shares(k.grid_cells, parts, spatial.SQUARE, "unit")
+    return k.told(shares.groupBy(*spatial.SQUARE).agg(F.array_sort(F.collect_list(F.struct("place", "unit", "frac"))).alias("units")))
+
+
+def _structures(k):
+    return names.structures(k.spark, k.d, crossings=True, cells=k.cells)
+
+
+def _raster(k):
+    cells = k.grid_cells.withColumns({"z": F.col("res"), "c": F.col("col"), "r": F.col("row")})
+    rows = wofe.unit_facts(cells, view(k.spark, k.d, "wofe_cell"), ["z", "c", "r"])
+    return k.told(rows.withColumnsRenamed({"z": "res", "c": "col", "r": "row"}))
 
 
 def _three(rows):
@@ -181,28 +199,28 @@ def _three(rows):
     return spatial.nearest_records(rows, KEYS).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "name", "km"))).alias("list"))
 
 
-def _toponyms(spark, d, pairs):
-    _, hits = names.reach_hits(spark, d)
+def _toponyms(k):
+    _, hits = names.reach_hits(k.spark, k.d, k.grid_cells)
     top = tp.top_hits(hits, spatial.SQUARE).groupBy(*spatial.SQUARE)
-    return _told(spark, d, top.agg(F.array_sort(F.collect_list(F.struct("place", "name", "tier", "corroboration"))).alias("list")))
+    return k.told(top.agg(F.array_sort(F.collect_list(F.struct("place", "name", "tier", "corroboration"))).alias("list")))
 
 
-def _novelty(spark, d, pairs):
-    return pairs().novelty().select(*KEYS, "nearest_occurrence_km", "novelty").where("novelty IS NOT NULL")
+def _novelty(k):
+    return k.pairs.novelty(k.near).select(*KEYS, "nearest_occurrence_km", "novelty").where("novelty IS NOT NULL")
 
 
 FACT_TABLES = {
-    "geology": _geology, "structures": _structures, "wofe": _raster, "occurrences": lambda spark, d, pairs: pairs().facts(), "district": lambda spark, d, pairs: districts(spark, d),
-    "workings": lambda spark, d, pairs: _three(pairs().nearest()), "toponyms": _toponyms,
-    "field_observations": lambda spark, d, pairs: _three(pairs().nearest(where="site_id % 11 = 0")), "novelty": _novelty,
+    "geology": _geology, "structures": _structures, "wofe": _raster, "occurrences": lambda k: k.pairs.facts(k.near), "district": lambda k: districts(k.spark, k.d, k.cells),
+    "workings": lambda k: _three(k.near), "toponyms": _toponyms,
+    "field_observations": lambda k: _three(k.pairs.nearest(where="site_id % 11 = 0")), "novelty": _novelty,
 }
 
 
 def assembled(spark, d, which=tuple(FACT_TABLES)):
     """Cells of outlines with the wanted fact tables, each stored in buckets of cells and joined as it lies."""
-    cells = describe.stored(outline_cells(spark, d).select(*KEYS), KEYS, "cells")
-    pairs = cache(lambda: Near(spark, d))  # records near cells, read by several tables
-    return describe.assemble(cells, KEYS, {n: describe.stored(FACT_TABLES[n](spark, d, pairs), KEYS, n) for n in which})
+    known = Known(spark, d)
+    cells = describe.stored(known.cells.select(*KEYS), KEYS, "cells")
+    return describe.assemble(cells, KEYS, {n: describe.stored(FACT_TABLES[n](known), KEYS, n) for n in which})
 
 
 def _having(sql, where="true"):

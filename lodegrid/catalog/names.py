@@ -83,9 +83,9 @@ _REACH = f"""{_MATCH.format(views=with_views('aoi', 'occurrence', 'place_name'))
     CASE WHEN okm <= 1.5 THEN 'corroborated' WHEN okm >= 5 THEN 'uncorroborated' ELSE 'unknown' END AS corroboration FROM rch r JOIN mt m USING (feature_id) JOIN oc USING (feature_id))"""
 
 
-def reach_hits(spark, d):
+def reach_hits(spark, d, cells=None):
     """Names in reach of cells of the grid, and those that mean something: the same for every area that has the cell."""
-    names, cells = view(spark, d, "place_name"), outline_cells(spark, d).select(*spatial.SQUARE).distinct()
+    names, cells = view(spark, d, "place_name"), (outline_cells(spark, d) if cells is None else cells).select(*spatial.SQUARE).distinct()
     reach = materialise(tp.names_in_reach(cells, names, spatial.SQUARE, 4000), "reach")
     matched = tp.match_names(names, LEX)
     return reach, tp.cell_hits(reach, matched, tp.corroborate(matched, view(spark, d, "occurrence")))
@@ -193,9 +193,9 @@ def line_facts(spark, d):
     return ln.trend_and_length(segments(spark, d), ["line_id", "kind", "name"])
 
 
-def structures(spark, d, crossings=False, beyond=True):
-    """Structure facts of the cells of every outline."""
-    cells, segs = framed(spark, d), segments(spark, d)
+def structures(spark, d, crossings=False, beyond=True, cells=None):
+    """Structure facts of the cells of every outline, or of framed ``cells``."""
+    cells, segs = framed(spark, d) if cells is None else cells, segments(spark, d)
     near = materialise(ln.lines_near_squares(cells, segs, "line_id", fixed.STRUCTURE_BUFFER_M, 4000, "kind", beyond), "lines")
     met = ln.fault_crossings_all(near, segs, spatial.SQUARE) if crossings else None
     return ln.shared_structure_facts(cells, near.drop("kind"), segs, line_facts(spark, d), KEYS, met)
@@ -263,10 +263,10 @@ def cell_district(spark, d):
     return of_all_areas(spark, d, district_rows(spark, d))
 
 
-def district_rows(spark, d):
+def district_rows(spark, d, cells=None):
     """The district of each cell of every outline. A cell that polygons touch has the lowest of them in every frame; borders are
     looked for from the others only."""
-    cells = framed(spark, d)
+    cells = framed(spark, d) if cells is None else cells
     touched = overlay.polygon_cells(polygon_edges(spark, d), ["feature_id"], 4000)
     touched = materialise(touched.groupBy(*spatial.SQUARE).agg(F.min("feature_id").alias("feature_id")), "touched")
     covered = cells.select(*dict.fromkeys([*KEYS, *spatial.SQUARE])).join(shuffled(touched), spatial.SQUARE)

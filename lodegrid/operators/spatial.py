@@ -222,9 +222,9 @@ def occurrence_facts(cells: DataFrame, near: DataFrame, keys: list[str], any_poi
 
     A layer without any record leaves every fact null (unknown); a populated layer with nothing in reach
     gives zeros and no nearest record. With ``counts`` (as ``counts_near`` gives them) ``near`` needs no more pairs than
-    the first of each cell.
+    the first of each cell, and should be stored, as it is read twice.
     """
-    near = materialise(near, "near")
+    near = materialise(near, "near") if counts is None else near
     km = F.col("distance_m") / 1000.0
     nearest = F.min_by(F.struct("site_id", "name", "accuracy_class", "distance_m"), F.struct("distance_m", "site_id")).alias("_near")
     if counts is None:

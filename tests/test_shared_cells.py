@@ -68,3 +68,17 @@ def test_structures_are_those_of_all_pairs(spark, framed, n):
     near = ln.lines_near_squares(framed, segments, "line_id", 1700.0, 1000, "kind")
     got = ln.shared_structure_facts(framed, near.drop("kind"), segments, lines, KEYS)
     assert sorted_rows(got) == sorted_rows(ln.structure_facts(framed.select(*KEYS), every, KEYS))
+
+
+def test_fact_tables_share_cells_and_records(spark, sf, monkeypatch):
+    """Cells are framed once for all tables, and workings and novelty are told from the same records."""
+    from lodegrid.catalog import facts, load_all
+    load_all()
+    calls = []
+    for name in ("framed_cells", "first_near"):
+        taken = getattr(spatial, name)
+        monkeypatch.setattr(spatial, name, lambda *a, _name=name, _taken=taken, **k: calls.append(_name) or _taken(*a, **k))
+    rows = facts.assembled(spark, sf, ("workings", "novelty"))
+    assert sorted(calls) == ["first_near", "framed_cells"]
+    told = rows.select((F.col("workings.list")[0]["km"] == F.col("novelty.nearest_occurrence_km")).alias("same"), F.col("workings").isNull().alias("none")).collect()
+    assert len(told) > 0 and all(r.same or r.none for r in told) and any(r.same for r in told)
