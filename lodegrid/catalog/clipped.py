@@ -114,8 +114,8 @@ def _meeting_sql() -> str:
   FROM seg p JOIN seg s ON p.line_id < s.line_id AND p.kind = 'fault' AND s.kind = 'fault' WHERE {_touch(_A, _B, _C, _D)})
   SELECT DISTINCT line_id, other_id, {q.rd('m.x', 6)} AS lon, {q.rd('m.y', 6)} AS lat FROM met""")
 def _(spark, d):
-    points = ln.crossing_points(segments(spark, d).where("kind = 'fault'"))
-    return points.select("line_id", "other_id", round_dp(F.col("x"), 6).alias("lon"), round_dp(F.col("y"), 6).alias("lat")).distinct()
+    points = ln.crossing_points(segments(spark, d).where("kind = 'fault'"), places=6)
+    return points.withColumnsRenamed({"x": "lon", "y": "lat"})
 
 
 # --- geology store ------------------------------------------------------------------------------

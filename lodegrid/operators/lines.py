@@ -283,7 +283,8 @@ def structure_facts(cells: DataFrame, near: DataFrame, keys: list[str], crossing
 #: Side of a square in degrees; a square with more than MOST segments is quartered both ways, DEEPEST times at most.
 #: Comparing bounds is far cheaper than listing a segment in the squares of a finer level, so only squares that are crowded beyond that are cut.
 CROSSING_SQUARE, MOST, DEEPEST = 0.02, 1024, 4
-_EDGE = 1e-7
+#: Degrees. Points are dealt to squares by rounded coordinates, so segments are listed a little beyond the border.
+_EDGE = 1e-6
 
 
 def squares_passed(segments: DataFrame, side: float, within: float | None = None) -> DataFrame:
@@ -291,7 +292,7 @@ def squares_passed(segments: DataFrame, side: float, within: float | None = None
 
     With ``within``, only squares inside the square of that side in which the row stands are listed.
     """
-    column = lambda v, shift: F.floor(v / side + shift).cast("bigint")
+    column = lambda v, beyond: F.floor((v + beyond) / side).cast("bigint")
     lo_x, hi_x = F.least("ax", "bx"), F.greatest("ax", "bx")
     k = None if within is None else round(within / side)
     first, last = column(lo_x, -_EDGE), column(hi_x, _EDGE)
@@ -300,7 +301,7 @@ def squares_passed(segments: DataFrame, side: float, within: float | None = None
     out = segments.where(first <= last).withColumn("_c", F.explode(F.sequence(first, last)))
     slope = F.when(F.col("ax") != F.col("bx"), (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
     y = lambda x: F.when(slope.isNull(), None).otherwise(F.col("ay") + (x - F.col("ax")) * slope)
-    from_x, to_x = F.greatest(lo_x, F.col("_c") * side), F.least(hi_x, (F.col("_c") + 1) * side)
+    from_x, to_x = F.greatest(lo_x, F.col("_c") * side - _EDGE), F.least(hi_x, (F.col("_c") + 1) * side + _EDGE)
     y0, y1 = F.coalesce(y(from_x), F.col("ay")), F.coalesce(y(to_x), F.col("by"))
     low, high = column(F.least(y0, y1), -_EDGE), column(F.greatest(y0, y1), _EDGE)
     if k:
@@ -309,21 +310,104 @@ def squares_passed(segments: DataFrame, side: float, within: float | None = None
     return out.drop("_bx", "_by", "_l", "_h").withColumnsRenamed({"_c": "_bx", "_r": "_by"})
 
 
-def _met(listed: DataFrame, side: float) -> DataFrame:
-    """Points shared by segments of two lines, each found in the square that holds it."""
-    ends = ("ax", "ay", "bx", "by")
-    other = listed.select("_bx", "_by", F.col("line_id").alias("other_id"), *[F.col(c).alias(f"o{c}") for c in ends])
-    apart = lambda p: (F.least(f"o{p[0]}", f"o{p[1]}") <= F.greatest(*p)) & (F.least(*p) <= F.greatest(f"o{p[0]}", f"o{p[1]}"))
-    c = F.col
-    point = geo.meeting_point((c("ax"), c("ay")), (c("bx"), c("by")), (c("oax"), c("oay")), (c("obx"), c("oby")))
-    met = listed.join(shuffled(other), ["_bx", "_by"]).where((c("line_id") < c("other_id")) & apart(("ax", "bx")) & apart(("ay", "by")))
-    met = met.withColumn("_p", point).where("_p IS NOT NULL")
-    own = (F.floor(c("_p.x") / side) == c("_bx")) & (F.floor(c("_p.y") / side) == c("_by"))
-    return met.where(own).select("line_id", "other_id", "_p.x", "_p.y")
+def _met(listed: DataFrame, side: float, places: int | None) -> DataFrame:
+    """Points shared by segments of two lines, each found in the square that holds it; with ``places`` rounded and distinct."""
+    ends, square = ["ax", "ay", "bx", "by"], ["_bx", "_by"]
+    kind = listed.schema["line_id"].dataType
+    schema = T.StructType([T.StructField("line_id", kind), T.StructField("other_id", kind), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+
+    def find(batches):
+        for rows, starts in _groups(batches, square):
+            line = rows.column("line_id").chunk(0)
+            new = np.r_[True, pc.not_equal(line[1:], line[:-1]).to_numpy(zero_copy_only=False)]
+            new[starts[:-1]] = True
+            codes, drawn = np.cumsum(new), np.array([rows.column(c).to_numpy() for c in ends], float)
+            bx, by = (rows.column(c).to_numpy() for c in square)
+            found, n = [], 0
+            for a, b in zip(starts, starts[1:]):
+                for i, j, x, y in _meeting_points(codes[a:b], drawn[:, a:b], (bx[a], by[a]), side, places) if b - a > 1 else ():
+                    found.append((a + i, a + j, x, y))
+                    n += len(i)
+                if found and (n > 1 << 14 or b == starts[-1]):
+                    i, j, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([line.take(pa.array(i)), line.take(pa.array(j)), pa.array(x), pa.array(y)], names=schema.names)
+                    found, n = [], 0
+
+    return dealt(listed, square).sortWithinPartitions(*square, "line_id").mapInArrow(find, schema)
+
+
+def _groups(batches, keys: list[str]):
+    """Rows sorted by ``keys`` with the starts of their groups, and the end; the last group of a batch is held until the next."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+        new = np.zeros(len(rows), bool)
+        for k in keys:
+            c = rows.column(k).chunk(0)
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(new).tolist()]
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]).combine_chunks(), starts
+        held = rows.slice(starts[-1])
+    if held is not None and len(held):
+        yield held.combine_chunks(), [0, len(held)]
+
+
+def _meeting_points(lines: np.ndarray, ends: np.ndarray, square: tuple[int, int], side: float, places: int | None):
+    """Segments (of sorted lines) that meet inside the square, and where: (rows, columns, x, y) for some lines at a time."""
+    high, wide = TILE
+    starts = np.r_[np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]]), len(lines)]
+    first = 0
+    while first < len(lines):
+        last = starts[min(np.searchsorted(starts, first + high), len(starts) - 1)]
+        found = []
+        for r in range(first, last, high):
+            for c in range(r, len(lines), wide):
+                cols = ends[:, c:c + wide]
+                i, j = np.divmod(np.flatnonzero(_touching(ends[:, r:min(r + high, last)], cols)), cols.shape[1])
+                i, j = i + r, j + c
+                two = lines[i] < lines[j]
+                i, j = i[two], j[two]
+                if not len(i):
+                    continue
+                x, y = _meeting_point(ends[:, i], ends[:, j])
+                if places is not None:
+                    scale = float(10**places)
+                    x, y = np.floor(x * scale + 0.5) / scale, np.floor(y * scale + 0.5) / scale
+                own = (np.floor(x / side) == square[0]) & (np.floor(y / side) == square[1])
+                found.append((i[own], j[own], x[own], y[own]))
+        first = last
+        if not found:
+            continue
+        i, j, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+        if places is not None and len(i):
+            order = np.lexsort((y, x, lines[j], lines[i]))
+            i, j, x, y = i[order], j[order], x[order], y[order]
+            new = np.ones(len(i), bool)
+            new[1:] = (lines[i][1:] != lines[i][:-1]) | (lines[j][1:] != lines[j][:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            i, j, x, y = i[new], j[new], x[new], y[new]
+        if len(i):
+            yield i, j, x, y
+
+
+def _meeting_point(p: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where segments that touch meet, one by one, as ``geo.meeting_point`` tells."""
+    turn = lambda q, x, y: (q[2] - q[0]) * (y - q[1]) - (q[3] - q[1]) * (x - q[0])
+    ends = [(p, s[:2]), (p, s[2:]), (s, p[:2]), (s, p[2:])]
+    turns = [turn(q, *e) for q, e in ends]
+    x, y = np.full((2, p.shape[1]), np.inf)
+    for t, (q, (ex, ey)) in zip(turns, ends, strict=True):
+        on = (t == 0) & (ex >= np.minimum(q[0], q[2])) & (ex <= np.maximum(q[0], q[2])) & (ey >= np.minimum(q[1], q[3])) & (ey <= np.maximum(q[1], q[3]))
+        on &= (ex < x) | ((ex == x) & (ey < y))
+        x, y = np.where(on, ex, x), np.where(on, ey, y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = turns[2] / (turns[2] - turns[3])
+        return np.where(x == np.inf, p[0] + t * (p[2] - p[0]), x), np.where(x == np.inf, p[1] + t * (p[3] - p[1]), y)
 
 
-def crossing_points(segments: DataFrame, side: float = CROSSING_SQUARE, most: int = MOST, deepest: int = DEEPEST) -> DataFrame:
-    """line_id, other_id, x, y (degrees): every point in which two lines cross or touch.
+def crossing_points(segments: DataFrame, side: float = CROSSING_SQUARE, most: int = MOST, deepest: int = DEEPEST, places: int | None = None) -> DataFrame:
+    """line_id, other_id, x, y (degrees): every point in which two lines cross or touch, with ``places`` rounded (to six at most) and distinct.
 
     A segment meets only those that pass a square with it, and a point belongs to one square, so no line is compared with
     a line and no point is found twice. Crowded squares are cut into sixteen by their counts.
@@ -334,7 +418,7 @@ def crossing_points(segments: DataFrame, side: float = CROSSING_SQUARE, most: in
         todo = materialise(todo, "squares")
         crowded = todo.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
         deep = level < deepest and not crowded.isEmpty()
-        here = _met(todo.join(shuffled(crowded), ["_bx", "_by"], "left_anti") if deep else todo, side)
+        here = _met(todo.join(shuffled(crowded), ["_bx", "_by"], "left_anti") if deep else todo, side, places)
         found = here if found is None else found.unionByName(here)
         if not deep:
             return found
@@ -428,21 +512,8 @@ def fault_crossings_all(near: DataFrame, segments: DataFrame, keys: list[str], h
         return pa.RecordBatch.from_arrays([*[known.column(k).chunk(0) for k in keys], pa.array(n, pa.int64())], names=schema.names)
 
     def count(batches):
-        """Groups follow one another in sorted rows; the last one of a batch is held until the next."""
-        held_rows = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = (rows if held_rows is None else pa.concat_tables([held_rows, rows])).combine_chunks()
-            new = np.zeros(len(rows), bool)
-            for k in groups:
-                c = rows.column(k).chunk(0)
-                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-            starts = [0, *np.flatnonzero(new).tolist()]
-            if len(starts) > 1:
-                yield told(rows, starts)
-            held_rows = rows.slice(starts[-1])
-        if held_rows is not None:
-            yield told(held_rows, [0, len(held_rows)])
+        for rows, starts in _groups(batches, groups):
+            yield told(rows, starts)
 
     counted = dealt(rows, groups).sortWithinPartitions(*groups).mapInArrow(count, schema)
     return counted.groupBy(*keys).agg(F.sum("n").alias("fault_intersections_in_cell")).where("fault_intersections_in_cell > 0")

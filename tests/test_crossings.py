@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegrid.catalog import load_all
 from lodegrid.catalog.registry import QUERIES
+from lodegrid.functions.scalars import round_dp
 from lodegrid.operators import lines as ln
 
 SCHEMA = "line_id bigint, kind string, ax double, ay double, bx double, by double"
@@ -105,3 +106,16 @@ def test_tiles_give_the_pairs_of_all_segments():
     assert ln._count_touching(lines, ends) == np.count_nonzero(np.triu(met, 1))
     second = lines % 3 == 0
     assert ln._count_touching(lines, ends, second) == np.count_nonzero(met[np.arange(300) % 3 != 0][:, np.arange(300) % 3 == 0])
+
+
+def test_rounded_points_are_distinct_without_a_shuffle_of_them(spark):
+    """A vertex shared by two segments, and points on both sides of a square's border that round to one, are told once."""
+    rows = crowd(9, 40) + [(200, "fault", -119.99, 47.005, -119.98, 47.01), (200, "fault", -119.98, 47.01, -119.97, 47.0), (201, "fault", -119.98, 47.0, -119.98, 47.02)]
+    rows += [(202, "fault", -119.9800003, 47.03, -119.9800003, 47.05), (202, "fault", -119.9800003, 47.05, -119.9799997, 47.05), (202, "fault", -119.9799997, 47.05, -119.9799997, 47.03), (203, "fault", -120.0, 47.04, -119.95, 47.04)]
+    segments = spark.createDataFrame(rows, SCHEMA)
+    points = ln.crossing_points(segments, 0.02, places=6)
+    assert points._jdf.queryExecution().executedPlan().toString().count("Aggregate") == 0
+    got = [tuple(r) for r in points.collect()]
+    assert len(got) == len(set(got)) and got.count((202, 203, -119.98, 47.04)) == 1 and got.count((200, 201, -119.98, 47.01)) == 1
+    plain = ln.crossing_points(segments, 0.5).select("line_id", "other_id", round_dp(F.col("x"), 6), round_dp(F.col("y"), 6)).distinct()
+    assert set(got) == {tuple(r) for r in plain.collect()}
